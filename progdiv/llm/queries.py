@@ -3,16 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from progdiv.llm import mixing
+from progdiv.llm import mixing, secrets, winnowing
 from progdiv.llm.common import table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op5_mixing": op5_mixing}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.fingerprints(table(spark, sf_dir, "documents"))
+    out = out.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.digest("fingerprint").alias("fingerprint"), winnowing.digest("edited_fingerprint").alias("edited_fingerprint"),
+        winnowing.gram_hashes("fingerprint").alias("own"), winnowing.gram_hashes("edited_fingerprint").alias("new"), winnowing.gram_hashes("next_fingerprint").alias("next"),
+    )
+    return out.withColumns({"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}).drop("own", "new", "next")
+
+
+QUERIES = {"op3_secrets": op3_secrets, "op5_mixing": op5_mixing, "op9_fingerprints": op9_fingerprints}
 
 SQL: dict[str, str] = {}
