@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from progdiv.llm import mixing, secrets, winnowing
+from progdiv.llm import minhash, mixing, secrets, winnowing
 from progdiv.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -33,6 +37,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}).drop("own", "new", "next")
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op5_mixing": op5_mixing, "op9_fingerprints": op9_fingerprints}
+QUERIES = {"op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op9_fingerprints": op9_fingerprints}
 
 SQL: dict[str, str] = {}
