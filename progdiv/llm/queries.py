@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from progdiv.llm import minhash, mixing, secrets, winnowing
+from progdiv.llm import minhash, mixing, packing, secrets, winnowing
 from progdiv.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.fingerprints(table(spark, sf_dir, "documents"))
     out = out.select(
@@ -37,6 +41,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}).drop("own", "new", "next")
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op9_fingerprints": op9_fingerprints}
+QUERIES = {"op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
 
 SQL: dict[str, str] = {}
