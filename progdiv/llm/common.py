@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -151,3 +152,36 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing will read again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/tables/" in name:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of finished queries, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Rolling:
+    """Hashes of any substring of some bytes, from running sums of a polynomial."""
+
+    def __init__(self, data: np.ndarray, base: int = _P) -> None:
+        self.n = len(data)
+        self.sums = np.zeros(self.n + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, self.n), out=self.sums[1:])
+        self.inverse = _power(pow(base, -1, 1 << 64), self.n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+
+    def all(self, length: int) -> np.ndarray:
+        """Of every substring of one length."""
+        return mix((self.sums[length:] - self.sums[:-length]) * self.inverse[: self.n + 1 - length])
