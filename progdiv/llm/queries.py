@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from progdiv.llm import lm, minhash, mixing, packing, repeats, secrets, winnowing
+from progdiv.llm import langid, lm, minhash, mixing, packing, repeats, secrets, winnowing
 from progdiv.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}).drop("own", "new", "next")
 
 
-QUERIES = {"op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
+QUERIES = {"op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
 
 SQL: dict[str, str] = {}
