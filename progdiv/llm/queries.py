@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from progdiv.llm import langid, lm, minhash, mixing, packing, repeats, secrets, winnowing
+from progdiv.llm import langid, lm, minhash, mixing, packing, repeats, secrets, vectors, winnowing
 from progdiv.llm.common import table
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -54,6 +58,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}).drop("own", "new", "next")
 
 
-QUERIES = {"op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
+QUERIES = {"op1_embeddings": op1_embeddings, "op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
 
 SQL: dict[str, str] = {}
