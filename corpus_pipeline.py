@@ -3,15 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from progdiv.llm import langid, minhash, mixing, packing, secrets
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least mean label probability of a document that is kept.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter or with no language that stands out."""
+    found = langid.identify(docs)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id; of rows that repeat
+    a doc_id one stays. Rows without doc_id stay."""
+    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, with its secrets replaced by a mark and its n_chars counted anew."""
+    found = secrets.scan_secrets(docs, keep=COLUMNS)
+    spans = F.array_sort(F.concat("base", "added"))
+    text = F.when(F.size("base") + F.size("added") > 0, secrets.redact(F.col("text"), spans)).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their target weights."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("secrets", secret_scan), ("mix", mix), ("pack", pack)]
 
 #: Language identification and tokenisation have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from progdiv.llm.common import materialize
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -43,25 +43,46 @@ def copies(rate: Column, *key: Column) -> Column:
     return whole + (hash_key(*key) < rate - whole).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0, seeds: int = 32) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row a document.
+def source_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0, seeds: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Rows of sizes (doc_id, source, size) with source_size, target and rate; and source, rate and seed of each source.
 
-    size is the number of words. Of `seeds` hash seeds each source gets the one whose draws come nearest to
-    its target, so that small sources do not stray; every copy is still one Bernoulli draw by that seed.
-    A null text has size 0 and is never repeated; null sources are one source, the last; rows that
-    repeat a doc_id share their draw; an empty table gives no rows. Reruns agree.
+    Of `seeds` hash seeds each source gets the one whose draws come nearest to its target, so that small
+    sources do not stray; every copy is still one Bernoulli draw by that seed.
     """
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    targets = source_targets(sizes, weights, budget, cap)
-    t = targets.withColumnRenamed("source", "t_source")
+    t = source_targets(sizes, weights, budget, cap).withColumnRenamed("source", "t_source")
     joined = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = materialize(joined.withColumn("rate", F.least(rate, F.lit(cap))), "rates")
-    draw = lambda seed: copies(F.col("rate"), F.col("doc_id"), F.col("source"), seed)
-    taken = [F.sum(F.col("size") * draw(F.lit(k))).alias(f"s{k}") for k in range(seeds)]
-    tried = joined.groupBy("source").agg(F.first("target").alias("target"), *taken)
+    taken = [F.sum(F.col("size") * _draw(F.lit(k))).alias(f"s{k}") for k in range(seeds)]
+    tried = joined.groupBy("source").agg(F.first("target").alias("target"), F.first("rate").alias("rate"), *taken)
     off = F.array_min(F.array(*(F.struct(F.abs(F.col(f"s{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds))))
-    best = tried.select(F.col("source").alias("b_source"), off["seed"].alias("seed"))
-    out = joined.join(best, F.col("source").eqNullSafe(F.col("b_source"))).drop("b_source")
-    out = out.withColumn("copies", draw(F.col("seed")))
+    return joined, tried.select("source", "rate", off["seed"].alias("seed"))
+
+
+def _draw(seed: Column) -> Column:
+    return copies(F.col("rate"), F.col("doc_id"), F.col("source"), seed)
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row a document.
+
+    size is the number of words. A null text has size 0 and is never repeated; null sources are one source, the
+    last; rows that repeat a doc_id share their draw; an empty table gives no rows. Reruns agree.
+    """
+    rows, plan = source_plan(_sizes(docs), weights, budget, cap)
+    best = plan.select(F.col("source").alias("b_source"), "seed")
+    out = rows.join(best, F.col("source").eqNullSafe(F.col("b_source"))).withColumn("copies", _draw(F.col("seed")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """docs with each row as often as the mix takes it, by the same draws as mix_sources."""
+    columns = docs.columns
+    _, plan = source_plan(_sizes(docs), weights, budget, cap)
+    best = materialize(plan.select(F.col("source").alias("b_source"), "rate", "seed"), "plan")
+    rows = docs.join(best, F.col("source").eqNullSafe(F.col("b_source"))).withColumn("b_copies", _draw(F.col("seed")))
+    return rows.where("b_copies > 0").withColumn("b_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("b_copies")))).select(*columns)

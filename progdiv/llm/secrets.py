@@ -133,16 +133,17 @@ def _discovery_level(tokens: DataFrame, rate: float) -> float:
     return level
 
 
-def scan_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
-    """doc_id and base, added: arrays of (start, end, kind) by start then kind; one row a document.
+def scan_secrets(docs: DataFrame, rate: float = 0.05, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """base and added, arrays of (start, kind, end) by start then kind, beside the kept columns; one row a document.
 
     A null or empty text has none; texts are scanned whole; rows that repeat a doc_id are scanned each;
     an empty table gives no rows. Tokens that overlap a base span are not added again.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", t.alias("text"))
+    docs = docs.select(*(F.col(c).alias(f"k_{c}") for c in keep), t.alias("text"))
+    kept = [f"k_{c}" for c in keep]
     found = docs.select(
-        "doc_id",
+        *kept,
         find_spans(F.col("text"), ASSIGN, 0, group=2, least=6).alias("assign"),
         find_spans(F.col("text"), ACCESS, 1).alias("access"),
         find_spans(F.col("text"), HEX, 2).alias("hex"),
@@ -150,12 +151,12 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     )
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = F.array_sort(F.concat(plain(F.col("assign")), plain(F.col("access")), plain(F.col("hex"))))
-    found = materialize(found.select("doc_id", base.alias("base"), battery(F.col("token")).alias("tests")), "secrets")
+    found = materialize(found.select(*kept, base.alias("base"), battery(F.col("token")).alias("tests")), "secrets")
     level = _discovery_level(found.select(F.explode("tests").alias("t")), rate)
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     chosen = F.filter("tests", lambda s: s["random"] & (-F.log10(F.greatest(s["p"], F.lit(1e-30))) >= F.lit(level)) & clear(s))
     added = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
-    return found.select("doc_id", "base", added.alias("added"))
+    return found.select(*(F.col(f"k_{c}").alias(c) for c in keep), "base", added.alias("added"))
 
 
 def joined(spans: Column) -> Column:
