@@ -24,7 +24,11 @@ def code_tokens(code: Column, comments: bool = True) -> Column:
 def ngrams(frame: DataFrame, keys: list[str], member: str, tokens: str, orders: range) -> DataFrame:
     """Rows (keys, member, n, gram): the n-grams of each member's tokens for every order, one explode for all."""
     upto = F.size(tokens)
-    arrays = [F.when(upto >= n, F.transform(F.sequence(F.lit(1), upto - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.slice(tokens, i, n).alias("gram")))) for n in orders]
+
+    def of_order(n: int) -> Column:
+        return F.when(upto >= n, F.transform(F.sequence(F.lit(1), upto - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.slice(tokens, i, F.lit(n)).alias("gram"))))
+
+    arrays = [of_order(n) for n in orders]
     none = F.array().cast("array<struct<n:int,gram:array<string>>>")
     return frame.select(*keys, member, F.explode(F.concat(*(F.coalesce(a, none) for a in arrays))).alias("x")).select(*keys, member, "x.n", "x.gram")
 

@@ -260,7 +260,7 @@ def jaccard_conversations(spark, sf):
 _BLEU = f"""WITH d AS (SELECT item_id AS m, item_id % 4 AS k, {_WORDS} AS t FROM benchmark),
 c AS (SELECT k, m, n, t[i : i + n - 1] AS gram, count(*) AS c FROM d, range(1, 5) r(n), range(1, len(t) + 1) s(i) WHERE i + n - 1 <= len(t) GROUP BY ALL),
 h AS (SELECT a.k, a.m AS a, b.m AS b, a.n, sum(least(a.c, b.c)) AS hit FROM c a JOIN c b ON a.k = b.k AND a.n = b.n AND a.gram = b.gram AND a.m < b.m GROUP BY ALL),
-p AS (SELECT a.k, a.m AS a, b.m AS b, len(a.t) AS la, len(b.t) AS lb, n, len(a.t) - n + 1 AS total, coalesce(hit, 0) AS hit FROM d a JOIN d b ON a.k = b.k AND a.m < b.m, range(1, 5) r(n) LEFT JOIN h ON h.k = a.k AND h.a = a.m AND h.b = b.m AND h.n = r.n),
+p AS (SELECT a.k, a.m AS a, b.m AS b, len(a.t) AS la, len(b.t) AS lb, r.n AS n, len(a.t) - r.n + 1 AS total, coalesce(hit, 0) AS hit FROM d a JOIN d b ON a.k = b.k AND a.m < b.m, range(1, 5) r(n) LEFT JOIN h ON h.k = a.k AND h.a = a.m AND h.b = b.m AND h.n = r.n),
 q AS (SELECT *, count(*) FILTER (WHERE hit = 0) OVER (PARTITION BY k, a, b ORDER BY n) AS misses FROM p WHERE total > 0),
 f AS (SELECT k, a, b, CASE WHEN sum(hit) = 0 THEN 0.0 ELSE any_value(CASE WHEN la < lb THEN exp(1 - lb / la) ELSE 1.0 END) * exp(avg(ln(CASE WHEN hit = 0 THEN 100.0 / (pow(2, misses) * total) ELSE 100.0 * hit / total END))) END AS bleu FROM q GROUP BY ALL)
 """
