@@ -7,17 +7,16 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from progdiv.functions.text import strip
 from progdiv.schemas import OUTPUT_RECORD, STATS
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """With header and quoted line breaks; a byte-order mark is dropped and names are stripped."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     frame = (reader.schema(schema) if schema else reader).csv(path)

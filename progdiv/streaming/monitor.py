@@ -25,7 +25,7 @@ def each_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], check
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """n and total of value by window and event type; works on streams and on tables."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     out = events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
@@ -34,7 +34,7 @@ def windowed_counts(events: DataFrame, width: str, slide: str | None = None, lat
 def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     """Sessions of each user: start, end and number of events, closed by a gap."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     out = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
