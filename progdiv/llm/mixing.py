@@ -59,8 +59,8 @@ def source_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget:
     return joined, tried.select("source", "rate", off["seed"].alias("seed"))
 
 
-def _draw(seed: Column) -> Column:
-    return copies(F.col("rate"), F.col("doc_id"), F.col("source"), seed)
+def _draw(seed: Column, rate: str = "rate") -> Column:
+    return copies(F.col(rate), F.col("doc_id"), F.col("source"), seed)
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
@@ -83,6 +83,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float =
     """docs with each row as often as the mix takes it, by the same draws as mix_sources."""
     columns = docs.columns
     _, plan = source_plan(_sizes(docs), weights, budget, cap)
-    best = materialize(plan.select(F.col("source").alias("b_source"), "rate", "seed"), "plan")
-    rows = docs.join(best, F.col("source").eqNullSafe(F.col("b_source"))).withColumn("b_copies", _draw(F.col("seed")))
-    return rows.where("b_copies > 0").withColumn("b_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("b_copies")))).select(*columns)
+    best = materialize(plan.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed")), "plan")
+    rows = docs.join(best, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_copies", _draw(F.col("_mix_seed"), "_mix_rate"))
+    return rows.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*columns)
