@@ -126,3 +126,14 @@ def rename_map_string(names: Column) -> Column:
 
 def min_max_scaled(c: Column, low: Column, high: Column) -> Column:
     return F.try_divide((c - low) * 100, high - low)
+
+
+def tokens_13a(c: Column) -> Column:
+    """The standard tokens of machine-translation scores: entities decoded, punctuation set apart unless in numbers."""
+    out = F.replace(F.replace(F.replace(c, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
+    for name, value in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        out = F.replace(out, F.lit(name), F.lit(value))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for pattern, new in ((r"([\{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
+        out = F.regexp_replace(out, pattern, new)
+    return F.filter(F.split(out, " +"), lambda t: t != "")

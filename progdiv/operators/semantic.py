@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progdiv.operators.records import with_record_types
+from progdiv.operators.records import per_generation, with_record_types
 from progdiv.schemas import RECORD_TYPES
 
 
@@ -64,3 +64,17 @@ def coherent_share_of_all(generations: DataFrame) -> DataFrame:
     """Distinct coherent strings of all generations, by problem."""
     n = F.count("*")
     return generations.groupBy("problem_id").agg(F.when(n > 1, F.count_distinct(F.when(F.col("coherent"), F.col("semantic"))) / n).alias("coh_semantic_proportion_of_all"))
+
+
+def make_clusters(executions: DataFrame) -> dict[str, DataFrame]:
+    """What the clustering run writes: program to string, string to programs, and counts and shares a program."""
+    gen = per_generation(executions)
+    keys = ["problem_id", "generation_id"]
+    return {
+        "program_2_semantic_string": gen.select(*keys, "semantic"),
+        "semantic_strings_2_programs": clusters(gen, ["problem_id"]),
+        "program_2_coherence": gen.select(*keys, "coherence"),
+        "program_2_n_outputs": gen.select(*keys, "n_outputs"),
+        "program_2_n_coherent": gen.select(*keys, "n_coherent"),
+        "program_2_accuracy": gen.select(*keys, "accuracy"),
+    }

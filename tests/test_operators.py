@@ -171,3 +171,22 @@ def test_syntactic(spark):
     assert found["plain", 3]["prop_distinct"] == 1.0 and found["stripped", 3]["prop_distinct"] < 1.0
     jac = {(r["variant"], r["height"]): r for r in syntactic.jaccard_subtrees(subs, ["k"], "m").collect()}
     assert jac["plain", 3]["n"] == 3 and 0 <= jac["stripped", 3]["jaccard"] < jac["plain", 3]["jaccard"]
+
+
+def test_execution(spark):
+    from progdiv.operators.execution import execute, local_runner
+
+    progs = {0: "print(int(input()) * 2)", 1: "print(", 2: "x = input()\nif x == '1':\n    raise ValueError\nprint(x)", 3: "while True: pass"}
+    rows = [("p", g, t, k, code, i, "2") for g, code in progs.items() for k, (t, i) in enumerate((("2", "3"), ("10", "1")))]
+    cases = spark.createDataFrame(rows, "problem_id string, generation_id int, testcase_id string, pos int, program string, input string, expected string")
+    got = {(r["generation_id"], r["testcase_id"]): r["output"] for r in execute(cases, local_runner(timeout=2)).collect()}
+    assert [got[g, t] for g in range(4) for t in ("10", "2")] == ["2", "6", "Syntax Error", "Error", "Runtime Error", "Error", "Timeout", "Error"]
+
+
+def test_make_clusters(spark):
+    out = semantic.make_clusters(executions(spark, [("p", g, "0", 0, "1", "x", "x") for g in range(2)]))
+    assert out["semantic_strings_2_programs"].first()["members"] == [0, 1] and out["program_2_accuracy"].first()["accuracy"] == 1.0
+
+
+def test_tokens_13a(spark):
+    assert one(spark, T.tokens_13a(F.col("t")), t='Hello, world! 3.5 (a-b) 7-8 "q" &amp; x.') == ["Hello", ",", "world", "!", "3.5", "(", "a-b", ")", "7", "-", "8", '"', "q", '"', "&", "x", "."]
