@@ -65,8 +65,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_embeddings": op1_embeddings, "op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
 
-#: No message of the tables is a tool call, so the SQL has no links to make.
+#: Ends of both similarity queries: what each row reaches by links.
+_REACH = """reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)"""
+
 SQL: dict[str, str] = {
+    "op1_embeddings": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        links AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+        {_REACH}
+        SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM least""",
+    "op4_minhash": f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS t FROM documents),
+        s AS (SELECT doc_id AS id, unnest(CASE WHEN len(t) >= 4 THEN list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i : i + 3], ' '))) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM d),
+        n AS (SELECT doc_id AS id, (SELECT count(*) FROM s WHERE s.id = doc_id) AS k FROM d),
+        i AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.id <> b.id GROUP BY ALL),
+        links AS (SELECT a, b FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i.k >= 80 * (x.k + y.k - i.k)),
+        {_REACH}
+        SELECT id AS doc_id, k AS n_shingles, component_id, id = component_id AS kept FROM least JOIN n USING (id)""",
+    # No message of the tables is a tool call, so the SQL has no links to make.
     "op10_chat": """
         SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
             '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json,
