@@ -2,9 +2,9 @@
 
 Every text's distinct word shingles are hashed once; each of BINS ranges of the hash keeps its least value and empty
 ranges borrow from one picked at random for that range (optimal densification). Bands of bins make buckets.
-Within a bucket candidates form a star about its smallest document, so pairs stay fewer than members; members
-that a star leaves in another component than the centre's are compared with the rest in a second round.
-All candidates are confirmed on full shingle sets.
+Within a bucket candidates form a star about its smallest document, so pairs stay fewer than members. What the
+stars of a bucket leave apart is compared within groups that share some of their rarest shingles, which
+loses no pair of similar sets and emits none that is not linked. All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import materialize, mix, pieces_of, text_buffer, word_bounds, word_hashes
+from progdiv.llm.common import drop_table, materialize, mix, pieces_of, release, text_buffer, word_bounds, word_hashes
 from progdiv.llm.graph import components
 
 BINS, ROWS = 256, 6
@@ -107,17 +107,88 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those with 100 * shared >= percent * all on full shingle sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(full_sets(docs.join(ids, "doc_id", "left_semi"), k), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
+    sets = sets.hint("merge")
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     ok = 100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)
-    return materialize(both.where(ok).select("a", "b"), "links")
+    found = materialize(both.where(ok).select("a", "b"), "links")
+    release(pairs.sparkSession)
+    return found
+
+
+def _open_buckets(spokes: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (key, x, n, component, main) of buckets with pairs across components that no star has compared:
+    x is any member but the centre, main the centre's component."""
+    label = found.select(F.col("id").alias("b"), "component")
+    placed = spokes.join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    centre = F.col("a") == F.col("b")
+    main = F.max(F.when(centre, F.col("component"))).alias("main")
+    low, high = F.min(F.when(~centre, F.col("component"))), F.max(F.when(~centre, F.col("component")))
+    keys = placed.groupBy("key").agg(main, low.alias("low"), high.alias("high")).where("low <> high")
+    placed = placed.where(~centre).join(keys.select("key", "main"), "key")
+    return materialize(placed.select("key", F.col("b").alias("x"), "n", "component", "main"), "open")
+
+
+def _fronts(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id and s: of every set in open buckets, ordered by rarity (then value), the first shingles that others have.
+
+    Two similar sets share one of the first size - ceil(share * size) + 1, so sets without such a front are
+    alone, and others are similar only to sets whose front they meet.
+    """
+    who = buckets.groupBy(F.col("x").alias("doc_id")).agg(F.first("n").alias("n"))
+    rows = materialize(who.join(sets.hint("merge"), "doc_id").select("doc_id", "n", F.explode("shingles").alias("s")), "shingles")
+    ordered = rows.join(rows.groupBy("s").count(), "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("o"))
+    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    front = F.filter(F.slice("o", F.lit(1), size), lambda x: x["count"] > 1)
+    found = materialize(ordered.select("doc_id", F.explode(front).alias("f")).select("doc_id", "f.s"), "fronts")
+    drop_table(rows)
+    release(buckets.sparkSession)
+    return found
+
+
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """Links across components between two chunks of a group (or within one), by counts over postings."""
+    chunk, i, j = table.column("chunk").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    ids, component = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+    sets = [v.values.to_numpy() for v in table.column("shingles").combine_chunks()]
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    posted = np.concatenate([sets[r] for r in right])
+    order = np.argsort(posted, kind="stable")
+    posted, owner = posted[order], owner[order]
+    a, b = [], []
+    for u in left:
+        lo, hi = np.searchsorted(posted, sets[u], "left"), np.searchsorted(posted, sets[u], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        shared = np.bincount(owner[at], minlength=len(right))
+        good = (100 * shared >= percent * (sizes[u] + sizes[right] - shared)) & (component[right] != component[u])
+        a += [ids[u]] * int(good.sum())
+        b += ids[right[good]].tolist()
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _rest(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links across components among the members of open buckets, all of them.
+
+    Members whose fronts meet make a group; a large group is dealt into chunks, each pair of chunks being a
+    task of its own, so that no pair is emitted unless it is a link.
+    """
+    front = _fronts(buckets, sets, percent)
+    near = front.join(front.groupBy("s").agg(F.min("doc_id").alias("a")), "s").select("a", F.col("doc_id").alias("b")).distinct()
+    groups = materialize(components(near).select(F.col("id").alias("doc_id"), F.col("component").alias("g")), "groups")
+    rows = groups.join(sets.hint("merge"), "doc_id").join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    rows = materialize(rows.withColumn("component", F.coalesce("component", "doc_id")), "rows")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("w"))
+    sizes = sizes.select("g", F.greatest(F.least(F.ceil(F.col("m") / 48), F.lit(32)), F.ceil(F.col("m") / 1024), F.ceil(F.col("w") / 1_000_000)).cast("int").alias("chunks"))
+    rows = rows.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("g", "doc_id", "component", "shingles", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return materialize(rows.groupBy("g", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -136,23 +207,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = classes.select(F.explode("bands").alias("key"), "rep", "n")
     centres = members.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
     spokes = materialize(members.join(centres, "key").select("key", "a", F.col("rep").alias("b"), "n"), "spokes")
+    ids = spokes.select(F.col("b").alias("doc_id")).distinct()
+    sets = full_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
+    sets = materialize(sets, "sets")
+    release(docs.sparkSession)
     stars = materialize(spokes.where("a <> b").select("a", "b").distinct(), "stars")
-    links = _confirmed(stars, docs, k, percent)
+    links = _confirmed(stars, sets, percent)
     found = materialize(components(links), "components")
-
-    label = found.select(F.col("id").alias("b"), "component")
-    placed = spokes.join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
-    mixed = placed.groupBy("key").agg(F.max(F.struct(F.col("b") == F.col("a"), "component"))["component"].alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    placed = materialize(placed.join(mixed.select("key", "main"), "key"), "placed")
-    outside = placed.where("component <> main AND a <> b").select("key", F.col("b").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), "main")
-    others = placed.where("a <> b").select("key", F.col("b").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    pairs = outside.join(others, "key").where(apart & sizes).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        links = links.union(_confirmed(pairs, docs, k, percent))
-        found = materialize(components(links), "components")
+    buckets = _open_buckets(spokes, found)
+    if not buckets.isEmpty():
+        more = _rest(buckets, sets, found, percent)
+        if not more.isEmpty():
+            found = materialize(components(links.union(more)), "components")
 
     classes = classes.select("hi", "lo", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     classes = materialize(classes.select("hi", "lo", "n", F.coalesce("component", "rep").alias("component")), "classes")
