@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 VARIANTS = ("plain", "stripped", "obfuscated")
 
@@ -235,24 +236,24 @@ def subtree_rows(programs: DataFrame, keys: list[str], member: str, code: str, h
 
     A program without subtrees of a height has one row with null g, so that it still counts as a member.
     """
-    frame = programs.select(*keys, member, code)
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    heads = [(f.name, types[f.dataType.simpleString()]) for f in frame.schema if f.name != code]
-    schema = pa.schema([*heads, ("variant", pa.string()), ("height", pa.int32()), ("g", pa.int64()), ("c", pa.int64())])
+    piece = "struct<variant:string,height:int,g:bigint,c:bigint>"
+    kind = pa.list_(pa.struct([("variant", pa.string()), ("height", pa.int32()), ("g", pa.int64()), ("c", pa.int64())]))
+
+    def rows_of(text: str | None) -> list[dict]:
+        rows: list[dict] = []
+        for variant in variants:
+            found = subtrees(text, variant, heights) if text is not None else None
+            if found is not None:
+                rows += [{"variant": variant, "height": k, "g": int.from_bytes(g[:8], "little", signed=True), "c": n} for (k, g), n in found.items()]
+                rows += [{"variant": variant, "height": k, "g": None, "c": 0} for k in set(heights) - {k for k, _ in found}]
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                head = tuple(r[n] for n, _ in heads)
-                for variant in variants:
-                    found = subtrees(r[code], variant, heights) if r[code] is not None else None
-                    if found is None:
-                        continue
-                    rows += [(*head, variant, k, int.from_bytes(g[:8], "little", signed=True), n) for (k, g), n in found.items()]
-                    rows += [(*head, variant, k, None, 0) for k in set(heights) - {k for k, _ in found}]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema if f.name != code)
-    return frame.mapInArrow(run, f"{ddl}, variant string, height int, g bigint, c bigint")
+            found = [rows_of(text) for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["code", "found"])
+
+    # Equal programs are parsed once.
+    distinct = programs.select(programs[code].alias("code")).distinct().mapInArrow(run, f"code string, found array<{piece}>")
+    frame = programs.select(*keys, member, programs[code].alias("code")).join(distinct, "code")
+    return frame.select(*keys, member, F.explode("found").alias("_f")).select(*keys, member, "_f.*")

@@ -36,10 +36,11 @@ def ngrams(frame: DataFrame, keys: list[str], member: str, tokens: str, orders:
 def distinct_n(frame: DataFrame, keys: list[str], tokens: str, orders: range = range(1, 7)) -> DataFrame:
     """Distinct of all n-grams of a group; null if it has at most one.
 
-    Counted in two steps, by gram and then by group, so that repeats are added up before the shuffle.
+    Counted in two steps, by gram and then by group, so that repeats are added up before the shuffle; grams
+    are told apart by 96 bits of hash.
     """
     grams = ngrams(frame.withColumn("_m", F.lit(0)), keys, "_m", tokens, orders)
-    per = grams.groupBy(*keys, "n", "gram").agg(F.count("*").alias("c"))
+    per = grams.groupBy(*keys, "n", F.xxhash64("gram").alias("h"), F.hash("gram", F.lit(5)).alias("i")).agg(F.count("*").alias("c"))
     agg = per.groupBy(*keys, "n").agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n_total"))
     return agg.withColumn("distinct_n", F.when(F.col("n_total") > 1, F.col("n_distinct") / F.col("n_total")))
 

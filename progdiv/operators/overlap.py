@@ -18,20 +18,32 @@ def shared(sets: DataFrame, keys: list[str], member: str) -> DataFrame:
     return a.join(b, [*keys, "g"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
 
 
-def _with_sizes(pairs: DataFrame, sizes: DataFrame, keys: list[str], member: str) -> DataFrame:
-    a = sizes.select(*keys, F.col(member).alias("a"), F.col("size").alias("sa"), F.col("total").alias("ta"))
-    b = sizes.select(*keys, F.col(member).alias("b"), F.col("size").alias("sb"), F.col("total").alias("tb"))
-    return pairs.join(a, [*keys, "a"]).join(b, [*keys, "b"])
+def classes(sets: DataFrame, keys: list[str], member: str) -> tuple[DataFrame, DataFrame]:
+    """One set of each class of members with equal sets, and the classes: keys, member, size, total, w (members)."""
+    each = sets.groupBy(*keys, member).agg(F.count("*").alias("size"), F.sum("c").alias("total"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y"))
+    found = each.groupBy(*keys, "size", "x", "y").agg(F.min(member).alias(member), F.first("total").alias("total"), F.count("*").alias("w"))
+    found = found.select(*keys, member, "size", "total", "w")
+    return sets.join(found.select(*keys, member), [*keys, member], "left_semi"), found
+
+
+def alike(sets: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """n (members) and alike (sum over pairs of shared / all elements) by group.
+
+    Pairs are of classes of equal sets, weighted by their members; members of one class are alike by 1.
+    """
+    some, found = classes(sets, keys, member)
+    a = found.select(*keys, F.col(member).alias("a"), F.col("size").alias("sa"), F.col("w").alias("wa"))
+    b = found.select(*keys, F.col(member).alias("b"), F.col("size").alias("sb"), F.col("w").alias("wb"))
+    near = shared(some, keys, member).join(a, [*keys, "a"]).join(b, [*keys, "b"])
+    across = near.groupBy(*keys).agg(F.sum(F.col("wa") * F.col("wb") * F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).alias("across"))
+    own = found.groupBy(*keys).agg(F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("within"))
+    return own.join(across, keys, "left").select(*keys, "n", (F.coalesce("across", F.lit(0.0)) + F.col("within")).alias("alike"))
 
 
 def mean_pair_distance(sets: DataFrame, keys: list[str], member: str) -> DataFrame:
     """jaccard: mean over all pairs of 1 - shared / all, from the pairs that share anything."""
-    sizes = set_sizes(sets, keys, member)
-    near = _with_sizes(shared(sets, keys, member), sizes, keys, member)
-    alike = near.groupBy(*keys).agg(F.sum(F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).alias("alike"))
-    n = sizes.groupBy(*keys).agg(F.count("*").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return n.join(alike, keys, "left").select(*keys, "n", F.when(F.col("n") > 1, 1 - F.coalesce("alike", F.lit(0.0)) / pairs).alias("jaccard"))
+    return alike(sets, keys, member).select(*keys, "n", F.when(F.col("n") > 1, 1 - F.col("alike") / pairs).alias("jaccard"))
 
 
 def bootstrap_pairs(sets: DataFrame, keys: list[str], member: str, draws: list[tuple[int, int, float]]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from progdiv.operators.lexical import uniforms
-from progdiv.operators.overlap import bootstrap_pairs, set_sizes, shared
+from progdiv.operators.overlap import alike, bootstrap_pairs
 
 GROUP = ["variant", "height"]
 
@@ -22,16 +22,11 @@ def distinct_subtrees(rows: DataFrame, keys: list[str]) -> DataFrame:
 def jaccard_subtrees(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
     """Mean over pairs of 1 - shared / all subtrees of a height; pairs without any at all don't count."""
     keys = [*keys, *GROUP]
-    sets = rows.where("g IS NOT NULL")
-    sizes = set_sizes(sets, keys, member)
+    near = alike(rows.where("g IS NOT NULL"), keys, member).withColumnRenamed("n", "n_full")
     members = rows.groupBy(*keys).agg(F.count_distinct(member).alias("n"))
-    full = sizes.groupBy(*keys).agg(F.count("*").alias("n_full"))
-    a, b = sizes.select(*keys, F.col(member).alias("a"), F.col("size").alias("sa")), sizes.select(*keys, F.col(member).alias("b"), F.col("size").alias("sb"))
-    near = shared(sets, keys, member).join(a, [*keys, "a"]).join(b, [*keys, "b"])
-    alike = near.groupBy(*keys).agg(F.sum(F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).alias("alike"))
     empty = F.col("n") - F.coalesce("n_full", F.lit(0))
     pairs = F.col("n") * (F.col("n") - 1) / 2 - empty * (empty - 1) / 2
-    out = members.join(full, keys, "left").join(alike, keys, "left")
+    out = members.join(near, keys, "left")
     return out.select(*keys, "n", F.when(F.col("n") > 1, 1 - F.try_divide(F.coalesce("alike", F.lit(0.0)), pairs)).alias("jaccard"))
 
 
