@@ -7,7 +7,9 @@ with multiplicities; a document takes the planned slot that has its rank among t
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -21,6 +23,8 @@ CAPACITY = 2048
 #: Salts of the rank within a length; ranks of a salt follow those of smaller salts.
 SALTS = 256
 _STOPS = ".,;:!?"
+#: Whether an array of this kind has the bytes that ids are kept in.
+_FOUR = array("I").itemsize == 4 and sys.byteorder == "little"
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -33,8 +37,9 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's own.
 
-    The tokenizer drops white space and no token crosses it, so ids are kept per white-space piece. The
-    store of pieces is emptied when it holds `most`, which changes time but no result.
+    The tokenizer drops white space and no token crosses it, so ids are kept per white-space piece. When the
+    store of pieces holds `most` it becomes the older one, from which pieces still in use move back; that bounds
+    memory and changes time but no result.
     """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
@@ -43,23 +48,26 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.most, self.store = most, {}
+        self.most, self.store, self.older = most, {}, {}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         #: How the byte-level step writes bytes as characters.
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes() if _FOUR else np.array(ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        store, slow = self.store, []
+        store, older, slow = self.store, self.older, []
         for piece in pieces:
+            if piece in older:
+                store[piece] = older[piece]
+                continue
             word = piece.rstrip(_STOPS)
             if word.isalpha() and word == word.lower() and word.isascii() | (max(word) < "Ā"):
                 tail = piece[len(word) :]
                 if tail:
-                    head = store.get(word)
+                    head = store.get(word) or older.get(word)
                     if tail not in store:
                         store[tail] = self._pack(self.whole.encode(tail, add_special_tokens=False).ids)
                     if head is not None:
@@ -86,7 +94,7 @@ class WordEncoder:
             return b"".join(map(self.store.__getitem__, pieces))
         except KeyError:
             if len(self.store) > self.most:
-                self.store.clear()
+                self.store, self.older = {}, self.store
             self._learn(set(pieces).difference(self.store))
             return b"".join(map(self.store.__getitem__, pieces))
 
