@@ -125,8 +125,11 @@ def split_rows(texts: DataFrame, runs: DataFrame, t: int, width: int) -> DataFra
     def run(batches):
         def stream():
             for batch in batches:
-                for data, doc_id, th, found in _texts(batch):
-                    a, s, e, done = (np.array([r[k] for r in found]) for k in ("a", "s", "e", "done"))
+                lists = batch.column("runs")
+                at, flat = lists.offsets.to_numpy(), lists.values
+                fields = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)] + [flat.field(3).to_numpy(zero_copy_only=False)]
+                for k, (data, doc_id, th) in enumerate(_texts(batch.select(["text", "doc_id", "th"]))):
+                    a, s, e, done = (x[at[k] : at[k + 1]] for x in fields)
                     salt = (doc_id * 0x9E3779B97F4A7C15 + th) & ((1 << 64) - 1)
                     for core, hull, lo, hi, i in _split(data, a, s, e, t, width, salt):
                         yield doc_id, th, (core, hull, a[i], lo, hi, done[i])
@@ -187,13 +190,15 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     def cut(batches):
         for batch in batches:
             rows = []
-            for data, doc_id, no_id, found in _texts(batch):
-                merged: list[list[int]] = []
-                for r in sorted((r["s"], r["e"]) for r in found or []):
-                    if merged and r[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r[1])
-                    else:
-                        merged.append(list(r))
+            lists = batch.column("runs")
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for k, (data, doc_id, no_id) in enumerate(_texts(batch.select(["text", "doc_id", "no_id"]))):
+                s, e = lo[ends[k] : ends[k + 1]], hi[ends[k] : ends[k + 1]]
+                order = np.argsort(s, kind="stable")
+                s, e = s[order], np.maximum.accumulate(e[order]) if len(e) else e
+                cut_at = np.flatnonzero(s[1:] > e[:-1]) + 1
+                merged = list(zip(s[np.append(0, cut_at)].tolist(), e[np.append(cut_at, len(e)) - 1].tolist(), strict=True)) if len(s) else []
                 raw, at, left = data.tobytes(), 0, []
                 for s, e in merged:
                     left.append(raw[at:s])
