@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import document_texts, materialize, mix, release, text_buffer, word_bounds, word_hashes
+from progdiv.llm.common import document_texts, materialize, mix, pieces_of, release, text_buffer, word_bounds, word_hashes
 
 #: Text bytes of a batch and a bucket.
 BATCH, BUCKET = 6 << 20, 16 << 20
@@ -70,8 +70,39 @@ class Slice:
         self.pair_edges = np.searchsorted(self.pair_context, self.word_edges)
 
 
-def _send(table: pa.Table, buckets: int) -> pa.Table:
-    batch = table.column("batch")[0].as_py()
+def _dealt(docs: DataFrame, most: int) -> DataFrame:
+    """Rows (batch, packed): texts of about most bytes in the order they are read, packed and compressed."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        rest: list[pa.RecordBatch] = []
+        size = 0
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest[0].schema, options=options) as writer:
+                for x in rest:
+                    writer.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "packed"])
+
+        for batch in batches:
+            for piece in pieces_of(batch, "text", most):
+                rest.append(piece)
+                size += int(text_buffer(piece.column("text"))[1][-1])
+                if size >= most // 2:
+                    yield packed()
+                    number, rest, size = number + 1, [], 0
+        if rest:
+            yield packed()
+
+    return docs.mapInArrow(run, "batch bigint, packed binary")
+
+
+def _send(batch: int, packed: bytes, buckets: int) -> pa.RecordBatch:
+    table = pa.ipc.open_stream(packed).read_all()
     s = Slice(table.column("text"), ~table.column("held_out").to_numpy(), buckets)
     rows = []
     for k in range(buckets):
@@ -83,7 +114,7 @@ def _send(table: pa.Table, buckets: int) -> pa.Table:
         parts = [s.words[w], s.word_count[w], own.astype(np.uint32), (h >> np.uint64(16)).astype(np.uint32), (h & np.uint64(0xFFFF)).astype(np.uint16), s.pair_count[p]]
         rows.append((batch, k, *(x.tobytes() for x in parts)))
     cols = list(zip(*rows, strict=True))
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["batch", "bucket", "words", "counts", "own", "high", "low", "pairs"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["batch", "bucket", "words", "counts", "own", "high", "low", "pairs"])
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -118,7 +149,8 @@ def _discount(ones: int, twos: int) -> float:
     return ones / (ones + 2 * twos) if ones else 0.5
 
 
-def _traverse(texts: pa.Table, answers: pa.Table, buckets: int, stats: dict) -> pa.Table:
+def _traverse(packed: pa.Table, answers: pa.Table, buckets: int, stats: dict) -> pa.Table:
+    texts = pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all()
     s = Slice(texts.column("text"), ~texts.column("held_out").to_numpy(), buckets)
     count, total, kinds, pair_count = [], [], [], []
     order = np.argsort(answers.column("bucket").to_numpy())
@@ -160,15 +192,21 @@ def score_texts(docs: DataFrame, fold: int = 10) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     # Beyond some 0.6 TB batches grow with the root of the size, so that what a batch sends a bucket keeps 4 KB.
     batch = max(BATCH, math.isqrt(size * 4096))
-    batches, buckets = size // batch + 1, size // max(BUCKET, batch) + 1
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    sent = docs.groupBy("batch").applyInArrow(lambda t: _send(t, buckets), "batch bigint, bucket int, words binary, counts binary, own binary, high binary, low binary, pairs binary")
+    buckets = size // max(BUCKET, batch) + 1
+    dealt = materialize(_dealt(docs, batch), "batches")
+
+    def send(batches):
+        for b in batches:
+            for number, packed in zip(b.column("batch"), b.column("packed"), strict=True):
+                yield _send(number.as_py(), packed.as_py(), buckets)
+
+    sent = dealt.mapInArrow(send, "batch bigint, bucket int, words binary, counts binary, own binary, high binary, low binary, pairs binary")
     stats_ddl = ", ".join(f"{n} bigint" for n in _NAMES)
     answers = materialize(sent.groupBy("bucket").applyInArrow(_add_up, f"batch bigint, bucket int, totals binary, n_words int, n_pairs int, {stats_ddl}"), "totals")
     release(docs.sparkSession)
     stats = {k: v or 0 for k, v in answers.agg(*(F.sum(k).alias(k) for k in _NAMES)).first().asDict().items()}
     answers = answers.select("batch", "bucket", "totals", "n_words", "n_pairs")
-    return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-        lambda texts, found: _traverse(texts, found, buckets, stats),
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
+        lambda packed, found: _traverse(packed, found, buckets, stats),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
