@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -165,9 +166,14 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished queries, which it does when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop shuffle files of finished queries, which it does when the driver collects garbage.
+
+    Some of what a query held is only let go by what the first collection ran, so there are two.
+    """
+    for pause in (0.5, 0.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 class Rolling:
