@@ -43,16 +43,22 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, t: int, g: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(core, hull, a, s, e): runs s..e of starts whose gram is at a."""
-    for at in range(0, len(data) - t + 1, _BLOCK):
-        block = data[at : at + _BLOCK + t - 1]
+    """(core, hull, a, s, e): runs s..e of starts whose gram is at a. A block has the grams it owns, with all of their
+    starts, so no run is cut at its edge."""
+    starts, reach = len(data) - t + 1, t - g
+    own = max(1, _BLOCK - reach)
+    for at in range(0, starts + reach if starts > 0 else 0, own):
+        low = max(0, at - reach)
+        block = data[low : min(at + own, starts) + t - 1]
         roll = Rolling(block)
         grams = roll.all(g)
-        least = _window_minima(grams, t - g + 1)
+        least = _window_minima(grams, reach + 1)
         cut = np.flatnonzero(np.diff(least)) + 1
         s, e = np.append(0, cut), np.append(cut, len(least)) - 1
         a = least[s]
-        yield grams[a], roll(s, e + t), a + at, s + at, e + at
+        mine = (a + low >= at) & (a + low < at + own)
+        s, e, a = s[mine], e[mine], a[mine]
+        yield grams[a], roll(s, e + t), a + low, s + low, e + low
 
 
 def _split(data: np.ndarray, a: np.ndarray, s: np.ndarray, e: np.ndarray, t: int, width: int, salt: int) -> Iterator[tuple[np.ndarray, ...]]:

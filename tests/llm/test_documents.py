@@ -87,6 +87,34 @@ def test_repeats_block_edges(monkeypatch):
         assert sorted(x for s, e in spans for x in range(s, e + 1)) == list(range(len(data) - 49))
 
 
+def test_repeats_runs_are_whole(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 123, 3000).astype(np.uint8)
+    want = None
+    for size in (1 << 20, 700, 257, 200):
+        monkeypatch.setattr(repeats, "_BLOCK", size)
+        got = sorted(zip(*(np.concatenate(x).tolist() for x in zip(*repeats._runs(data, 200, 40), strict=True)), strict=True))
+        want = want or got
+        assert got == want
+    assert not list(repeats._runs(data[:199], 200, 40))
+
+
+def test_repeats_of_texts_above_one_block(spark):
+    data = np.random.default_rng(3).integers(97, 123, 2_300_000).astype(np.uint8).tobytes()
+    block = repeats._BLOCK
+    passage = data[block - 150 : block + 150]  # over an edge, again further on
+    data = data[:1_500_000] + passage + data[1_500_000:]
+    r = spark.createDataFrame([(1, data.decode())], "doc_id bigint, text string")
+    out = repeats.remove_repeats(r).first()
+    seen = Counter(data[i : i + 200] for i in range(len(data) - 199))
+    mask = np.zeros(len(data) + 1, bool)
+    for k in range(len(data) - 199):
+        if seen[data[k : k + 200]] > 1:
+            mask[k : k + 200] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(int)])))
+    assert [(s["s"], s["e"]) for s in out["spans"]] == list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    assert out["n_removed"] == int(mask.sum()) >= 600
+
+
 def test_secrets(docs):
     kinds = [(re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6), (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
     want = Counter()
