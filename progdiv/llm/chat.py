@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import materialize
+from progdiv.llm.common import drop_table, materialize
 
-#: Longest chain of calls that are ordered; calls beyond it or in a cycle are reported.
-DEPTH = 32
+#: Levels of calls kept as tables of their own before they are written as one.
+_LEVELS = 32
 #: Turns ranked together.
 _SPAN = 256
 _CALL = "array<struct<id:string,name:string,arguments:string,needs:array<string>,problems:array<string>>>"
@@ -121,18 +122,29 @@ def _parsed(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def _depths(calls: DataFrame) -> DataFrame:
-    """conv_id, id, depth: 0 without dependencies, else one more than the deepest; null beyond DEPTH or in a cycle."""
-    edges = materialize(calls.select("conv_id", "id", F.explode("needs").alias("need")).join(calls.select("conv_id", F.col("id").alias("need")).distinct(), ["conv_id", "need"]), "needs")
-    done = calls.select("conv_id", "id").distinct().join(edges, ["conv_id", "id"], "left_anti").withColumn("depth", F.lit(0))
-    done = materialize(done, "depths")
-    for depth in range(1, DEPTH + 1):
-        if edges.isEmpty():
-            break
-        edges = materialize(edges.join(done.where(F.col("depth") == depth - 1).select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_anti"), "needs")
-        rest = edges.select("conv_id", "id").distinct()
-        ready = calls.select("conv_id", "id").distinct().join(done, ["conv_id", "id"], "left_anti").join(rest, ["conv_id", "id"], "left_anti")
-        done = materialize(done.union(ready.withColumn("depth", F.lit(depth))), "depths")
-    return done
+    """conv_id, id, depth: 0 without dependencies, else one more than the deepest; null in a cycle or behind one.
+
+    Each round finds the calls of one depth, until a round makes no call ready.
+    """
+    key = ["conv_id", "id"]
+    edges = materialize(calls.select("conv_id", "id", F.explode("needs").alias("need")).join(calls.select("conv_id", F.col("id").alias("need")).distinct(), ["conv_id", "need"]).distinct(), "needs")
+    level = materialize(calls.select(*key).distinct().join(edges, key, "left_anti").withColumn("depth", F.lit(0)), "depths")
+    levels, depth = [level], 0
+    while not edges.isEmpty() and not level.isEmpty():
+        depth += 1
+        met = level.select("conv_id", F.col("id").alias("need"))
+        rest = materialize(edges.join(met, ["conv_id", "need"], "left_anti"), "needs")
+        ready = edges.join(met, ["conv_id", "need"], "left_semi").select(*key).distinct().join(rest, key, "left_anti")
+        level = materialize(ready.withColumn("depth", F.lit(depth)), "depths")
+        drop_table(edges)
+        edges = rest
+        levels.append(level)
+        if len(levels) > _LEVELS:
+            done = materialize(reduce(DataFrame.union, levels), "depths")
+            for old in levels[:-1]:
+                drop_table(old)
+            levels = [done]
+    return reduce(DataFrame.union, levels)
 
 
 def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -176,7 +188,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
                     n_linked += f["linked"]
                     n_valid += not c["problems"]
                     problems += [f"{c['id']}: {p}" for p in c["problems"]] + [f"{c['id']}: no result"] * (not f["linked"]) + [f"{c['id']}: cycle"] * (f["depth"] is None)
-                    made.append((f["depth"] if f["depth"] is not None else DEPTH + 1, at, {"arguments": json.loads(c["arguments"]), "id": c["id"], "name": c["name"]}))
+                    made.append((f["depth"] if f["depth"] is not None else math.inf, at, {"arguments": json.loads(c["arguments"]), "id": c["id"], "name": c["name"]}))
                 message = {"content": r["content"], "role": r["role"]}
                 if made:
                     message["tool_calls"] = [m[2] for m in sorted(made, key=lambda m: m[:2])]

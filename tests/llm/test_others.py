@@ -95,6 +95,22 @@ def test_chat_links_and_orders(spark):
     assert sorted(r["position"] for r in out if r["conv_id"] == 3) == [0, 1, 2]
 
 
+def test_long_chains_of_calls(spark):
+    n = 40
+    made = [call(f"k{i}", x={"$result": f"k{i - 1}"} if i else 1, y=1) for i in range(n)]
+    looped = [call("p", x={"$result": "q"}, y=1), call("q", x={"$result": "p"}, y=1), call("r", x={"$result": "q"}, y=1)]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": made[::-1]}))]
+    rows += [(1, 1 + i, "tool", json.dumps({"tool_call_id": f"k{n - 1 - i}", "content": "1"})) for i in range(n)]
+    rows += [(2, 0, "assistant", json.dumps({"tool_calls": [*made[:3], *looped]}))]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), SCHEMAS).collect()
+    one = sorted((r for r in out if r["conv_id"] == 1), key=lambda r: r["position"])
+    assert [c["id"] for c in json.loads(one[0]["json"])["tool_calls"]] == [f"k{i}" for i in range(n)]
+    assert [json.loads(r["json"])["tool_call_id"] for r in one[1:]] == [f"k{i}" for i in range(n)]
+    assert not any(r["problems"] for r in one)
+    two = next(r for r in out if r["conv_id"] == 2)
+    assert [p for p in two["problems"] if "cycle" in p] == ["p: cycle", "q: cycle", "r: cycle"]
+
+
 def test_no_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, message int, span int")).count() == 0
 
