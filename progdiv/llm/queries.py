@@ -58,8 +58,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}).drop("own", "new", "next")
 
 
-def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat.format_chats(table(spark, sf_dir, "conversations"))
+def op10_chat(spark: SparkSession, sf_dir: str, schemas: dict[str, dict] | None = None) -> DataFrame:
+    """schemas: JSON Schema of the arguments by tool name; without it every call is of an unknown tool."""
+    out = chat.format_chats(table(spark, sf_dir, "conversations"), schemas)
     return out.withColumn("problems", F.array_join("problems", "; "))
 
 

@@ -111,6 +111,16 @@ def test_long_chains_of_calls(spark):
     assert [p for p in two["problems"] if "cycle" in p] == ["p: cycle", "q: cycle", "r: cycle"]
 
 
+def test_chat_query_takes_schemas(spark, tmp_path):
+    from progdiv.llm.queries import op10_chat
+
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": [call("a", x=1, y=2), call("b", x=1, y=-2)]})), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "3"}))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for schemas, n_valid, problems in ((SCHEMAS, 1, "b: $.y: below minimum; b: no result"), (None, 0, "a: unknown tool; b: unknown tool; b: no result")):
+        r = op10_chat(spark, str(tmp_path), schemas).where("turn = 0").first()
+        assert (r["n_calls"], r["n_linked"], r["n_valid"], r["problems"]) == (2, 1, n_valid, problems)
+
+
 def test_no_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, message int, span int")).count() == 0
 
