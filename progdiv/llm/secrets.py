@@ -4,11 +4,15 @@ Base patterns find assignments, access keys and long hexadecimal runs. Further t
 randomness tests: the encoding is inferred from the characters, then symbols are tested for a uniform alphabet
 (chi-squared), for the number of runs about the alphabet's middle and for serial correlation. The chi-squared
 statistic is held against what ordinary writing of the same length would give, so short tokens need
-to look more uniform; the false discovery rate is controlled over all tokens of the table.
+to look more uniform. Hexadecimal and base32 have too few symbols for that; there the likelihood of the token under ordinary
+shares of letters and digits is held against the uniform one, and its ratio bounds p. The false discovery rate is
+controlled over all tokens of the table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +27,27 @@ TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Encodings in the order they are tried: pattern of the whole token, alphabet, and the sum of squared symbol
-#: shares of ordinary (not random) tokens in it, which are mostly digits in the first two and letters else.
+#: Shares of letters in ordinary writing, in percent; 1 at least, as languages differ.
+_SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 1.0, 1.0, 4.0, 2.4, 6.7, 7.5, 1.9, 1.0, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 1.0, 2.0, 1.0)
+
+
+def _gains(alphabet: str, *letters: float) -> list[list[float]]:
+    """log10 of each symbol's share in ordinary tokens with such a share of letters, over its uniform share."""
+    shares = [_SHARES[UPPER.index(c.upper())] if c.isalpha() else 0.0 for c in alphabet]
+    digits = sum(not c.isalpha() for c in alphabet)
+    return [[math.log10(len(alphabet) * (x * w / sum(shares) if w else (1 - x) / digits)) for w in shares] for x in letters]
+
+
+#: Encodings in the order they are tried: pattern of the whole token, alphabet, the sum of squared symbol
+#: shares of ordinary (not random) tokens in it, which are mostly digits in the first two and letters else, and for small
+#: alphabets what ordinary tokens in it look like: nearly all digits or nearly all letters, and in base32 also half of each.
 ENCODINGS = (
-    (r"^[0-9a-f]+$", DIGITS + "abcdef", 0.1),
-    (r"^[0-9A-F]+$", DIGITS + "ABCDEF", 0.1),
-    (r"^[A-Z2-7]+$", UPPER + "234567", 0.065),
-    (r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 0.065),
-    (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 0.065),
-    (r"", UPPER + LOWER + DIGITS + "-_", 0.065),
+    (r"^[0-9a-f]+$", DIGITS + "abcdef", 0.1, _gains(DIGITS + "abcdef", 0.05, 0.95)),
+    (r"^[0-9A-F]+$", DIGITS + "ABCDEF", 0.1, _gains(DIGITS + "ABCDEF", 0.05, 0.95)),
+    (r"^[A-Z2-7]+$", UPPER + "234567", 0.065, _gains(UPPER + "234567", 0.05, 0.5, 0.95)),
+    (r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 0.065, None),
+    (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 0.065, None),
+    (r"", UPPER + LOWER + DIGITS + "-_", 0.065, None),
 )
 _SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
 
@@ -58,7 +74,7 @@ def find_spans(text: Column, pattern: str, kind: int, group: int = 0, least: int
 
 def _pick(token: Column, values: list) -> Column:
     out = F.lit(values[-1])
-    for (pattern, _, _), v in reversed(list(zip(ENCODINGS[:-1], values[:-1], strict=True))):
+    for (pattern, *_), v in reversed(list(zip(ENCODINGS[:-1], values[:-1], strict=True))):
         out = F.when(token.rlike(pattern), F.lit(v)).otherwise(out)
     return out
 
@@ -73,12 +89,12 @@ def normal_tail(z: Column) -> Column:
 
 
 def battery(spans: Column) -> Column:
-    """(start, end, p, random) of each token. p: that ordinary writing of this length looks as uniform;
+    """(start, end, p, random) of each token. p: that ordinary writing of this length looks as uniform (at most);
     random: neither the runs nor the serial correlation contradict random symbols (3 standard deviations)."""
     x1 = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.rtrim(s["text"], F.lit("=")).alias("t")))
     x2 = F.transform(
         F.filter(x1, lambda s: F.length(s["t"]) >= 8),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t"].alias("t"), F.length(s["t"]).cast("double").alias("n"), _pick(s["t"], [a for _, a, _ in ENCODINGS]).alias("alphabet"), _pick(s["t"], [q for _, _, q in ENCODINGS]).alias("q")),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t"].alias("t"), F.length(s["t"]).cast("double").alias("n"), *(_pick(s["t"], [e[k] for e in ENCODINGS]).alias(name) for k, name in ((1, "alphabet"), (2, "q"), (3, "gains")))),
     )
     zero = F.struct(*(F.lit(0.0).alias(k) for k in ("prev", "runs", "high", "n", "sx", "sxx", "sxy")))
 
@@ -97,13 +113,15 @@ def battery(spans: Column) -> Column:
         k = F.length(s["alphabet"]).cast("double")
         symbols = F.transform(F.filter(F.split(s["t"], ""), lambda c: c != ""), lambda c: F.greatest(F.instr(s["alphabet"], c) - 1, F.lit(0)).cast("double"))
         squares = F.aggregate(F.filter(F.split(s["alphabet"], ""), lambda c: c != ""), F.lit(0.0), lambda a, c: a + F.pow(s["n"] - F.length(F.replace(s["t"], c, F.lit(""))), F.lit(2)))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["n"].alias("n"), s["q"].alias("q"), k.alias("k"), F.aggregate(symbols, zero, walk(k)).alias("w"), squares.alias("sq"))
+        ordinary = F.transform(s["gains"], lambda g: F.aggregate(symbols, F.lit(0.0), lambda a, v: a + F.element_at(g, v.cast("int") + 1)))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["n"].alias("n"), s["q"].alias("q"), k.alias("k"), F.aggregate(symbols, zero, walk(k)).alias("w"), squares.alias("sq"), ordinary.alias("ordinary"))
 
     def judge(s: Column) -> Column:
         n, k, w = s["n"], s["k"], s["w"]
         chi = k / n * s["sq"] - n
         far = n * (k * s["q"] - 1)
-        p = normal_tail((chi - (k - 1 + far)) / F.sqrt(2 * (k - 1 + 2 * far)))
+        ratio = F.aggregate(s["ordinary"], F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x)) / F.size(s["ordinary"])
+        p = F.when(s["ordinary"].isNull(), normal_tail((chi - (k - 1 + far)) / F.sqrt(2 * (k - 1 + 2 * far)))).otherwise(F.least(ratio, F.lit(1.0)))
         both = 2 * w["high"] * (n - w["high"])
         runs = F.try_divide(w["runs"] - both / n - 1, F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(0.0))))
         mean = w["sx"] / n

@@ -365,6 +365,21 @@ def test_winnowing_guarantee(spark):
     assert rows[2]["p"] == list(range(winnowing.W - 1, 16))
 
 
+def test_battery_finds_short_alphabets(spark):
+    """Keys of each encoding and length among many more ordinary tokens of that alphabet."""
+    r = random.Random(4)
+    words = ["THE", "HOUSE", "THERE", "WHEN", "RUNNING", "NICHT", "SCHOEN", "UEBER", "MAISON", "CASA", "WORD", "JUST", "QUICK"]
+    plain = ["".join(r.choice("0123456789") for _ in range(r.randint(20, 64))) for _ in range(1500)]
+    plain += ["".join(r.choice(words) for _ in range(r.randint(7, 14))) for _ in range(1500)]
+    sets = {("hex", n): ("0123456789ABCDEF", n) for n in (32, 40, 64)} | {("base32", n): ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", n) for n in (32, 40, 64)}
+    keys = [(name, "".join(r.choice(chars) for _ in range(n))) for name, (chars, n) in sets.items() for _ in range(20)]
+    rows = [(i, f"see {x} here") for i, x in enumerate([k for _, k in keys] + plain)]
+    out = {x["doc_id"]: len(x["added"]) for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = Counter(name for i, (name, _) in enumerate(keys) if out[i])
+    assert all(found[name] >= 16 for name in sets), found
+    assert sum(out[i] for i in range(len(keys), len(rows))) <= 0.05 * sum(out.values()) + 3
+
+
 @pytest.mark.parametrize("operator", [repeats.remove_repeats, secrets.scan_secrets, minhash.near_duplicates, mixing.mix_sources, mixing.mixed, lm.score_texts, langid.identify, packing.pack, winnowing.fingerprints])
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
