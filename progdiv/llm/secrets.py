@@ -132,8 +132,8 @@ def battery(spans: Column) -> Column:
     return F.transform(F.transform(x2, measure), judge)
 
 
-#: Steps of -log10 p in the histogram of the false discovery control, and their number.
-_STEP, _STEPS = 0.05, 140
+#: Steps of -log10 p in the histogram of the false discovery control, and their number, down to the least p of 1e-30.
+_STEP, _STEPS = 0.05, 600
 
 
 def _discovery_level(tokens: DataFrame, rate: float) -> float:

@@ -380,6 +380,12 @@ def test_battery_finds_short_alphabets(spark):
     assert sum(out[i] for i in range(len(keys), len(rows))) <= 0.05 * sum(out.values()) + 3
 
 
+def test_few_secrets_among_many_tokens(spark):
+    tokens = spark.range(3_000_000).selectExpr("struct(id > 1 AS plain, IF(id < 2, 1e-12D, 0.5D) AS p, true AS random) AS t")
+    level = secrets._discovery_level(tokens, 0.05)
+    assert 7.5 < level <= 12
+
+
 @pytest.mark.parametrize("operator", [repeats.remove_repeats, secrets.scan_secrets, minhash.near_duplicates, mixing.mix_sources, mixing.mixed, lm.score_texts, langid.identify, packing.pack, winnowing.fingerprints])
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
