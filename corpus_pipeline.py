@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from progdiv.llm import langid, minhash, mixing, packing, secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least mean label probability of a document that is kept.
+#: Least mean probability of the words' own labels in a document that is kept.
 LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or with no language that stands out."""
+    """Drops documents without a letter or whose words have no language that stands out; several languages may mix."""
     found = langid.identify(docs)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("certainty") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,22 +193,23 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
 
 
 def identify(docs: DataFrame, fold: int = 5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Adds held_out, lang_pred and score to docs.
-
-    Learns from text and lang of rows with a lang whose crc32 of doc_id as text is not divisible by fold. Texts
-    that are null or without a letter get und with score 0, as does every text if nothing can be learned from; texts
-    whose only words carry no known feature get the prior. Rows without doc_id are learned from and labelled;
-    repeated rows are labelled each; an empty table gives no rows. Columns of docs named like the new ones
-    are replaced.
+    """Adds held_out, lang_pred, score and certainty to docs.
+
+    score is the mean over words of the label's probability, certainty that of each word's own best label, so that text
+    in several languages is as certain as text in one. Learns from text and lang of rows with a lang whose crc32 of
+    doc_id as text is not divisible by fold. Texts that are null or without a letter get und with score and certainty 0,
+    as does every text if nothing can be learned from; texts whose only words carry no known feature get the prior. Rows
+    without doc_id are learned from and labelled; repeated rows are labelled each; an empty table gives no rows. Columns
+    of docs named like the new ones are replaced.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == 0, F.lit(False))
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = docs.drop("held_out", "lang_pred", "score", "certainty")
     model = learn(docs.where(~held), sample_docs)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return docs.withColumns({"held_out": held, "lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({"held_out": held, "lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "certainty": F.lit(0.0)})
     flat = docs.withColumns({"held_out": held, "_letters": letters})
-    out_type = "lang_pred string, score double"
+    out_type = "lang_pred string, score double, certainty double"
 
     def run(batches):
         names = np.array(model["names"], dtype=object)
@@ -217,7 +218,7 @@ def identify(docs: DataFrame, fold: int = 5, sample_docs: int = SAMPLE_DOCS) ->
                 w = Words(*text_buffer(piece.column("text")))
                 grid = chains(w.first)
                 score = emissions(w, model["weights"], model["lexicon"])
-                mean = np.zeros((piece.num_rows, len(names)))
+                mean, sure = np.zeros((piece.num_rows, len(names))), np.zeros(piece.num_rows)
                 if len(grid):
                     gamma = forward_backward(score, grid, w.index, model["transitions"], model["start"])
                     live = grid >= 0
@@ -225,12 +226,13 @@ def identify(docs: DataFrame, fold: int = 5, sample_docs: int = SAMPLE_DOCS) ->
                     for k in range(len(names)):
                         mean[:, k] = np.bincount(owner, weights=gamma[live][:, k], minlength=piece.num_rows)
                     mean /= np.maximum(np.diff(w.first), 1)[:, None]
+                    sure = np.bincount(owner, weights=gamma[live].max(axis=1), minlength=piece.num_rows) / np.maximum(np.diff(w.first), 1)
                 on = piece.column("_letters").to_numpy(zero_copy_only=False)
                 best = mean.argmax(axis=1)
                 label = np.where(on, names[best], UNKNOWN)
                 kept = [i for i, n in enumerate(piece.schema.names) if n != "_letters"]
-                cols = [piece.column(i) for i in kept] + [pa.array(label, pa.string()), pa.array(np.where(on, np.clip(mean.max(axis=1), 0, 1), 0.0))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(piece.schema.names[i] for i in kept), "lang_pred", "score"])
+                cols = [piece.column(i) for i in kept] + [pa.array(label, pa.string()), *(pa.array(np.where(on, np.clip(x, 0, 1), 0.0)) for x in (mean.max(axis=1), sure))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*(piece.schema.names[i] for i in kept), "lang_pred", "score", "certainty"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema if f.name != "_letters")
     return flat.mapInArrow(run, f"{ddl}, {out_type}")

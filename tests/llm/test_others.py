@@ -132,6 +132,20 @@ def test_violations():
     assert chat.violations(True, {"type": "integer"}) and not chat.violations(2.0, {"type": "integer"})
 
 
+def test_pipeline_keeps_mixed_languages(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {}
+    for r in docs.where("lang IS NOT NULL AND length(text) > 400").orderBy("doc_id").collect():
+        texts.setdefault(r["lang"], r["text"].split())
+    assert len(texts) >= 3
+    mixed = " ".join(w for words in texts.values() for w in words[:60])
+    extra = spark.createDataFrame([(9000, mixed, None, "s", len(mixed)), (9001, "1234", None, "s", 4)], docs.schema)
+    kept = {r["doc_id"] for r in p.language(spark, docs.unionByName(extra), sf).where("doc_id >= 9000").collect()}
+    assert kept == {9000}
+
+
 def test_pipeline(spark, sf):
     """Stages against their operators' meaning, on the whole small table."""
     import corpus_pipeline as p
