@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Only a local master may leave it unset (tests): elsewhere
+    a folder of one machine would lose what the others write."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
         found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -155,6 +159,15 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
         i = j
 
 
+def give_back() -> None:
+    """Returns free memory of this worker to the system, so that a reused worker does not hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing will read again."""
     jvm = df.sparkSession.sparkContext._jvm
@@ -166,10 +179,13 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished queries, which it does when the driver collects garbage.
+    """Lets Spark drop shuffle files of finished queries, which it does when the driver collects garbage; that saves disk and
+    changes nothing else. Off if spark.progdiv.release is false.
 
     Some of what a query held is only let go by what the first collection ran, so there are two.
     """
+    if spark.conf.get("spark.progdiv.release", "true") == "false":
+        return
     for pause in (0.5, 0.0):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -1,73 +1,83 @@
 """Language-model scores of texts by a weighted backoff automaton.
 
-States are the contexts seen in training (the word before, or the start of a text) above one root. An arc of a
-state carries the smoothed probability of a token after that context; a failure arc leads to the root with the
-state's backoff weight. Bigrams and words are discounted absolutely, the discounts coming from counts of
-counts; what words give up goes to the unknown word.
-
-Texts are dealt into batches. A batch sends each of its distinct words and bigrams once, with its counts, to the
-bucket of the word or of the bigram's context; buckets add up counts over all batches and answer with
-totals, so a batch gets the slice of the automaton that its own texts can reach, and traverses its texts
-over that. No model is ever held whole by any process.
+States are the contexts seen in training, of up to order - 1 tokens (the start of a text counts as one), above one
+root. An arc of a state carries the smoothed probability of a token after that context; where a state has no arc for a
+token, its failure arc leads to the state of the context without its first token, with a backoff weight. A context h
+seen c(h) times gives token w the probability (c(hw) + m * p(w)) / (c(h) + m), p being that of the state its failure
+arc leads to and m the number of different n-grams of hw's length for each one of h's; the failure weight is
+m / (c(h) + m). At the root words are discounted absolutely, and what they give up goes to the unknown word.
+
+Texts are dealt into batches. A batch sends each of its distinct n-grams once, with its count, to the bucket of the
+n-gram's hash; buckets add up counts over all batches and answer with totals, so a batch gets the part of the
+automaton that its own texts can reach. Every n-gram is a key of its own, so a common word's continuations are spread
+over all buckets. No model is ever held whole by any process.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import document_texts, materialize, mix, pieces_of, release, text_buffer, word_bounds, word_hashes
+from progdiv.llm.common import give_back, materialize, mix, pieces_of, release, text_buffer, word_bounds, word_hashes
 
-#: Text bytes of a batch and a bucket.
-BATCH, BUCKET = 6 << 20, 16 << 20
+#: Tokens of an n-gram at most, and text bytes of a batch and a bucket.
+ORDER, BATCH, BUCKET = 3, 6 << 20, 12 << 20
 #: Tokens that no word's hash is likely to equal: the start of a text and its end.
 START, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0x1B873593CC9E2D51)
-_NAMES = ("known", "words", "ones", "twos", "pair_ones", "pair_twos")
-
-
-def tokens(column) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts end to end, each text's words and END, and the texts' lengths in tokens."""
-    data, offsets = text_buffer(column)
-    starts, ends = word_bounds(data, offsets)
-    words = word_hashes(data, starts, ends)
-    at = np.searchsorted(starts, offsets)
-    return np.insert(words, at[1:], END), np.diff(at) + 1
-
-
-class Slice:
-    """The distinct words and bigrams of some texts, ordered by bucket, and where each token has its own."""
-
-    def __init__(self, column, train: np.ndarray, buckets: int) -> None:
-        self.tokens, self.lengths = tokens(column)
-        n = len(self.tokens)
-        before = np.empty(n, dtype=np.uint64)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = START
+#: Bits of hash that tell words and longer n-grams of one bucket apart.
+_WORD_BITS, _GRAM_BITS = 56, 44
+
+
+class Grams:
+    """The distinct n-grams of some texts: by length their sorted keys, counts in training and buckets' edges, and which
+    of them ends at each place. Places are each text's START, words and END; -1 where no n-gram of the length ends."""
+
+    def __init__(self, column, train: np.ndarray, buckets: int, order: int) -> None:
+        data, offsets = text_buffer(column)
+        starts, ends = word_bounds(data, offsets)
+        at = np.searchsorted(starts, offsets)
+        words = np.insert(word_hashes(data, starts, ends), np.stack([at[:-1], at[1:]], axis=1).ravel(), np.tile([START, END], len(offsets) - 1))
+        self.lengths = np.diff(at) + 2
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.place = np.arange(len(words)) - np.repeat(self.first, self.lengths)
         learned = np.repeat(train, self.lengths)
-        self.words, place = np.unique(np.append(self.tokens, START), return_inverse=True)
-        order = np.lexsort((self.words, self.words % np.uint64(buckets)))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        self.words, place = self.words[order], rank[place]
-        self.word_at, begin = place[:-1], place[-1]
-        context = np.empty(n, dtype=np.int64)
-        context[1:] = self.word_at[:-1]
-        context[before == START] = begin
-        pair = (context.astype(np.uint64) << np.uint64(32)) | self.word_at.astype(np.uint64)
-        pairs, self.pair_at = np.unique(pair, return_inverse=True)
-        self.pair_context = (pairs >> np.uint64(32)).astype(np.int64)
-        following = self.words[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        self.pair_hash = mix(self.words[self.pair_context] * np.uint64(0xD6E8FEB86659FD93) + following) >> np.uint64(16)
-        self.word_count = np.bincount(self.word_at, weights=learned, minlength=len(self.words)).astype(np.uint32)
-        self.pair_count = np.bincount(self.pair_at, weights=learned, minlength=len(pairs)).astype(np.uint32)
-        edges = np.arange(buckets + 1)
-        self.word_edges = np.searchsorted((self.words % np.uint64(buckets)).astype(np.int64), edges)
-        self.pair_edges = np.searchsorted(self.pair_context, self.word_edges)
+        self.keys, self.counts, self.edges, self.ends_at = [], [], [], []
+        h = words
+        for k in range(order):
+            if k:
+                before = np.zeros_like(h)
+                before[1:] = h[:-1]
+                h = mix(before * np.uint64(0xD6E8FEB86659FD93) + words)
+            on = np.flatnonzero(self.place >= max(k, 1))
+            bits = min(64, (_GRAM_BITS if k else _WORD_BITS) + (buckets - 1).bit_length())
+            keys, index = np.unique(h[on] >> np.uint64(64 - bits), return_inverse=True)
+            ends_at = np.full(len(h), -1, dtype=np.int32)
+            ends_at[on] = index
+            bounds = np.array([-(-(b << bits) // buckets) for b in range(buckets)], dtype=np.uint64)
+            self.keys.append(keys)
+            self.counts.append(np.bincount(index, weights=learned[on], minlength=len(keys)).astype(np.int64))
+            self.edges.append(np.append(np.searchsorted(keys, bounds), len(keys)))
+            self.ends_at.append(ends_at)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    planes = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    return bytes([planes]) + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        planes = packed[0]
+        raw = pa.decompress(packed[1:], decompressed_size=planes * n, codec="zstd", asbytes=True)
+        out[:, :planes] = np.frombuffer(raw, dtype=np.uint8).reshape(planes, n).T
+    return out.view("<u8")[:, 0]
 
 
 def _dealt(docs: DataFrame, most: int) -> DataFrame:
@@ -97,98 +107,124 @@ def _dealt(docs: DataFrame, most: int) -> DataFrame:
                     number, rest, size = number + 1, [], 0
         if rest:
             yield packed()
+        give_back()
 
     return docs.mapInArrow(run, "batch bigint, packed binary")
 
 
-def _send(batch: int, packed: bytes, buckets: int) -> pa.RecordBatch:
-    table = pa.ipc.open_stream(packed).read_all()
-    s = Slice(table.column("text"), ~table.column("held_out").to_numpy(), buckets)
-    rows = []
-    for k in range(buckets):
-        w, p = slice(*s.word_edges[k : k + 2]), slice(*s.pair_edges[k : k + 2])
-        if w.start == w.stop:
-            continue
-        h = s.pair_hash[p]
-        own = np.bincount(s.pair_context[p] - w.start, minlength=w.stop - w.start)
-        parts = [s.words[w], s.word_count[w], own.astype(np.uint32), (h >> np.uint64(16)).astype(np.uint32), (h & np.uint64(0xFFFF)).astype(np.uint16), s.pair_count[p]]
-        rows.append((batch, k, *(x.tobytes() for x in parts)))
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["batch", "bucket", "words", "counts", "own", "high", "low", "pairs"])
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """One bucket: totals for every batch's entries, in the order sent, and the bucket's counts of counts."""
-    get = lambda name, kind: [np.frombuffer(x.as_py(), dtype=kind) for x in table.column(name)]
-    words, counts, own = get("words", np.uint64), get("counts", np.uint32), get("own", np.uint32)
-    pairs = [(h.astype(np.uint64) << np.uint64(16)) | low for h, low in zip(get("high", np.uint32), get("low", np.uint16), strict=True)]
-    pair_counts = get("pairs", np.uint32)
-    n_words, n_pairs = list(map(len, words)), list(map(len, pairs))
-    known, word_at = np.unique(np.concatenate(words), return_inverse=True)
-    count = np.bincount(word_at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
-    context = np.repeat(word_at, np.concatenate(own))
-    seen, first, pair_at = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
-    pair_count = np.bincount(pair_at, weights=np.concatenate(pair_counts), minlength=len(seen)).astype(np.int64)
-    total = np.bincount(context[first], weights=pair_count, minlength=len(known)).astype(np.int64)
-    kinds = np.bincount(context[first], weights=pair_count > 0, minlength=len(known)).astype(np.int64)
-    stats = [int((count > 0).sum()), int(count.sum()), int((count == 1).sum()), int((count == 2).sum()), int((pair_count == 1).sum()), int((pair_count == 2).sum())]
-    w, p, out = 0, 0, []
-    for k, (nw, np_) in enumerate(zip(n_words, n_pairs, strict=True)):
-        i, j = word_at[w : w + nw], pair_at[p : p + np_]
-        blob = b"".join(x.astype(kind).tobytes() for x, kind in ((count[i], "<i8"), (total[i], "<i8"), (kinds[i], "<i8"), (pair_count[j], "<i8" if pair_count.max(initial=0) >> 31 else "<i4")))
-        out.append(zlib.compress(blob, 1))
-        w, p = w + nw, p + np_
-    nulls = [None] * (len(out) - 1)
-    return pa.table(
-        [table.column("batch"), table.column("bucket"), pa.array(out, pa.binary()), pa.array(n_words, pa.int32()), pa.array(n_pairs, pa.int32()), *(pa.array([x, *nulls], pa.int64()) for x in stats)],
-        names=["batch", "bucket", "totals", "n_words", "n_pairs", *_NAMES],
-    )
+def _read(packed: bytes, buckets: int, order: int) -> tuple[pa.Table, Grams]:
+    texts = pa.ipc.open_stream(packed).read_all()
+    return texts, Grams(texts.column("text"), ~texts.column("held_out").to_numpy(), buckets, order)
 
 
-def _discount(ones: int, twos: int) -> float:
+def _send(batch: int, packed: bytes, buckets: int, order: int) -> pa.RecordBatch:
+    """A row for each bucket: differences of the batch's sorted keys in it, and their counts, by length."""
+    g = _read(packed, buckets, order)[1]
+    rows = []
+    for b in range(buckets):
+        parts = [slice(*e[b : b + 2]) for e in g.edges]
+        sizes = [p.stop - p.start for p in parts]
+        if any(sizes):
+            rows.append((batch, b, sizes, [_packed(np.diff(k[p], prepend=np.uint64(0))) for k, p in zip(g.keys, parts, strict=True)], [_packed(c[p]) for c, p in zip(g.counts, parts, strict=True)]))
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["batch", "bucket", "sizes", "keys", "counts"])
+
+
+def _add_up(table: pa.Table, order: int) -> pa.Table:
+    """One bucket: totals for every batch's n-grams, in the order sent, and the bucket's statistics."""
+    batches, sizes = table.column("batch"), table.column("sizes").to_pylist()
+    answers: list[list[bytes]] = [[] for _ in sizes]
+    types = []
+    for k in range(order):
+        n = [s[k] for s in sizes]
+        keys = np.concatenate([np.cumsum(_unpacked(x[k].as_py(), m), dtype=np.uint64) for x, m in zip(table.column("keys"), n, strict=True)])
+        known, index = np.unique(keys, return_inverse=True)
+        del keys
+        counts = np.concatenate([_unpacked(x[k].as_py(), m) for x, m in zip(table.column("counts"), n, strict=True)])
+        total = np.bincount(index, weights=counts, minlength=len(known)).astype(np.int64)
+        types.append(int((total > 0).sum()))
+        if not k:
+            words, ones, twos = int(total.sum()), int((total == 1).sum()), int((total == 2).sum())
+        ends = np.cumsum(n)
+        for answer, end, m in zip(answers, ends, n, strict=True):
+            answer.append(_packed(total[index[end - m : end]]))
+        del known, index, counts, total
+    give_back()
+    nulls = [None] * (len(sizes) - 1)
+    stats = [pa.array([x, *nulls], t) for x, t in ((types, pa.list_(pa.int64())), (words, pa.int64()), (ones, pa.int64()), (twos, pa.int64()))]
+    return pa.table([batches, table.column("bucket"), table.column("sizes"), pa.array(answers, pa.list_(pa.binary())), *stats], names=["batch", "bucket", "sizes", "totals", "types", "words", "ones", "twos"])
+
+
+def discount(ones: int, twos: int) -> float:
     return ones / (ones + 2 * twos) if ones else 0.5
 
 
-def _traverse(packed: pa.Table, answers: pa.Table, buckets: int, stats: dict) -> pa.Table:
-    texts = pa.ipc.open_stream(packed.column("packed")[0].as_py()).read_all()
-    s = Slice(texts.column("text"), ~texts.column("held_out").to_numpy(), buckets)
-    count, total, kinds, pair_count = [], [], [], []
-    order = np.argsort(answers.column("bucket").to_numpy())
-    for k in order:
-        nw, n_pairs = answers.column("n_words")[k].as_py(), answers.column("n_pairs")[k].as_py()
-        blob = zlib.decompress(answers.column("totals")[k].as_py())
-        for x, part in zip((count, total, kinds), np.frombuffer(blob, "<i8", 3 * nw).reshape(3, nw), strict=True):
-            x.append(part)
-        pair_count.append(np.frombuffer(blob, "<i8" if len(blob) == 24 * nw + 8 * n_pairs and n_pairs else "<i4", n_pairs, 24 * nw))
-    count, total, kinds, pair_count = (np.concatenate(x).astype(np.float64) for x in (count, total, kinds, pair_count))
-    n, v = stats["words"] or 0, stats["known"] or 0
-    base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
-    d1, d2 = _discount(stats["ones"], stats["twos"]), _discount(stats["pair_ones"], stats["pair_twos"])
-    # Root: one arc a word, and one for the unknown word.
-    root = np.where(count > 0, count - d1, max(d1 * v, 0.1)) / max(n, 1) if n else np.ones(len(count))
-    # States: failure weights, and arcs with what the failure path adds to them.
-    with np.errstate(divide="ignore", invalid="ignore"):
-        failure = np.where(total > 0, d2 * kinds / total, 1.0)
-        arc = np.where(pair_count > 0, (pair_count - d2) / total[s.pair_context], 0.0)
-    weight = np.log10(arc[s.pair_at] + failure[s.pair_context[s.pair_at]] * root[s.word_at])
-    ends = np.cumsum(s.lengths)
-    add = lambda x: np.add.reduceat(x, ends - s.lengths) if len(ends) else x[:0]
-    return pa.table(
-        [texts.column("doc_id"), texts.column("held_out"), pa.array(s.lengths, pa.int64()), pa.array(add((count > 0)[s.word_at].astype(np.int64)), pa.int64()), pa.array(np.full(len(ends), n), pa.int64()), pa.array(add(base[s.word_at])), pa.array(add(weight))],
+def traverse(g: Grams, totals: list[np.ndarray], stats: dict) -> np.ndarray:
+    """log10 probability of every place's token, from left to right in each text; 0 at its START.
+
+    The state before a token is the longest context of known tokens before it, so all places take their state at once.
+    From there they go down failure arcs together, each adding their weights until its state has an arc.
+    """
+    n, order = stats["words"], len(totals)
+    c = [np.where(e >= 0, t[e], 0).astype(np.float64) if len(t) else np.zeros(len(e)) for t, e in zip(totals, g.ends_at, strict=True)]
+    d = discount(stats["ones"], stats["twos"])
+    arcs = [np.where(c[0] > 0, c[0] - d, max(d * stats["types"][0], 0.1)) / n if n else np.ones(len(g.place))]
+    state = np.zeros(len(g.place), dtype=np.int8)
+    failure = [np.ones(len(g.place))]
+    for k in range(1, order):
+        seen = np.zeros(len(g.place))
+        seen[1:] = c[k - 1][:-1]
+        if k == 1:
+            seen[g.place == 1] = stats["texts"]
+        seen[g.place < k] = 0
+        m = stats["types"][k] / max(stats["types"][k - 1], 1)
+        state[seen > 0] = k
+        failure.append(m / (seen + m) if m else np.ones(len(seen)))
+        arcs.append(np.where(seen > 0, (c[k] + m * arcs[-1]) / np.maximum(seen + m, 1e-300), arcs[-1]))
+    weight = np.zeros(len(g.place))
+    on = g.place > 0
+    for k in range(order - 1, 0, -1):
+        here = on & (state == k)
+        arc = here & (c[k] > 0)
+        weight[arc] = weight[arc] + np.log10(arcs[k][arc])
+        on[arc] = False
+        fails = here & ~arc
+        weight[fails] += np.log10(failure[k][fails])
+        state[fails] -= 1
+    weight[on] += np.log10(arcs[0][on])
+    return weight
+
+
+def _scored(packed: pa.Table, answers: pa.Table, buckets: int, order: int, stats: dict) -> pa.Table:
+    texts, g = _read(packed.column("packed")[0].as_py(), buckets, order)
+    by_bucket = np.argsort(answers.column("bucket").to_numpy())
+    sizes, found = answers.column("sizes").to_pylist(), answers.column("totals")
+    totals = [np.concatenate([_unpacked(found[i][k].as_py(), sizes[i][k]) for i in by_bucket.tolist()]).astype(np.int64) for k in range(order)]
+    n, v = stats["words"], stats["types"][0]
+    on = g.place > 0
+    count = np.where(on, totals[0][g.ends_at[0]], 0)
+    base = np.where(on, np.log10((count + 0.1) / (n + 0.1 * (v + 1))), 0.0)
+    # Every text learned from has one END, so the count of any END is their number.
+    stats = stats | {"texts": int(count[g.lengths[0] - 1])}
+    add = lambda x: np.add.reduceat(x, g.first)
+    out = pa.table(
+        [texts.column("doc_id"), texts.column("held_out"), pa.array(g.lengths - 1, pa.int64()), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(g.first), n), pa.int64()), pa.array(add(base)), pa.array(add(traverse(g, totals, stats)))],
         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )
+    give_back()
+    return out
 
 
-def score_texts(docs: DataFrame, fold: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, fold: int = 10, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Learns from rows whose crc32 of doc_id as text is not divisible by fold. A null or empty text is one token, its
-    end. Rows without doc_id are learned from and scored; rows that repeat a doc_id are texts of their own.
-    If no row is left to learn from, every token has base probability 1 and score 0. An empty table gives no
-    rows. The order is 2: contexts are one word.
+    end. Rows without doc_id are learned from and scored; rows that repeat a doc_id are texts of their own; other columns
+    don't matter. A text longer than a batch is a batch of its own. If no row is left to learn from, every token has
+    base probability 1 and score 0. An empty table gives no rows.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == 0, F.lit(False))
-    docs = document_texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), held.alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), held.alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     # Beyond some 0.6 TB batches grow with the root of the size, so that what a batch sends a bucket keeps 4 KB.
     batch = max(BATCH, math.isqrt(size * 4096))
@@ -198,15 +234,17 @@ def score_texts(docs: DataFrame, fold: int = 10) -> DataFrame:
     def send(batches):
         for b in batches:
             for number, packed in zip(b.column("batch"), b.column("packed"), strict=True):
-                yield _send(number.as_py(), packed.as_py(), buckets)
+                yield _send(number.as_py(), packed.as_py(), buckets, order)
+                give_back()
 
-    sent = dealt.mapInArrow(send, "batch bigint, bucket int, words binary, counts binary, own binary, high binary, low binary, pairs binary")
-    stats_ddl = ", ".join(f"{n} bigint" for n in _NAMES)
-    answers = materialize(sent.groupBy("bucket").applyInArrow(_add_up, f"batch bigint, bucket int, totals binary, n_words int, n_pairs int, {stats_ddl}"), "totals")
+    sent = dealt.mapInArrow(send, "batch bigint, bucket int, sizes array<int>, keys array<binary>, counts array<binary>")
+    ddl = "batch bigint, bucket int, sizes array<int>, totals array<binary>, types array<bigint>, words bigint, ones bigint, twos bigint"
+    answers = materialize(sent.groupBy("bucket").applyInArrow(lambda t: _add_up(t, order), ddl), "totals")
     release(docs.sparkSession)
-    stats = {k: v or 0 for k, v in answers.agg(*(F.sum(k).alias(k) for k in _NAMES)).first().asDict().items()}
-    answers = answers.select("batch", "bucket", "totals", "n_words", "n_pairs")
+    row = answers.agg(*(F.sum(k).alias(k) for k in ("words", "ones", "twos")), *(F.sum(F.col("types")[k]).alias(f"t{k}") for k in range(order))).first()
+    stats = {k: row[k] or 0 for k in ("words", "ones", "twos")} | {"types": [row[f"t{k}"] or 0 for k in range(order)]}
+    answers = answers.select("batch", "bucket", "sizes", "totals")
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-        lambda packed, found: _traverse(packed, found, buckets, stats),
+        lambda packed, found: _scored(packed, found, buckets, order, stats),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )

@@ -227,46 +227,78 @@ def test_mixing_comes_near(spark):
         assert sum(x["taken"] for x in mine) == pytest.approx(mine[0]["target"], rel=0.03)
 
 
-def test_lm(docs):
+class Automaton:
+    """States as tuples of tokens, walked token by token."""
+
+    def __init__(self, texts, order):
+        self.order, self.n = order, [Counter() for _ in range(order)]
+        for t in texts:
+            s = ["\0start", *t]
+            for k in range(order):
+                self.n[k].update(tuple(s[i - k : i + 1]) for i in range(max(k, 1), len(s)))
+        one, two = (sum(c == x for c in self.n[0].values()) for x in (1, 2))
+        self.discount, self.words, self.types = (one / (one + 2 * two) if one else 0.5), self.n[0].total(), list(map(len, self.n))
+        self.states = Counter({("\0start",): len(texts)}) if texts else Counter()
+        for n in self.n[: order - 1]:
+            self.states.update(n)
+
+    def root(self, w):
+        c = self.n[0][w,]
+        return ((c - self.discount) if c else max(self.discount * self.types[0], 0.1)) / self.words if self.words else 1.0
+
+    def probability(self, h, w):
+        if not h:
+            return self.root(w)
+        m = self.types[len(h)] / self.types[len(h) - 1]
+        return (self.n[len(h)][(*h, w)] + m * self.probability(h[1:], w)) / (self.states[h] + m)
+
+    def score(self, t):
+        state, total = (("\0start",) if self.states and self.order > 1 else ()), 0.0
+        past = ["\0start"]
+        for w in t:
+            at = state
+            while at and not self.n[len(at)][(*at, w)]:  # failure arcs
+                m = self.types[len(at)] / self.types[len(at) - 1]
+                total += math.log10(m / (self.states[at] + m))
+                at = at[1:]
+            total += math.log10(self.probability(at, w))
+            past.append(w)
+            state = tuple(past[-(self.order - 1) :]) if self.order > 1 else ()
+            while state and not self.states[state]:
+                state = state[1:]
+        return total
+
+
+@pytest.mark.parametrize("order", [3, 1, 4])
+def test_lm(docs, monkeypatch, order):
+    if order == 4:  # many batches and buckets
+        monkeypatch.setattr(lm, "BATCH", 9000)
+        monkeypatch.setattr(lm, "BUCKET", 5000)
     tok = [[*WORD.findall(t.translate(LOWER)), "\0end"] for t in TEXTS]
-    c, b = Counter(), Counter()
-    for x, t in zip(ROWS, tok, strict=True):
-        if not held(x[0], 10):
-            c.update(t)
-            b.update(zip(["\0start", *t], t, strict=False))
-    n, v, ctx, kinds = c.total(), len(c), Counter(), Counter()
-    for (h, _), k in b.items():
-        ctx[h] += k
-        kinds[h] += 1
-    d = lambda cc: (lambda one, two: one / (one + 2 * two))(sum(x == 1 for x in cc.values()), sum(x == 2 for x in cc.values()))
-    d1, d2 = d(c), d(b)
+    model = Automaton([t for x, t in zip(ROWS, tok, strict=True) if not held(x[0], 10)], order)
+    c, n, v = model.n[0], model.words, model.types[0]
     want = []
     for x, t in zip(ROWS, tok, strict=True):
-        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        score = 0.0
-        for h, w in zip(["\0start", *t], t, strict=False):
-            root = (c[w] - d1) / n if c[w] else d1 * v / n
-            score += math.log10(max(b[h, w] - d2, 0) / ctx[h] + d2 * kinds[h] / ctx[h] * root if ctx[h] else root)
-        want.append((x[0] if x[0] is not None else -1, held(x[0], 10), len(t), sum(w in c for w in t), n, round(base, 6), round(score, 6)))
-    got = [(r[0] if r[0] is not None else -1, *r[1:5], round(r[5], 6), round(r[6], 6)) for r in lm.score_texts(docs).collect()]
+        base = sum(math.log10((c[w,] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+        want.append((x[0] if x[0] is not None else -1, held(x[0], 10), len(t), sum((w,) in c for w in t), n, base, model.score(t)))
+    got = [(r[0] if r[0] is not None else -1, *r[1:]) for r in lm.score_texts(docs, order=order).collect()]
     assert [g[:5] for g in sorted(got)] == [w[:5] for w in sorted(want)]
     assert np.allclose([g[5:] for g in sorted(got)], [w[5:] for w in sorted(want)])
 
 
+def test_lm_without_training(spark):
+    ids = [i for i in range(200) if held(i, 10)][:3]
+    out = lm.score_texts(spark.createDataFrame([(i, "a b") for i in ids], "doc_id bigint, text string")).collect()
+    assert [tuple(r)[1:] for r in out] == [(True, 3, 0, 0, 0.0, 0.0)] * 3
+
+
 def test_lm_probabilities_add_up():
     """After any context the seen words and the unknown one share all probability."""
     r = random.Random(3)
-    c, b = Counter(), Counter()
-    for _ in range(50):
-        t = [r.choice("abcdefg") for _ in range(r.randint(1, 9))] + ["$"]
-        c.update(t)
-        b.update(zip(["^", *t], t, strict=False))
-    n, v = c.total(), len(c)
-    d1, d2 = 0.4, lm._discount(5, 3)
-    for h in {x for x, _ in b}:
-        ctx, kinds = sum(k for (x, _), k in b.items() if x == h), sum(x == h for x, _ in b)
-        root = {w: (c[w] - d1) / n for w in c} | {None: d1 * v / n}
-        assert sum(max(b[h, w] - d2, 0) / ctx + d2 * kinds / ctx * p for w, p in root.items()) == pytest.approx(1)
+    model = Automaton([[r.choice("abcdefg") for _ in range(r.randint(1, 9))] + ["$"] for _ in range(50)] + [["q", "$"]], 3)
+    for h in [(), *model.states]:
+        if h[-1:] != ("$",):
+            assert sum(model.probability(h, w) for (w,) in [*model.n[0], ("?",)]) == pytest.approx(1)
 
 
 def test_language(docs):
