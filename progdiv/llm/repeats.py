@@ -1,12 +1,18 @@
 """Exact substring deduplication: every string of THRESHOLD bytes that starts more than once.
 
-A depth-limited radix sort of suffixes, most significant digit first. A suffix's first digit is the gram with the
-least hash in its first THRESHOLD bytes, which equal suffixes share at the same distance; neighbouring suffixes with one
-such gram go through the passes as one run. The next digits are the strings around the gram: what all
+A depth-limited radix sort of suffixes that stops at THRESHOLD bytes, most significant digit first: each pass parts
+suffixes into groups by one digit and only groups of several go on. Digits are strings taken from the first THRESHOLD
+bytes, compared by hash, since only equality of groups is asked for and not their order. A suffix's first digit is the
+gram with the least hash in those bytes, which equal suffixes share at the same distance; neighbouring suffixes with
+one such gram go through the passes as one run. The next digits are the strings around the gram: what all
 suffixes of a run have in common (its core) and what they cover together (its hull). Runs whose core is
 alone drop out; runs with an equal hull are repeats as a whole; the others are split, into runs of SPLIT
 suffixes and then single ones, whose last digit is all of the THRESHOLD bytes. Each pass counts keys with
 partial sums and joins rows back to their keys, so no group is ever gathered in one task.
+
+A text is known by 96 bits of hash of its bytes, whatever its doc_id, so rows with equal texts are one text in all passes.
+Such texts are removed whole, as each of their windows starts again in the other; they go through the passes once, for
+what others share with them.
 """
 
 from __future__ import annotations
@@ -19,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import Rolling, drop_table, materialize, release
+from progdiv.llm.common import Rolling, drop_table, give_back, materialize, release
 
 THRESHOLD, GRAM, SPLIT = 200, 40, 16
 #: Starts handled at once, so that memory does not follow the length of a text.
 _BLOCK = (1 << 20) - 1024
 _OTHER = 0xC2B2AE3D27D4EB4F
-_ROW = [("core", pa.int64()), ("hull", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("done", pa.bool_())]
-_DDL = "core bigint, hull bigint, doc_id bigint, th int, a int, s int, e int, done boolean"
+_ROW = [("core", pa.int64()), ("hull", pa.int64()), ("key", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("done", pa.bool_())]
+_DDL = "core bigint, hull bigint, key bigint, th int, a int, s int, e int, done boolean"
 
 
 def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
@@ -87,23 +93,24 @@ def _split(data: np.ndarray, a: np.ndarray, s: np.ndarray, e: np.ndarray, t: int
             yield core, hull, np.maximum(left, s[i]), np.minimum(right, e[i]), i
 
 
-def _batch(doc_ids: list, ths: list, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+def _batch(keys: list, ths: list, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     cat = lambda k, kind: pa.array(np.concatenate([p[k] for p in parts]).view(kind) if kind == np.int64 else np.concatenate([p[k] for p in parts]).astype(kind))
     n = [len(p[0]) for p in parts]
-    cols = [cat(0, np.int64), cat(1, np.int64), pa.array(np.repeat(doc_ids, n), pa.int64()), pa.array(np.repeat(ths, n), pa.int32()), cat(2, np.int32), cat(3, np.int32), cat(4, np.int32), cat(5, bool)]
+    cols = [cat(0, np.int64), cat(1, np.int64), pa.array(np.repeat(keys, n), pa.int64()), pa.array(np.repeat(ths, n), pa.int32()), cat(2, np.int32), cat(3, np.int32), cat(4, np.int32), cat(5, bool)]
     return pa.RecordBatch.from_arrays(cols, schema=pa.schema(_ROW))
 
 
 def _grouped(stream: Iterator, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     ids, ths, parts, n = [], [], [], 0
-    for doc_id, th, part in stream:
-        ids.append(doc_id), ths.append(th), parts.append(part)
+    for key, th, part in stream:
+        ids.append(key), ths.append(th), parts.append(part)
         n += len(part[0])
         if n >= most:
             yield _batch(ids, ths, parts)
             ids, ths, parts, n = [], [], [], 0
     if parts:
         yield _batch(ids, ths, parts)
+    give_back()
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -116,17 +123,17 @@ def first_rows(docs: DataFrame, t: int, g: int) -> DataFrame:
     def run(batches):
         def stream():
             for batch in batches:
-                for data, doc_id, th in _texts(batch):
+                for data, key, th in _texts(batch):
                     for core, hull, a, s, e in _runs(data, t, g):
-                        yield doc_id, th, (core, hull, a, s, e, np.zeros(len(a), bool))
+                        yield key, th, (core, hull, a, s, e, np.zeros(len(a), bool))
 
         yield from _grouped(stream())
 
-    return docs.where(F.octet_length("text") >= t).select("text", "doc_id", "th").mapInArrow(run, _DDL)
+    return docs.where(F.octet_length("text") >= t).select("text", "key", "th").mapInArrow(run, _DDL)
 
 
 def split_rows(texts: DataFrame, runs: DataFrame, t: int, width: int) -> DataFrame:
-    lists = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "s", "e", "done")).alias("runs"))
+    lists = runs.groupBy("key", "th").agg(F.collect_list(F.struct("a", "s", "e", "done")).alias("runs"))
 
     def run(batches):
         def stream():
@@ -134,64 +141,90 @@ def split_rows(texts: DataFrame, runs: DataFrame, t: int, width: int) -> DataFra
                 lists = batch.column("runs")
                 at, flat = lists.offsets.to_numpy(), lists.values
                 fields = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)] + [flat.field(3).to_numpy(zero_copy_only=False)]
-                for k, (data, doc_id, th) in enumerate(_texts(batch.select(["text", "doc_id", "th"]))):
+                for k, (data, key, th) in enumerate(_texts(batch.select(["text", "key", "th"]))):
                     a, s, e, done = (x[at[k] : at[k + 1]] for x in fields)
-                    salt = (doc_id * 0x9E3779B97F4A7C15 + th) & ((1 << 64) - 1)
+                    salt = (key * 0x9E3779B97F4A7C15 + th) & ((1 << 64) - 1)
                     for core, hull, lo, hi, i in _split(data, a, s, e, t, width, salt):
-                        yield doc_id, th, (core, hull, a[i], lo, hi, done[i])
+                        yield key, th, (core, hull, a[i], lo, hi, done[i])
 
         yield from _grouped(stream())
 
-    return texts.join(lists, ["doc_id", "th"]).select("text", "doc_id", "th", "runs").mapInArrow(run, _DDL)
+    return texts.join(lists, ["key", "th"]).select("text", "key", "th", "runs").mapInArrow(run, _DDL)
 
 
 def _pass(rows: DataFrame, t: int, last: bool) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Spans found repeated, runs to split, and the rows whose core is not alone."""
     cores = materialize(rows.groupBy("core").agg(F.count("*").alias("n"), F.bool_or(~F.col("done")).alias("open")).where("n > 1 AND open").select("core"), "cores")
     kept = materialize(rows.join(cores, "core", "left_semi"), "kept")
-    row = F.min(F.struct("doc_id", "th", "a", "s", "e", "done")).alias("row")
+    row = F.min(F.struct("key", "th", "a", "s", "e", "done")).alias("row")
     hulls = materialize(kept.groupBy("core", "hull").agg(F.count("*").alias("n"), row), "hulls")
     equal = materialize(hulls.where("n > 1").select("core", "hull"), "equal")
-    spans = materialize(kept.where("NOT done").join(equal, ["core", "hull"], "left_semi").select("doc_id", "th", "s", (F.col("e") + t).alias("e")), "spans")
+    spans = materialize(kept.where("NOT done").join(equal, ["core", "hull"], "left_semi").select("key", "th", "s", (F.col("e") + t).alias("e")), "spans")
     if last:
         return spans, None, kept
     open_cores = materialize(hulls.where("n = 1 AND NOT row.done").select("core").distinct(), "open")
-    again = hulls.join(open_cores, "core", "left_semi").select("row.doc_id", "row.th", "row.a", "row.s", "row.e", (F.col("row.done") | (F.col("n") > 1)).alias("done"))
+    again = hulls.join(open_cores, "core", "left_semi").select("row.key", "row.th", "row.a", "row.s", "row.e", (F.col("row.done") | (F.col("n") > 1)).alias("done"))
     return spans, materialize(again, "runs"), kept
 
 
+#: A text is set apart before any exchange if more than one row in so many holds it; there are fewer such texts.
+_HOT = 1000
+
+
+def _copies(docs: DataFrame, t: int) -> DataFrame:
+    """key, th, rep, hot of texts of t bytes and more that several rows hold: their smallest doc_id, and whether more than
+    one row in _HOT holds the text."""
+    most = max(1, docs.count() // _HOT)
+    found = docs.where(F.col("n_bytes") >= t).groupBy("key", "th").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1")
+    return materialize(found.select("key", "th", "rep", (F.col("n") > most).alias("hot")), "copies")
+
+
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, split: int = SPLIT, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and (with_text) kept_text of every row of docs.
 
     Texts are UTF-8 bytes; matches never cross texts. A null text is empty and has nothing to remove, as has
-    any text shorter than threshold. Rows that repeat a doc_id are texts of their own; if they are equal, they repeat
-    each other. Rows without doc_id take part like others (id -1 inside). An empty table gives no rows.
-    kept_text is null where the remaining bytes are not UTF-8. Substrings are compared by 128 bits of hash.
+    any text shorter than threshold. Rows are texts of their own whether they repeat a doc_id or have none; if two are
+    equal, they repeat each other. Other columns don't matter. Texts of any length are handled in blocks of about 1 MB. An
+    empty table gives no rows. kept_text is null where the remaining bytes are not UTF-8. Substrings are compared by 128
+    bits of hash.
     """
     spark = docs.sparkSession
     t = threshold
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), text.alias("text"), F.hash("text", F.lit(1)).alias("th"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    docs = docs.withColumns({"key": F.xxhash64("text"), "th": F.hash("text", F.lit(1)), "n_bytes": F.octet_length("text").cast("long")})
+    many = _copies(docs, t)
+    hot = F.broadcast(many.where("hot"))  # fewer than _HOT rows
+    hot_rows = docs.join(hot, ["key", "th"])
+    one_each = hot_rows.where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["key", "th"])
+    docs = docs.join(hot, ["key", "th"], "left_anti").unionByName(one_each.select(*docs.columns))
     first = materialize(first_rows(docs, t, gram), "suffixes")
     spans, runs, kept = _pass(first, t, False)
     drop_table(first)
-    touched = materialize(kept.select("doc_id", "th").distinct().withColumn("touched", F.lit(True)), "touched")
+    touched = materialize(kept.select("key", "th").distinct().withColumn("touched", F.lit(True)).join(many.withColumn("copied", F.lit(True)), ["key", "th"], "full"), "touched")
     drop_table(kept)
     release(spark)
-    docs = docs.join(touched, ["doc_id", "th"], "left")
-    docs = docs.select("doc_id", "th", "no_id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("touched").isNull(), F.sha2("text", 256)).alias("whole"), *((F.col("text"),) if with_text else (F.when(F.col("touched").isNotNull(), F.col("text")).alias("text"),)))
+    docs = docs.join(touched, ["key", "th"], "left")
+    whole = F.when(F.col("touched").isNull() & F.col("copied").isNull(), F.sha2("text", 256))
+    needed = F.col("touched").isNotNull() & (F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
+    docs = docs.select("doc_id", "key", "th", "n_bytes", "touched", "copied", "hot", needed.alias("needed"), whole.alias("whole"), (F.col("text") if with_text else F.when(needed, F.col("text"))).alias("text"))
     docs = materialize(docs, "texts")
     release(spark)
-    texts = docs.where("whole IS NULL")
+    alone = docs.where("touched AND copied IS NULL")
+    texts = alone.select("text", "key", "th").union(docs.where("needed AND copied").select("text", "key", "th").dropDuplicates(["key", "th"]))
     for width in (split, 1):
         rows = materialize(split_rows(texts, runs, t, width), "suffixes")
         more, runs, kept = _pass(rows, t, width == 1)
         spans = spans.union(more)
         drop_table(rows)
         drop_table(kept)
-    lists = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    whole = docs.where("whole IS NOT NULL").select("doc_id", "no_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("whole").alias("kept_sha256"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.col("text").alias("kept_text"))
-    fields = [("doc_id", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("kept_text", pa.string())]
+    lists = spans.groupBy("key", "th").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    zero, spans_type = F.lit(0).cast("long"), "array<struct<s:int,e:int>>"
+    untouched = docs.where("whole IS NOT NULL").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("whole").alias("kept_sha256"), F.array().cast(spans_type).alias("spans"), F.col("text").alias("kept_text"))
+    gone = docs.where("copied AND NOT hot").select("doc_id", "n_bytes").union(hot_rows.select("doc_id", "n_bytes"))
+    entire = F.array(F.struct(F.lit(0).alias("s"), F.col("n_bytes").cast("int").alias("e"))).cast(spans_type)
+    gone = gone.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"), entire.alias("spans"), F.lit("").alias("kept_text"))
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("kept_text", pa.string())]
 
     def cut(batches):
         for batch in batches:
@@ -199,7 +232,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
             lists = batch.column("runs")
             ends, flat = lists.offsets.to_numpy(), lists.values
             lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-            for k, (data, doc_id, no_id) in enumerate(_texts(batch.select(["text", "doc_id", "no_id"]))):
+            for k, (data, doc_id) in enumerate(_texts(batch.select(["text", "doc_id"]))):
                 s, e = lo[ends[k] : ends[k + 1]], hi[ends[k] : ends[k + 1]]
                 order = np.argsort(s, kind="stable")
                 s, e = s[order], np.maximum.accumulate(e[order]) if len(e) else e
@@ -214,9 +247,9 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
                     kept = rest.decode() if with_text else None
                 except UnicodeDecodeError:
                     kept = None
-                rows.append((doc_id, no_id, len(raw), len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), [{"s": s, "e": e} for s, e in merged], kept))
+                rows.append((doc_id, len(raw), len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), [{"s": s, "e": e} for s, e in merged], kept))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)], schema=pa.schema(fields))
 
-    parts = texts.join(lists, ["doc_id", "th"], "left").select("text", "doc_id", "no_id", "runs").mapInArrow(cut, "doc_id bigint, no_id boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s:int,e:int>>, kept_text string")
-    out = whole.union(parts)
-    return out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id", *([] if with_text else ["kept_text"]))
+    parts = alone.join(lists, ["key", "th"], "left").select("text", "doc_id", "runs").mapInArrow(cut, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {spans_type}, kept_text string")
+    out = untouched.union(gone).union(parts)
+    return out if with_text else out.drop("kept_text")

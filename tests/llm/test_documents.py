@@ -60,12 +60,27 @@ def held(i, fold):
     return i is not None and zlib.crc32(str(i).encode()) % fold == 0
 
 
-def test_repeats(docs):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_repeats(docs, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "_HOT", hot)
+    check_repeats(docs, ROWS)
+
+
+def test_repeats_of_rows_without_or_with_one_id(spark):
+    """Many rows share an id or have none, and none takes another's spans."""
+    r = random.Random(12)
+    line = "".join(r.choice("abcdef ") for _ in range(260))
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(330)) for _ in range(40)] + [f"{i} {line} {i}" for i in range(6)] + ["same " * 90] * 7 + [""] * 3
+    rows = [(i, t) for i in (None, 5) for t in texts] + [(9, line), (9, "x" * 199)]
+    check_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+
+
+def check_repeats(docs, rows):
     t = 200
-    raw = [x.encode() for x in TEXTS]
+    raw = [(x[1] or "").encode() for x in rows]
     seen = Counter(b[i : i + t] for b in raw for i in range(len(b) - t + 1))
     want = Counter()
-    for (i, *_), b in zip(ROWS, raw, strict=True):
+    for (i, *_), b in zip(rows, raw, strict=True):
         mask = np.zeros(len(b) + 1, bool)
         for k in range(len(b) - t + 1):
             if seen[b[k : k + t]] > 1:
