@@ -139,7 +139,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     Vectors are compared where labels are equal and not null and lengths are equal. Rows whose vector is null, empty,
     zero or holds a null or non-finite component, or whose label or vec_id is null, link with nothing and are
     their own component. Equal vectors of a label are one class, its members linked with each other and
-    with whatever the class is. A vec_id on several rows is one vertex. An empty table gives no rows.
+    with whatever the class is. Rows equal in vec_id, vector and label are one vector, which is not another to itself; rows
+    that share only a vec_id are vectors of their own, each counted. Other columns don't matter; an empty table gives no rows.
     """
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     kind = "<f4" if element == "float" else "<f8"
@@ -150,16 +151,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     fine = F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.col("label").cast("long")).alias("label"), F.when(fine, e).alias("e"))
     rows = rows.select("vec_id", "label", "e", F.when(F.col("e").isNotNull(), F.xxhash64("e")).alias("h1"), F.when(F.col("e").isNotNull(), F.hash("e", F.lit(3))).alias("h2"))
-    classes = rows.where("e IS NOT NULL").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("e").alias("e"))
+    key = ["label", "h1", "h2"]
+    once = rows.where("e IS NOT NULL").groupBy(*key, "vec_id").agg(F.first("e").alias("e"))
+    classes = once.groupBy(*key).agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("e").alias("e"))
 
     def to_bytes(batches):
         for batch in batches:
             lists = batch.column("e")
             raw = [v.values.to_numpy(zero_copy_only=False).astype(kind).tobytes() for v in lists]
-            cols = [batch.column(k) for k in ("label", "h1", "h2", "rep", "n")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(r) // int(kind[2]) for r in raw], pa.int32()), pa.array(raw, pa.binary())], names=["label", "h1", "h2", "rep", "n", "dim", "vector"])
+            cols = [batch.column(k) for k in ("label", "h1", "h2", "least", "n")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(r) // int(kind[2]) for r in raw], pa.int32()), pa.array(raw, pa.binary())], names=["label", "h1", "h2", "least", "n", "dim", "vector"])
 
-    classes = materialize(classes.mapInArrow(to_bytes, "label bigint, h1 bigint, h2 int, rep bigint, n bigint, dim int, vector binary"), "classes")
+    classes = classes.mapInArrow(to_bytes, "label bigint, h1 bigint, h2 int, least bigint, n bigint, dim int, vector binary")
+    # rep: the class's own number, since several classes can have the same smallest vec_id.
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     cell = ["label", "dim", "block", "c0", "c1"]
     full = _cells(classes, kind, threshold, False).groupBy(*cell).count().where(F.col("count") > CHUNK)
     full = materialize(full.select(*cell, F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "hot")
@@ -170,9 +175,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     found = materialize(found, "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    classes = materialize(classes, "classes")
-    out = rows.join(classes, ["label", "h1", "h2"], "left")
-    component = F.coalesce("component", "vec_id")
+    classes = classes.select("label", "h1", "h2", "least", "n", "rep").join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = materialize(classes.select(*key, "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "classes")
+    smallest = classes.groupBy("component").agg(F.min("least").alias("smallest"))
+    classes = materialize(classes.join(smallest, "component").select(*key, "n_links", "smallest"), "classes")
+    out = rows.join(classes, key, "left")
+    component = F.coalesce("smallest", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -44,6 +44,16 @@ def test_vectors(spark, monkeypatch, chunk):
     assert max(map(len, links.values())) > 5
 
 
+def test_vectors_of_one_id(spark):
+    """Rows that share a vec_id are vectors of their own; only wholly equal rows are one."""
+    r = np.random.default_rng(5)
+    a, b = ([float(x) for x in r.normal(size=16).astype(np.float32)] for _ in range(2))
+    near = [float(np.float32(x * 1.01 + 0.001)) for x in b]
+    rows = [(5, a, 0), (5, b, 1), (9, b, 1), (10, near, 1), (7, a, 0), (8, b, 2), (8, b, 2), (11, a, 3), (4, a, 3)]
+    got = sorted(map(tuple, vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()))
+    assert got == sorted([(5, 1, 5, True), (5, 2, 5, True), (9, 2, 5, False), (10, 2, 5, False), (7, 1, 5, False), (8, 0, 8, True), (8, 0, 8, True), (11, 1, 4, False), (4, 1, 4, True)])
+
+
 def test_no_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
