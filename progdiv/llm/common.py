@@ -159,6 +159,18 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
         i = j
 
 
+#: A key is hot if it has more than one row in so many; fewer keys than that are.
+HOT = 1000
+
+
+def join_by_count(rows: DataFrame, per: DataFrame, key: str) -> DataFrame:
+    """rows joined with per, which has a row for each key and the count of its rows. Rows of hot keys meet them by a
+    broadcast of fewer than HOT rows, so that no task gets all rows of a common key."""
+    least = max(1, (per.agg(F.sum("count")).first()[0] or 0) // HOT)
+    hot = F.broadcast(per.where(F.col("count") > least))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(per.where(F.col("count") <= least), key))
+
+
 def give_back() -> None:
     """Returns free memory of this worker to the system, so that a reused worker does not hold what its last task needed."""
     pa.default_memory_pool().release_unused()

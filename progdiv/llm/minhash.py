@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import drop_table, materialize, mix, pieces_of, release, text_buffer, word_bounds, word_hashes
+from progdiv.llm.common import drop_table, give_back, join_by_count, materialize, mix, pieces_of, release, text_buffer, word_bounds, word_hashes
 from progdiv.llm.graph import components
 
 BINS, ROWS = 256, 6
@@ -72,39 +72,49 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return acc
 
 
+def _set_key(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that stand for a set."""
+    return mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (shingles), hi and lo (hash of the set), bands."""
+    """doc_id, text_hash, n (shingles), hi and lo (hash of the set), bands."""
 
     def run(batches):
         probes = _probes()
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
             for piece in pieces_of(batch, "text"):
                 n, keys, bands = [], [], []
                 for s in shingle_sets(*text_buffer(piece.column("text")), k):
                     n.append(len(s))
-                    keys.append((mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
+                    keys.append(_set_key(s))
                     bands.append(_bands(signature(s, probes)).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 key = np.array(keys, dtype=np.uint64).reshape(-1, 2).view(np.int64)
                 lengths = np.cumsum([0, *map(len, bands)])
                 lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(bands)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash"), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), lists], schema=schema)
+        give_back()
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, hi bigint, lo bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, hi bigint, lo bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and shingles (their hashes)."""
+    """doc_id (here the number of a class) and shingles (their hashes) of the texts whose set has the class's key."""
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
         for batch in batches:
-            for piece in pieces_of(batch, "text"):
+            for piece in pieces_of(batch, "text", 1 << 20):
                 sets = list(shingle_sets(*text_buffer(piece.column("text")), k))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], schema=schema)
+                wanted = np.stack([piece.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")], axis=1)
+                on = [i for i, s in enumerate(sets) if _set_key(s) == tuple(wanted[i])]
+                sets = [sets[i] for i in on]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([piece.column("rep").take(pa.array(on, pa.int64())), lists], schema=schema)
+        give_back()
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select("text", "rep", "hi", "lo").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +151,8 @@ def _fronts(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     who = buckets.groupBy(F.col("x").alias("doc_id")).agg(F.first("n").alias("n"))
     rows = materialize(who.join(sets.hint("merge"), "doc_id").select("doc_id", "n", F.explode("shingles").alias("s")), "shingles")
-    ordered = rows.join(rows.groupBy("s").count(), "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("o"))
+    per = materialize(rows.groupBy("s").count(), "per")
+    ordered = join_by_count(rows, per, "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("o"))
     size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     front = F.filter(F.slice("o", F.lit(1), size), lambda x: x["count"] > 1)
     found = materialize(ordered.select("doc_id", F.explode(front).alias("f")).select("doc_id", "f.s"), "fronts")
@@ -180,7 +191,8 @@ def _rest(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -
     task of its own, so that no pair is emitted unless it is a link.
     """
     front = _fronts(buckets, sets, percent)
-    near = front.join(front.groupBy("s").agg(F.min("doc_id").alias("a")), "s").select("a", F.col("doc_id").alias("b")).distinct()
+    per = materialize(front.groupBy("s").agg(F.min("doc_id").alias("a"), F.count("*").alias("count")), "per")
+    near = join_by_count(front, per, "s").select("a", F.col("doc_id").alias("b")).distinct()
     groups = materialize(components(near).select(F.col("id").alias("doc_id"), F.col("component").alias("g")), "groups")
     rows = groups.join(sets.hint("merge"), "doc_id").join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     rows = materialize(rows.withColumn("component", F.coalesce("component", "doc_id")), "rows")
@@ -192,23 +204,29 @@ def _rest(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs.
+    """doc_id, n_shingles, component_id, kept, text_hash and component of every row of docs.
 
     Words are runs of other characters than white space, with A-Z lower-cased. Texts with equal sets are
     one class; classes are linked by candidates confirmed on full sets; component_id is the smallest
     doc_id reachable, kept tells whether it is the document's own. Texts that are null or without words have
     no shingles and link with nothing. Rows without doc_id link with nothing and are kept, with
-    no component; rows that repeat a doc_id are one document. An empty table gives no rows.
+    no component_id. Rows that repeat a doc_id are documents of their own, each with its own text's links. component is the
+    linked group's number (null for rows that link with nothing), which tells apart groups of one smallest doc_id; text_hash
+    is xxhash64 of the text. Other columns don't matter. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     sig = materialize(signatures(docs, k), "signatures")
     known = sig.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(known.groupBy("hi", "lo", "n").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep")), "classes")
+    row = F.struct("doc_id", "text_hash")
+    classes = known.groupBy("hi", "lo", "n").agg(F.min_by("bands", row).alias("bands"), F.min(row).alias("row"))
+    # rep: the class's own number, since several classes can have the same smallest doc_id.
+    classes = materialize(classes.select("hi", "lo", "n", "bands", "row.doc_id", "row.text_hash", F.monotonically_increasing_id().alias("rep")), "classes")
     members = classes.select(F.explode("bands").alias("key"), "rep", "n")
     centres = members.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
     spokes = materialize(members.join(centres, "key").select("key", "a", F.col("rep").alias("b"), "n"), "spokes")
-    ids = spokes.select(F.col("b").alias("doc_id")).distinct()
-    sets = full_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
+    needed = classes.select("doc_id", "text_hash", "hi", "lo", "rep").join(spokes.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
+    sets = full_sets(docs.join(needed.hint("merge"), ["doc_id", "text_hash"]), k).dropDuplicates(["doc_id"])
     sets = materialize(sets, "sets")
     release(docs.sparkSession)
     stars = materialize(spokes.where("a <> b").select("a", "b").distinct(), "stars")
@@ -220,8 +238,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not more.isEmpty():
             found = materialize(components(links.union(more)), "components")
 
-    classes = classes.select("hi", "lo", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = materialize(classes.select("hi", "lo", "n", F.coalesce("component", "rep").alias("component")), "classes")
+    classes = classes.select("hi", "lo", "n", "doc_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = materialize(classes.select("hi", "lo", "n", "doc_id", F.coalesce("component", "rep").alias("component")), "classes")
+    smallest = classes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    classes = materialize(classes.join(smallest, "component").select("hi", "lo", "n", "smallest", "component"), "classes")
     out = sig.join(classes, ["hi", "lo", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    has_id = F.col("doc_id").isNotNull()
+    component = F.when(has_id, F.coalesce("smallest", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash", F.when(has_id, F.col("component")).alias("component"))

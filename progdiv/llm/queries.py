@@ -27,7 +27,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
