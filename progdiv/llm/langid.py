@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import _LOWER, hash_key, mix, pieces_of, text_buffer, word_bounds, word_hashes
+from progdiv.llm.common import _IS_SPACE, _LOWER, give_back, hash_key, mix, pieces_of, text_buffer, word_bounds, word_hashes
 
-#: Bounds of the fit: documents a language, bytes a document, words of the lexicon.
-SAMPLE_DOCS, SAMPLE_BYTES, LEXICON = 120, 1 << 16, 8192
+#: Bounds of the fit: texts a language, code points a text, languages (the most frequent ones), words of the lexicon.
+SAMPLE_DOCS, SAMPLE_CHARS, LABELS, LEXICON = 120, 1 << 15, 256, 8192
+#: Bytes of text and chains handled at once, so that memory does not follow the length of a text.
+_SEGMENT, _CHAINS = 1 << 20, 4096
 #: Words of a chain.
 CHAIN = 64
 _BIGRAMS, _TRIGRAMS, _AFFIXES = 1 << 14, 1 << 16, 1 << 15
@@ -177,62 +179,120 @@ def fit(texts: list[str], labels: list[int], n_labels: int, steps: int = 30, rat
     return {"weights": p["weights"].astype(np.float32), "transitions": p["transitions"], "start": p["start"], "lexicon": lexicon}
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict | None:
-    """Fits on a hash sample of about sample_docs documents a language, of at most sample_bytes each."""
-    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, labels: int = LABELS) -> dict | None:
+    """Fits on a sample by hash of text: of each of the `labels` most frequent languages sample_docs different texts with a
+    letter, and of a longer text than sample_chars so many code points from a place that its hash gives.
+
+    None if there is no such text."""
+    letter = r"\p{L}"
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(letter)).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
+    found = counts.orderBy(F.col("n").desc(), "lang").limit(labels).collect()
+    if not found:
+        return None
+    names = sorted(r["lang"] for r in found)
+    share = F.element_at(F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample_docs / r["texts"]))))), F.col("lang"))
+    spare = F.length("text") - sample_chars
+    excerpt = F.when(spare > 0, F.substring("text", (F.pmod(F.xxhash64("h"), spare + 1) + 1).cast("int"), F.lit(sample_chars))).otherwise(F.col("text"))
+    rows = docs.where(F.col("lang").isin(names)).withColumn("u", hash_key(F.col("h"), F.lit(11))).where(F.col("u") < share)
+    rows = rows.select("lang", "h", "u", excerpt.alias("text")).groupBy("lang", "h", "u").agg(F.min("text").alias("text")).where(F.col("text").rlike(letter))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "h"))).where(F.col("k") <= sample_docs)
+    rows = sorted((r["lang"], r["k"], r["text"]) for r in rows.collect())
+    if not rows:
         return None
-    names = sorted(counts)
-    share = F.element_at(F.create_map(*(x for k in names for x in (F.lit(k), F.lit(min(1.0, sample_docs / counts[k]))))), F.col("lang"))
-    rows = docs.where(hash_key(F.col("doc_id"), F.lit(11)) < share).select("lang", "text").collect()
-    rows = sorted((r["lang"], r["text"]) for r in rows)
-    rows = [r for k in names for r in [x for x in rows if x[0] == k][: 2 * sample_docs]]
-    model = fit([r[1] for r in rows], [names.index(r[0]) for r in rows], len(names))
+    names = sorted({r[0] for r in rows})
+    model = fit([r[2] for r in rows], [names.index(r[0]) for r in rows], len(names))
     return model | {"names": names}
 
 
-def identify(docs: DataFrame, fold: int = 5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Adds held_out, lang_pred, score and certainty to docs.
+def _segments(data: np.ndarray, offsets: np.ndarray, most: int = _SEGMENT):
+    """The texts as they are or, if one is long, its pieces between white space, each with offsets."""
+    if len(data) <= 2 * most:
+        yield data, offsets, np.arange(len(offsets) - 1)
+        return
+    for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while lo < hi:
+            at = min(hi, lo + most)
+            while at < hi and not _IS_SPACE[data[at]]:
+                step = np.flatnonzero(_IS_SPACE[data[at : min(hi, at + 65536)]])
+                at = at + int(step[0]) if len(step) else min(hi, at + 65536)
+            yield data[lo:at], np.array([0, at - lo]), np.array([row])
+            lo = at
+
+
+def _label(piece: pa.Array, model: dict, with_runs: bool) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+    """Mean label probabilities of each text, mean of its words' greatest ones, and its words' labels."""
+    n, k = len(piece), len(model["names"])
+    mean, sure, count = np.zeros((n, k)), np.zeros(n), np.zeros(n)
+    labels: list[list[np.ndarray]] = [[] for _ in range(n)]
+    for data, offsets, rows in _segments(*text_buffer(piece)):
+        w = Words(data, offsets)
+        grid = chains(w.first)
+        score = emissions(w, model["weights"], model["lexicon"])
+        words = np.zeros(len(w.index), dtype=np.int64)
+        for at in range(0, len(grid), _CHAINS):
+            part = grid[at : at + _CHAINS]
+            gamma = forward_backward(score, part, w.index, model["transitions"], model["start"])
+            live = part >= 0
+            places, gamma = part[live], gamma[live]
+            owner = rows[np.searchsorted(w.first, places, side="right") - 1]
+            for y in range(k):
+                mean[:, y] += np.bincount(owner, weights=gamma[:, y], minlength=n)
+            sure += np.bincount(owner, weights=gamma.max(axis=1), minlength=n)
+            if with_runs:
+                words[places] = gamma.argmax(axis=1)
+        count[rows] += np.diff(w.first)
+        if with_runs:
+            for row, lo, hi in zip(rows, w.first[:-1], w.first[1:], strict=True):
+                labels[row].append(words[lo:hi])
+    count = np.maximum(count, 1)
+    return mean / count[:, None], sure / count, labels
+
+
+def _runs(labels: list[np.ndarray], names: list[str]) -> list[dict]:
+    y = np.concatenate([np.zeros(0, np.int64), *labels])
+    cut = np.flatnonzero(np.diff(y)) + 1
+    starts, ends = np.append(0, cut), np.append(cut, len(y))
+    return [{"word": int(a), "words": int(b - a), "lang": names[y[a]]} for a, b in zip(starts, ends, strict=True)] if len(y) else []
+
+
+def identify(docs: DataFrame, fold: int = 5, sample_docs: int = SAMPLE_DOCS, with_runs: bool = False) -> DataFrame:
+    """Adds held_out, lang_pred, score, certainty (and lang_runs) to docs.
 
     score is the mean over words of the label's probability, certainty that of each word's own best label, so that text
-    in several languages is as certain as text in one. Learns from text and lang of rows with a lang whose crc32 of
-    doc_id as text is not divisible by fold. Texts that are null or without a letter get und with score and certainty 0,
-    as does every text if nothing can be learned from; texts whose only words carry no known feature get the prior. Rows
-    without doc_id are learned from and labelled; repeated rows are labelled each; an empty table gives no rows. Columns
-    of docs named like the new ones are replaced.
+    in several languages is as certain as text in one; lang_runs are the neighbouring words of one label, as number of the
+    first word, number of words and label. Learns from text and lang of rows with a lang whose crc32 of
+    doc_id as text is not divisible by fold; a text is drawn by its own hash, so repeated rows count once there. Texts that
+    are null or without a letter get und with score and certainty 0, as does every text if nothing can be learned from; texts
+    whose only words carry no known feature get the prior. Rows without doc_id are learned from and labelled; repeated rows are
+    labelled each; long texts are labelled whole, in segments of about 1 MB between white space; an empty table gives no rows.
+    Columns of docs named like the new ones are replaced.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == 0, F.lit(False))
-    docs = docs.drop("held_out", "lang_pred", "score", "certainty")
+    docs = docs.drop("held_out", "lang_pred", "score", "certainty", "lang_runs")
     model = learn(docs.where(~held), sample_docs)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    runs_type = "array<struct<word:int,words:int,lang:string>>"
     if model is None:
-        return docs.withColumns({"held_out": held, "lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "certainty": F.lit(0.0)})
+        out = docs.withColumns({"held_out": held, "lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "certainty": F.lit(0.0)})
+        return out.withColumn("lang_runs", F.array().cast(runs_type)) if with_runs else out
     flat = docs.withColumns({"held_out": held, "_letters": letters})
-    out_type = "lang_pred string, score double, certainty double"
+    out_type = "lang_pred string, score double, certainty double" + f", lang_runs {runs_type}" * with_runs
 
     def run(batches):
         names = np.array(model["names"], dtype=object)
         for batch in batches:
-            for piece in pieces_of(batch, "text"):
-                w = Words(*text_buffer(piece.column("text")))
-                grid = chains(w.first)
-                score = emissions(w, model["weights"], model["lexicon"])
-                mean, sure = np.zeros((piece.num_rows, len(names))), np.zeros(piece.num_rows)
-                if len(grid):
-                    gamma = forward_backward(score, grid, w.index, model["transitions"], model["start"])
-                    live = grid >= 0
-                    owner = np.searchsorted(w.first, grid[live], side="right") - 1
-                    for k in range(len(names)):
-                        mean[:, k] = np.bincount(owner, weights=gamma[live][:, k], minlength=piece.num_rows)
-                    mean /= np.maximum(np.diff(w.first), 1)[:, None]
-                    sure = np.bincount(owner, weights=gamma[live].max(axis=1), minlength=piece.num_rows) / np.maximum(np.diff(w.first), 1)
+            for piece in pieces_of(batch, "text", _SEGMENT):
+                mean, sure, labels = _label(piece.column("text"), model, with_runs)
                 on = piece.column("_letters").to_numpy(zero_copy_only=False)
-                best = mean.argmax(axis=1)
-                label = np.where(on, names[best], UNKNOWN)
+                label = np.where(on, names[mean.argmax(axis=1)], UNKNOWN)
                 kept = [i for i, n in enumerate(piece.schema.names) if n != "_letters"]
                 cols = [piece.column(i) for i in kept] + [pa.array(label, pa.string()), *(pa.array(np.where(on, np.clip(x, 0, 1), 0.0)) for x in (mean.max(axis=1), sure))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(piece.schema.names[i] for i in kept), "lang_pred", "score", "certainty"])
+                if with_runs:
+                    kind = pa.list_(pa.struct([("word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
+                    cols.append(pa.array([_runs(x, model["names"]) if o else [] for x, o in zip(labels, on, strict=True)], kind))
+                yield pa.RecordBatch.from_arrays(cols, names=[*(piece.schema.names[i] for i in kept), "lang_pred", "score", "certainty", *["lang_runs"] * with_runs])
+        give_back()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema if f.name != "_letters")
     return flat.mapInArrow(run, f"{ddl}, {out_type}")
