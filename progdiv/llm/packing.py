@@ -6,6 +6,7 @@ with multiplicities; a document takes the planned slot that has its rank among t
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -20,12 +21,22 @@ from pyspark.sql import functions as F
 from progdiv.llm.common import materialize
 
 CAPACITY = 2048
-#: Salts of the rank within a length; ranks of a salt follow those of smaller salts.
-SALTS = 256
+#: Pieces of one length that are ranked together.
+RANKED = 1 << 17
 _STOPS = ".,;:!?"
 #: Whether an array of this kind has the bytes that ids are kept in.
 _FOUR = array("I").itemsize == 4 and sys.byteorder == "little"
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+# How a tokenizer is configured for which white-space pieces can be encoded apart.
+_SHAPE = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    sorted(_SPECIAL),
+]
 
 
 def default_tokenizer() -> str:
@@ -37,7 +48,8 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's own.
 
-    The tokenizer drops white space and no token crosses it, so ids are kept per white-space piece. When the
+    Any tokenizer may be given; only one that is built like _SHAPE takes the way by pieces, others encode whole texts.
+    That tokenizer drops white space and no token crosses it, so ids are kept per white-space piece. When the
     store of pieces holds `most` it becomes the older one, from which pieces still in use move back; that bounds
     memory and changes time but no result.
     """
@@ -47,6 +59,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model = {k: v for k, v in made["model"].items() if k not in ("vocab", "merges")}
+        special = sorted(t["content"] for t in made["added_tokens"])
+        self.by_piece = [made["normalizer"], made["pre_tokenizer"], model, special] == _SHAPE
         self.model = self.whole.model
         self.most, self.store, self.older = most, {}, {}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,6 +99,8 @@ class WordEncoder:
             store[piece] = self._pack(e.ids)
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_piece:
+            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         try:
             text.encode("latin-1")
             low = text.lower()
@@ -165,15 +184,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return slots
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds rank: 0, 1, ... within each length, from ranks within salts and running counts of the salts."""
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = pieces.groupBy("length", "salt").count()
+def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds rank: 0, 1, ... within each length, from ranks within salts and running counts of the salts.
+
+    A length has as many salts as its count asks for, and salts come from place, a number that every piece has for
+    itself, so that neither a common length nor equal rows meet in one task."""
+    salts = F.element_at(F.create_map(*(x for n, c in counts.items() for x in (F.lit(n), F.lit(-(-c // RANKED))))), F.col("length").cast("int")) if counts else F.lit(1)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("place"), salts))
+    per = pieces.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    per = per.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy("length", "salt").orderBy("place")
     pieces = pieces.withColumn("own", F.row_number().over(own))
-    return pieces.join(counts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("salt", "own", "before")
+    return pieces.join(per, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("salt", "own", "before", "place")
 
 
 def place(pieces: DataFrame, slots: list[tuple[int, int, int, int, int]]) -> DataFrame:
@@ -201,9 +224,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """doc_id, piece, start, length, ids_crc32 (ids), sequence_id, offset of every piece of docs.
 
     A null or empty text is the end id alone; longer documents than capacity are cut into pieces of capacity
-    tokens; rows that repeat a doc_id are packed each, and rows without one too; an empty table gives no rows.
+    tokens; rows that repeat a doc_id are packed each, and rows without one too; other columns don't matter; texts are encoded
+    whole, however long; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    pieces = materialize(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end, with_ids), "pieces")
+    pieces = token_pieces(docs, tokenizer or default_tokenizer(), capacity, end, with_ids).withColumn("place", F.monotonically_increasing_id())
+    pieces = materialize(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    return place(ranked(pieces), plan(counts, capacity))
+    return place(ranked(pieces, counts), plan(counts, capacity))
