@@ -196,9 +196,9 @@ def _rest(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -
     groups = materialize(components(near).select(F.col("id").alias("doc_id"), F.col("component").alias("g")), "groups")
     rows = groups.join(sets.hint("merge"), "doc_id").join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     rows = materialize(rows.withColumn("component", F.coalesce("component", "doc_id")), "rows")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("w"))
-    sizes = sizes.select("g", F.greatest(F.least(F.ceil(F.col("m") / 48), F.lit(32)), F.ceil(F.col("m") / 1024), F.ceil(F.col("w") / 1_000_000)).cast("int").alias("chunks"))
-    rows = rows.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("count"), F.sum(F.size("shingles")).alias("w"))
+    sizes = materialize(sizes.select("g", "count", F.greatest(F.least(F.ceil(F.col("count") / 48), F.lit(32)), F.ceil(F.col("count") / 1024), F.ceil(F.col("w") / 1_000_000)).cast("int").alias("chunks")), "sizes")
+    rows = join_by_count(rows, sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("g", "doc_id", "component", "shingles", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     return materialize(rows.groupBy("g", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a bigint, b bigint"), "links")
 
