@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, with DataFrame functions alone.
 
-Words are hashed once; k-gram hashes roll by combining neighbours (k = 3), windows of w grams take their
+Words are hashed once; a k-gram's hash is the rolling one of Karp and Rabin, a polynomial in BASE over its words' hashes
+modulo PRIME: the grams' sums are those of the one word shorter grams, rolled on by a word. Windows of w grams take their
 minimum by doubling steps, ties going to the rightmost. Selected positions are kept: any passage of
 w + k - 1 words shared by two texts shares a selected gram.
 """
@@ -12,9 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import SPACES  # noqa: F401
-
 K, W = 3, 8
+#: The largest prime below 2^33, and a base that keeps products below 2^63.
+PRIME, BASE = (1 << 33) - 9, 536_870_909
 #: A packed gram: 33 bits of its hash above the complement of its position, so that the least is the
 #: least hash and, of equal hashes, the rightmost.
 _POS = 30
@@ -25,19 +26,25 @@ def _shifted(a: str, by: int, combine) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(by + 1), n), combine)
 
 
+def _rolled(h: Column, word: Column) -> Column:
+    return F.pmod(h * F.lit(BASE) + word, F.lit(PRIME))
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `out`: packed selected grams in order of position; texts with at most W grams keep all grams.
 
     A text without words has none; with fewer than K words its only gram is the whole sequence of words.
     """
     keep = list(df.columns)
-    df = df.withColumn("_a", F.transform(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    df = df.select(*keep, F.when(F.size("_a") < K, F.when(F.size("_a") > 0, F.array(F.xxhash64("_a"))).otherwise(F.array().cast("array<bigint>"))).alias("_few"), "_a")
-    two = F.when(F.col("_few").isNull(), _shifted("_a", 1, lambda x, y: F.xxhash64(x, y)))
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    df = df.withColumn("_a", F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME))))
+    whole = F.aggregate("_a", F.lit(0).cast("long"), _rolled)
+    df = df.select(*keep, F.when(F.size("_a") < K, F.when(F.size("_a") > 0, F.array(whole)).otherwise(F.array().cast("array<bigint>"))).alias("_few"), "_a")
+    two = F.when(F.col("_few").isNull(), _shifted("_a", 1, _rolled))
     df = df.select(*keep, "_few", "_a", two.alias("_two"))
     n = F.size("_two") - 1
-    grams = F.coalesce("_few", F.zip_with(F.slice("_two", F.lit(1), n), F.slice("_a", F.lit(3), n), lambda x, y: F.xxhash64(x, y)))
-    packed = F.transform(grams, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 31), _POS) + (F.lit((1 << _POS) - 1) - i))
+    grams = F.coalesce("_few", F.zip_with(F.slice("_two", F.lit(1), n), F.slice("_a", F.lit(3), n), _rolled))
+    packed = F.transform(grams, lambda h, i: F.shiftleft(h, _POS) + (F.lit((1 << _POS) - 1) - i))
     df = df.select(*keep, packed.alias("_m"))
     df = df.select(*keep, F.when(F.size("_m") <= W, F.col("_m")).alias("_all"), "_m")
     by = 1
@@ -115,7 +122,8 @@ def edited(text: str, following: str) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text, fingerprint, next_text, next_fingerprint, edited, edited_fingerprint of every document.
 
-    Null texts are empty; an empty table gives no rows; repeated rows follow each other.
+    Null texts are empty; an empty table gives no rows; repeated rows follow each other, by text; rows without doc_id
+    come first; texts are taken whole, up to 2^30 words; other columns don't matter.
     """
     spark = docs.sparkSession
     parts = min(65_536, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
