@@ -22,13 +22,23 @@ from progdiv.llm.common import drop_table, materialize
 
 #: Levels of calls kept as tables of their own before they are written as one.
 _LEVELS = 32
+#: Dependencies of a conversation that one task orders.
+_SMALL = 1 << 16
 #: Turns ranked together.
 _SPAN = 256
 _CALL = "array<struct<id:string,name:string,arguments:string,needs:array<string>,problems:array<string>>>"
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Canonical JSON; ValueError for numbers that JSON lacks and for text that UTF-8 lacks."""
+    made = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    made.encode()
+    return made
+
+
+def _object(fields: dict[str, str]) -> str:
+    """An object of values that are canonical already."""
+    return "{" + ",".join(f'"{k}":{fields[k]}' for k in sorted(fields)) + "}"
 
 
 def _is(value: Any, kind: str) -> bool:
@@ -78,19 +88,27 @@ def _needs(value: Any) -> list[str]:
 
 
 def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> dict:
-    """content, calls and result_id of one message. Text that is not such JSON is plain content."""
+    """content, calls and result_id of one message.
+
+    Text that is not such JSON is plain content, and so is JSON nested too deep to read, or with numbers beyond doubles,
+    NaN or lone surrogates, which have no canonical form."""
     plain = {"content": text, "calls": [], "result_id": None}
     if not text or role not in ("assistant", "tool") or not text.lstrip().startswith("{"):
         return plain
     try:
         value = json.loads(text)
-    except ValueError:
+        canonical(value)
+        return _message(role, value, schemas) or plain
+    except (ValueError, RecursionError):
         return plain
+
+
+def _message(role: str, value: dict, schemas: dict[str, dict]) -> dict | None:
     if role == "tool" and isinstance(value.get("tool_call_id"), str):
         content = value.get("content")
         return {"content": content if isinstance(content, str) or content is None else canonical(content), "calls": [], "result_id": value["tool_call_id"]}
     if role != "assistant" or not isinstance(value.get("tool_calls"), list):
-        return plain
+        return None
     calls = []
     for c in value["tool_calls"]:
         c = c if isinstance(c, dict) else {}
@@ -98,8 +116,10 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> dict:
         arguments = c.get("arguments", {})
         if isinstance(arguments, str):
             try:
-                arguments = json.loads(arguments)
-            except ValueError:
+                parsed = json.loads(arguments)
+                canonical(parsed)
+                arguments = parsed
+            except (ValueError, RecursionError):
                 problems.append("arguments are not JSON")
         name = c.get("name")
         if isinstance(name, str):
@@ -121,13 +141,10 @@ def _parsed(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return messages.mapInArrow(run, f"message bigint, conv_id bigint, turn bigint, role string, content string, calls {_CALL}, result_id string")
 
 
-def _depths(calls: DataFrame) -> DataFrame:
-    """conv_id, id, depth: 0 without dependencies, else one more than the deepest; null in a cycle or behind one.
-
-    Each round finds the calls of one depth, until a round makes no call ready.
-    """
+def _by_rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """conv_id, id, depth of the calls that edges reach. Each round finds the calls of one depth, until a round makes no call
+    ready."""
     key = ["conv_id", "id"]
-    edges = materialize(calls.select("conv_id", "id", F.explode("needs").alias("need")).join(calls.select("conv_id", F.col("id").alias("need")).distinct(), ["conv_id", "need"]).distinct(), "needs")
     level = materialize(calls.select(*key).distinct().join(edges, key, "left_anti").withColumn("depth", F.lit(0)), "depths")
     levels, depth = [level], 0
     while not edges.isEmpty() and not level.isEmpty():
@@ -147,6 +164,47 @@ def _depths(calls: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, levels)
 
 
+def _in_one(table: pa.Table) -> pa.Table:
+    """Depths of one conversation's calls that have or are dependencies."""
+    conv = table.column("conv_id")[0]
+    needs: dict[str, list[str]] = {}
+    users: dict[str, list[str]] = {}
+    for a, b in zip(table.column("id").to_pylist(), table.column("need").to_pylist(), strict=True):
+        needs.setdefault(a, []).append(b)
+        users.setdefault(b, []).append(a)
+    open_ = {a: len(x) for a, x in needs.items()}
+    ready, depth, found = [b for b in users if b not in needs], 0, {}
+    while ready:
+        found |= dict.fromkeys(ready, depth)
+        after = []
+        for b in ready:
+            for a in users.get(b, ()):
+                open_[a] -= 1
+                if not open_[a]:
+                    after.append(a)
+        ready, depth = after, depth + 1
+    return pa.table([pa.array([conv.as_py()] * len(found), pa.int64()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], names=["conv_id", "id", "depth"])
+
+
+def _depths(calls: DataFrame) -> DataFrame:
+    """conv_id, id, depth: 0 without dependencies, else one more than the deepest; no row in a cycle or behind one.
+
+    Conversations of at most _SMALL dependencies are ordered by one task each, larger ones by rounds over all.
+    """
+    key = ["conv_id", "id"]
+    known = calls.select("conv_id", F.col("id").alias("need")).distinct()
+    edges = materialize(calls.select("conv_id", "id", F.explode("needs").alias("need")).join(known, ["conv_id", "need"]).distinct(), "needs")
+    large = materialize(edges.groupBy("conv_id").count().where(F.col("count") > _SMALL).select("conv_id"), "large")
+    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInArrow(_in_one, "conv_id bigint, id string, depth int")
+    one = calls.select(*key).distinct().where("conv_id IS NOT NULL")
+    free = one.join(edges.select(*key).union(edges.select("conv_id", "need")), key, "left_anti").withColumn("depth", F.lit(0))
+    found = materialize(free.union(small), "depths")
+    if large.isEmpty():
+        return found
+    rounds = _by_rounds(calls.join(large, "conv_id", "left_semi"), materialize(edges.join(large, "conv_id", "left_semi"), "needs"))
+    return found.union(rounds.join(found, key, "left_anti"))
+
+
 def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """conv_id, turn, role, position, json, n_calls, n_linked, n_valid, problems: one row a message.
 
@@ -188,14 +246,14 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
                     n_linked += f["linked"]
                     n_valid += not c["problems"]
                     problems += [f"{c['id']}: {p}" for p in c["problems"]] + [f"{c['id']}: no result"] * (not f["linked"]) + [f"{c['id']}: cycle"] * (f["depth"] is None)
-                    made.append((f["depth"] if f["depth"] is not None else math.inf, at, {"arguments": json.loads(c["arguments"]), "id": c["id"], "name": c["name"]}))
-                message = {"content": r["content"], "role": r["role"]}
-                if made:
-                    message["tool_calls"] = [m[2] for m in sorted(made, key=lambda m: m[:2])]
+                    made.append((f["depth"] if f["depth"] is not None else math.inf, at, {"arguments": c["arguments"], "id": canonical(c["id"]), "name": canonical(c["name"])}))
+                message = {"content": canonical(r["content"]), "role": canonical(r["role"])}
                 if r["result_id"] is not None:
-                    message["tool_call_id"] = r["result_id"]
+                    message["tool_call_id"] = canonical(r["result_id"])
                     problems += [f"{r['result_id']}: no call"] * (not r["has_call"]) + [f"{r['result_id']}: before its call"] * bool(r["early"])
-                for k, v in zip(out, (canonical(message), len(made), n_linked, n_valid, problems), strict=True):
+                if made:
+                    message["tool_calls"] = "[" + ",".join(_object(m[2]) for m in sorted(made, key=lambda m: m[:2])) + "]"
+                for k, v in zip(out, (_object(message), len(made), n_linked, n_valid, problems), strict=True):
                     out[k].append(v)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("conv_id", "turn", "role", "position")), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["conv_id", "turn", "role", "position", *out])

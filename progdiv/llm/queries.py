@@ -53,14 +53,44 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         winnowing.digest("fingerprint").alias("fingerprint"), winnowing.digest("edited_fingerprint").alias("edited_fingerprint"),
+        F.array_join(F.transform(winnowing.positions("fingerprint"), lambda p: p.cast("string")), ",").alias("positions"),
         winnowing.gram_hashes("fingerprint").alias("own"), winnowing.gram_hashes("edited_fingerprint").alias("new"), winnowing.gram_hashes("next_fingerprint").alias("next"),
     )
-    return out.withColumns({"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}).drop("own", "new", "next")
+    near = {"near_edited": winnowing.likeness("own", "new"), "near_next": winnowing.likeness("own", "next")}
+    return out.withColumns(near).drop("own", "new", "next")
+
+
+#: Schemas of the tools that with_calls has the assistant call.
+TOOLS = {
+    "measure": {"type": "object", "required": ["chars"], "properties": {"chars": {"type": "integer", "maximum": 1000}, "after": {"type": "object"}}, "additionalProperties": False},
+    "store": {"type": "object", "required": ["value"], "properties": {"value": {"type": "integer"}}},
+}
+
+
+def with_calls(messages: DataFrame) -> DataFrame:
+    """The messages with tool calls made of them, as the table itself has none.
+
+    Every assistant message with a turn calls two tools: store, which needs the result of measure, which needs that of the
+    assistant's turn before. Two tool messages follow it with the results, the latter first; measure has none
+    for texts whose length 5 divides.
+    """
+    turn, n = F.col("turn").cast("string"), F.length("text")
+    calls = F.col("role").eqNullSafe("assistant") & F.col("turn").isNotNull() & F.col("text").isNotNull()
+    needs = F.when(F.col("turn") >= 3, F.struct(F.concat(F.lit("a"), (F.col("turn") - 2).cast("string")).alias("$result")))
+    store = F.struct(F.concat(F.lit("b"), turn).alias("id"), F.lit("store").alias("name"), F.to_json(F.struct(F.struct(F.concat(F.lit("a"), turn).alias("$result")).alias("value"))).alias("arguments"))
+    measure = F.struct(F.concat(F.lit("a"), turn).alias("id"), F.lit("measure").alias("name"), F.to_json(F.struct(n.alias("chars"), needs.alias("after"))).alias("arguments"))
+    text = F.when(calls, F.to_json(F.struct(F.col("text").alias("content"), F.array(store, measure).alias("tool_calls")))).otherwise(F.col("text"))
+    result = lambda name, value: F.to_json(F.struct(F.concat(F.lit(name), turn).alias("tool_call_id"), value.alias("content")))
+    results = F.array(result("b", F.lit("stored")), F.when(n % 5 != 0, result("a", n.cast("string"))))
+    rows = messages.select("conv_id", "turn", "role", text.alias("text"))
+    return rows.union(messages.where(calls).select("conv_id", "turn", F.lit("tool"), F.explode(F.array_compact(results))))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """schemas: JSON Schema of the arguments by tool name; without it every call is of an unknown tool."""
-    out = chat.format_chats(table(spark, sf_dir, "conversations"), schemas)
+    """Every message of the table, and those that with_calls adds, against TOOLS; with schemas (JSON Schema of the arguments by
+    tool name) the messages as they are."""
+    messages = table(spark, sf_dir, "conversations")
+    out = chat.format_chats(messages, schemas) if schemas is not None else chat.format_chats(with_calls(messages), TOOLS)
     return out.withColumn("problems", F.array_join("problems", "; "))
 
 
@@ -82,10 +112,15 @@ SQL: dict[str, str] = {
         links AS (SELECT a, b FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i.k >= 80 * (x.k + y.k - i.k)),
         {_REACH}
         SELECT id AS doc_id, k AS n_shingles, component_id, id = component_id AS kept FROM least JOIN n USING (id)""",
-    # No message of the tables is a tool call, so the SQL has no links to make.
     "op10_chat": """
-        SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
-            '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json,
-            CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_valid, '' AS problems
-        FROM conversations""",
+        WITH m AS (SELECT *, length(text) AS n, role = 'assistant' AS calls, 'a' || turn AS a, 'b' || turn AS b, coalesce(CAST(to_json(text) AS VARCHAR), 'null') AS body FROM conversations),
+        r AS (SELECT conv_id, turn, role, 0 AS phase, 0 AS depth, text,
+                '{"content":' || body || ',"role":' || to_json(role) || CASE WHEN calls THEN ',"tool_calls":[{"arguments":{' || CASE WHEN turn >= 3 THEN '"after":{"$result":"a' || (turn - 2) || '"},' ELSE '' END
+                    || '"chars":' || n || '},"id":"' || a || '","name":"measure"},{"arguments":{"value":{"$result":"' || a || '"}},"id":"' || b || '","name":"store"}]' ELSE '' END || '}' AS json,
+                CASE WHEN calls THEN 2 ELSE 0 END AS n_calls, CASE WHEN calls THEN 1 + CAST(n % 5 <> 0 AS INT) ELSE 0 END AS n_linked, CASE WHEN calls THEN 1 + CAST(n <= 1000 AS INT) ELSE 0 END AS n_valid,
+                CASE WHEN calls THEN concat_ws('; ', CASE WHEN n > 1000 THEN a || ': $.chars: above maximum' END, CASE WHEN n % 5 = 0 THEN a || ': no result' END) ELSE '' END AS problems FROM m
+            UNION ALL SELECT conv_id, turn, 'tool', 1, 1, 'stored', '{"content":"stored","role":"tool","tool_call_id":"' || b || '"}', 0, 0, 0, '' FROM m WHERE calls
+            UNION ALL SELECT conv_id, turn, 'tool', 1, 0, CAST(n AS VARCHAR), '{"content":"' || n || '","role":"tool","tool_call_id":"' || a || '"}', 0, 0, 0, '' FROM m WHERE calls AND n % 5 <> 0)
+        SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, phase, depth, role, text) - 1 AS position, json,
+            CAST(n_calls AS BIGINT) AS n_calls, CAST(n_linked AS BIGINT) AS n_linked, CAST(n_valid AS BIGINT) AS n_valid, problems FROM r""",
 }

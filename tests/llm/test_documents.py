@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from progdiv.llm import langid, lm, minhash, mixing, packing, repeats, secrets, winnowing
 
@@ -245,6 +246,32 @@ def test_mixing(docs):
     assert Counter(r["doc_id"] for r in mixed.collect()) == +want
 
 
+def test_mixing_of_equal_rows(spark):
+    """Rows without doc_id, and rows equal in all, are drawn each, and reruns agree."""
+    r = random.Random(1)
+    rows = [(None, " ".join(["w"] * 10 + [str(i)]), "a") for i in range(400)] + [(None, "x y z", "a")] * 300 + [(4, "x y z", None)] * 300 + [(5, "q " * r.randint(1, 9), "b") for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix_sources(docs).collect()
+    for s in ("a", "b", None):
+        mine = [x for x in out if x["source"] == s]
+        assert sum(x["taken"] for x in mine) == pytest.approx(mine[0]["target"], rel=0.03) and all(x["taken"] <= 2 * x["size"] for x in mine)
+    assert Counter(map(tuple, out)) == Counter(map(tuple, mixing.mix_sources(docs.repartition(3)).collect()))
+    assert mixing.mixed(docs).count() == sum(x["copies"] for x in out)
+
+
+def test_targets_of_many_sources(spark):
+    """Water-filling over more sources than a range holds."""
+    sizes = [(f"s{i:03d}" if i else None, (i * 37) % 101) for i in range(150)]
+    names = sorted(s for s, _ in sizes if s) + [None]
+    size, weight = dict(sizes), dict(zip(names, itertools.cycle((3, 1, 2))))
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(weight[s] * mid, 2 * size[s]) for s in names) < 1.5 * sum(size.values()) else (low, mid)
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, size int")).collect()}
+    assert got == {s: pytest.approx(min(weight[s] * low, 2 * size[s])) for s in names}
+
+
 def test_mixing_comes_near(spark):
     r = random.Random(1)
     rows = [(i, " ".join(["w"] * r.randint(1, 60)), r.choice("abc")) for i in range(600)]
@@ -336,6 +363,46 @@ def test_language(docs):
     assert all(r["held_out"] == held(i, 5) and 0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de", "und") for i, r in out.items())
 
 
+SAYS = {"en": ["the", "house", "there", "running", "with", "thing"], "de": ["schön", "häuser", "nicht", "über", "straße", "zwölf"], "es": ["niño", "señor", "mañana", "corazón", "pequeño", "años"]}
+
+
+def said(r, lang, n):
+    return " ".join(r.choice(SAYS[lang]) + r.choice(["", "", "s", "en"]) for _ in range(n))
+
+
+def test_language_of_rows_without_ids(spark):
+    """Learned from rows without doc_id or with one, from copies, and from texts that are all long."""
+    r = random.Random(2)
+    for n, length, ident in ((300, 12, None), (300, 12, 1), (6, 20_000, None)):
+        rows = [(ident, said(r, lang, length), lang) for lang in SAYS for _ in range(n)] + [(ident, said(r, "en", 9), "en")] * 200 + [(ident, said(r, "es", 9), "es")] * 3
+        out = langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+        assert sum(x["lang"] == x["lang_pred"] for x in out) >= 0.97 * len(rows) and all(0 <= x["score"] <= 1 for x in out)
+
+
+def test_language_without_words_to_learn_from(spark):
+    rows = [(i, "12 34", "en") for i in range(30)] + [(None, "hello world", None), (3, "hello", "de") if held(3, 5) else (next(i for i in range(99) if held(i, 5)), "hello", "de")]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), with_runs=True).collect()
+    assert {(x["lang_pred"], x["score"], x["certainty"]) for x in out} == {("und", 0.0, 0.0)}
+
+
+def test_language_of_words_in_mixed_texts(spark, monkeypatch):
+    """Labels of single words of code-switched texts, and a text of 5 MB in segments like its parts."""
+    r = random.Random(6)
+    rows = [(i, said(r, lang, 30), lang) for i, lang in enumerate(list(SAYS) * 60)]
+    parts = {1000 + i: [(lang, r.randint(6, 14)) for lang in r.sample(list(SAYS), 3)] for i in range(20)}
+    rows += [(i, " ".join(said(r, lang, n) for lang, n in p), None) for i, p in parts.items()]
+    rows.append((2000, said(r, "de", 650_000), None))
+    out = {x["doc_id"]: x for x in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), with_runs=True).collect()}
+    right = total = 0
+    for i, p in parts.items():
+        truth = [lang for lang, n in p for _ in range(n)]
+        found = [y["lang"] for y in out[i]["lang_runs"] for _ in range(y["words"])]
+        assert len(found) == len(truth) and [y["word"] for y in out[i]["lang_runs"]] == list(itertools.accumulate([0, *(y["words"] for y in out[i]["lang_runs"][:-1])]))
+        right, total = right + sum(map(str.__eq__, truth, found)), total + len(truth)
+    assert right >= 0.95 * total
+    assert out[2000]["lang_pred"] == "de" and sum(y["words"] for y in out[2000]["lang_runs"]) == 650_000
+
+
 def test_forward_backward_against_enumeration():
     r = np.random.default_rng(1)
     score, t, start = r.normal(size=(6, 3)), r.normal(size=(3, 3)), r.normal(size=3)
@@ -372,8 +439,17 @@ def test_packing(docs):
     assert max(at.values()) <= 2048 and len(at) == -(-sum(r["length"] for r in out) // 2048)
 
 
+def test_word_encoder_of_another_tokenizer():
+    import public_tokenizers
+
+    encode = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for x in ("", "The Quick  fox.\n", "don't É 中 <|endoftext|>", "a" * 5000):
+        assert not encode.by_piece and encode(x) == np.array(encode.whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_word_encoder_equals_tokenizer():
     encode = packing.WordEncoder(packing.default_tokenizer(), most=40)
+    assert encode.by_piece
     r = random.Random(1)
     parts = ["a", "B", "é", "É", "ß", "Σ", "ς", "İ", "中", "'s", "don't", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1c", "\xa0", " ", "\n", "́", "1", "99", "...", "!?", "—", "ñ", "º", "\x85", "ﬁ", "😀"]
     for _ in range(800):
@@ -393,6 +469,22 @@ def test_plan():
                 assert offset == filled[sequence + j]
                 filled[sequence + j] += length
         assert ranks == Counter(counts) and max(filled.values()) <= 40
+        rooms = []  # best-fit, document by document
+        for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+            fits = [x for x in rooms if x >= length]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 40) - length)
+        assert len(filled) == len(rooms)
+
+
+@pytest.mark.parametrize("ranked", [1 << 17, 3])
+def test_packing_of_equal_rows(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
+    rows = [(None, "a b c")] * 50 + [(7, "word " * 5000)] * 3 + [(7, None)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert len(out) == 50 + 9 + 1 and len({(r["sequence_id"], r["offset"]) for r in out}) == len(out)
+    assert len({r["sequence_id"] for r in out}) == -(-sum(r["length"] for r in out) // 2048)
 
 
 def hashes(r):
@@ -413,6 +505,39 @@ def test_winnowing(docs):
         assert by_text.setdefault(r["text"], r["fingerprint"]) == r["fingerprint"]
 
 
+def fingerprint(text):
+    h = [(xxhash.xxh64_intdigest(w.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63) for w in WORD.findall(text)]
+    h, p, b = [x % winnowing.PRIME for x in h], winnowing.PRIME, winnowing.BASE
+    if len(h) < winnowing.K:
+        grams = [sum(x * b ** (len(h) - 1 - i) for i, x in enumerate(h)) % p] if h else []
+    else:
+        grams = [(x * b * b + y * b + z) % p for x, y, z in zip(h, h[1:], h[2:], strict=False)]
+    at = range(len(grams))
+    if len(grams) > winnowing.W:
+        at = sorted({min(range(i, i + winnowing.W), key=lambda j: (grams[j], -j)) for i in range(len(grams) - winnowing.W + 1)})
+    return [(grams[j], j) for j in at]
+
+
+def test_fingerprints_of_the_query(spark, tmp_path):
+    """Every column against brute force."""
+    from progdiv.llm.queries import op9_fingerprints
+
+    rows = [x for x in ROWS if x[0] is not None and x[0] != 3]
+    spark.createDataFrame([x[:5] for x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted((x[0], x[1] or "") for x in rows)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    sha = lambda marks: hashlib.sha256(",".join(str((g << 30) + (1 << 30) - 1 - j) for g, j in marks).encode()).hexdigest()
+    want = {}
+    for (i, t), (_, f) in zip(rows, rows[1:] + rows[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + f[: len(t) // 4]
+        own, new, after = map(fingerprint, (t, edited, f))
+        sets = [{g for g, _ in x} for x in (own, new, after)]
+        want[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), sha(own), sha(new), ",".join(str(j) for _, j in own), like(*sets[:2]), like(sets[0], sets[2]))
+    names = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "positions", "near_edited", "near_next")
+    got = {r["doc_id"]: tuple(r[k] for k in names) for r in op9_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_winnowing_guarantee(spark):
     """Positions are minima of their windows, rightmost on ties, and a shared passage shares a gram."""
     r = random.Random(8)

@@ -126,11 +126,36 @@ def test_chat_query_takes_schemas(spark, tmp_path):
 
     rows = [(1, 0, "assistant", json.dumps({"tool_calls": [call("a", x=1, y=2), call("b", x=1, y=-2)]})), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "3"}))]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    for schemas, n_valid, problems in ((SCHEMAS, 1, "b: $.y: below minimum; b: no result"), (None, 0, "a: unknown tool; b: unknown tool; b: no result")):
+    for schemas, n_valid, problems in ((SCHEMAS, 1, "b: $.y: below minimum; b: no result"), ({}, 0, "a: unknown tool; b: unknown tool; b: no result")):
         r = op10_chat(spark, str(tmp_path), schemas).where("turn = 0").first()
         assert (r["n_calls"], r["n_linked"], r["n_valid"], r["problems"]) == (2, 1, n_valid, problems)
 
 
+def test_chat_of_hostile_json(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    texts = ['{"tool_calls": ' + deep + "}", '{"tool_calls": [{"id": "a", "name": "add", "arguments": {"x": ' + deep + "}}]}", json.dumps({"tool_calls": [call("a", x=1, y=2)], "content": "\ud800"}), '{"tool_calls": [], "content": NaN}', '{"tool_calls": [], "content": 1e999}', "{", "{}", '{"tool_calls": 3}', '{"a": ' + "9" * 5000 + "}"]
+    inside = ['"' + "\\ud800" + '"', "NaN", "1e999", deep, "{"]
+    rows = [(1, i, "assistant", t) for i, t in enumerate(texts)] + [(2, i, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": t}]})) for i, t in enumerate(inside)]
+    rows += [(3, 0, "assistant", json.dumps({"tool_calls": [{"name": 3}, 7, {"id": "x", "name": "add", "arguments": [1]}], "content": [True]})), (3, 1, "tool", json.dumps({"tool_call_id": 5})), (3, 2, "tool", "x" * 5_000_000)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), SCHEMAS).collect()
+    for r in out:
+        found = json.loads(r["json"])
+        if r["conv_id"] == 1:
+            assert found == {"content": texts[r["turn"]], "role": "assistant"} and not r["problems"]
+        if r["conv_id"] == 2:
+            assert "a: arguments are not JSON" in r["problems"] and (r["n_calls"], r["n_valid"]) == (1, 0)
+    assert {r["turn"]: r["n_calls"] for r in out if r["conv_id"] == 3} == {0: 3, 1: 0, 2: 0}
+
+
+@pytest.mark.parametrize("small", [1 << 16, 1])
+def test_chains_of_calls_by_task_and_by_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(chat, "_SMALL", small)
+    rows = [(c, f"k{i}", [f"k{i - 1}", f"k{i // 2}"] if i else []) for c in (1, 2) for i in range(4)] + [(2, "p", ["q"]), (2, "q", ["p", "k1"]), (2, "r", ["q"]), (3, "z", ["gone"]), (3, "s", ["s"])]
+    calls = spark.createDataFrame(rows, "conv_id bigint, id string, needs array<string>")
+    got = {(r["conv_id"], r["id"]): r["depth"] for r in chat._depths(calls).collect()}
+    assert got == {(c, f"k{i}"): i for c in (1, 2) for i in range(4)} | {(3, "z"): 0}
+
+
 def test_no_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, message int, span int")).count() == 0
 
