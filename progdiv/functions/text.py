@@ -34,7 +34,18 @@ def format_prompt(template: Column, description: Column) -> Column:
 
 
 def wrap_open_ended(wrapper: Column, program: Column, extract: Column) -> Column:
-    return F.replace(F.replace(wrapper, F.lit("## REPLACE F"), program), F.lit("## REPLACE EXTRACT_ARGUMENTS"), extract)
+    """Both marks replaced; fails if one is left."""
+    out = F.replace(F.replace(wrapper, F.lit("## REPLACE F"), program), F.lit("## REPLACE EXTRACT_ARGUMENTS"), extract)
+    return F.when(F.assert_true(~out.contains("## REPLACE"), "mark left in wrapper").isNull(), out)
+
+
+def verbalised_prompt(description: Column) -> Column:
+    return F.concat(F.lit("Generate a program completion in python for the given function description: "), description)
+
+
+def example_prompt(instruction: Column, example: Column, answer: Column, description: Column) -> Column:
+    """A prompt with one worked example before the description in question."""
+    return F.concat_ws("\n\n", instruction, F.concat(F.lit("Description:\n"), example), F.concat(F.lit("Answer:\n"), answer), F.concat(F.lit("Description:\n"), description), F.lit("Answer:"))
 
 
 def wrap_directed(prefix: Column, program: Column) -> Column:
@@ -71,7 +82,7 @@ def hoist_docstrings(c: Column) -> Column:
     """All triple-quoted strings, double quotes first, as one leading docstring; empty if none."""
     double, single = r'(?s)"""(.*?)"""', r"(?s)'''(.*?)'''"
     found = F.concat(F.regexp_extract_all(c, F.lit(double), F.lit(1)), F.regexp_extract_all(F.regexp_replace(c, double, ""), F.lit(single), F.lit(1)))
-    return F.when(F.size(found) > 0, F.concat(F.lit('"""'), F.array_join(found, "\n"), F.lit('"""'))).otherwise("")
+    return F.when(F.size(found) > 0, F.concat(F.lit('"""\n'), F.array_join(found, "\n"), F.lit('\n"""'))).otherwise("")
 
 
 def without_docstrings(c: Column) -> Column:

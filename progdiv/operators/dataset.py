@@ -79,3 +79,33 @@ def random_testcases(spark, n: int, low: int, high: int, size: int, seed: int =
 
 def duplicated(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.groupBy(*keys).count().where("count > 1")
+
+
+def first_rows(frame: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first rows in an order if most is positive, else all."""
+    return frame.orderBy(*order).limit(most) if most > 0 else frame
+
+
+def config_problems(configs: DataFrame, positive: list[str], allowed: dict[str, list[str]]) -> DataFrame:
+    """What is wrong with each configuration: numbers that are not above 0 and names that are not allowed, in order."""
+    wrong = [F.when(~F.coalesce(F.col(c) > 0, F.lit(False)), F.lit(f"{c} is not positive")) for c in positive]
+    wrong += [F.when(~F.coalesce(F.col(c).isin(values), F.lit(False)), F.lit(f"{c} is unknown")) for c, values in allowed.items()]
+    return configs.withColumn("problems", F.array_compact(F.array(*wrong)))
+
+
+def to_reevaluate(experiments: DataFrame, results: DataFrame, existing: DataFrame, key: str, folder: str, root: str) -> DataFrame:
+    """Experiments with results that are not there yet; fails if one lies outside of its root."""
+    inside = F.assert_true(F.startswith(F.col(folder), F.col(root)), F.concat(F.lit("not below its root: "), F.col(folder)))
+    checked = experiments.where(inside.isNull())
+    return checked.join(results.select(key).distinct(), key, "left_semi").join(existing.select(key).distinct(), key, "left_anti")
+
+
+def final_choices(annotations: DataFrame, candidates: dict[str, DataFrame], existing: DataFrame, key: str) -> DataFrame:
+    """Annotated problems with the candidate files that they name, where no final version exists yet.
+
+    candidates: by number column of the annotations, the files as (key, number, content); the result has a column for each."""
+    out = annotations.join(existing.select(key).distinct(), key, "left_anti")
+    for column, files in candidates.items():
+        chosen = files.select(key, F.col("number").alias(column), F.col("content").alias(f"{column}_content"))
+        out = out.join(chosen, [key, column])
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from progdiv.functions.text import strip_comments
-from progdiv.operators.overlap import bootstrap_pairs, mean_pair_distance
+from progdiv.operators.overlap import bootstrap_pairs, mean_pair_distance, sampled_pairs
 
 
 def word_tokens(text: Column) -> Column:
@@ -33,14 +33,28 @@ def ngrams(frame: DataFrame, keys: list[str], member: str, tokens: str, orders:
     return frame.select(*keys, member, F.explode(F.concat(*(F.coalesce(a, none) for a in arrays))).alias("x")).select(*keys, member, "x.n", "x.gram")
 
 
+def gram_hashes(frame: DataFrame, keys: list[str], tokens: str, orders: range) -> DataFrame:
+    """Rows (keys, n, h): 64-bit hashes of the n-grams of every row's tokens. Words are hashed once, and each order's hashes
+    are those of the order below joined with the next word's."""
+    df = frame.select(*keys, F.transform(tokens, lambda w: F.xxhash64(w)).alias("_w"))
+    df = df.select(*keys, "_w", F.col("_w").alias("_g1"))
+    for n in range(2, orders.stop):
+        left = F.size("_w") - (n - 1)
+        made = F.when(left > 0, F.zip_with(F.slice(f"_g{n - 1}", F.lit(1), left), F.slice("_w", F.lit(n), left), lambda g, w: F.xxhash64(g, w)))
+        df = df.select("*", made.alias(f"_g{n}"))
+    none = F.array().cast("array<struct<n:int,h:bigint>>")
+    tagged = lambda n: F.transform(f"_g{n}", lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+    rows = [F.coalesce(tagged(n), none) for n in orders]
+    return df.select(*keys, F.explode(F.concat(*rows)).alias("x")).select(*keys, "x.n", "x.h")
+
+
 def distinct_n(frame: DataFrame, keys: list[str], tokens: str, orders: range = range(1, 7)) -> DataFrame:
     """Distinct of all n-grams of a group; null if it has at most one.
 
     Counted in two steps, by gram and then by group, so that repeats are added up before the shuffle; grams
-    are told apart by 96 bits of hash.
+    are told apart by 64 bits of hash.
     """
-    grams = ngrams(frame.withColumn("_m", F.lit(0)), keys, "_m", tokens, orders)
-    per = grams.groupBy(*keys, "n", F.xxhash64("gram").alias("h"), F.hash("gram", F.lit(5)).alias("i")).agg(F.count("*").alias("c"))
+    per = gram_hashes(frame, keys, tokens, orders).groupBy(*keys, "n", "h").agg(F.count("*").alias("c"))
     agg = per.groupBy(*keys, "n").agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n_total"))
     return agg.withColumn("distinct_n", F.when(F.col("n_total") > 1, F.col("n_distinct") / F.col("n_total")))
 
@@ -66,6 +80,11 @@ def bootstrap_distinct_n(frame: DataFrame, keys: list[str], member: str, tokens:
     return bootstrap_pairs(gram_sets(frame, keys, member, tokens, n), keys, member, uniforms(iterations, 2, seed))
 
 
+def sampled_jaccard(frame: DataFrame, keys: list[str], member: str, tokens: str, n: int, iterations: int = 300, seed: int = 42) -> DataFrame:
+    """Mean Jaccard distance over iterations of two members drawn with replacement."""
+    return sampled_pairs(gram_sets(frame, keys, member, tokens, n), keys, member, uniforms(iterations, 2, seed))
+
+
 def bleu_pairs(frame: DataFrame, keys: list[str], member: str, tokens: str, order: int = 4) -> DataFrame:
     """Rows (keys, a, b, distance) for members a < b of a group: 100 - BLEU of a against b.
 

@@ -46,12 +46,9 @@ def mean_pair_distance(sets: DataFrame, keys: list[str], member: str) -> DataFra
     return alike(sets, keys, member).select(*keys, "n", F.when(F.col("n") > 1, 1 - F.col("alike") / pairs).alias("jaccard"))
 
 
-def bootstrap_pairs(sets: DataFrame, keys: list[str], member: str, draws: list[tuple[int, int, float]]) -> DataFrame:
-    """Mean distinct share of two members drawn with replacement, draws being (iteration, slot, uniform).
-
-    A draw picks the member at floor(u * n) in order; of two members the share is (|A| + |B| - shared) /
-    (total A + total B), of one twice |A| / (2 total A); pairs with at most one element don't count.
-    """
+def drawn_pairs(sets: DataFrame, keys: list[str], member: str, draws: list[tuple[int, int, float]]) -> DataFrame:
+    """Rows (keys, it, total, distinct, common) of pairs drawn with replacement, draws being (iteration, slot, uniform): elements
+    with repeats, distinct ones and shared ones. A draw picks the member at floor(u * n) in order."""
     sizes = set_sizes(sets, keys, member)
     order = Window.partitionBy(*keys).orderBy(member)
     sizes = sizes.withColumn("pos", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
@@ -62,6 +59,18 @@ def bootstrap_pairs(sets: DataFrame, keys: list[str], member: str, draws: list[t
     a = sizes.select(*keys, F.col("pos").alias("p"), F.col(member).alias("a"), F.col("size").alias("sa"), F.col("total").alias("ta"))
     b = sizes.select(*keys, F.col("pos").alias("q"), F.col(member).alias("b"), F.col("size").alias("sb"), F.col("total").alias("tb"))
     picks = picks.join(a, [*keys, "p"]).join(b, [*keys, "q"]).join(shared(sets, keys, member), [*keys, "a", "b"], "left")
-    total = F.col("ta") + F.col("tb")
-    distinct = F.when(F.col("a") == F.col("b"), F.col("sa")).otherwise(F.col("sa") + F.col("sb") - F.coalesce("shared", F.lit(0)))
-    return picks.groupBy(*keys).agg(F.avg(F.when(total > 1, distinct / total)).alias("bootstrap_distinct"))
+    same = F.col("a") == F.col("b")
+    common = F.when(same, F.col("sa")).otherwise(F.coalesce("shared", F.lit(0)))
+    return picks.select(*keys, "it", (F.col("ta") + F.col("tb")).alias("total"), (F.col("sa") + F.col("sb") - common).alias("distinct"), common.alias("common"))
+
+
+def bootstrap_pairs(sets: DataFrame, keys: list[str], member: str, draws: list[tuple[int, int, float]]) -> DataFrame:
+    """Mean distinct share of the elements of two drawn members; pairs with at most one element don't count."""
+    pairs = drawn_pairs(sets, keys, member, draws)
+    return pairs.groupBy(*keys).agg(F.avg(F.when(F.col("total") > 1, F.col("distinct") / F.col("total"))).alias("bootstrap_distinct"))
+
+
+def sampled_pairs(sets: DataFrame, keys: list[str], member: str, draws: list[tuple[int, int, float]]) -> DataFrame:
+    """Mean over drawn pairs of 1 - shared / all distinct elements; members without any are not drawn."""
+    pairs = drawn_pairs(sets, keys, member, draws)
+    return pairs.groupBy(*keys).agg(F.avg(1 - F.col("common") / F.col("distinct")).alias("sampled_jaccard"))

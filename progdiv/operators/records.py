@@ -42,6 +42,11 @@ def is_non_empty(program: Column) -> Column:
     return F.length(F.coalesce(program, F.lit(""))) > 0
 
 
+def enough_programs(frame: DataFrame, keys: list[str], program: str, more_than: int = 2) -> DataFrame:
+    """Groups with more than so many non-empty programs, and their number n: what syntactic metrics ask for."""
+    return frame.groupBy(*keys).agg(F.count_if(is_non_empty(F.col(program))).alias("n")).where(F.col("n") > more_than)
+
+
 def string_is_coherent(semantic: Column) -> Column:
     """No sentinel occurs anywhere in a semantic string, inputs included."""
     bad = F.lit(False)
@@ -143,5 +148,5 @@ def differing_outputs(executions: DataFrame) -> DataFrame:
 
 def complete_problems(found: DataFrame, n: int) -> DataFrame:
     """Whether every problem has the records 0..n-1, and each problem's count; ids outside are ignored."""
-    inside = found.where((F.col("generation_id") >= 0) & (F.col("generation_id") < n))
-    return inside.groupBy("problem_id").agg(F.count_distinct("generation_id").alias("n_found")).withColumn("complete", F.col("n_found") == n)
+    inside = F.when((F.col("generation_id") >= 0) & (F.col("generation_id") < n), F.col("generation_id"))
+    return found.groupBy("problem_id").agg(F.count_distinct(inside).alias("n_found")).withColumn("complete", F.col("n_found") == n)

@@ -47,7 +47,13 @@ def threshold_survival(rates: DataFrame, rate: str = "solve_rate", step: int = 5
 
 
 def regression(points: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
-    return points.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"))
+    return points.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"), _slope_error(y, x).alias("stderr"))
+
+
+def _slope_error(y: str, x: str) -> Column:
+    """Standard error of the slope; null for fewer than three points or equal x."""
+    rest = F.greatest(F.regr_syy(y, x) - F.regr_slope(y, x) * F.regr_sxy(y, x), F.lit(0.0))
+    return F.sqrt(F.try_divide(F.try_divide(rest, F.count("*") - 2), F.regr_sxx(y, x)))
 
 
 def histogram(frame: DataFrame, column: str, low: float, high: float, bins: int = 10) -> DataFrame:
@@ -61,9 +67,9 @@ def box_stats(frame: DataFrame, keys: list[str], column: str) -> DataFrame:
     return frame.groupBy(*keys).agg(q.alias("q")).select(*keys, *(F.element_at("q", i + 1).alias(n) for i, n in enumerate(("low", "q25", "median", "q75", "high"))))
 
 
-def group_borders(frame: DataFrame, order: list[str], column: str) -> DataFrame:
-    """Whether a row's value differs from the row before; the first is a border."""
-    before = F.lag(column).over(Window.orderBy(*order))
+def group_borders(frame: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    """Whether a row's value differs from the row before in its table (keys); the first is a border."""
+    before = F.lag(column).over(Window.partitionBy(*keys).orderBy(*order))
     return frame.withColumn("border", F.coalesce(before != F.col(column), F.lit(True)))
 
 
@@ -71,3 +77,9 @@ def custom_rank(column: Column, values: list[str]) -> Column:
     """Place in a list; null (sorted last) for others."""
     place = F.array_position(F.array(*map(F.lit, values)), column)
     return F.when(place > 0, place)
+
+
+def derived_ratios(stats: DataFrame, cosine: str, coherent: str, count: str, generations: int = 30) -> DataFrame:
+    """What the analysis derives: cosine distance weighted by the coherent percentage, and clusters of all generations in percent."""
+    weighted = F.col(cosine) * (F.col(coherent) / 100)
+    return stats.withColumns({"heuristic_cosine": weighted, "semantic_share": F.round(F.col(count) / generations, 4) * 100})

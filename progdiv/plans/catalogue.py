@@ -11,6 +11,7 @@ from progdiv.functions import text as T
 from progdiv.functions.extract import FENCE, extract_python_code
 from progdiv.functions.pyast import subtree_rows
 from progdiv.operators import dataset, embedding, estimators, lexical, records, semantic, summary, syntactic
+from progdiv.sources import readers, sinks
 from progdiv.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,11 +42,13 @@ def r6(c: str | Column) -> Column:
 EXEC = """WITH ranked AS (
     SELECT l_orderkey, l_returnflag, l_quantity, l_linestatus, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS tc FROM lineitem),
+cases AS (SELECT o_custkey AS c, coalesce(max(tc), 1) AS n FROM orders LEFT JOIN ranked ON l_orderkey = o_orderkey GROUP BY 1),
+g AS (SELECT o_custkey, o_orderkey, o_orderstatus, unnest(range(1, n + 1)) AS tc FROM orders JOIN cases ON c = o_custkey),
 ex AS (
     SELECT o_custkey AS problem_id, o_orderkey AS generation_id, CAST(g.tc AS VARCHAR) AS testcase_id, g.tc - 1 AS pos, CAST(g.tc AS VARCHAR) AS input,
         CASE WHEN l_orderkey IS NULL THEN 'Unknown Error' WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 'Runtime Error'
             WHEN l_returnflag = 'A' AND l_quantity < 6 THEN 'Syntax Error' ELSE l_linestatus END AS output, o_orderstatus AS expected
-    FROM orders CROSS JOIN (VALUES (1), (2)) g(tc) LEFT JOIN ranked r ON r.l_orderkey = o_orderkey AND r.tc = g.tc),
+    FROM g LEFT JOIN ranked r ON r.l_orderkey = o_orderkey AND r.tc = g.tc),
 gen AS (
     SELECT problem_id, generation_id, count(*) AS n_outputs, count(*) FILTER (WHERE output NOT IN ('Syntax Error', 'Runtime Error', 'Timeout', 'Error', 'Unknown Error')) AS n_coherent,
         count(*) FILTER (WHERE output = 'Syntax Error') AS n_syntax, count(*) FILTER (WHERE output = expected) AS n_correct,
@@ -58,12 +61,15 @@ typed AS (SELECT *, unnest(list_filter(['all', CASE WHEN coherent THEN 'coh' END
 
 
 def executions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of an order is a test case; a problem has as many as its longest order, and an order lacks the others."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    lines = table(spark, sf, "lineitem").withColumn("tc", F.row_number().over(order)).where("tc <= 2")
+    lines = table(spark, sf, "lineitem").withColumn("tc", F.row_number().over(order))
     output = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40), "Runtime Error").when((F.col("l_returnflag") == "A") & (F.col("l_quantity") < 6), "Syntax Error").otherwise(F.col("l_linestatus"))
     lines = lines.select("l_orderkey", "tc", output.alias("output"))
-    grid = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.explode(F.array(F.lit(1), F.lit(2))).alias("tc"))
-    grid = grid.select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").alias("generation_id"), F.col("o_orderkey").alias("l_orderkey"), "tc", F.col("o_orderstatus").alias("expected"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").alias("generation_id"), F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("expected"))
+    sizes = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    cases = orders.join(sizes, "l_orderkey", "left").groupBy("problem_id").agg(F.coalesce(F.max("n"), F.lit(1)).cast("int").alias("cases"))
+    grid = orders.join(cases, "problem_id").withColumn("tc", F.explode(F.sequence(F.lit(1), "cases"))).drop("cases")
     rows = records.with_missing_outputs(grid, lines, ["l_orderkey", "tc"])
     tc = F.col("tc").cast("string")
     return rows.select("problem_id", "generation_id", tc.alias("testcase_id"), (F.col("tc") - 1).alias("pos"), tc.alias("input"), "output", "expected")
@@ -195,10 +201,10 @@ def missing_output_default(spark, sf):
     return records.with_missing_outputs(table(spark, sf, "orders").select("o_orderkey"), out, ["o_orderkey"])
 
 
-@query("SELECT o_custkey, count(DISTINCT o_orderkey) AS n_found, count(DISTINCT o_orderkey) = 10 AS complete FROM orders GROUP BY 1")
+@query("SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (WHERE l_linenumber BETWEEN 0 AND 3) AS n_found, count(DISTINCT l_linenumber) FILTER (WHERE l_linenumber BETWEEN 0 AND 3) = 4 AS complete FROM lineitem GROUP BY 1")
 def completeness_probe(spark, sf):
-    found = table(spark, sf, "orders").select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").alias("generation_id"))
-    return records.complete_problems(found, 1 << 62).select(F.col("problem_id").alias("o_custkey"), "n_found", (F.col("n_found") == 10).alias("complete"))
+    found = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("problem_id"), F.col("l_linenumber").alias("generation_id"))
+    return records.complete_problems(found, 4).withColumnRenamed("problem_id", "l_orderkey")
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -210,6 +216,11 @@ g AS (SELECT k, n, t[i : i + n - 1] AS gram FROM d, range(1, 7) r(n), range(1, l
 SELECT k AS %(key)s, CAST(n AS INT) AS n, count(DISTINCT gram) AS n_distinct, count(*) AS n_total, round(CASE WHEN count(*) > 1 THEN count(DISTINCT gram) / count(*) END, 6) AS distinct_n FROM g GROUP BY k, n"""
 
 
+def _benchmark(spark, sf):
+    """All items are one group, so all pairs are compared."""
+    return _tokens(spark, sf, "benchmark").withColumn("grp", F.lit(0).cast("long"))
+
+
 def _tokens(spark, sf, name):
     return table(spark, sf, name).withColumn("tokens", lexical.word_tokens(F.col("text")))
 
@@ -247,9 +258,9 @@ def _jaccard(frame, key, member, name):
     return out.select(F.col(key).alias(name), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), r6("jaccard").alias("jaccard"))
 
 
-@query(_JACCARD % {"k": "item_id % 4", "m": "item_id", "table": "benchmark", "name": "grp"})
+@query(_JACCARD % {"k": "CAST(0 AS BIGINT)", "m": "item_id", "table": "benchmark", "name": "grp"})
 def jaccard_benchmark(spark, sf):
-    return _jaccard(_tokens(spark, sf, "benchmark").withColumn("grp", F.col("item_id") % 4), "grp", "item_id", "grp")
+    return _jaccard(_benchmark(spark, sf), "grp", "item_id", "grp")
 
 
 @query(_JACCARD % {"k": "conv_id", "m": "turn", "table": "conversations", "name": "conv_id"})
@@ -257,7 +268,7 @@ def jaccard_conversations(spark, sf):
     return _jaccard(_tokens(spark, sf, "conversations"), "conv_id", "turn", "conv_id")
 
 
-_BLEU = f"""WITH d AS (SELECT item_id AS m, item_id % 4 AS k, {_WORDS} AS t FROM benchmark),
+_BLEU = f"""WITH d AS (SELECT item_id AS m, CAST(0 AS BIGINT) AS k, {_WORDS} AS t FROM benchmark),
 c AS (SELECT k, m, n, t[i : i + n - 1] AS gram, count(*) AS c FROM d, range(1, 5) r(n), range(1, len(t) + 1) s(i) WHERE i + n - 1 <= len(t) GROUP BY ALL),
 h AS (SELECT a.k, a.m AS a, b.m AS b, a.n, sum(least(a.c, b.c)) AS hit FROM c a JOIN c b ON a.k = b.k AND a.n = b.n AND a.gram = b.gram AND a.m < b.m GROUP BY ALL),
 p AS (SELECT a.k, a.m AS a, b.m AS b, len(a.t) AS la, len(b.t) AS lb, r.n AS n, len(a.t) - r.n + 1 AS total, coalesce(hit, 0) AS hit FROM d a JOIN d b ON a.k = b.k AND a.m < b.m, range(1, 5) r(n) LEFT JOIN h ON h.k = a.k AND h.a = a.m AND h.b = b.m AND h.n = r.n),
@@ -268,13 +279,13 @@ f AS (SELECT k, a, b, CASE WHEN sum(hit) = 0 THEN 0.0 ELSE any_value(CASE WHEN l
 
 @query(_BLEU + "SELECT k AS grp, a, b, round(100 - bleu, 4) AS distance FROM f")
 def self_bleu_pairs(spark, sf):
-    out = lexical.bleu_pairs(_tokens(spark, sf, "benchmark").withColumn("grp", F.col("item_id") % 4), ["grp"], "item_id", "tokens")
+    out = lexical.bleu_pairs(_benchmark(spark, sf), ["grp"], "item_id", "tokens")
     return out.withColumn("distance", F.round("distance", 4))
 
 
 @query(_BLEU + "SELECT k AS grp, round(avg(100 - bleu), 4) AS self_bleu FROM f GROUP BY 1")
 def corpus_self_bleu(spark, sf):
-    out = lexical.corpus_self_bleu(_tokens(spark, sf, "benchmark").withColumn("grp", F.col("item_id") % 4), ["grp"], "item_id", "tokens")
+    out = lexical.corpus_self_bleu(_benchmark(spark, sf), ["grp"], "item_id", "tokens")
     return out.withColumn("self_bleu", F.round("self_bleu", 4))
 
 
@@ -320,10 +331,10 @@ def nll_pmi(spark, sf):
 
 
 def _similarities(spark, sf):
-    return estimators.jaccard_similarities(_tokens(spark, sf, "benchmark").withColumn("grp", F.col("item_id") % 4), ["grp"], "item_id", "tokens")
+    return estimators.jaccard_similarities(_benchmark(spark, sf), ["grp"], "item_id", "tokens")
 
 
-_SIM = f"""WITH d AS (SELECT item_id AS m, item_id % 4 AS k, list_distinct({_WORDS}) AS t FROM benchmark),
+_SIM = f"""WITH d AS (SELECT item_id AS m, CAST(0 AS BIGINT) AS k, list_distinct({_WORDS}) AS t FROM benchmark),
 w AS (SELECT a.k, a.m AS i, b.m AS j, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS sim FROM d a JOIN d b ON a.k = b.k)
 """
 
@@ -374,12 +385,12 @@ def submissions_describe(spark, sf):
     return summary.describe(long, []).select("count", *(r6(c).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")))
 
 
-@query("SELECT l_partkey, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_quantity) > 2")
+@query("SELECT l_partkey, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS r, round(sqrt(greatest(regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity), 0) / (count(*) - 2) / regr_sxx(l_extendedprice, l_quantity)), 2) AS stderr FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_quantity) > 2")
 def metric_regression(spark, sf):
     lines = table(spark, sf, "lineitem")
     some = lines.groupBy("l_partkey").agg(F.count_distinct("l_quantity").alias("k")).where("k > 2")
     out = summary.regression(lines.join(some, "l_partkey", "left_semi"), ["l_partkey"], "l_extendedprice", "l_quantity")
-    return out.select("l_partkey", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), r6("r").alias("r"))
+    return out.select("l_partkey", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), r6("r").alias("r"), F.round("stderr", 2).alias("stderr"))
 
 
 @query("SELECT CAST(least(floor((l_quantity - 0) / 5), 9) AS INT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1")
@@ -403,17 +414,18 @@ def sample_per_group(spark, sf):
     return dataset.sample_per_group(table(spark, sf, "documents").select("source", "doc_id"), ["source"], "doc_id", 5)
 
 
-@query("SELECT d.doc_id FROM documents d WHERE length(text) >= 100 AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
+@query("SELECT d.doc_id FROM documents d JOIN (SELECT doc_id, count(*) FILTER (WHERE quality = 1) AS tests FROM labels GROUP BY 1) l USING (doc_id) WHERE length(text) >= 100 AND tests >= 1")
 def valid_problem_filter(spark, sf):
-    good = table(spark, sf, "labels").where("quality = 1")
-    docs = table(spark, sf, "documents").join(good, "doc_id", "left_semi")
-    return dataset.valid_problems(docs, F.lit(1), F.col("text")).select("doc_id")
+    tests = table(spark, sf, "labels").groupBy("doc_id").agg(F.count_if(F.col("quality") == 1).alias("tests"))
+    docs = table(spark, sf, "documents").join(tests, "doc_id")
+    return dataset.valid_problems(docs, F.col("tests"), F.col("text")).select("doc_id")
 
 
-@query("SELECT event_id, event_type, list_position(['view', 'click', 'purchase'], event_type) AS place FROM events")
+@query("SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END NULLS LAST, ts DESC, event_id) AS place FROM events")
 def custom_sort(spark, sf):
-    place = summary.custom_rank(F.col("event_type"), ["view", "click", "purchase"])
-    return table(spark, sf, "events").select("event_id", "event_type", place.cast("int").alias("place"))
+    rank = summary.custom_rank(F.col("event_type"), ["view", "click", "purchase"])
+    order = Window.partitionBy("user_id").orderBy(rank.asc_nulls_last(), F.col("ts").desc_nulls_last(), "event_id")
+    return table(spark, sf, "events").select("user_id", "event_id", "event_type", F.row_number().over(order).alias("place"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -428,9 +440,11 @@ def union_splits(spark, sf):
     return dataset.merge_first(frames, ["p_partkey"])
 
 
-@query("SELECT c_custkey, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT k, 'missing' AS side FROM (SELECT o_orderkey AS k FROM orders EXCEPT ALL SELECT DISTINCT l_orderkey FROM lineitem) UNION ALL SELECT k, 'extra' FROM (SELECT DISTINCT l_partkey AS k FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders WHERE o_orderkey > 5) UNION ALL SELECT k, 'missing' FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey > 5 EXCEPT ALL SELECT DISTINCT l_partkey FROM lineitem)")
 def expected_vs_found(spark, sf):
-    return dataset.unexpected(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    orders, lines = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), table(spark, sf, "lineitem")
+    first = dataset.unexpected(orders, lines.select(F.col("l_orderkey").alias("k")).distinct()).where("side = 'missing'")
+    return first.union(dataset.unexpected(orders.where("k > 5"), lines.select(F.col("l_partkey").alias("k")).distinct()))
 
 
 @query("SELECT o_custkey, o_orderdate, count(*) AS count FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
@@ -474,10 +488,11 @@ def confidence_extract(spark, sf):
     return table(spark, sf, "part").select("p_partkey", r6(T.confidence(said)).alias("confidence"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN least(2000 - p_size, 1500) ELSE 1500 END AS budget FROM part")
+@query("SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN least(2000 - 40 * p_size, 1500) WHEN p_brand LIKE '%2' THEN least(4000 - 100 * p_size, 1500) ELSE 1500 END AS budget FROM part")
 def token_budget(spark, sf):
-    model = F.when(F.col("p_brand").endswith("1"), "tatsu-lab").otherwise("other")
-    return table(spark, sf, "part").select("p_partkey", T.token_budget(model, F.col("p_size"), F.lit(1500)).alias("budget"))
+    model = F.when(F.col("p_brand").endswith("1"), "tatsu-lab").when(F.col("p_brand").endswith("2"), "CodeLlama-7b").otherwise("other")
+    used = F.when(F.col("p_brand").endswith("1"), 40 * F.col("p_size")).otherwise(100 * F.col("p_size"))
+    return table(spark, sf, "part").select("p_partkey", T.token_budget(model, used, F.lit(1500)).alias("budget"))
 
 
 @query("SELECT p_partkey, 'def f(x):' || chr(10) || '    return x * ' || p_size AS code FROM part")
@@ -525,6 +540,224 @@ def ast_bootstrap(spark, sf):
     return syntactic.bootstrap_subtrees(_subtrees(spark, sf), ["problem_id"], "generation_id")
 
 
+# ---------------------------------------------------------------------------------------------------
+# Text transforms of code, prompts and names.
+
+_CODE = "p_name || ' # ' || p_type || chr(10) || 'x = ''#' || p_brand || '''' || chr(10)"
+
+
+def _code_column():
+    return F.concat("p_name", F.lit(" # "), "p_type", F.lit("\nx = '#"), "p_brand", F.lit("'\n"))
+
+
+@query(f"SELECT p_partkey, regexp_replace({_CODE}, '#[^\\n]*', '', 'g') AS code FROM part")
+def comment_strip(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.strip_comments(_code_column()).alias("code"))
+
+
+@query("SELECT doc_id, replace(text, chr(10), 'NEWLINE') AS text FROM documents")
+def newline_mapping(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.newline_tokens(F.split("text", " ", -1)).alias("text"))
+
+
+@query("SELECT doc_id, replace(replace(text, repeat(chr(10), 3), chr(10)), repeat(chr(10), 2), chr(10)) || ' END' AS text FROM documents")
+def blank_line_squeeze(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.squeeze_blank_lines(F.col("text"), " END").alias("text"))
+
+
+@query(r"SELECT page_id, regexp_replace(replace(html, '&amp;', ''), '^\s+|\s+$', '', 'g') AS text FROM pages")
+def nbsp_cleanup(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.clean_nbsp(F.replace("html", F.lit("&amp;"), F.lit(" "))).alias("text"))
+
+
+@query("SELECT p_partkey, 'import sys' || chr(10) || 'def f(): ' || p_name || chr(10) || 'def arguments(): ' || p_type AS wrapped, 'import sys' || chr(10) || chr(10) || p_name AS directed FROM part")
+def program_wrappers(spark, sf):
+    wrapper = F.lit("import sys\ndef f(): ## REPLACE F\ndef arguments(): ## REPLACE EXTRACT_ARGUMENTS")
+    return table(spark, sf, "part").select("p_partkey", T.wrap_open_ended(wrapper, F.col("p_name"), F.col("p_type")).alias("wrapped"), T.wrap_directed(F.lit("import sys"), F.col("p_name")).alias("directed"))
+
+
+@query("""SELECT p_partkey, 'Generate a program completion in python for the given function description: ' || p_name AS verbalised,
+    concat_ws(chr(10) || chr(10), 'Write tests.', 'Description:' || chr(10) || 'add', 'Answer:' || chr(10) || '1 2', 'Description:' || chr(10) || p_name, 'Answer:') AS prompt FROM part""")
+def prompts_with_example(spark, sf):
+    prompt = T.example_prompt(F.lit("Write tests."), F.lit("add"), F.lit("1 2"), F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", T.verbalised_prompt(F.col("p_name")).alias("verbalised"), prompt.alias("prompt"))
+
+
+@query("SELECT p_partkey, replace(p_type || '/' || p_brand, '/', '-') AS name, p_type AS template, rpad(p_type, greatest(length(p_type), 10)::INT, ' ') AS padded FROM part")
+def name_cleanup(spark, sf):
+    name, template = F.concat("p_type", F.lit("/"), "p_brand"), F.concat(F.lit("open_ended_directed_"), "p_type")
+    return table(spark, sf, "part").select("p_partkey", T.clean_name(name).alias("name"), T.short_template(template).alias("template"), T.left_justify(F.col("p_type"), 10).alias("padded"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS INT) AS generation, CASE WHEN o_orderstatus = 'F' THEN 99 ELSE CAST(o_custkey AS INT) END AS number, CASE WHEN o_orderstatus = 'F' THEN 'coh_99' ELSE 'coh_' || o_orderstatus END AS label FROM orders")
+def record_names(spark, sf):
+    path = F.concat(F.lit("a/generation_"), F.col("o_custkey").cast("string"), F.lit("/x"))
+    name = F.when(F.col("o_orderstatus") == "F", "output_record").otherwise(F.concat(F.lit("output_record_"), F.col("o_custkey").cast("string"), F.lit("_coh_"), "o_orderstatus"))
+    parsed = T.parse_record_name(name)
+    return table(spark, sf, "orders").select("o_orderkey", T.generation_index(path).alias("generation"), parsed["number"].alias("number"), parsed["label"].alias("label"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'completion' WHEN 'HOUSEHOLD' THEN 'message' ELSE 'local' END AS backend FROM customer")
+def backend_routing(spark, sf):
+    model = F.when(F.col("c_mktsegment") == "MACHINERY", "gpt-4").when(F.col("c_mktsegment") == "HOUSEHOLD", "OPUS").otherwise(F.col("c_mktsegment"))
+    return table(spark, sf, "customer").select("c_custkey", T.route_backend(model).alias("backend"))
+
+
+@query("WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey, round((p_retailprice - lo) * 100 / (hi - lo), 6) AS scaled FROM part, b")
+def min_max_scaling(spark, sf):
+    part = table(spark, sf, "part")
+    ends = part.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")).first()
+    return part.select("p_partkey", r6(T.min_max_scaled(F.col("p_retailprice"), F.lit(ends["lo"]), F.lit(ends["hi"]))).alias("scaled"))
+
+
+@query("SELECT o_custkey, string_agg('k' || o_orderkey || ' ' || o_orderstatus, ' | ' ORDER BY 'k' || o_orderkey) AS names FROM orders GROUP BY 1")
+def rename_maps(spark, sf):
+    entries = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("k"), "o_orderstatus")))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(entries.alias("m")).select("o_custkey", T.rename_map_string(F.col("m")).alias("names"))
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_slice({_WORDS}, 1, 504), ' '), '^\s+|\s+$', '', 'g'), '\n+', chr(10), 'g') AS text FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''")
+def embedding_preparation(spark, sf):
+    docs = _tokens(spark, sf, "documents").where(T.strip(F.col("text")) != "")
+    return docs.select("doc_id", T.preprocess_for_embedding(F.col("tokens")).alias("text"))
+
+
+@query("""SELECT p_partkey, repeat('"', 3) || chr(10) || p_name || chr(10) || p_type || chr(10) || repeat('"', 3) AS hoisted, 'def f():' || chr(10) || '  ' || chr(10) || '   return 1' AS code FROM part""")
+def docstring_hoisting(spark, sf):
+    double, single = '"' * 3, "'" * 3
+    code = F.concat(F.lit(f"def f():\n  {double}"), "p_name", F.lit(f"{double}\n  {single}"), "p_type", F.lit(f"{single} return 1"))
+    return table(spark, sf, "part").select("p_partkey", T.hoist_docstrings(code).alias("hoisted"), T.without_docstrings(code).alias("code"))
+
+
+# ---------------------------------------------------------------------------------------------------
+# Records, generations and configurations.
+
+@query(EXEC + "SELECT problem_id, generation_id, NOT regexp_matches(semantic, 'Syntax Error|Runtime Error|Timeout|Error') AS coherent FROM gen")
+def semantic_string_coherence(spark, sf):
+    return generations(spark, sf).select("problem_id", "generation_id", records.string_is_coherent(F.col("semantic")).alias("coherent"))
+
+
+@query("SELECT o_custkey, count(*) FILTER (WHERE o_orderpriority NOT LIKE '1%') AS n FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderpriority NOT LIKE '1%') > 2")
+def non_empty_gate(spark, sf):
+    program = F.when(F.col("o_orderpriority").startswith("1"), "").otherwise(F.col("o_orderpriority"))
+    return records.enough_programs(table(spark, sf, "orders").select("o_custkey", program.alias("program")), ["o_custkey"], "program")
+
+
+@query("SELECT conv_id AS problem_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS generation_id, text AS formatted_code, role AS extracted_code, upper(role) AS raw_generation FROM conversations")
+def parallel_arrays(spark, sf):
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    g = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("problem_id")).agg(rows.alias("r"))
+    g = g.select("problem_id", F.col("r.text").alias("formatted_programs"), F.col("r.role").alias("programs"), F.transform("r.role", F.upper).alias("raw_generations"))
+    return records.submit_rows(g)
+
+
+@query("SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS generation_id, CAST(o_orderkey AS VARCHAR) AS generated_code FROM orders")
+def program_lists(spark, sf):
+    lists = table(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")).alias("generated_code"))
+    return records.explode_programs(lists)
+
+
+@query("""WITH l AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS tc FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS problem_id, 0 AS generation_id, CAST(tc AS VARCHAR) AS testcase_id, CAST(l_quantity AS VARCHAR) AS input, CASE WHEN l_returnflag = 'R' THEN 'Unknown Error' ELSE l_returnflag END AS output, l_linestatus AS expected FROM l""")
+def records_to_executions(spark, sf):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    lines = table(spark, sf, "lineitem").withColumn("tc", F.row_number().over(order).cast("string"))
+    maps = lambda value: F.map_from_entries(F.collect_list(F.struct("tc", value.alias("v"))))
+    outputs = F.map_from_entries(F.collect_list(F.when(F.col("l_returnflag") != "R", F.struct("tc", F.col("l_returnflag").alias("v")))))
+    made = lines.groupBy(F.col("l_orderkey").cast("string").alias("problem_id")).agg(F.lit(0).alias("generation_id"), maps(F.col("l_quantity").cast("string")).alias("testcase_inputs"), outputs.alias("testcase_outputs"), maps(F.col("l_linestatus")).alias("orig_testcase_outputs"))
+    return records.executions_of(made).drop("pos")
+
+
+@query("SELECT c_custkey, concat_ws('; ', CASE WHEN c_acctbal > 0 THEN NULL ELSE 'c_acctbal is not positive' END, CASE WHEN c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') THEN NULL ELSE 'c_mktsegment is unknown' END) AS problems FROM customer")
+def config_validation(spark, sf):
+    out = dataset.config_problems(table(spark, sf, "customer"), ["c_acctbal"], {"c_mktsegment": ["MACHINERY", "HOUSEHOLD"]})
+    return out.select("c_custkey", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def reevaluation_candidates(spark, sf):
+    orders = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    experiments = table(spark, sf, "customer").withColumns({"folder": F.concat(F.lit("root/"), "c_name"), "root": F.lit("root/")})
+    return dataset.to_reevaluate(experiments, orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'"), "c_custkey", "folder", "root").select("c_custkey")
+
+
+@query("""WITH f AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS number, o_orderpriority AS content FROM orders)
+SELECT c_custkey, c_nationkey % 3 + 1 AS spec_no, s.content AS spec_no_content, 1 AS tcgen_no, t.content AS tcgen_no_content FROM customer JOIN f s ON s.k = c_custkey AND s.number = c_nationkey % 3 + 1 JOIN f t ON t.k = c_custkey AND t.number = 1
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def annotated_choices(spark, sf):
+    orders = table(spark, sf, "orders")
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    files = orders.select(F.col("o_custkey").alias("c_custkey"), number.alias("number"), F.col("o_orderpriority").alias("content"))
+    notes = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 3 + 1).alias("spec_no"), F.lit(1).alias("tcgen_no"))
+    final = orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return dataset.final_choices(notes, {"spec_no": files, "tcgen_no": files}, final, "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 101")
+def program_limit(spark, sf):
+    return dataset.first_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 101)
+
+
+@query("WITH s AS (SELECT p_brand, avg(p_retailprice) AS cos, avg(p_size) AS coh, count(*) AS k FROM part GROUP BY 1) SELECT p_brand, round(cos * (coh / 100), 6) AS heuristic_cosine, round(round(k / 30, 4) * 100, 6) AS semantic_share FROM s")
+def derived_ratios(spark, sf):
+    stats = table(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("cos"), F.avg("p_size").alias("coh"), F.count("*").alias("k"))
+    return summary.derived_ratios(stats, "cos", "coh", "k").select("p_brand", r6("heuristic_cosine").alias("heuristic_cosine"), r6("semantic_share").alias("semantic_share"))
+
+
+@query("SELECT conv_id, turn, role, text, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, text) <> role, true) AS border, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations")
+def borders_and_order(spark, sf):
+    c = table(spark, sf, "conversations")
+    return lexical.generation_order(summary.group_borders(c, ["conv_id"], ["turn", "text"], "role"), ["conv_id"], "turn")
+
+
+_TOKEN = r"""("[^"\n]*"|''[^''\n]*''|#[^\n]*|[0-9]+\.?[0-9]*|[A-Za-z_][A-Za-z0-9_]*|[-+*/%&|^<>=!:]=|\*\*|//|->|\n|[^\sA-Za-z0-9_])"""
+
+
+@query(f"""WITH d AS (SELECT p_brand AS k, regexp_extract_all({_CODE}, '{_TOKEN}', 1) AS t FROM part),
+g AS (SELECT k, n, t[i : i + n - 1] AS gram FROM d, range(1, 4) r(n), range(1, len(t) + 1) s(i) WHERE i + n - 1 <= len(t))
+SELECT k AS p_brand, CAST(n AS INT) AS n, count(DISTINCT gram) AS n_distinct, count(*) AS n_total, round(CASE WHEN count(*) > 1 THEN count(DISTINCT gram) / count(*) END, 6) AS distinct_n FROM g GROUP BY k, n""")
+def distinct_code_tokens(spark, sf):
+    code = table(spark, sf, "part").select("p_brand", lexical.code_tokens(_code_column()).alias("tokens"))
+    return lexical.distinct_n(code, ["p_brand"], "tokens", range(1, 4)).withColumn("distinct_n", r6("distinct_n"))
+
+
+@query(f"""WITH d AS (SELECT item_id, {_WORDS} AS t FROM benchmark), g AS (SELECT DISTINCT item_id, t[i : i + 1] AS gram FROM d, range(1, len(t)) s(i)),
+m AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM d WHERE len(t) >= 2),
+u(it, u0, u1) AS (VALUES {_DRAWS}), p AS (SELECT it, a.item_id AS a, b.item_id AS b FROM u JOIN m a ON a.pos = floor(u0 * a.n) JOIN m b ON b.pos = floor(u1 * b.n)),
+s AS (SELECT it, gram, count(DISTINCT side) AS sides FROM (SELECT it, gram, 0 AS side FROM p JOIN g ON g.item_id = p.a UNION ALL SELECT it, gram, 1 FROM p JOIN g ON g.item_id = p.b) GROUP BY 1, 2)
+SELECT round(avg(x), 6) AS sampled_jaccard FROM (SELECT it, 1 - count(*) FILTER (WHERE sides = 2) / count(*) AS x FROM s GROUP BY it)""")
+def jaccard_sampled(spark, sf):
+    out = lexical.sampled_jaccard(_tokens(spark, sf, "benchmark").withColumn("k", F.lit(0)), ["k"], "item_id", "tokens", 2)
+    return out.select(r6("sampled_jaccard").alias("sampled_jaccard"))
+
+
+# ---------------------------------------------------------------------------------------------------
+# Written and read again.
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def jsonl_round_trip(spark, sf):
+    path = f"{monitor.work_dir(spark)}/jsonl"
+    sinks.write_jsonl(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), path)
+    return readers.read_jsonl(spark, path, "p_partkey bigint, p_name string, p_size int")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part")
+def tsv_round_trip(spark, sf):
+    path = f"{monitor.work_dir(spark)}/tsv"
+    sinks.write_tsv(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), path)
+    return readers.read_tsv(spark, path)
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status, count(*) AS n FROM events GROUP BY 1")
+def stream_status_monitor(spark, sf):
+    """Events as a stream, each handled once, into a table of states."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    states = stream.select("event_id", F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("status"))
+    base = monitor.work_dir(spark)
+    return monitor.run_to_table(states, f"{base}/states", f"{base}/offsets", states.schema).groupBy("status").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------------------------------------------
 # Windowed events; the streams of streaming.monitor over the same transformations.
 

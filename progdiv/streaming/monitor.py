@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names in spark.checkpoint.dir; a local one only with a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/work/{uuid.uuid4().hex}"
+
+
 def status_stream(spark: SparkSession, path: str) -> DataFrame:
     """A row for every results.jsonl (success) or error.txt (failure) that appears below path."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)

@@ -68,7 +68,7 @@ def test_text(spark):
     assert one(spark, T.format_prompt(F.col("t"), F.col("d")), t="a ## DESCRIPTION b ## DESCRIPTION", d="X") == "a X b X"
     assert one(spark, T.html_to_text(F.col("t")), t="<p>a &lt;b<!-- x\ny --></p>&amp;c") == "a <b&c"
     assert one(spark, T.left_justify(F.col("t"), 5), t="abc") == "abc  " and one(spark, T.left_justify(F.col("t"), 2), t="abc") == "abc"
-    assert one(spark, T.hoist_docstrings(F.col("t")), t='a """x""" b \'\'\'y\'\'\'') == '"""x\ny"""'
+    assert one(spark, T.hoist_docstrings(F.col("t")), t='a """x""" b \'\'\'y\'\'\'') == '"""\nx\ny\n"""'
     with pytest.raises(Exception, match="placeholder"):
         one(spark, T.format_prompt(F.col("t"), F.col("d")), t="## DESCRIPTION", d="## DESCRIPTION")
 
