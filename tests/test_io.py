@@ -89,3 +89,23 @@ def test_windows_of_a_stream(spark, sf, tmp_path):
     want = batch.where(F.col("start") < F.lit(late) - F.expr("INTERVAL 2 HOURS")).count()
     assert got.count() >= want > 0
     assert got.join(batch, ["start", "event_type", "n"], "left_anti").count() == 0
+
+
+def test_html_sources_templates_and_lines(spark, tmp_path):
+    for name, text in (("h/p1.html", "<p>x</p>"), ("s/a/7.py", "print(1)"), ("s/b/8.py", "print(2)"), ("t/one.txt", "Do ## DESCRIPTION"), ("lines.txt", " a.yaml \n\nb.yaml\n")):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    assert [tuple(r) for r in readers.read_html(spark, str(tmp_path / "h")).collect()] == [("p1", "<p>x</p>")]
+    wanted = spark.createDataFrame([("7",), ("9",)], "submission_id string")
+    assert [tuple(r) for r in readers.read_sources(spark, str(tmp_path / "s"), wanted).collect()] == [("7", "print(1)")]
+    assert dict(map(tuple, readers.read_templates(spark, str(tmp_path / "t")).collect())) == {"one": "Do ## DESCRIPTION", "None": "## DESCRIPTION\n"}
+    assert [r["line"] for r in readers.read_lines(spark, str(tmp_path / "lines.txt")).collect()] == ["a.yaml", "b.yaml"]
+
+
+def test_generators_and_records(spark, tmp_path):
+    prompts = spark.createDataFrame([(1, "a"), (2, "b")], "problem_id int, formatted_prompt string")
+    made = readers.generate_with(prompts, lambda p, n: [f"{p}{i}" for i in range(n)], 2)
+    assert {r["problem_id"]: r["raw_generations"] for r in made.collect()} == {1: ["a0", "a1"], 2: ["b0", "b1"]}
+    sinks.write_records(made, str(tmp_path / "r"))
+    assert {r["problem_id"]: r["raw_generations"] for r in spark.read.json(str(tmp_path / "r")).collect()} == {1: ["a0", "a1"], 2: ["b0", "b1"]}

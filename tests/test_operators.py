@@ -190,3 +190,63 @@ def test_make_clusters(spark):
 
 def test_tokens_13a(spark):
     assert one(spark, T.tokens_13a(F.col("t")), t='Hello, world! 3.5 (a-b) 7-8 "q" &amp; x.') == ["Hello", ",", "world", "!", "3.5", "(", "a-b", ")", "7", "-", "8", '"', "q", '"', "&", "x", "."]
+
+
+def test_syntactic_against_loops(spark):
+    """Distinct shares, Jaccard and bootstrap of several program shapes from the programs' own subtree counts."""
+    from progdiv.functions.pyast import subtree_rows, subtrees
+
+    progs = ["x = 1\nprint(x)", "def f(a):\n    return [a + i for i in range(a)]", "y = 2\nprint(y)", "class A:\n    def g(self):\n        return self.v if self.v else None", "def (", "x = 1\nprint(x)", "for k in z:\n    if k:\n        print(k * 2)", ""]
+    rows = [("p", i, c) for i, c in enumerate(progs)]
+    subs = subtree_rows(spark.createDataFrame(rows, "k string, m int, code string"), ["k"], "m", "code")
+    distinct = {(r["variant"], r["height"]): (r["n_distinct"], r["n_total"]) for r in syntactic.distinct_subtrees(subs, ["k"]).collect()}
+    jac = {(r["variant"], r["height"]): r["jaccard"] for r in syntactic.jaccard_subtrees(subs, ["k"], "m").collect()}
+    boot = {(r["variant"], r["height"]): r["bootstrap_distinct"] for r in syntactic.bootstrap_subtrees(subs, ["k"], "m").collect()}
+    assert {v for v, _ in distinct} >= {"plain", "stripped", "obfuscated"}
+    for variant, h in distinct:
+        each = [{g: n for (k, g), n in found.items() if k == h} for c in progs if (found := subtrees(c, variant, (3, 4, 5, 6))) is not None]
+        assert distinct[variant, h] == (len(set().union(*each)), sum(sum(x.values()) for x in each)), (variant, h)
+        pairs = [1 - len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in itertools.combinations(each, 2) if set(a) | set(b)]
+        assert jac[variant, h] == (pytest.approx(sum(pairs) / len(pairs)) if pairs else None), (variant, h)
+        full, r, values = [x for x in each if x], random.Random(42), []
+        for _ in range(300) if len(full) > 1 else ():
+            a, b = r.choices(full, k=2)
+            if (total := sum(a.values()) + sum(b.values())) > 1:
+                values.append(len(set(a) | set(b)) / total)
+        assert boot.get((variant, h)) == (pytest.approx(sum(values) / len(values)) if values else None), (variant, h)
+
+
+def test_spectral_estimates_of_known_graphs(spark):
+    """Two cliques without a link are two meanings, and each place is as far from the centre as the projection says."""
+    import numpy as np
+
+    w = np.zeros((5, 5))
+    w[:2, :2] = w[2:, 2:] = 1
+    sims = spark.createDataFrame([(0, i, j, float(w[i, j])) for i in range(5) for j in range(5)], "k int, i bigint, j bigint, sim double")
+    assert estimators.spectral_eigenvalues(sims, ["k"], "k int").first()["spectral_eigv"] == pytest.approx(2.0)
+    got = {r["i"]: r for r in estimators.eccentricity(sims, ["k"], "k int").collect()}
+    # The span of both cliques' own vectors: distances to its centre don't depend on the basis.
+    v = np.array([[0.5**0.5, 0], [0.5**0.5, 0], [0, 3**-0.5], [0, 3**-0.5], [0, 3**-0.5]])
+    off = np.linalg.norm(v - v.mean(axis=0), axis=1)
+    assert [got[i]["confidence"] for i in range(5)] == pytest.approx((-off).tolist())
+    assert got[0]["uncertainty"] == pytest.approx(min(1.0, np.linalg.norm(v - v.mean(axis=0), 2)))
+
+
+def test_generated_cases(spark):
+    rows = dataset.random_testcases(spark, 20, -3, 9, 4).collect()
+    again = dataset.random_testcases(spark, 20, -3, 9, 4).collect()
+    assert rows == again and len({r["input"] for r in rows}) > 10
+    for r in rows:
+        n, items = r["input"].split("\n")
+        assert n == "4" and len(items.split()) == 4 and all(-3 <= int(x) <= 9 for x in items.split())
+
+
+def test_marks_left_in_wrappers_fail(spark):
+    with pytest.raises(Exception, match="mark left"):
+        one(spark, T.wrap_open_ended(F.col("w"), F.col("p"), F.lit("e")), w="## REPLACE F", p="## REPLACE EXTRACT ## REPLACE F")
+
+
+def test_experiments_outside_of_their_root_fail(spark):
+    e = spark.createDataFrame([(1, "other/x", "root/")], "id int, folder string, root string")
+    with pytest.raises(Exception, match="not below its root"):
+        dataset.to_reevaluate(e, e, e.where("false"), "id", "folder", "root").collect()
