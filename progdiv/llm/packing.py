@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from progdiv.llm.common import materialize
 
 CAPACITY = 2048
-#: Pieces of one length that are ranked together.
-RANKED = 1 << 17
+#: Pieces of one length that are ranked together: at most so many, and at most one in so many of all.
+RANKED, SHARE = 1 << 17, 1024
 _STOPS = ".,;:!?"
 #: Whether an array of this kind has the bytes that ids are kept in.
 _FOUR = array("I").itemsize == 4 and sys.byteorder == "little"
@@ -189,7 +189,8 @@ def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
 
     A length has as many salts as its count asks for, and salts come from place, a number that every piece has for
     itself, so that neither a common length nor equal rows meet in one task."""
-    salts = F.element_at(F.create_map(*(x for n, c in counts.items() for x in (F.lit(n), F.lit(-(-c // RANKED))))), F.col("length").cast("int")) if counts else F.lit(1)
+    most = max(1, min(RANKED, sum(counts.values()) // SHARE))
+    salts = F.element_at(F.create_map(*(x for n, c in counts.items() for x in (F.lit(n), F.lit(-(-c // most))))), F.col("length").cast("int")) if counts else F.lit(1)
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("place"), salts))
     per = pieces.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
