@@ -94,13 +94,89 @@ def op10_chat(spark: SparkSession, sf_dir: str, schemas: dict[str, dict] | None
     return out.withColumn("problems", F.array_join("problems", "; "))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_secrets returns that SQL can express: the base spans."""
+    return op3_secrets(spark, sf_dir).drop("spans")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5_mixing returns that SQL can express: sizes and targets, and whether a document is taken at most twice."""
+    out = op5_mixing(spark, sf_dir)
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_lm returns but for the model's own score."""
+    out = op6_lm(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_fingerprints returns that SQL can express: the edited texts."""
+    return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {"op1_embeddings": op1_embeddings, "op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
+QUERIES |= {"secrets_base": secrets_base, "mixing_targets": mixing_targets, "lm_base": lm_base, "fingerprint_edits": fingerprint_edits}
 
 #: Ends of both similarity queries: what each row reaches by links.
 _REACH = """reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
 least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)"""
 
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _repeats_sql(width: int = 200) -> str:
+    """Keys of width bytes from those of half as many, doubled by lead(); covered bytes from the starts before them."""
+    steps, have = ["k1 AS (SELECT doc_id, n, b, i, hash(b) AS k FROM bytes)"], 1
+    while have < width:
+        by, to = min(have, width - have), min(2 * have, width)
+        steps.append(f"k{to} AS (SELECT doc_id, n, b, i, hash(k, lead(k, {by}) OVER w) AS k FROM k{have} WINDOW w AS (PARTITION BY doc_id ORDER BY i))")
+        have = to
+    return f"""WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+        bytes AS (SELECT doc_id, n, unnest(b) AS b, unnest(range(len(b))) AS i FROM d), {", ".join(steps)},
+        starts AS (SELECT doc_id, b, i, i + {width} <= n AND count(*) OVER (PARTITION BY CASE WHEN i + {width} <= n THEN k ELSE -1 END) > 1 AS again FROM k{width}),
+        covered AS (SELECT doc_id, b, i, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW) = 1 AS gone FROM starts),
+        runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM covered),
+        found AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM runs GROUP BY 1)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN found USING (doc_id)"""
+
+
+def _secrets_sql() -> str:
+    """Matches of each kind, and their starts from the lengths of what is between them."""
+    kinds = (("assign", secrets.ASSIGN.replace("'", "''"), 2, 6), ("access", "(AKIA[A-Z0-9]+)", 1, 20), ("hex", "([0-9a-f]+)", 1, 24))
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS kind, '{name}' AS name, unnest(regexp_extract_all(t, '{pattern}', 0)) AS hit, unnest(regexp_extract_all(t, '{pattern}', {group})) AS part, {least} AS least,
+            unnest(string_split_regex(t, '{pattern}')) AS gap, generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS j FROM d"""
+        for i, (name, pattern, group, least) in enumerate(kinds)
+    )
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({found}),
+        p AS (SELECT *, sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id, kind ORDER BY j) AS upto FROM m),
+        s AS (SELECT doc_id, kind, name, upto - length(hit) AS start, upto AS stop FROM p WHERE length(part) >= least)
+        SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+            sha256(coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind), '')) AS base_sha256 FROM d LEFT JOIN s USING (doc_id) GROUP BY 1"""
+
+
+#: Of the number as text: bytes run through the reflected polynomial, eight steps (-1) after each.
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
 SQL: dict[str, str] = {
+    "op2_repeats": _repeats_sql(),
+    "secrets_base": _secrets_sql(),
+    "mixing_targets": f"""WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+        s AS (SELECT source, sum(size) AS size, [2, 3, 1][row_number() OVER (ORDER BY source NULLS LAST) % 3 + 1] AS w FROM d GROUP BY 1),
+        o AS (SELECT *, 2 * size / w AS full_at, 1.5 * sum(size) OVER () - coalesce(sum(2 * size) OVER (ORDER BY 2 * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+            sum(w) OVER (ORDER BY 2 * size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws,
+            row_number() OVER (ORDER BY 2 * size / w, source) AS k FROM s),
+        l AS (SELECT arg_min(rest / ws, k) FILTER (WHERE rest / ws <= full_at) AS level FROM o)
+        SELECT doc_id, CAST(d.size AS BIGINT) AS size, CAST(o.size AS BIGINT) AS source_size, round(least(2.0 * o.size, w * level), 4) AS target, true AS within FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, l""",
+    "lm_base": f"""WITH d AS (SELECT doc_id, {_CRC32} % 10 = 0 AS held_out, list_concat({_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, ['\x20end']) AS t FROM documents),
+        w AS (SELECT doc_id, held_out, unnest(t) AS w FROM d), c AS (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY 1), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+        x AS (SELECT doc_id, held_out, w.w, coalesce(c, 0) AS c FROM w LEFT JOIN c ON c.w = w.w)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((c + 0.1) / (n + 0.1 * (v + 1)))), 4) AS base_score FROM x, n GROUP BY 1, 2""",
+    "fingerprint_edits": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents)
+        SELECT a.doc_id, length(a.t) AS n_chars, sha256(substring(a.t, 1, length(a.t) - length(a.t) // 4) || substring(b.t, 1, length(a.t) // 4)) AS edited_sha256 FROM d a JOIN d b ON b.r = a.r % a.n + 1""",
     "op1_embeddings": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         links AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
         {_REACH}
