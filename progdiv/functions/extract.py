@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import dataclasses
 import re
 from collections.abc import Iterator
 
@@ -19,66 +20,67 @@ IMPORT = re.compile(r"from\s+[\w\.]+\s+import\s+[\w\.,\s*]+|import\s+[\w\.,\s*]+
 FENCE = "`" * 3
 
 
-def _bare(line: str) -> tuple[str, int]:
-    """The line without comment and indent, and what its length lacks of the whole: a trailing comment counts in."""
-    code = line.partition("#")[0].lstrip()
-    return code, len(line) - len(code)
+@dataclasses.dataclass
+class Line:
+    """A line, its code (without comment and indent), what the code lacks of the line's length, and its kind: opener (of a
+    block), blank, import or other."""
 
+    raw: str
+    code: str
+    depth: int
+    kind: str
 
-def _first(code: str) -> ast.stmt | None:
-    try:
-        body = ast.parse(code).body
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return None
-    return body[0] if body else None
-
-
-def _is_name(node: ast.stmt) -> bool:
-    return isinstance(node, ast.Expr) and isinstance(node.value, ast.Name)
 
+def classify(raw: str) -> Line:
+    code = raw.split("#", 1)[0].lstrip()
+    kind = "opener" if BLOCK.match(code) else "blank" if not code else "import" if IMPORT.match(code) else "other"
+    return Line(raw, code, len(raw) - len(code), kind)
 
-class _Extractor:
-    """Walks the lines once; `out` holds what is kept, `block` the open block's lines."""
 
-    def __init__(self, lines: list[str]) -> None:
-        self.lines, self.out, self.block, self.indent = lines, [], [], 0
+def segments(lines: list[Line]) -> Iterator[tuple[int, int]]:
+    """Bounds of the parts of a text: blocks, from an opener over openers, blank and deeper lines, and other lines alone."""
+    at = 0
+    while at < len(lines):
+        end = at + 1
+        if lines[at].kind == "opener":
+            while end < len(lines) and (lines[end].kind in ("opener", "blank") or lines[end].depth > lines[at].depth):
+                end += 1
+        yield at, end
+        at = end
 
-    def close(self, gap: str) -> None:
-        if self.block:
-            self.out.append("\n".join(x[self.indent :] for x in self.block).strip() + gap)
-            self.block = []
 
-    def one_liner(self, at: int, code: str, depth: int) -> bool:
-        """A compound statement on one line: what follows its last colon must be an expression, the next line no deeper."""
-        node = _first(re.sub(".*:", "", code))
-        if not isinstance(node, ast.Expr) or _is_name(node):
-            return False
-        return at + 1 >= len(self.lines) or _bare(self.lines[at + 1])[1] <= depth
-
-    def take(self, at: int, line: str) -> None:
-        code, depth = _bare(line)
-        if BLOCK.match(code):
-            if not self.block:
-                self.indent = depth
-            self.block.append(line)
-        elif self.block and (not code or depth > self.indent):
-            self.block.append(line)
-        elif not code:
-            self.out.append(line + "\n")
+def is_statement(code: str, only_expression: bool = False) -> bool:
+    """Whether code parses to something that begins with another statement than a bare name."""
+    try:
+        first = next(iter(ast.parse(code).body), None)
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return False
+    if isinstance(first, ast.Expr):
+        return not isinstance(first.value, ast.Name)
+    return first is not None and not only_expression
+
+
+def is_one_liner(line: Line, following: list[Line]) -> bool:
+    """A compound statement on one line: an expression comes after its last colon, and no deeper line after it."""
+    return is_statement(line.code.rpartition(":")[2], only_expression=True) and all(f.depth <= line.depth for f in following)
+
+
+def code_of(lines: list[Line]) -> str:
+    """What is code of classified lines: blocks without their first line's indent, blank lines, imports and statements."""
+    out = []
+    for at, end in segments(lines):
+        line, ends = lines[at], "\n"
+        if line.kind == "opener":
+            kept = "\n".join(x.raw[line.depth :] for x in lines[at:end]).strip()
+            ends = "\n" if end == len(lines) else "\n\n"
+        elif line.kind == "import":
+            kept = line.code
+        elif line.kind == "blank" or is_statement(line.code) or is_one_liner(line, lines[end : end + 1]):
+            kept = line.raw
         else:
-            self.close("\n\n")
-            if IMPORT.match(code):
-                self.out.append(code + "\n")
-                return
-            node = _first(code)
-            if (node is not None and not _is_name(node)) or self.one_liner(at, code, depth):
-                self.out.append(line + "\n")
-
-    def run(self) -> str:
-        for at, line in enumerate(self.lines):
-            self.take(at, line)
-        self.close("\n")
-        return "".join(self.out)
+            continue
+        out.append(kept + ends)
+    return "".join(out)
 
 
 def extract_python(text: str | None) -> str | None:
@@ -92,7 +94,7 @@ def extract_python(text: str | None) -> str | None:
         text = pattern.sub("", text)
     head = '"""\n' + "\n".join(doc) + '\n"""' if doc else ""
     text = text.replace(f"{FENCE}Python\n", f"{FENCE}\n").replace(FENCE, f"{FENCE}\n")
-    return (head + "\n" + _Extractor(text.splitlines()).run()).strip()
+    return (head + "\n" + code_of([classify(x) for x in text.splitlines()])).strip()
 
 
 def extract_python_code(text: Column) -> Column:

@@ -495,10 +495,27 @@ def token_budget(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.token_budget(model, used, F.lit(1500)).alias("budget"))
 
 
-@query("SELECT p_partkey, 'def f(x):' || chr(10) || '    return x * ' || p_size AS code FROM part")
+_BODY = "'def f(x):' || chr(10) || '    return x * ' || p_size"
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN {_BODY} || chr(10) || chr(10) || 'print(f(2))' WHEN 2 THEN '@cache' || chr(10) || {_BODY} WHEN 3 THEN ''
+    WHEN 4 THEN repeat('"', 3) || chr(10) || p_name || chr(10) || repeat('"', 3) || chr(10) || chr(10) || {_BODY} WHEN 5 THEN 'import os' || chr(10) || 'if f:print(' || p_size || ')'
+    WHEN 6 THEN 'if x:' || chr(10) || '    y = ' || p_size || chr(10) || chr(10) || 'else:' || chr(10) || '    y = 0' WHEN 7 THEN 'x = ' || p_size || ' # ' || p_name ELSE {_BODY} END AS code FROM part""")
 def extract_python(spark, sf):
-    code = F.concat(F.lit("def f(x):\n    return x * "), F.col("p_size").cast("string"))
-    said = F.concat(F.lit(f"Here is what you asked\n{FENCE}python\n"), code, F.lit(f"\n{FENCE}\nIt works well."))
+    """Texts of eight kinds: fences of both cases, prose around code, decorators, prose alone, docstrings, one-liners, split branches, remarks."""
+    size = F.col("p_size").cast("string")
+    code = F.concat(F.lit("def f(x):\n    return x * "), size)
+    kinds = [
+        F.concat(F.lit(f"Here is what you asked\n{FENCE}python\n"), code, F.lit(f"\n{FENCE}\nIt works well.")),
+        F.concat(F.lit("Sure, try this:\n"), code, F.lit("\nThen call it\nprint(f(2))")),
+        F.concat(F.lit(f"{FENCE}Python\n@cache\n"), code, F.lit(f"\n{FENCE}")),
+        F.concat(F.lit("There is no good answer to "), "p_name"),
+        F.concat(F.lit('"""'), "p_name", F.lit('"""\n'), code),
+        F.concat(F.lit("import os\nif f:print("), size, F.lit(")\nand so on")),
+        F.concat(F.lit("if x:\n    y = "), size, F.lit("\nIn the other case we write\nelse:\n    y = 0")),
+        F.concat(F.lit("x = "), size, F.lit(" # "), "p_name"),
+    ]
+    said = F.element_at(F.array(*kinds), (F.col("p_partkey") % 8 + 1).cast("int"))
     return table(spark, sf, "part").select("p_partkey", extract_python_code(said).alias("code"))
 
 

@@ -20,6 +20,22 @@ from progdiv.functions.pyast import Renamer, lexer_tokens, obfuscate, subtrees
         ("@cache\ndef f():\n    pass", "@cache\ndef f():\n    pass"),
         ("x = 1\nif x:print(x)\nok", "x = 1\nif x:print(x)"),
         ('def f():\n    """doc"""\n    return 1', '"""\ndoc\n"""\ndef f():\n    \n    return 1'),
+        ("The idea:\n\ndef outer(n):\n    def inner(k):\n        return k * n\n    return inner\n\nIt nests.", "def outer(n):\n    def inner(k):\n        return k * n\n    return inner"),
+        ('import sys\nfrom os import path\n\nif __name__ == "__main__":\n    print(path)', 'import sys\nfrom os import path\n\nif __name__ == "__main__":\n    print(path)'),
+        ("def f(a):\n    return a + \\\n        1\nThanks!", "def f(a):\n    return a + \\\n        1"),
+        ("@total\nclass Item:\n    size = 1\nYou may use it.", "@total\nclass Item:\n    size = 1"),
+        (f"First {FENCE}x = 1{FENCE} then\n{FENCE}\ny = 2\n{FENCE}", "y = 2"),
+        ("if a > 1:\n    b = 1\nThen the other branch comes\nelse:\n    b = 2", "if a > 1:\n    b = 1\n\nelse:\n    b = 2"),
+        ("def f():\n    # größer als früher\n    return 1", "def f():\n    # größer als früher\n    return 1"),
+        ("# only a remark\nNothing to run here", "# only a remark"),
+        ("    for i in range(3):\n        print(i)\n    print(4)", "for i in range(3):\n        print(i)".replace("        ", "    ") + "\n\n    print(4)"),
+        ("while True:\n    break\nelse:\n    pass", "while True:\n    break\nelse:\n    pass"),
+        ("x: int = 1\nname\nname.method()", "x: int = 1\nname.method()"),
+        ("result is:f(x)\nanswer is:g(x)\n    more", "result is:f(x)"),
+        ("async def go():\n    await it\n\n\nz = 1", "async def go():\n    await it\n\nz = 1"),
+        ("from a import b  # why\nimport c", "from a import b  \nimport c"),
+        ("", ""),
+        ("\n\n", ""),
     ],
 )
 def test_extract(text, code):
