@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from progdiv.functions import text as T
 from progdiv.functions.extract import FENCE, extract_python_code
 from progdiv.functions.pyast import subtree_rows
-from progdiv.operators import dataset, embedding, estimators, lexical, records, semantic, summary, syntactic
+from progdiv.operators import dataset, embedding, estimators, lexical, records, report, semantic, summary, syntactic
 from progdiv.sources import readers, sinks
 from progdiv.streaming import monitor
 
@@ -748,6 +748,54 @@ def jaccard_sampled(spark, sf):
     return out.select(r6("sampled_jaccard").alias("sampled_jaccard"))
 
 
+# ---------------------------------------------------------------------------------------------------
+# All metric families by record type.
+
+_REPORT = EXEC + """, p AS (SELECT problem_id, recordtype, generation_id AS m, list_filter(string_split(o_orderpriority || ' price ' || CAST(round(o_totalprice) AS BIGINT) % 7 || ' of ' || o_orderstatus, ' '), lambda x: x <> '') AS t,
+    CAST(embedding AS DOUBLE[]) AS v FROM typed JOIN orders ON o_orderkey = generation_id LEFT JOIN embeddings ON vec_id = o_orderkey % 500 WHERE o_orderpriority NOT LIKE '1%'),
+d AS (SELECT * FROM p WHERE (problem_id, recordtype) IN (SELECT (problem_id, recordtype) FROM p GROUP BY problem_id, recordtype HAVING count(*) > 2)),
+c AS (SELECT problem_id, recordtype, m, n, t[i : i + n - 1] AS gram, count(*) AS c FROM d, range(1, 7) r(n), range(1, len(t) + 1) s(i) WHERE i + n - 1 <= len(t) GROUP BY ALL),
+pairs AS (SELECT a.problem_id, a.recordtype, a.m AS a, b.m AS b, len(a.t) AS la, len(b.t) AS lb, a.v AS va, b.v AS vb FROM d a JOIN d b ON a.problem_id = b.problem_id AND a.recordtype = b.recordtype AND a.m < b.m),
+hits AS (SELECT a.problem_id, a.recordtype, a.m AS a, b.m AS b, a.n, sum(least(a.c, b.c)) AS hit, count(*) AS s FROM c a JOIN c b ON a.problem_id = b.problem_id AND a.recordtype = b.recordtype AND a.n = b.n AND a.gram = b.gram AND a.m < b.m GROUP BY ALL),
+sizes AS (SELECT problem_id, recordtype, m, count(*) AS z FROM c WHERE n = 2 GROUP BY ALL),
+bleu AS (SELECT p.problem_id, p.recordtype, p.a, p.b, la, lb, r.n, la - r.n + 1 AS total, coalesce(hit, 0) AS hit FROM pairs p, range(1, 5) r(n) LEFT JOIN hits h ON h.problem_id = p.problem_id AND h.recordtype = p.recordtype AND h.a = p.a AND h.b = p.b AND h.n = r.n),
+q AS (SELECT *, count(*) FILTER (WHERE hit = 0) OVER (PARTITION BY problem_id, recordtype, a, b ORDER BY n) AS misses FROM bleu WHERE total > 0),
+f AS (SELECT problem_id, recordtype, a, b, CASE WHEN sum(hit) = 0 THEN 0.0 ELSE any_value(CASE WHEN la < lb THEN exp(1 - lb / la) ELSE 1.0 END) * exp(avg(ln(CASE WHEN hit = 0 THEN 100.0 / (pow(2, misses) * total) ELSE 100.0 * hit / total END))) END AS bleu FROM q GROUP BY ALL),
+sem AS (SELECT problem_id, recordtype, count(*) AS n, count(DISTINCT semantic) AS k, avg(CAST(coherent AS INT)) AS coh, avg(CAST(accurate AS INT)) AS acc FROM typed GROUP BY ALL),
+eq AS (SELECT problem_id, recordtype, sum(x * (x - 1)) AS eq FROM (SELECT problem_id, recordtype, semantic, count(*) AS x FROM typed GROUP BY ALL) GROUP BY ALL),
+long AS (SELECT problem_id, recordtype, 'semantic_count' AS metric, CAST(k AS DOUBLE) AS value FROM sem UNION ALL SELECT problem_id, recordtype, 'semantic_proportion', k / n FROM sem WHERE n > 1
+    UNION ALL SELECT problem_id, recordtype, 'pairwise_semantic', 1 - eq / (n * (n - 1)) FROM sem JOIN eq USING (problem_id, recordtype) WHERE n > 1
+    UNION ALL SELECT problem_id, recordtype, 'avg_coherence', coh FROM sem UNION ALL SELECT problem_id, recordtype, 'avg_accuracy', acc FROM sem
+    UNION ALL SELECT problem_id, recordtype, 'distinct_' || n, count(DISTINCT gram) / sum(c) FROM c GROUP BY problem_id, recordtype, n HAVING sum(c) > 1
+    UNION ALL SELECT p.problem_id, p.recordtype, 'jaccard', avg(1 - coalesce(h.s, 0) / (x.z + y.z - coalesce(h.s, 0))) FROM pairs p JOIN sizes x ON x.problem_id = p.problem_id AND x.recordtype = p.recordtype AND x.m = p.a
+        JOIN sizes y ON y.problem_id = p.problem_id AND y.recordtype = p.recordtype AND y.m = p.b LEFT JOIN hits h ON h.problem_id = p.problem_id AND h.recordtype = p.recordtype AND h.a = p.a AND h.b = p.b AND h.n = 2 GROUP BY 1, 2
+    UNION ALL SELECT problem_id, recordtype, 'self_bleu', avg(100 - bleu) FROM f GROUP BY 1, 2
+    UNION ALL SELECT problem_id, recordtype, 'cosine_distance', avg(1 - list_cosine_similarity(va, vb)) FROM pairs WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY 1, 2),
+grid AS (SELECT DISTINCT problem_id, t.recordtype, m.metric FROM gen, (VALUES ('all'), ('coh'), ('syn'), ('err'), ('acc'), ('inacc')) t(recordtype),
+    (VALUES ('semantic_count'), ('semantic_proportion'), ('pairwise_semantic'), ('avg_coherence'), ('avg_accuracy'), ('distinct_1'), ('distinct_2'), ('distinct_3'), ('distinct_4'), ('distinct_5'), ('distinct_6'), ('jaccard'), ('self_bleu'), ('cosine_distance')) m(metric))
+"""
+
+
+def _full_report(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("program", F.when(F.col("o_orderpriority").startswith("1"), "").otherwise(F.col("o_orderpriority")))
+    said = F.concat("o_orderpriority", F.lit(" price "), (F.round("o_totalprice").cast("long") % 7).cast("string"), F.lit(" of "), "o_orderstatus")
+    orders = orders.select(F.col("o_orderkey").alias("generation_id"), "program", lexical.word_tokens(said).alias("tokens"), (F.col("o_orderkey") % 500).alias("vec_id"))
+    orders = orders.join(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left").drop("vec_id")
+    path = f"{monitor.work_dir(spark)}/generations"
+    generations(spark, sf).join(orders, "generation_id").write.parquet(path)
+    return report.metric_report(spark.read.parquet(path))
+
+
+@query(_REPORT + "SELECT problem_id, recordtype, metric, round(coalesce(value, CASE WHEN metric = 'semantic_count' THEN 0 END), 4) AS value FROM grid LEFT JOIN long USING (problem_id, recordtype, metric)")
+def metrics_by_recordtype(spark, sf):
+    return _full_report(spark, sf).withColumn("value", F.round("value", 4))
+
+
+@query(_REPORT + "SELECT recordtype, metric, count(coalesce(value, CASE WHEN metric = 'semantic_count' THEN 0 END)) AS count, round(avg(coalesce(value, CASE WHEN metric = 'semantic_count' THEN 0 END)), 4) AS mean FROM grid LEFT JOIN long USING (problem_id, recordtype, metric) GROUP BY 1, 2")
+def summary_by_recordtype(spark, sf):
+    return summary.describe(_full_report(spark, sf), ["recordtype", "metric"]).select("recordtype", "metric", "count", F.round("mean", 4).alias("mean"))
+
+
 # ---------------------------------------------------------------------------------------------------
 # Written and read again.
 
