@@ -354,9 +354,10 @@ def eccentricity(spark, sf):
     return estimators.eccentricity(_similarities(spark, sf), ["grp"], "grp bigint")
 
 
-@query()
+@query(_SIM + "SELECT grp, round(sum(1 / d), 6) AS spectral_eigv FROM (SELECT k AS grp, i, sum(sim) AS d FROM w GROUP BY 1, 2) GROUP BY 1")
 def spectral_eigv(spark, sf):
-    return estimators.spectral_eigenvalues(_similarities(spark, sf), ["grp"], "grp bigint")
+    """Jaccard similarities have no negative eigenvalue, so that SQL has the clipped sum as the trace."""
+    return estimators.spectral_eigenvalues(_similarities(spark, sf), ["grp"], "grp bigint").withColumn("spectral_eigv", r6("spectral_eigv"))
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -542,19 +543,61 @@ def ast_distinct_plain(spark, sf):
     return out.select("problem_id", "n_distinct", "n_total")
 
 
-@query()
+def _varied_subtrees(spark, sf):
+    """Programs of four shapes in turn: a product, a sum by way of a name, a lone number (too low for most heights) and one that
+    doesn't parse."""
+    size, name = F.col("p_size").cast("string"), F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "")
+    head = F.concat(F.lit("def f_"), name)
+    shapes = [
+        F.concat(head, F.lit("(x):\n    return x * "), size),
+        F.concat(head, F.lit("(x):\n    y = x + "), size, F.lit("\n    return y")),
+        size,
+        F.concat(head, F.lit("(x:")),
+    ]
+    code = F.element_at(F.array(*shapes), (F.floor(F.col("p_partkey") / 50) % 4 + 1).cast("int"))
+    part = table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("problem_id"), F.col("p_partkey").alias("generation_id"), code.alias("code"))
+    return subtree_rows(part, ["problem_id"], "generation_id", "code")
+
+
+#: Of each shape the nodes that are as high as a height, and whether their trees cut there show the function's name and the number.
+_NODES = [
+    *((0, 3, "BinOp", 0, 1), (0, 3, "Return", 0, 1), (0, 3, "FunctionDef", 1, 0), (0, 3, "Module", 1, 0)),
+    *((0, 4, "Return", 0, 1), (0, 4, "FunctionDef", 1, 1), (0, 4, "Module", 1, 0)),
+    *((0, 5, "FunctionDef", 1, 1), (0, 5, "Module", 1, 1), (0, 6, "Module", 1, 1)),
+    *((1, 3, "BinOp", 0, 1), (1, 3, "Assign", 0, 1), (1, 3, "Return", 0, 0), (1, 3, "FunctionDef", 1, 0), (1, 3, "Module", 1, 0)),
+    *((1, 4, "Assign", 0, 1), (1, 4, "FunctionDef", 1, 1), (1, 4, "Module", 1, 0)),
+    *((1, 5, "FunctionDef", 1, 1), (1, 5, "Module", 1, 1), (1, 6, "Module", 1, 1)),
+    (2, 3, "Module", 0, 1),
+]
+_TREES = f"""WITH p AS (SELECT p_partkey % 50 AS problem_id, p_partkey AS m, p_partkey // 50 % 4 AS shape, p_size AS s, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS b FROM part),
+nodes(shape, height, node, named, sized) AS (VALUES {", ".join(map(str, _NODES))}), variants(variant) AS (VALUES ('plain'), ('stripped'), ('obfuscated')),
+g AS (SELECT problem_id, variant, height, m, concat_ws('|', shape, node, CASE WHEN named = 1 AND variant = 'plain' THEN b END, CASE WHEN sized = 1 AND variant <> 'stripped' THEN s END) AS g FROM p JOIN nodes USING (shape), variants),
+members AS (SELECT problem_id, variant, height, m FROM p, variants, (VALUES (3), (4), (5), (6)) h(height) WHERE shape < 3)
+"""
+
+
+@query(_TREES + """SELECT problem_id, variant, height, count(DISTINCT g) AS n_distinct, count(g) AS n_total, round(CASE WHEN count(g) > 1 THEN count(DISTINCT g) / count(g) END, 6) AS prop_distinct
+FROM members LEFT JOIN g USING (problem_id, variant, height, m) GROUP BY 1, 2, 3""")
 def ast_distinct(spark, sf):
-    return syntactic.distinct_subtrees(_subtrees(spark, sf), ["problem_id"])
+    return syntactic.distinct_subtrees(_varied_subtrees(spark, sf), ["problem_id"]).withColumn("prop_distinct", r6("prop_distinct"))
 
 
-@query()
+@query(_TREES + """, z AS (SELECT problem_id, variant, height, m, count(g) AS c FROM members LEFT JOIN g USING (problem_id, variant, height, m) GROUP BY ALL),
+i AS (SELECT a.problem_id, a.variant, a.height, a.m AS a, b.m AS b, count(*) AS s FROM g a JOIN g b ON a.problem_id = b.problem_id AND a.variant = b.variant AND a.height = b.height AND a.g = b.g AND a.m < b.m GROUP BY ALL),
+d AS (SELECT x.problem_id, x.variant, x.height, avg(1 - coalesce(s, 0) / (x.c + y.c - coalesce(s, 0))) AS jaccard FROM z x JOIN z y ON x.problem_id = y.problem_id AND x.variant = y.variant AND x.height = y.height AND x.m < y.m
+    LEFT JOIN i ON i.problem_id = x.problem_id AND i.variant = x.variant AND i.height = x.height AND i.a = x.m AND i.b = y.m WHERE x.c + y.c > 0 GROUP BY 1, 2, 3)
+SELECT problem_id, variant, height, n, round(jaccard, 6) AS jaccard FROM (SELECT problem_id, variant, height, count(*) AS n FROM members GROUP BY 1, 2, 3) LEFT JOIN d USING (problem_id, variant, height)""")
 def ast_jaccard(spark, sf):
-    return syntactic.jaccard_subtrees(_subtrees(spark, sf), ["problem_id"], "generation_id")
+    return syntactic.jaccard_subtrees(_varied_subtrees(spark, sf), ["problem_id"], "generation_id").withColumn("jaccard", r6("jaccard"))
 
 
-@query()
+@query(_TREES + f""", r AS (SELECT *, row_number() OVER (PARTITION BY problem_id, variant, height ORDER BY m) - 1 AS pos, count(*) OVER (PARTITION BY problem_id, variant, height) AS n FROM (SELECT DISTINCT problem_id, variant, height, m FROM g)),
+u(it, u0, u1) AS (VALUES {_DRAWS}), q AS (SELECT it, problem_id, variant, height, m FROM u JOIN r ON pos = floor(u0 * n) UNION ALL SELECT it, problem_id, variant, height, m FROM u JOIN r ON pos = floor(u1 * n)),
+x AS (SELECT it, problem_id, variant, height, count(DISTINCT g) / count(*) AS x FROM q JOIN g USING (problem_id, variant, height, m) GROUP BY ALL)
+SELECT problem_id, variant, height, round(avg(x), 6) AS bootstrap_distinct FROM x GROUP BY 1, 2, 3""")
 def ast_bootstrap(spark, sf):
-    return syntactic.bootstrap_subtrees(_subtrees(spark, sf), ["problem_id"], "generation_id")
+    out = syntactic.bootstrap_subtrees(_varied_subtrees(spark, sf), ["problem_id"], "generation_id")
+    return out.withColumn("bootstrap_distinct", r6("bootstrap_distinct"))
 
 
 # ---------------------------------------------------------------------------------------------------
