@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,26 @@ def clean_nbsp(c: Column) -> Column:
     return strip(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def code_point(n: Column) -> Column:
+    """The character of a number; the replacement character where there is none."""
+    known = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(known, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
+def decode_references(c: Column) -> Column:
+    """Character references (names of HTML 4 and apos, decimal and hexadecimal numbers) as what they stand for, each once: what
+    a reference gives is never read as part of another. Unknown names stay; null stays null."""
+    pattern = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+    names = F.create_map(*(F.lit(x) for name, n in [*name2codepoint.items(), ("apos", 39)] for x in (name, chr(n))))
+
+    def meant(ref: Column) -> Column:
+        number = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 8), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 9)).try_cast("long")
+        return F.when(ref.startswith("#"), code_point(F.coalesce(number, F.lit(0)))).otherwise(F.coalesce(F.try_element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
+
+    refs = F.concat(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), meant), F.array(F.lit("")))
+    return F.when(c.contains("&"), F.array_join(F.zip_with(F.split(c, pattern, -1), refs, lambda text, ref: F.concat(text, ref)), "")).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
     """Text between tags, without separators; comments go, the five basic entities and nbsp are decoded."""
     out = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"<[^>]*>", "")
@@ -64,6 +86,11 @@ def html_to_text(c: Column) -> Column:
     return out
 
 
+def decoded_html(c: Column) -> Column:
+    """As html_to_text, but all character references that decode_references knows are decoded."""
+    return decode_references(F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"<[^>]*>", ""))
+
+
 def confidence(c: Column) -> Column:
     """The first stated percentage as a share; null if none."""
     return F.try_divide(F.regexp_extract(c, r"Confidence:\s*(\d+)%", 1).try_cast("int"), F.lit(100))
@@ -135,6 +162,16 @@ def rename_map_string(names: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(names)), lambda e: F.concat(e["key"], F.lit(" "), e["value"])), " | ")
 
 
+def merged_names(first: Column, second: Column) -> Column:
+    """Both maps as one; a key that both have is an error."""
+    return F.map_concat(first, second)
+
+
+def inverse_names(names: Column) -> Column:
+    """Keys by values; a value that two keys share is an error."""
+    return F.map_from_arrays(F.map_values(names), F.map_keys(names))
+
+
 def min_max_scaled(c: Column, low: Column, high: Column) -> Column:
     return F.try_divide((c - low) * 100, high - low)
 

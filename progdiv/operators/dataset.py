@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,21 +17,23 @@ def hash_order(key: Column) -> Column:
     return F.md5(key.cast("string"))
 
 
-#: Partitions of the hash order whose counts give every row its global place.
-_SLICES = 256
+#: About so many rows of the hash order are ranked in one slice.
+_SLICE = 100_000
 
 
 def split(frame: DataFrame, key: str, train: float = 0.7) -> DataFrame:
     """Adds part: the first int(train * n) rows by hash are train, half of the rest test, what remains val.
 
-    Places come from ranks within slices of the hash and running counts of the slices, not from one sort.
+    Places come from ranks within slices of the hash and running counts of the slices, not from one sort. Slices are as many as the
+    rows ask for; rows without a key come first.
     """
-    h = hash_order(F.col(key))
-    rows = frame.withColumn("_h", h).withColumn("_s", F.substring("_h", 1, 2))
+    h = F.coalesce(hash_order(F.col(key)), F.lit(""))
+    digits = max(1, math.ceil(math.log(max(frame.count(), 1) / _SLICE, 16)))
+    rows = frame.withColumn("_h", h).withColumn("_s", F.substring("_h", 1, digits))
     counts = rows.groupBy("_s").count()
     before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_s", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(Window.partitionBy()).alias("_n"))
-    rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy("_s").orderBy("_h", key))).join(F.broadcast(counts), "_s")
+    rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy("_s").orderBy("_h", key))).join(counts, "_s")
     place, first = F.col("_before") + F.col("_own"), F.floor(F.col("_n") * train)
     second = first + F.floor((F.col("_n") - first) / 2)
     part = F.when(place <= first, "train").when(place <= second, "test").otherwise("val")

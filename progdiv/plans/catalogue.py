@@ -689,6 +689,44 @@ def docstring_hoisting(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.hoist_docstrings(code).alias("hoisted"), T.without_docstrings(code).alias("code"))
 
 
+@query("SELECT o_custkey, string_agg('k' || o_orderkey || ' ' || o_orderstatus, ' | ' ORDER BY 'k' || o_orderkey) AS merged, string_agg('p' || o_orderkey || ' ' || 'k' || o_orderkey, ' | ' ORDER BY 'p' || o_orderkey) AS inverse FROM orders GROUP BY 1")
+def name_maps(spark, sf):
+    key = F.col("o_orderkey").cast("string")
+    entries = lambda kept, value: F.map_from_entries(F.collect_list(F.when(kept, F.struct(F.concat(F.lit("k"), key).alias("k"), value.alias("v")))))
+    even = F.col("o_orderkey") % 2 == 0
+    maps = table(spark, sf, "orders").groupBy("o_custkey").agg(entries(even, F.col("o_orderstatus")).alias("a"), entries(~even, F.col("o_orderstatus")).alias("b"), entries(F.lit(True), F.concat(F.lit("p"), key)).alias("c"))
+    return maps.select("o_custkey", T.rename_map_string(T.merged_names(F.col("a"), F.col("b"))).alias("merged"), T.rename_map_string(T.inverse_names(F.col("c"))).alias("inverse"))
+
+
+@query("SELECT p_partkey, p_name || ' 2' || '|' || p_name || ' 2' || '|' || p_name || ' 1' AS texts FROM part")
+def generated_texts(spark, sf):
+    """Three texts a prompt, two at once at most, from a generator that says how many it was asked for."""
+    prompts = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("formatted_prompt"))
+    said = readers.generate_with(prompts, lambda prompt, most, end: [f"{prompt}{end}{most}"] * most, 3, batch_size=2, end=" ")
+    return said.select("p_partkey", F.array_join("raw_generations", "|").alias("texts"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN CAST(length(p_name) AS DOUBLE) END AS length, CASE WHEN p_size % 7 > 0 THEN CAST(length(p_name) - length(replace(p_name, ' ', '')) AS DOUBLE) END AS blanks FROM part")
+def embedded_texts(spark, sf):
+    texts = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 7 > 0, F.col("p_name")).otherwise(" ").alias("text"))
+    found = readers.embed_with(texts, "text", lambda some: [[len(t), t.count(" ")] for t in some])
+    return found.select("p_partkey", F.get("embedding", F.lit(0)).alias("length"), F.get("embedding", F.lit(1)).alias("blanks"))
+
+
+@query("SELECT p_partkey, p_type || chr(62) || chr(9731) || chr(233) || '&lt;&nope;' || chr(128512) || chr(CAST(p_size + 64 AS INT)) || chr(CAST(p_size + 64 AS INT)) AS text FROM part")
+def character_references(spark, sf):
+    size = F.col("p_size") + 64
+    html = F.concat(F.lit("<p>"), "p_type", F.lit("&gt;</p>&#9731;&eacute;<!-- & -->&amp;lt;&nope;&#x1F600;&#"), size.cast("string"), F.lit(";&#X"), F.hex(size), F.lit(";"))
+    return table(spark, sf, "part").select("p_partkey", T.decoded_html(html).alias("text"))
+
+
+@query(r"""SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'),
+    '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&') AS text FROM pages""")
+def html_decoded(spark, sf):
+    """SQL has the references that occur in the pages."""
+    return table(spark, sf, "pages").select("page_id", T.decoded_html(F.col("html")).alias("text"))
+
+
 # ---------------------------------------------------------------------------------------------------
 # Records, generations and configurations.
 

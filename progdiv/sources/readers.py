@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import time
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,14 @@ def read_output_records(spark: SparkSession, path: str, n: int) -> DataFrame:
     return best.where((F.col("g_id") >= 0) & (F.col("g_id") < n)).select("r.*")
 
 
+def _scalar(value: str) -> str:
+    """A value without quotes, or without the remark that may follow it."""
+    value = value.strip()
+    if value[:1] in ("'", '"') and value[:1] in value[1:]:
+        return value[1 : value.index(value[0], 1)]
+    return f" {value}".partition(" #")[0].strip()
+
+
 def load_config(path: str, kind: type) -> Any:
     """A dataclass from lines of `key: value`; a key it lacks is an error."""
     values: dict[str, Any] = {}
@@ -80,7 +89,7 @@ def load_config(path: str, kind: type) -> Any:
         key, sep, value = line.partition(":")
         if not sep or line.lstrip().startswith("#"):
             continue
-        key, value = key.strip(), value.strip().strip("'\"")
+        key, value = key.strip(), _scalar(value)
         if key not in fields:
             raise TypeError(f"unknown key {key!r}")
         plain = {"true": True, "false": False, "null": None, "": None}.get(value.lower(), value)
@@ -95,12 +104,57 @@ def load_config(path: str, kind: type) -> Any:
     return kind(**values)
 
 
-def generate_with(prompts: DataFrame, generate, n: int) -> DataFrame:
-    """raw_generations from a callable (prompt, n) -> list of texts; services stay outside of the engine."""
+def _tried(call, tries: int, wait: float):
+    """What call gives, tried again with doubling waits while it fails; the last failure is raised."""
+    for k in range(tries):
+        try:
+            return call()
+        except Exception:
+            if k == tries - 1:
+                raise
+            time.sleep(wait * 2**k)
+
+
+def generate_with(prompts: DataFrame, generate, n: int, batch_size: int = 32, tries: int = 4, wait: float = 0.3, **sampling) -> DataFrame:
+    """raw_generations: n texts for each formatted_prompt from a callable (prompt, how many, **sampling) -> list of texts.
+
+    At most batch_size texts are asked for at once; fewer are asked for again, none at all count as a failure. Services stay outside
+    of the engine."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
 
+    def some(prompt: str, most: int) -> list[str]:
+        texts = generate(prompt, most, **sampling)
+        if not texts:
+            raise ValueError("no text generated")
+        return list(texts)
+
+    def all_of(prompt: str) -> list[str]:
+        texts: list[str] = []
+        while len(texts) < n:
+            most = min(batch_size, n - len(texts))
+            texts += _tried(lambda: some(prompt, most), tries, wait)[:most]
+        return texts
+
     def run(batches):
         for b in batches:
-            yield b.assign(raw_generations=[generate(p, n) for p in b["formatted_prompt"]])
+            yield b.assign(raw_generations=[all_of(p) for p in b["formatted_prompt"]])
 
     return prompts.mapInPandas(run, f"{ddl}, raw_generations array<string>")
+
+
+def embed_with(texts: DataFrame, column: str, embed, out: str = "embedding", batch_size: int = 32, tries: int = 4, wait: float = 0.3) -> DataFrame:
+    """Vectors from a callable (list of texts) -> list of vectors, asked for by batches of texts; null and blank texts have none."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+
+    def run(batches):
+        for b in batches:
+            said = [(i, t) for i, t in enumerate(b[column]) if isinstance(t, str) and t.strip()]
+            vectors: list = [None] * len(b)
+            for k in range(0, len(said), batch_size):
+                part = said[k : k + batch_size]
+                found = _tried(lambda part=part: embed([t for _, t in part]), tries, wait)
+                for (i, _), v in zip(part, found, strict=True):
+                    vectors[i] = [float(x) for x in v]
+            yield b.assign(**{out: vectors})
+
+    return texts.mapInPandas(run, f"{ddl}, `{out}` array<double>")

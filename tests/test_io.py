@@ -109,3 +109,33 @@ def test_generators_and_records(spark, tmp_path):
     assert {r["problem_id"]: r["raw_generations"] for r in made.collect()} == {1: ["a0", "a1"], 2: ["b0", "b1"]}
     sinks.write_records(made, str(tmp_path / "r"))
     assert {r["problem_id"]: r["raw_generations"] for r in spark.read.json(str(tmp_path / "r")).collect()} == {1: ["a0", "a1"], 2: ["b0", "b1"]}
+
+
+def test_generators_are_tried_again(spark, tmp_path):
+    prompts = spark.createDataFrame([("a",)], "formatted_prompt string")
+    seen = tmp_path / "seen"
+
+    def shaky(prompt, most, mark):
+        with open(seen, "a") as f:
+            f.write("x")
+        if len(open(seen).read()) % 2:
+            raise ConnectionError
+        return [prompt + mark] * (most + 3)
+
+    made = readers.generate_with(prompts, shaky, 5, batch_size=2, wait=0.0, mark="!").collect()
+    assert made[0]["raw_generations"] == ["a!"] * 5 and len(open(seen).read()) == 6
+
+    with pytest.raises(Exception, match="no text generated"):
+        readers.generate_with(prompts, lambda p, n: [], 1, tries=2, wait=0.0).collect()
+
+
+def test_embeddings_from_a_callable(spark):
+    texts = spark.createDataFrame([(i, None if i == 3 else " " if i == 4 else "t" * i) for i in range(9)], "id int, text string").coalesce(1)
+
+    def embed(some):
+        assert len(some) <= 2
+        return [[len(t), len(some)] for t in some]
+
+    got = {r["id"]: r["v"] for r in readers.embed_with(texts, "text", embed, out="v", batch_size=2).collect()}
+    assert {i for i, v in got.items() if v is None} == {0, 3, 4}
+    assert all(v[0] == i for i, v in got.items() if v)

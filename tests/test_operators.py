@@ -1,5 +1,7 @@
 """Hand-made cases and brute force."""
 
+import hashlib
+import html
 import itertools
 import math
 import random
@@ -250,3 +252,35 @@ def test_experiments_outside_of_their_root_fail(spark):
     e = spark.createDataFrame([(1, "other/x", "root/")], "id int, folder string, root string")
     with pytest.raises(Exception, match="not below its root"):
         dataset.to_reevaluate(e, e, e.where("false"), "id", "folder", "root").collect()
+
+
+def test_character_references_against_the_standard(spark):
+    texts = ["&amp;lt; &#38;amp; &a&#109;p;", "&eacute;&euro;&nbsp;&#x41;&#X1f600;&#9731;", "a & b &; &nope; &#; &#xZ;", "", None, "none", "&apos;&quot;" * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["x"] for r in df.select("i", T.decode_references(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else html.unescape(t) for t in texts]
+    odd = spark.createDataFrame([("&#0;&#55296;&#99999999999;&#xFFFFFFFFFF;",)], "t string").select(T.decode_references(F.col("t"))).first()[0]
+    assert odd == "\ufffd" * 4
+
+
+def test_maps_of_names(spark):
+    maps = spark.createDataFrame([({"a": "x"}, {"b": "y"}, {"a": "z"})], "a map<string,string>, b map<string,string>, c map<string,string>")
+    got = maps.select(T.merged_names(F.col("a"), F.col("b")).alias("m"), T.inverse_names(F.col("b")).alias("i")).first()
+    assert got["m"] == {"a": "x", "b": "y"} and got["i"] == {"y": "b"}
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        maps.select(T.merged_names(F.col("a"), F.col("c"))).collect()
+
+
+@pytest.mark.parametrize("size", [1, 100_000])
+def test_split_does_not_depend_on_slices(spark, monkeypatch, size):
+    monkeypatch.setattr(dataset, "_SLICE", size)
+    rows = spark.createDataFrame([(str(i),) for i in range(300)] + [(None,)], "k string")
+    got = {r["k"]: r["part"] for r in dataset.split(rows, "k").collect()}
+    order = sorted(got, key=lambda k: ("" if k is None else hashlib.md5(k.encode()).hexdigest(), k or ""))
+    assert [got[k] for k in order] == ["train"] * 210 + ["test"] * 45 + ["val"] * 46
+
+
+def test_configuration_values():
+    from progdiv.sources.readers import _scalar
+
+    assert [_scalar(v) for v in (" a # why", "'a # b' # c", '"x"', "a#b", " # none", "")] == ["a", "a # b", "x", "a#b", "", ""]
