@@ -207,6 +207,14 @@ def completeness_probe(spark, sf):
     return records.complete_problems(found, 4).withColumnRenamed("problem_id", "l_orderkey")
 
 
+@query("""SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (WHERE l_linenumber < 5) AS n_found, coalesce(array_to_string(list_sort(list_distinct(list(l_linenumber) FILTER (WHERE l_linenumber >= 5))), ','), '') AS outside
+FROM lineitem GROUP BY 1 HAVING n_found <> 5 OR count(*) FILTER (WHERE l_linenumber >= 5) > 0""")
+def saved_record_faults(spark, sf):
+    found = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("problem_id"), F.col("l_linenumber").alias("generation_id"))
+    out = readers.record_faults(found, 5)
+    return out.select(F.col("problem_id").alias("l_orderkey"), "n_found", F.array_join(F.transform("outside", lambda x: x.cast("string")), ",").alias("outside"))
+
+
 # ---------------------------------------------------------------------------------------------------
 # Lexical diversity.
 
@@ -394,6 +402,16 @@ def metric_regression(spark, sf):
     return out.select("l_partkey", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), r6("r").alias("r"), F.round("stderr", 2).alias("stderr"))
 
 
+@query("""WITH g AS (SELECT l_suppkey, count(*) - 2 AS f, abs(corr(l_extendedprice, l_discount)) AS r FROM lineitem GROUP BY 1),
+w AS (SELECT l_suppkey, f, r, 1 - r * r AS c, CASE WHEN f % 2 = 0 THEN r * list_sum(list_transform(range(0, f // 2), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4)) * pow(1 - r * r, j)))
+    ELSE 2 / pi() * (asin(r) + r * sqrt(1 - r * r) * coalesce(list_sum(list_transform(range(0, (f - 1) // 2), lambda j: exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * pow(1 - r * r, j))), 0)) END AS a FROM g WHERE f > 0)
+SELECT l_suppkey, f + 2 AS n, round(1 - a, 5) AS p FROM w""")
+def regression_significance(spark, sf):
+    """SQL has the sums by gamma functions; groups of up to 2,002 points, as all suppliers' are."""
+    out = summary.regression(table(spark, sf, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_discount")
+    return out.where("n > 2").select("l_suppkey", "n", F.round("p", 5).alias("p"))
+
+
 @query("SELECT CAST(least(floor((l_quantity - 0) / 5), 9) AS INT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1")
 def histogram(spark, sf):
     return summary.histogram(table(spark, sf, "lineitem"), "l_quantity", 0.0, 50.0)

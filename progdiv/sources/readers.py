@@ -73,6 +73,16 @@ def read_output_records(spark: SparkSession, path: str, n: int) -> DataFrame:
     return best.where((F.col("g_id") >= 0) & (F.col("g_id") < n)).select("r.*")
 
 
+def record_faults(found: DataFrame, n: int) -> DataFrame:
+    """Problems whose records are not exactly generations 0..n-1: how many of these there are, and the sorted ids outside.
+
+    found: problem_id and generation_id of what was saved, repeats counted once."""
+    g = F.col("generation_id")
+    inside = (g >= 0) & (g < n)
+    per = found.groupBy("problem_id").agg(F.count_distinct(F.when(inside, g)).alias("n_found"), F.sort_array(F.collect_set(F.when(~inside, g))).alias("outside"))
+    return per.where((F.col("n_found") != n) | (F.size("outside") > 0))
+
+
 def _scalar(value: str) -> str:
     """A value without quotes, or without the remark that may follow it."""
     value = value.strip()

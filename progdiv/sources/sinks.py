@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import traceback
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from progdiv.functions.text import left_justify, short_template
@@ -37,3 +40,25 @@ def append_leaderboard(frame: DataFrame, path: str, width: int | None = None) ->
 def review_pages(frame: DataFrame, template: str, columns: list[str]) -> DataFrame:
     """One page a row from a format template; nothing is escaped."""
     return frame.select(F.format_string(template, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("value"))
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of exactly that name, on whatever file system the path is of."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def marked_on_failure(spark: SparkSession, folder: str, work: Callable[[], None]) -> bool:
+    """Does an experiment's work; if that fails, error.txt in its folder has the trace, for the leaderboard's ERROR, and the result
+    is false."""
+    try:
+        work()
+    except Exception:
+        write_file(spark, f"{folder}/error.txt", traceback.format_exc())
+        return False
+    return True

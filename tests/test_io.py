@@ -139,3 +139,23 @@ def test_embeddings_from_a_callable(spark):
     got = {r["id"]: r["v"] for r in readers.embed_with(texts, "text", embed, out="v", batch_size=2).collect()}
     assert {i for i, v in got.items() if v is None} == {0, 3, 4}
     assert all(v[0] == i for i, v in got.items() if v)
+
+
+def test_failures_leave_a_mark_that_the_stream_sees(spark, tmp_path):
+    def fails():
+        raise RuntimeError("no é here")
+
+    assert sinks.marked_on_failure(spark, str(tmp_path / "e1"), lambda: sinks.write_file(spark, str(tmp_path / "e1" / "results.jsonl"), "{}"))
+    assert not sinks.marked_on_failure(spark, str(tmp_path / "e2"), fails)
+    assert "RuntimeError: no é here" in (tmp_path / "e2" / "error.txt").read_text()
+    rows = spark.read.option("recursiveFileLookup", True).text(str(tmp_path), wholetext=True).count()
+    assert rows == 2
+    seen = []
+    monitor.each_once(monitor.status_stream(spark, str(tmp_path)), lambda b, i: seen.extend(b.collect()), str(tmp_path.parent / f"{tmp_path.name}_c")).awaitTermination()
+    assert {(r["experiment_id"], r["status"]) for r in seen} == {("e1", "success"), ("e2", "failure")}
+
+
+def test_record_faults(spark):
+    rows = [("a", 0), ("a", 1), ("b", 0), ("b", 0), ("c", 0), ("c", 1), ("c", 7), ("c", -1), ("c", None)]
+    got = {r["problem_id"]: (r["n_found"], r["outside"]) for r in readers.record_faults(spark.createDataFrame(rows, "problem_id string, generation_id int"), 2).collect()}
+    assert got == {"b": (1, []), "c": (2, [-1, 7])}

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,16 @@ def test_configuration_values():
     from progdiv.sources.readers import _scalar
 
     assert [_scalar(v) for v in (" a # why", "'a # b' # c", '"x"', "a#b", " # none", "")] == ["a", "a # b", "x", "a#b", "", ""]
+
+
+def test_significance_against_integration(spark):
+    def tail(r, f):
+        x = (np.arange(400_000) + 0.5) / 400_000 * math.acos(abs(r))  # the density of t after t = sqrt(f) tan(pi / 2 - x)
+        return float(np.sum(np.sin(x) ** (f - 1)) / 400_000 * math.acos(abs(r)) * 2 * math.exp(math.lgamma((f + 1) / 2) - math.lgamma(f / 2)) / math.sqrt(math.pi))
+
+    rows = [(r, f) for r in (0.0, 0.01, -0.05, 0.3, -0.9, 0.999) for f in (1, 2, 3, 4, 7, 30, 1999, 2000, 2001, 5000)]
+    df = spark.createDataFrame(rows + [(1.0, 5), (-1.0, 9000), (None, 5), (0.5, 0)], "r double, f bigint")
+    got = {(x["r"], x["f"]): x["p"] for x in df.select("r", "f", summary.correlation_p(F.col("r"), F.col("f")).alias("p")).collect()}
+    for r, f in rows:
+        assert got[r, f] == pytest.approx(tail(r, f), abs=2e-6), (r, f)
+    assert got[1.0, 5] == got[-1.0, 9000] == 0 and got[None, 5] is None and got[0.5, 0] is None
