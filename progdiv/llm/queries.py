@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from progdiv.llm import chat, langid, lm, minhash, mixing, packing, repeats, secrets, vectors, winnowing
+from progdiv.llm import bestfit, centroids, chat, langid, lm, minhash, mixing, packing, repeats, runs, secrets, vectors, winnowing
 from progdiv.llm.common import table
 
 
@@ -94,6 +94,18 @@ def op10_chat(spark: SparkSession, sf_dir: str, schemas: dict[str, dict] | None
     return out.withColumn("problems", F.array_join("problems", "; "))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, sf_dir, "documents"), edit=True)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3_secrets returns that SQL can express: the base spans."""
     return op3_secrets(spark, sf_dir).drop("spans")
@@ -116,7 +128,7 @@ def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat}
+QUERIES = {"op1_embeddings": op1_embeddings, "op2_repeats": op2_repeats, "op3_secrets": op3_secrets, "op4_minhash": op4_minhash, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_language": op7_language, "op8_packing": op8_packing, "op9_fingerprints": op9_fingerprints, "op10_chat": op10_chat, "op11_runs": op11_runs, "op12_centroids": op12_centroids, "op13_bestfit": op13_bestfit}
 QUERIES |= {"secrets_base": secrets_base, "mixing_targets": mixing_targets, "lm_base": lm_base, "fingerprint_edits": fingerprint_edits}
 
 #: Ends of both similarity queries: what each row reaches by links.
@@ -161,7 +173,49 @@ def _secrets_sql() -> str:
 _CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
     lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
 
+
+
+def _runs_sql() -> str:
+    """Where four points of a period's grid hold one word, the period's matches of the whole text, in islands."""
+    return f"""WITH h AS (SELECT doc_id, coalesce({_CRC32}, 1) AS h, {_WORDS} AS w FROM documents),
+        d AS (SELECT doc_id, h, w, len(w) AS n, h // 10 % greatest(len(w), 1) AS a FROM h),
+        e AS (SELECT *, h % 10 = 0 AND n > 0 AS made, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM d),
+        o AS (SELECT doc_id, unnest(w) AS w, unnest(range(n)) AS i FROM d),
+        j AS (SELECT doc_id, i, CASE WHEN made AND i >= a THEN a + (i - a) % p ELSE i END AS k FROM (SELECT doc_id, made, a, p, unnest(range(n)) AS i FROM e)),
+        t AS MATERIALIZED (SELECT j.doc_id, j.i, o.w FROM j JOIN o ON o.doc_id = j.doc_id AND o.i = j.k),
+        g AS (SELECT doc_id, p, unnest(range((n - 1) // p - 2)) * p AS i FROM (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS p FROM d)),
+        g0 AS MATERIALIZED (SELECT g.doc_id, p, g.i, w FROM g JOIN t ON t.doc_id = g.doc_id AND t.i = g.i),
+        g1 AS MATERIALIZED (SELECT g.* FROM g0 g JOIN t ON t.doc_id = g.doc_id AND t.i = g.i + p AND t.w = g.w),
+        g2 AS MATERIALIZED (SELECT g.* FROM g1 g JOIN t ON t.doc_id = g.doc_id AND t.i = g.i + 2 * p AND t.w = g.w),
+        c AS MATERIALIZED (SELECT DISTINCT g.doc_id, p FROM g2 g JOIN t ON t.doc_id = g.doc_id AND t.i = g.i + 3 * p AND t.w = g.w),
+        x AS MATERIALIZED (SELECT c.doc_id, p, i, w FROM c JOIN t USING (doc_id)),
+        m AS (SELECT x.doc_id, p, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, p ORDER BY x.i) AS island FROM x JOIN t ON t.doc_id = x.doc_id AND t.i = x.i + p AND t.w = x.w),
+        s AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM m GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+        r AS (SELECT doc_id, start, length, min(p) AS period FROM s GROUP BY ALL),
+        b AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS x, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY 1),
+        k AS (SELECT doc_id, sha256(string_agg(w, ' ' ORDER BY i)) AS collapsed_sha256 FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND t.i >= start + period AND t.i < start + length) GROUP BY 1)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(x.s AS BIGINT) AS start, CAST(x.l AS BIGINT) AS length, CAST(x.p AS BIGINT) AS period, CAST(1000 * x.l // x.p AS BIGINT) AS exponent_milli,
+            coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def _centroids_sql(rounds: int = 3) -> str:
+    """Rounds one after another, with squared distances from inner products of whole numbers, which doubles hold exactly."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT n.id, n.v, k.c, list_inner_product(n.v, n.v) - 2 * list_inner_product(n.v, k.v) + list_inner_product(k.v, k.v) AS d FROM n, c{r} k) GROUP BY 1, 2)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, floor(sum(x) / count(*)) AS m FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY 1),
+        c{r + 1} AS (SELECT k.c, coalesce(m.v, k.v) AS v FROM c{r} k LEFT JOIN m{r} m ON m.c = k.c)""")
+    return f"""WITH n AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || id)) - 1 AS c, v FROM n QUALIFY c < 16), {", ".join(steps)},
+        i AS (SELECT c, CAST(sum(d) AS BIGINT) AS inertia FROM a{rounds} GROUP BY 1)
+        SELECT id AS vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, i.inertia AS cluster_inertia, CAST((SELECT sum(inertia) FROM i) AS BIGINT) AS inertia,
+            sha256(array_to_string(list_transform(k.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256 FROM a{rounds} a JOIN i USING (c) JOIN c{rounds} k USING (c)"""
+
+
 SQL: dict[str, str] = {
+    "op11_runs": _runs_sql(),
+    "op12_centroids": _centroids_sql(),
     "op2_repeats": _repeats_sql(),
     "secrets_base": _secrets_sql(),
     "mixing_targets": f"""WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
