@@ -67,15 +67,11 @@ def hash_key(*cols: Column) -> Column:
 # ---------------------------------------------------------------------------------------------------
 # Word hashes over Arrow buffers.
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
 _BLOCK = 1 << 20
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER += 1
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,15 +83,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        a = np.full(n, base, dtype=np.uint64)
-        a[0] = 1
-        _powers[key] = np.cumprod(a, dtype=np.uint64)
-    return _powers[key][:n]
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts end to end, and len + 1 offsets into them. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -128,24 +115,45 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words with A-Z lower-cased, by differences of a running polynomial.
+#: Substrings of more bytes are hashed one by one.
+_LONG = 512
+#: Bytes of a number that are a substring's own, by how many there are.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def _keyed(chunks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of chunks of 8 bytes as numbers and their places in a substring. Not linear in either, so no pattern of letters cancels
+    out as it does in a polynomial modulo a power of two."""
+    return mix(chunks ^ mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)))
+
+
+def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of substrings of bytes: a finalised sum over chunks of 8 bytes, each mixed with its place."""
+    size = ends - starts
+    sums = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:-8] = data
+    at_byte = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    here = np.flatnonzero(size <= _LONG)
+    for k in range(_LONG // 8):
+        here = here[size[here] > 8 * k]
+        if not len(here):
+            break
+        left = np.minimum(size[here] - 8 * k, 8)
+        sums[here] += _keyed(at_byte[starts[here] + 8 * k] & _OWN[left], np.array([k]))
+    for i in np.flatnonzero(size > _LONG):
+        for lo in range(int(starts[i]), int(ends[i]), _BLOCK):
+            part = padded[lo : min(lo + _BLOCK, int(ends[i]))]
+            chunks = np.zeros(-(-len(part) // 8) * 8, dtype=np.uint8)
+            chunks[: len(part)] = part
+            chunks = chunks.view("<u8")
+            sums[i : i + 1] += _keyed(chunks, (lo - int(starts[i])) // 8 + np.arange(len(chunks))).sum(dtype=np.uint64)
+    return mix(sums)
 
-    Works in blocks cut between words, so that memory does not follow the length of a text.
-    """
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + _BLOCK, side="right")))
-        hi = ends[j - 1]
-        n = int(hi - lo)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_LOWER[data[lo:hi]] * _power(_P, n), out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * _power(_P_INV, n)[s] + (e - s).astype(np.uint64))
-        i = j
-    return out
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words with A-Z lower-cased."""
+    return substring_hashes(_LOWER[data], starts, ends)
 
 
 def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
@@ -204,18 +212,61 @@ def release(spark: SparkSession) -> None:
         time.sleep(pause)
 
 
+#: Modulus of rolling hashes, a prime: modulo a power of two, words of two letters like Thue and Morse's have equal sums.
+PRIME = (1 << 61) - 1
+_LOW31, _LOW30, _MOD = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(PRIME)
+_powers: dict[str, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _MOD) + (x >> np.uint64(61))
+    return np.where(x >= _MOD, x - _MOD, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it, by halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + a0 * b0)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo PRIME."""
+    key = str(base)
+    if key not in _powers or len(_powers[key]) < n:
+        made = np.ones(1, dtype=np.uint64)
+        while len(made) < n:
+            made = np.concatenate([made, _times(made, np.full(1, pow(base, len(made), PRIME), dtype=np.uint64))])
+        _powers[key] = made
+    return _powers[key][:n]
+
+
 class Rolling:
-    """Hashes of any substring of some bytes, from running sums of a polynomial."""
+    """Hashes of any substring of some bytes (a few million at most), from running sums of a polynomial modulo PRIME."""
 
-    def __init__(self, data: np.ndarray, base: int = _P) -> None:
-        self.n = len(data)
-        self.sums = np.zeros(self.n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, self.n), out=self.sums[1:])
-        self.inverse = _power(pow(base, -1, 1 << 64), self.n + 1)
+    def __init__(self, data: np.ndarray, base: int) -> None:
+        powers, letters = _power(base, len(data)), data.astype(np.uint64) + np.uint64(1)
+        high, low = np.cumsum(letters * (powers >> np.uint64(31))), np.cumsum(letters * (powers & _LOW31))
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        self.sums[1:] = _reduced((high >> np.uint64(30)) + ((high & _LOW30) << np.uint64(31)) + low)
+        self.inverse = _power(pow(base, -1, PRIME), len(data) + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        return mix(_times(_reduced(self.sums[ends] + (_MOD - self.sums[starts])), self.inverse[starts]))
+
+
+def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """Of every substring of one length, by doubling, for choosing places: equal ones are equal, and a few others may be too."""
+    x, have, out, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        if length & have:
+            out = x if out is None else out[: len(x) - done] * np.uint64(pow(_GRAM, have, 1 << 64)) + x[done:]
+            done += have
+        if 2 * have > length:
+            return mix(out[: len(data) - length + 1])
+        x = x[:-have] * np.uint64(pow(_GRAM, have, 1 << 64)) + x[have:]
+        have *= 2
+
 
-    def all(self, length: int) -> np.ndarray:
-        """Of every substring of one length."""
-        return mix((self.sums[length:] - self.sums[:-length]) * self.inverse[: self.n + 1 - length])
+_GRAM = 0x9E3779B97F4A7C15

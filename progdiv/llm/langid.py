@@ -40,7 +40,7 @@ class Words:
         body[self.at] = body[self.at + n + 1] = False
         self.bytes = np.zeros(len(body), dtype=np.uint64)
         take = np.repeat(s - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        self.bytes[body] = _LOWER[data[take]]
+        self.bytes[body] = _LOWER[data[take]].astype(np.uint64) + np.uint64(1)
 
 
 def _slot(x: np.ndarray, size: int) -> np.ndarray:

@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import Rolling, drop_table, give_back, materialize, release
+from progdiv.llm.common import PRIME, Rolling, drop_table, give_back, gram_hashes, materialize, release, substring_hashes
 
 THRESHOLD, GRAM, SPLIT = 200, 40, 16
 #: Starts handled at once, so that memory does not follow the length of a text.
 _BLOCK = (1 << 20) - 1024
+_BASE, _OTHER_BASE = 0x1B873593CC9E2D51 % PRIME, 0x16A09E667F3BCC90 % PRIME
 _OTHER = 0xC2B2AE3D27D4EB4F
 _ROW = [("core", pa.int64()), ("hull", pa.int64()), ("key", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("done", pa.bool_())]
 _DDL = "core bigint, hull bigint, key bigint, th int, a int, s int, e int, done boolean"
@@ -56,15 +57,14 @@ def _runs(data: np.ndarray, t: int, g: int) -> Iterator[tuple[np.ndarray, ...]]:
     for at in range(0, starts + reach if starts > 0 else 0, own):
         low = max(0, at - reach)
         block = data[low : min(at + own, starts) + t - 1]
-        roll = Rolling(block)
-        grams = roll.all(g)
+        grams = gram_hashes(block, g)
         least = _window_minima(grams, reach + 1)
         cut = np.flatnonzero(np.diff(least)) + 1
         s, e = np.append(0, cut), np.append(cut, len(least)) - 1
         a = least[s]
         mine = (a + low >= at) & (a + low < at + own)
         s, e, a = s[mine], e[mine], a[mine]
-        yield grams[a], roll(s, e + t), a + low, s + low, e + low
+        yield grams[a], substring_hashes(block, s, e + t), a + low, s + low, e + low
 
 
 def _split(data: np.ndarray, a: np.ndarray, s: np.ndarray, e: np.ndarray, t: int, width: int, salt: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -74,8 +74,8 @@ def _split(data: np.ndarray, a: np.ndarray, s: np.ndarray, e: np.ndarray, t: int
         if not len(here):
             continue
         low = max(0, at - 2 * t)
-        roll = Rolling(data[low : at + _BLOCK + 4 * t])
-        other = Rolling(data[low : at + _BLOCK + 4 * t], _OTHER) if width == 1 else None
+        roll = Rolling(data[low : at + _BLOCK + 4 * t], _BASE)
+        other = Rolling(data[low : at + _BLOCK + 4 * t], _OTHER_BASE) if width == 1 else None
         first, last = (a[here] - e[here]) // width, (a[here] - s[here]) // width
         for k in range(first.min(), last.max() + 1):
             i = here[(first <= k) & (k <= last)]
@@ -185,8 +185,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     Texts are UTF-8 bytes; matches never cross texts. A null text is empty and has nothing to remove, as has
     any text shorter than threshold. Rows are texts of their own whether they repeat a doc_id or have none; if two are
     equal, they repeat each other. Other columns don't matter. Texts of any length are handled in blocks of about 1 MB. An
-    empty table gives no rows. kept_text is null where the remaining bytes are not UTF-8. Substrings are compared by 128
-    bits of hash.
+    empty table gives no rows. kept_text is null where the remaining bytes are not UTF-8. Substrings are compared by two
+    hashes of 61 bits.
     """
     spark = docs.sparkSession
     t = threshold
