@@ -12,6 +12,7 @@ controlled over all tokens of the table.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,32 @@ ENCODINGS = (
 _SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
 
 
+def _scan(items: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], zero: Column, emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """emit(combined values of the items before, item) for each item of an array, where combine is associative.
+
+    An array that an aggregate appends to is copied each time, so the n items go in blocks of about the root of n: values of
+    blocks first, then what is before each block, then the items of each block by themselves.
+    """
+
+    def over(a: Column) -> Column:
+        n = F.size(a)
+        width = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+        first = F.when(n > 0, F.sequence(F.lit(0), n - 1, width)).otherwise(F.array().cast("array<int>"))
+        inside = lambda lo: F.sequence(lo, F.least(lo + width, n) - 1)
+        totals = F.transform(first, lambda lo: F.struct(lo.alias("lo"), F.aggregate(inside(lo), zero, lambda c, i: combine(c, value(F.get(a, i)))).alias("value")))
+        start = F.struct(zero.alias("c"), F.array().cast("array<struct<lo:int,c:int>>").alias("out"))
+        before = F.aggregate(totals, start, lambda s, t: F.struct(combine(s["c"], t["value"]).alias("c"), F.array_append(s["out"], F.struct(t["lo"].alias("lo"), s["c"].alias("c"))).alias("out")), lambda s: s["out"])
+        nothing = F.array().cast(f"array<{kind}>")
+
+        def block(t: Column) -> Column:
+            step = lambda s, i: F.struct(combine(s["c"], value(F.get(a, i))).alias("c"), F.array_append(s["out"], emit(s["c"], F.get(a, i)).cast(kind)).alias("out"))
+            return F.aggregate(inside(t["lo"]), F.struct(t["c"].alias("c"), nothing.alias("out")), step, lambda s: s["out"])
+
+        return F.flatten(F.transform(before, block))
+
+    return F.element_at(F.transform(F.array(items), over), 1)  # items are made once
+
+
 def find_spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, keep_text: bool = False) -> Column:
     """Leftmost non-overlapping matches as (start, end, kind, text), in code points, from gaps and matches."""
     p = F.lit(pattern)
@@ -62,13 +89,13 @@ def find_spans(text: Column, pattern: str, kind: int, group: int = 0, least: int
     else:
         matches = F.transform(matches, lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), F.length(x["m"]).alias("n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), (x["m"] if keep_text else F.lit("")).alias("text"))
-        return F.struct(end.alias("at"), F.when(x["n"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).cast(_SPAN).alias("out"))
+    def span(before: Column, x: Column) -> Column:
+        start = before + x["gap"]
+        out = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), (x["m"] if keep_text else F.lit("")).alias("text"))
+        return F.when(x["n"] >= least, out)  # the last gap has no match behind it
 
-    found = F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    taken = lambda x: x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))
+    found = F.array_compact(_scan(matches, taken, lambda a, b: a + b, F.lit(0), span, _SPAN[len("array<") : -1]))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -151,10 +178,26 @@ def _discovery_level(tokens: DataFrame, rate: float) -> float:
     return level
 
 
+def _clear(base: Column, added: Column) -> Column:
+    """The added spans that overlap none of base: in the order of all starts, none of base before reaches into them and none
+    behind starts in them."""
+    far, kind = F.lit((1 << 31) - 1), "int"
+    of_base = lambda x, field, other: F.when(x["kind"] < 3, x[field]).otherwise(other)
+
+    def over(x: Column) -> Column:
+        reach = _scan(x, lambda s: of_base(s, "end", F.lit(0)), lambda a, b: F.greatest(a, b), F.lit(0), lambda c, s: c, kind)
+        next_ = F.reverse(_scan(F.reverse(x), lambda s: of_base(s, "start", far), lambda a, b: F.least(a, b), far, lambda c, s: c, kind))
+        marked = F.zip_with(F.zip_with(x, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), next_, lambda s, n: F.when((s["s"]["kind"] == 3) & (s["r"] <= s["s"]["start"]) & (n >= s["s"]["end"]), s["s"]))
+        return F.array_compact(marked)
+
+    return F.element_at(F.transform(F.array(F.array_sort(F.concat(base, added))), over), 1)
+
+
 def scan_secrets(docs: DataFrame, rate: float = 0.05, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """base and added, arrays of (start, kind, end) by start then kind, beside the kept columns; one row a document.
 
-    A null or empty text has none; texts are scanned whole; rows that repeat a doc_id are scanned each;
+    A null or empty text has none; texts are scanned whole, in time that grows with their length times the root of the number of
+    their matches at most; rows that repeat a doc_id are scanned each;
     an empty table gives no rows. Tokens that overlap a base span are not added again.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
@@ -171,9 +214,9 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05, keep: tuple[str, ...] = ("
     base = F.array_sort(F.concat(plain(F.col("assign")), plain(F.col("access")), plain(F.col("hex"))))
     found = materialize(found.select(*kept, base.alias("base"), battery(F.col("token")).alias("tests")), "secrets")
     level = _discovery_level(found.select(F.explode("tests").alias("t")), rate)
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    chosen = F.filter("tests", lambda s: s["random"] & (-F.log10(F.greatest(s["p"], F.lit(1e-30))) >= F.lit(level)) & clear(s))
+    chosen = F.filter("tests", lambda s: s["random"] & (-F.log10(F.greatest(s["p"], F.lit(1e-30))) >= F.lit(level)))
     added = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
+    added = F.when((F.size("base") > 0) & (F.size(chosen) > 0), _clear(F.col("base"), added)).otherwise(added)
     return found.select(*(F.col(f"k_{c}").alias(c) for c in keep), "base", added.alias("added"))
 
 
@@ -184,10 +227,16 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with its spans (sorted by start) replaced; overlapping ones by one mark."""
-    def step(a: Column, s: Column) -> Column:
-        apart = s["start"] >= a["at"]
-        piece = F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(apart, F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
+    """The text with its spans (sorted by start) replaced; overlapping ones by one mark.
+
+    Pieces are cut from the text in an encoding of four bytes a code point, where no cut has to count from the start."""
+
+    def over(x: Column) -> Column:
+        raw, s = x["raw"], x["spans"]
+        cut = lambda a, b: F.decode(F.substring(raw, 4 * a + 1, 4 * (b - a)), "UTF-32")
+        piece = lambda at, span: F.when(span["start"] >= at, F.concat(cut(at, span["start"]), F.lit(mark))).otherwise(F.lit(""))
+        pieces = _scan(s, lambda span: span["end"], lambda a, b: F.greatest(a, b), F.lit(0), piece, "string")
+        last = F.coalesce(F.array_max(F.transform(s, lambda span: span["end"])), F.lit(0))
+        return F.concat(F.array_join(pieces, ""), cut(last, (F.octet_length(raw) / 4).cast("int")))
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    return F.element_at(F.transform(F.array(F.struct(F.encode(text, "UTF-32").alias("raw"), spans.alias("spans"))), over), 1)
