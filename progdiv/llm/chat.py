@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from fractions import Fraction
 from functools import reduce
 from typing import Any
 
@@ -49,33 +51,105 @@ def _is(value: Any, kind: str) -> bool:
     }.get(kind, False)
 
 
-def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
-    """Where value breaks schema: type, enum, required, properties, additionalProperties, items, minimum, maximum,
-    minLength, maxLength, minItems and maxItems of JSON Schema."""
+def _key(value: Any) -> str:
+    """One text for equal JSON values: booleans are no numbers, 1 and 1.0 are one."""
+
+    def plain(v: Any) -> Any:
+        if isinstance(v, list):
+            return [plain(x) for x in v]
+        if isinstance(v, dict):
+            return {k: plain(x) for k, x in v.items()}
+        return int(v) if isinstance(v, float) and v.is_integer() else v
+
+    return canonical(plain(value))
+
+
+#: Keywords that say nothing about validity.
+_NOTES = {"$schema", "$id", "$comment", "$defs", "definitions", "title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly"}
+#: Keywords that violations() checks.
+_CHECKS = {
+    "type", "enum", "const", "properties", "required", "additionalProperties", "minProperties", "maxProperties", "items", "minItems", "maxItems", "uniqueItems",
+    "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "allOf", "anyOf", "oneOf", "not", "$ref",
+}
+
+
+def _limits(value: Any) -> list[tuple[str, str, float]]:
+    """Keywords of a least and a greatest number for value, and the number they are held against."""
+    if isinstance(value, str):
+        return [("minLength", "maxLength", len(value))]
+    if isinstance(value, list):
+        return [("minItems", "maxItems", len(value))]
+    if isinstance(value, dict):
+        return [("minProperties", "maxProperties", len(value))]
+    return [("minimum", "maximum", value)] if _is(value, "number") else []
+
+
+def _referred(root: Any, ref: str) -> Any:
+    """What a reference within the schema, as #/a/b, names; None if nothing."""
+    found = root
+    for part in ref.split("/")[1:] if ref == "#" or ref.startswith("#/") else ["", ""]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        found = found.get(part) if isinstance(found, dict) else None
+    return found
+
+
+def violations(value: Any, schema: Any, at: str = "$", root: Any = None, through: tuple[str, ...] = ()) -> list[str]:
+    """Where value breaks schema, by the keywords in _CHECKS of JSON Schema; another keyword that could reject a value is named
+    as unsupported, as are references out of the schema or in a circle."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     if isinstance(value, dict) and set(value) == {"$result"}:
         return []  # known only when the other call has run
+    found = [f"{at}: unsupported keyword {k}" for k in sorted(schema.keys() - _CHECKS - _NOTES)]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
-        return [f"{at}: not {' or '.join(kinds)}"]
-    found = [] if "enum" not in schema or value in schema["enum"] else [f"{at}: not in enum"]
+        return [*found, f"{at}: not {' or '.join(kinds)}"]
+    if "enum" in schema and _key(value) not in map(_key, schema["enum"]):
+        found.append(f"{at}: not in enum")
+    if "const" in schema and _key(value) != _key(schema["const"]):
+        found.append(f"{at}: not the constant")
     if isinstance(value, dict):
         known = schema.get("properties", {})
         found += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        extra = schema.get("additionalProperties", True)
         for k, v in value.items():
-            extra = schema.get("additionalProperties", True)
             if k in known:
-                found += violations(v, known[k], f"{at}.{k}")
+                found += violations(v, known[k], f"{at}.{k}", root)
             elif extra is False:
                 found.append(f"{at}.{k}: unknown")
-            elif isinstance(extra, dict):
-                found += violations(v, extra, f"{at}.{k}")
+            else:
+                found += violations(v, extra, f"{at}.{k}", root)
     if isinstance(value, list):
-        found += [x for i, v in enumerate(value) for x in violations(v, schema.get("items", {}), f"{at}[{i}]")]
-    size = len(value) if isinstance(value, (str, list)) else value if _is(value, "number") else None
-    low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems") if isinstance(value, list) else ("minimum", "maximum")
-    if size is not None:
+        found += [x for i, v in enumerate(value) for x in violations(v, schema.get("items", {}), f"{at}[{i}]", root)]
+        if schema.get("uniqueItems") and len(set(map(_key, value))) < len(value):
+            found.append(f"{at}: items repeat")
+    for low, high, size in _limits(value):
         found += [f"{at}: below {low}"] * (low in schema and size < schema[low]) + [f"{at}: above {high}"] * (high in schema and size > schema[high])
+    if _is(value, "number"):
+        found += [f"{at}: not above exclusiveMinimum"] * ("exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"])
+        found += [f"{at}: not below exclusiveMaximum"] * ("exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"])
+        if "multipleOf" in schema and (not math.isfinite(value) or Fraction(str(value)) % Fraction(str(schema["multipleOf"]))):
+            found.append(f"{at}: not a multiple")
+    if isinstance(value, str) and "pattern" in schema:
+        try:
+            found += [f"{at}: not as pattern"] * (not re.search(schema["pattern"], value))
+        except re.error:
+            found.append(f"{at}: unsupported pattern")
+    found += [x for part in schema.get("allOf", []) for x in violations(value, part, at, root, through)]
+    for k in ("anyOf", "oneOf"):
+        if k in schema:
+            fits = sum(not violations(value, part, at, root, through) for part in schema[k])
+            found += [f"{at}: fits none of {k}"] * (not fits) + [f"{at}: fits several of oneOf"] * (k == "oneOf" and fits > 1)
+    if "not" in schema and not violations(value, schema["not"], at, root, through):
+        found.append(f"{at}: fits not")
+    if "$ref" in schema:
+        target = _referred(root, schema["$ref"])
+        if target is None or schema["$ref"] in through:
+            found.append(f"{at}: unsupported $ref")
+        else:
+            found += violations(value, target, at, root, (*through, schema["$ref"]))
     return found
 
 
@@ -138,7 +212,7 @@ def _parsed(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             cols = [pa.array([f["content"] for f in found], pa.string()), pa.array([f["calls"] for f in found], pa.list_(call)), pa.array([f["result_id"] for f in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("message", "conv_id", "turn", "role")), *cols], names=["message", "conv_id", "turn", "role", "content", "calls", "result_id"])
 
-    return messages.mapInArrow(run, f"message bigint, conv_id bigint, turn bigint, role string, content string, calls {_CALL}, result_id string")
+    return messages.mapInArrow(run, f"message bigint, conv_id string, turn bigint, role string, content string, calls {_CALL}, result_id string")
 
 
 def _by_rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -183,7 +257,7 @@ def _in_one(table: pa.Table) -> pa.Table:
                 if not open_[a]:
                     after.append(a)
         ready, depth = after, depth + 1
-    return pa.table([pa.array([conv.as_py()] * len(found), pa.int64()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], names=["conv_id", "id", "depth"])
+    return pa.table([pa.array([conv.as_py()] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], names=["conv_id", "id", "depth"])
 
 
 def _depths(calls: DataFrame) -> DataFrame:
@@ -195,8 +269,8 @@ def _depths(calls: DataFrame) -> DataFrame:
     known = calls.select("conv_id", F.col("id").alias("need")).distinct()
     edges = materialize(calls.select("conv_id", "id", F.explode("needs").alias("need")).join(known, ["conv_id", "need"]).distinct(), "needs")
     large = materialize(edges.groupBy("conv_id").count().where(F.col("count") > _SMALL).select("conv_id"), "large")
-    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInArrow(_in_one, "conv_id bigint, id string, depth int")
-    one = calls.select(*key).distinct().where("conv_id IS NOT NULL")
+    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInArrow(_in_one, "conv_id string, id string, depth int")
+    one = calls.select(*key).distinct()
     free = one.join(edges.select(*key).union(edges.select("conv_id", "need")), key, "left_anti").withColumn("depth", F.lit(0))
     found = materialize(free.union(small), "depths")
     if large.isEmpty():
@@ -214,7 +288,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     have null content; null roles stay; rows without conv_id are one conversation and rows without turn come first;
     repeated rows are messages each; an empty table gives no rows.
     """
-    base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("message", F.monotonically_increasing_id())
+    conv = F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(""))  # joins need a key
+    base = messages.select(conv.alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("message", F.monotonically_increasing_id())
     parsed = materialize(_parsed(base, schemas or {}), "messages")
     calls = parsed.select("conv_id", "turn", "message", F.posexplode("calls").alias("at", "call")).select("conv_id", "turn", "message", "at", "call.*").where("id IS NOT NULL")
     results = parsed.where("result_id IS NOT NULL").groupBy("conv_id", F.col("result_id").alias("id")).agg(F.min(F.struct("turn", "message")).alias("result"))
@@ -232,8 +307,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     before = Window.partitionBy("s_conv").orderBy("s_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.groupBy(F.col("conv_id").alias("s_conv"), F.col("span").alias("s_span")).count()
     spans = spans.select("s_conv", "s_span", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    rows = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("span") == F.col("s_span")))
-    rows = rows.select("conv_id", "turn", "role", (F.col("before") + F.col("own")).cast("long").alias("position"), "content", "calls", "result_id", "found", "has_call", (F.col("call_turn") > F.col("turn")).alias("early"))
+    rows = rows.join(spans, (F.col("conv_id") == F.col("s_conv")) & (F.col("span") == F.col("s_span")))
+    rows = rows.select(F.when(F.col("conv_id") != "", F.col("conv_id")).cast("long").alias("conv_id"), "turn", "role", (F.col("before") + F.col("own")).cast("long").alias("position"), "content", "calls", "result_id", "found", "has_call", (F.col("call_turn") > F.col("turn")).alias("early"))
 
     def write(batches):
         for batch in batches:
