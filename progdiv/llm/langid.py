@@ -17,6 +17,8 @@ from progdiv.llm.common import _IS_SPACE, _LOWER, give_back, hash_key, mix, piec
 
 #: Bounds of the fit: texts a language, code points a text, languages (the most frequent ones), words of the lexicon.
 SAMPLE_DOCS, SAMPLE_CHARS, LABELS, LEXICON = 120, 1 << 15, 256, 8192
+#: Code points of all texts of the fit together, which the driver holds: with many languages a text gets fewer.
+FIT_CHARS = 1 << 25
 #: Bytes of text and chains handled at once, so that memory does not follow the length of a text.
 _SEGMENT, _CHAINS = 1 << 20, 4096
 #: Words of a chain.
@@ -181,7 +183,8 @@ def fit(texts: list[str], labels: list[int], n_labels: int, steps: int = 30, rat
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, labels: int = LABELS) -> dict | None:
     """Fits on a sample by hash of text: of each of the `labels` most frequent languages sample_docs different texts with a
-    letter, and of a longer text than sample_chars so many code points from a place that its hash gives.
+    letter, and of a longer text than sample_chars so many code points from a place that its hash gives, or fewer where all of
+    them would be over FIT_CHARS.
 
     None if there is no such text."""
     letter = r"\p{L}"
@@ -191,6 +194,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     if not found:
         return None
     names = sorted(r["lang"] for r in found)
+    sample_chars = max(1, min(sample_chars, FIT_CHARS // (len(names) * sample_docs)))
     share = F.element_at(F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample_docs / r["texts"]))))), F.col("lang"))
     spare = F.length("text") - sample_chars
     excerpt = F.when(spare > 0, F.substring("text", (F.pmod(F.xxhash64("h"), spare + 1) + 1).cast("int"), F.lit(sample_chars))).otherwise(F.col("text"))
