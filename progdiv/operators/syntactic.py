@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from progdiv.operators.lexical import uniforms
-from progdiv.operators.overlap import alike, bootstrap_pairs
+from progdiv.operators.overlap import alike, bootstrap_pairs, sampled_pairs
 
 GROUP = ["variant", "height"]
 
@@ -32,3 +32,9 @@ def jaccard_subtrees(rows: DataFrame, keys: list[str], member: str) -> DataFrame
 
 def bootstrap_subtrees(rows: DataFrame, keys: list[str], member: str, iterations: int = 300, seed: int = 42) -> DataFrame:
     return bootstrap_pairs(rows.where("g IS NOT NULL"), [*keys, *GROUP], member, uniforms(iterations, 2, seed))
+
+
+def sampled_jaccard_subtrees(rows: DataFrame, keys: list[str], member: str, iterations: int = 300, seed: int = 42) -> DataFrame:
+    """Mean over iterations of the Jaccard distance of two members drawn with replacement of all that parse; pairs without any
+    subtree of a height don't count."""
+    return sampled_pairs(rows, [*keys, *GROUP], member, uniforms(iterations, 2, seed))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from progdiv.functions.pytokens import with_tokens
 from progdiv.functions.subwords import with_subwords
 from progdiv.functions.text import strip_comments, tokens_13a
-from progdiv.operators import lexical
-from progdiv.plans.catalogue import _BLEU, _WORDS, _benchmark, query, r6, table
+from progdiv.operators import lexical, syntactic
+from progdiv.plans.catalogue import _BLEU, _DRAWS, _TREES, _WORDS, _benchmark, _varied_subtrees, query, r6, table
 
 # ---------------------------------------------------------------------------------------------------
 # Programs of which some don't parse, and their tokens.
@@ -88,3 +88,17 @@ def self_bleu_pairs_13a(spark, sf):
 def corpus_self_bleu_13a(spark, sf):
     out = lexical.corpus_self_bleu(_benchmark(spark, sf).withColumn("tokens", tokens_13a(F.col("text"))), ["grp"], "item_id", "tokens")
     return out.withColumn("self_bleu", F.round("self_bleu", 4))
+
+
+# ---------------------------------------------------------------------------------------------------
+# Pairs drawn with replacement.
+
+
+@query(_TREES + f""", r AS (SELECT *, row_number() OVER (PARTITION BY problem_id, variant, height ORDER BY m) - 1 AS pos, count(*) OVER (PARTITION BY problem_id, variant, height) AS n FROM members),
+u(it, u0, u1) AS (VALUES {_DRAWS}), q AS (SELECT it, 0 AS side, problem_id, variant, height, m FROM u JOIN r ON pos = floor(u0 * n) UNION ALL SELECT it, 1, problem_id, variant, height, m FROM u JOIN r ON pos = floor(u1 * n)),
+x AS (SELECT it, problem_id, variant, height, g, count(DISTINCT side) AS sides FROM q JOIN g USING (problem_id, variant, height, m) GROUP BY ALL),
+j AS (SELECT it, problem_id, variant, height, 1 - count(*) FILTER (WHERE sides = 2) / count(*) AS j FROM x GROUP BY ALL)
+SELECT problem_id, variant, height, round(j, 6) AS sampled_jaccard FROM (SELECT DISTINCT problem_id, variant, height FROM r WHERE n > 1) LEFT JOIN (SELECT problem_id, variant, height, avg(j) AS j FROM j GROUP BY 1, 2, 3) USING (problem_id, variant, height)""")
+def ast_jaccard_sampled(spark, sf):
+    out = syntactic.sampled_jaccard_subtrees(_varied_subtrees(spark, sf), ["problem_id"], "generation_id")
+    return out.withColumn("sampled_jaccard", r6("sampled_jaccard"))
