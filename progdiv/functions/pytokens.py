@@ -219,17 +219,21 @@ class _Lexer:
             self.add("code", self.code[start:end])
 
 
-def tolerant_tokens(code: str, comments: bool = True) -> list[str]:
-    """Strings and comments parted at blanks, line ends, DEDENT where a block ends, and all other tokens, of any text."""
-    out: list[str] = []
+def kinds_and_tokens(code: str, comments: bool = True) -> list[tuple[str, str]]:
+    """(kind, token): strings and comments parted at blanks, line ends, DEDENT where a block ends, and all other tokens, of any text."""
+    out: list[tuple[str, str]] = []
     for kind, text in _Lexer(code).run():
         if kind in ("string", "comment"):
-            out += text.split(" ") if comments or kind == "string" else []
+            out += [(kind, part) for part in text.split(" ")] if comments or kind == "string" else []
         else:
-            out.append("DEDENT" if kind == "dedent" else text)
+            out.append((kind, "DEDENT" if kind == "dedent" else text))
     return out
 
 
+def tolerant_tokens(code: str, comments: bool = True) -> list[str]:
+    return [token for _, token in kinds_and_tokens(code, comments)]
+
+
 def with_tokens(frame: DataFrame, code: str, out: str, comments: bool = True) -> DataFrame:
     """Adds tolerant_tokens of a column of programs; null for null. Equal programs are read once."""
 

@@ -59,6 +59,26 @@ def distinct_n(frame: DataFrame, keys: list[str], tokens: str, orders: range = r
     return agg.withColumn("distinct_n", F.when(F.col("n_total") > 1, F.col("n_distinct") / F.col("n_total")))
 
 
+def gram_sketches(frame: DataFrame, keys: list[str], tokens: str, orders: range = range(1, 7), lg_k: int = 12) -> DataFrame:
+    """Rows (keys, n, sketch, n_total): a sketch of each group's distinct n-grams, of 2 ** lg_k bytes at most, and their number.
+
+    A task keeps one sketch a group and only sketches are shuffled, whatever the number of n-grams; they can be stored and merged.
+    """
+    return gram_hashes(frame, keys, tokens, orders).groupBy(*keys, "n").agg(F.hll_sketch_agg("h", lg_k).alias("sketch"), F.count("*").alias("n_total"))
+
+
+def rolled_up(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones."""
+    return sketches.groupBy(*keys, "n").agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("n_total").alias("n_total"))
+
+
+def sketched_distinct_n(sketches: DataFrame) -> DataFrame:
+    """Estimates from sketches: n_distinct has a standard error of 1.04 / sqrt(2 ** lg_k), 1.6 % by default; null for at most one."""
+    keys = [c for c in sketches.columns if c not in ("n", "sketch", "n_total")]
+    n_distinct = F.least(F.hll_sketch_estimate("sketch"), F.col("n_total"))
+    return sketches.select(*keys, "n", n_distinct.alias("n_distinct"), "n_total", F.when(F.col("n_total") > 1, n_distinct / F.col("n_total")).alias("distinct_n"))
+
+
 def gram_sets(frame: DataFrame, keys: list[str], member: str, tokens: str, n: int) -> DataFrame:
     """Distinct n-grams of members that have any, hashed to 64 bits, with the member's own total."""
     grams = ngrams(frame.where(F.size(tokens) >= n), keys, member, tokens, range(n, n + 1))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from progdiv.functions import registered
 from progdiv.functions.pytokens import with_tokens
 from progdiv.functions.subwords import with_subwords
 from progdiv.functions.text import strip_comments, tokens_13a
 from progdiv.operators import lexical, syntactic
-from progdiv.plans.catalogue import _BLEU, _DRAWS, _TREES, _WORDS, _benchmark, _varied_subtrees, query, r6, table
+from progdiv.plans.catalogue import _BLEU, _DRAWS, _GRAMS, _TREES, _WORDS, _benchmark, _tokens, _varied_subtrees, query, r6, table
+from progdiv.sources import record_tree
+from progdiv.streaming import monitor, running
 
 # ---------------------------------------------------------------------------------------------------
 # Programs of which some don't parse, and their tokens.
@@ -102,3 +105,80 @@ SELECT problem_id, variant, height, round(j, 6) AS sampled_jaccard FROM (SELECT
 def ast_jaccard_sampled(spark, sf):
     out = syntactic.sampled_jaccard_subtrees(_varied_subtrees(spark, sf), ["problem_id"], "generation_id")
     return out.withColumn("sampled_jaccard", r6("sampled_jaccard"))
+
+
+# ---------------------------------------------------------------------------------------------------
+# Sketches of distinct shares.
+
+
+@query("SELECT lang, n, n_distinct, n_total, true AS near FROM (" + _GRAMS % {"key": "lang", "table": "documents"} + ")")
+def distinct_n_sketched(spark, sf):
+    """Exact counts by language, and whether estimates from sketches by language and source, rolled up, are within 5 %, three
+    standard errors."""
+    docs = _tokens(spark, sf, "documents")
+    finer = lexical.gram_sketches(docs, ["lang", "source"], "tokens")
+    coarse = lexical.sketched_distinct_n(lexical.rolled_up(finer, ["lang"])).withColumnsRenamed({"n_distinct": "estimate", "lang": "k", "n": "order"})
+    exact = lexical.distinct_n(docs, ["lang"], "tokens").join(coarse.select("k", "order", "estimate"), F.col("lang").eqNullSafe(F.col("k")) & (F.col("n") == F.col("order")))
+    return exact.select("lang", "n", "n_distinct", "n_total", (F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.05 * F.col("n_distinct")).alias("near"))
+
+
+# ---------------------------------------------------------------------------------------------------
+# Written in SQL alone, with the registered functions.
+
+_SHAPED_PROGRAMS = """SELECT p_brand, p_partkey, p_size, CASE p_partkey % 3
+    WHEN 0 THEN 'def f_' || regexp_replace(lower(p_brand), '[^a-z0-9]', '') || '(x):\n    return x * ' || p_size
+    WHEN 1 THEN 'y = 1 # ' || p_type || '\n' ELSE 'print(' || p_size || ' [' END AS code FROM part"""
+
+
+@query("""WITH v AS (SELECT p_brand, p_partkey % 3 AS shape, CAST(p_size AS VARCHAR) AS s, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS b, p_type FROM part),
+t AS (SELECT p_brand, shape, unnest(CASE shape WHEN 0 THEN ['def', 'f_' || b, '(', 'x', ')', ':', chr(10), 'return', 'x', '*', s, '', 'DEDENT'] WHEN 1 THEN ['y', '=', '1'] || string_split('# ' || p_type, ' ') || [chr(10)] ELSE ['print', '(', s, '[', ''] END) AS token FROM v)
+SELECT p_brand, token, count(*) AS n, count(*) FILTER (WHERE shape < 2) AS n_parsing FROM t GROUP BY 1, 2""")
+def sql_python_tokens(spark, sf):
+    registered.register(spark)
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    return spark.sql(f"SELECT p_brand, token, count(*) AS n, count_if(ok) AS n_parsing FROM (SELECT *, parses(code) AS ok FROM ({_SHAPED_PROGRAMS})), LATERAL python_tokens(code) GROUP BY 1, 2")
+
+
+@query("""WITH v AS (SELECT p_brand, p_size AS s FROM part WHERE p_partkey % 3 = 0), n(height, named, sized) AS (VALUES (3, 0, 1), (3, 0, 1), (3, 1, 0), (3, 1, 0), (4, 0, 1), (4, 1, 1), (4, 1, 0), (5, 1, 1), (5, 1, 1), (6, 1, 1))
+SELECT p_brand, height, CAST(count(*) AS BIGINT) AS n_total, CAST(count(DISTINCT s) AS BIGINT) AS sizes FROM v, n GROUP BY 1, 2""")
+def sql_subtrees(spark, sf):
+    registered.register(spark)
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    return spark.sql(f"""SELECT p_brand, height, sum(t.count) AS n_total, count(DISTINCT p_size) AS sizes FROM ({_SHAPED_PROGRAMS} WHERE p_partkey % 3 = 0), LATERAL subtrees(code, 'obfuscated', highest => 6) t GROUP BY 1, 2""")
+
+
+# ---------------------------------------------------------------------------------------------------
+# Folders of generations, and generations as a stream.
+
+
+@query("""SELECT s_nationkey AS problem_id, CAST(s_suppkey AS INT) AS generation_id, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE 0.5 END AS coherence, 1.0 AS accuracy,
+    'g ' || s_name AS generation, s_name AS program, CASE WHEN s_acctbal >= 0 THEN '{"k": ' || s_suppkey || '}' END AS output_record, 'Accuracy: 1.0' || chr(10) || s_name AS diff FROM supplier""")
+def record_tree_round_trip(spark, sf):
+    """Suppliers of a nation as folders of a problem's generations, written and read again."""
+    fine = F.col("s_acctbal") >= 0
+    made = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("problem_id"), F.col("s_suppkey").cast("int").alias("generation_id"), F.when(fine, 0.5).otherwise(0.0).alias("coherence"), F.lit(1.0).alias("accuracy"),
+        F.concat(F.lit("g "), "s_name").alias("generation"), F.col("s_name").alias("program"),
+        F.when(fine, F.concat(F.lit('{"k": '), F.col("s_suppkey").cast("string"), F.lit("}"))).alias("output_record"), F.col("s_name").alias("diff"),
+    )
+    path = f"{monitor.work_dir(spark)}/tree"
+    record_tree.write_tree(made.repartition("problem_id"), path)
+    read = record_tree.read_tree(spark, path).drop("formatted_program")
+    return read.withColumn("problem_id", F.col("problem_id").cast("long"))
+
+
+@query("""WITH d AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2), t AS (SELECT conv_id, turn, """ + _WORDS + """ AS t FROM d),
+g AS (SELECT conv_id, t[i : i + 1] AS gram FROM t, range(1, len(t)) s(i)), m AS (SELECT conv_id, count(*) AS members FROM d GROUP BY 1),
+c AS (SELECT conv_id, count(DISTINCT gram) AS n_distinct, count(*) AS n_total FROM g GROUP BY 1)
+SELECT conv_id, members, coalesce(n_distinct, 0) AS n_distinct, coalesce(n_total, 0) AS n_total, round(CASE WHEN n_total > 1 THEN n_distinct / n_total END, 6) AS distinct_n FROM m LEFT JOIN c USING (conv_id)""")
+def stream_running_distinct(spark, sf):
+    """Turns of conversations as generations that arrive in several batches, each twice, and the running share of distinct 2-grams
+    after the last one."""
+    base = monitor.work_dir(spark)
+    turns = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("ts", F.to_timestamp(F.lit("2024-01-01")) + F.make_interval(secs=F.pmod(F.xxhash64("conv_id", "turn"), F.lit(60)).cast("double")))
+    turns.union(turns).repartition(3, F.rand(1)).write.parquet(f"{base}/arrived")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived").withColumn("tokens", lexical.word_tokens(F.col("text")))
+    once = running.first_arrivals(stream, ["conv_id", "turn"], "ts", "1 hour")
+    updates = running.running_distinct_n(once.select("conv_id", "tokens"), "conv_id", "tokens", 2)
+    out = running.latest(monitor.run_to_table(updates, f"{base}/updates", f"{base}/offsets", updates.schema), "conv_id")
+    return out.withColumn("distinct_n", r6("distinct_n"))
