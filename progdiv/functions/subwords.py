@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,7 @@ class Merges:
         hidden = [b for b in range(256) if b not in shown]
         #: Bytes that don't print are written as the characters from 256 on.
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.bytes = {c: b for b, c in self.letters.items()}
         self.pieces, self.most, self.known = regex.compile(PIECES), most, {}
 
     def merged(self, piece: str) -> list[str]:
@@ -60,16 +62,24 @@ class Merges:
                     heapq.heappush(heap, (found, k))
         return [s for s in symbols if s is not None]
 
-    def __call__(self, text: str) -> list[str]:
+    def __call__(self, text: str, limit: int | None = None) -> list[str]:
+        """The text's subwords, or the first limit of them."""
         out: list[str] = []
-        for piece in self.pieces.findall(text):
+        for hit in self.pieces.finditer(text):
+            piece = hit[0]
             if piece not in self.known:
                 if len(self.known) >= self.most:
                     self.known.clear()
                 self.known[piece] = self.merged(piece)
             out += self.known[piece]
+            if limit is not None and len(out) >= limit:
+                return out[:limit]
         return out
 
+    def text_of(self, tokens: list[str]) -> str:
+        """What subwords were made of; bytes of a character that was cut become the replacement mark."""
+        return bytes(self.bytes[c] for t in tokens for c in t).decode("utf-8", "replace")
+
 
 def with_subwords(frame: DataFrame, text: str, out: str, vocabulary: str | None = None, ends: tuple[str, str] | None = None) -> DataFrame:
     """Adds the subwords of a column of texts, null for null, between a start and an end token if given."""
@@ -84,3 +94,23 @@ def with_subwords(frame: DataFrame, text: str, out: str, vocabulary: str | None
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
     return frame.mapInArrow(run, f"{ddl}, `{out}` array<string>")
+
+
+def with_embedding_text(frame: DataFrame, text: str, out: str, most: int = 512, spare: int = 8, vocabulary: str | None = None) -> DataFrame:
+    """Rows with text that is not blank, and what of it goes to an embedder that takes `most` subwords: the first most - spare, as text,
+    without white space at the ends and with one line end for several. An error if that has more than most subwords again."""
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = Merges(path)
+        for b in batches:
+            made = []
+            for t in b.column(text).to_pylist():
+                cut = re.sub(r"\n+", "\n", merges.text_of(merges(t.strip(), most - spare)).strip())
+                if len(merges(cut, most + 1)) > most:
+                    raise ValueError(f"more than {most} subwords in {cut[:40]!r}")
+                made.append(cut)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, out])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+    return frame.where(F.col(text).rlike(r"(?s)[^\s\p{Z}\x1c-\x1f\x85]")).mapInArrow(run, f"{ddl}, `{out}` string")

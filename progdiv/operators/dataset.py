@@ -51,6 +51,24 @@ def latest(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return frame.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+def latest_folder(folders: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Of each key the folder whose name ends in the latest time, as in run_2024-01-31_23-59-59; ties by name. A folder whose name ends
+    in no time is an error, as it can't be told apart from a newer one."""
+    stamp = F.right(F.rtrim(F.col(path), F.lit("/")), F.lit(19))
+    at = F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd_HH-mm-ss"))
+    timed = folders.withColumn("_time", F.when(at.isNotNull(), at).otherwise(F.raise_error(F.concat(F.lit("no time at the end of "), F.coalesce(path, F.lit("null")))).cast("timestamp")))
+    return latest(timed, keys, ["_time", path]).drop("_time")
+
+
+def unmatched_cases(cases: DataFrame) -> DataFrame:
+    """Problems whose test cases have not as many inputs as outputs, or not the same: problem_id, n_inputs, n_outputs, without (sorted
+    testcase_ids that lack one). cases: problem_id, kind (input or output), testcase_id."""
+    sides = cases.groupBy("problem_id", "testcase_id").agg(F.bool_or(F.col("kind") == "input").alias("i"), F.bool_or(F.col("kind") == "output").alias("o"))
+    lone = F.when(~(F.col("i") & F.col("o")), F.col("testcase_id"))
+    per = sides.groupBy("problem_id").agg(F.count_if("i").alias("n_inputs"), F.count_if("o").alias("n_outputs"), F.sort_array(F.collect_list(lone)).alias("without"))
+    return per.where(F.size("without") > 0)
+
+
 def merge_first(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Rows of all frames, the earliest frame winning on a key."""
     tagged = [f.withColumn("_at", F.lit(i)) for i, f in enumerate(frames)]
@@ -90,6 +108,25 @@ def first_rows(frame: DataFrame, order: list[str], most: int) -> DataFrame:
     return frame.orderBy(*order).limit(most) if most > 0 else frame
 
 
+def typed_configs(rows: DataFrame, column: str, fields: list[tuple[str, str]], required: int) -> DataFrame:
+    """Configurations from JSON arrays: a column for each of fields (name, string, int or double), null where an element is of
+    another type, and problems: too few or too many elements, and elements of another type, in order.
+
+    A whole number is no double and 1.0 no int, as elements are written on purpose."""
+    kinds = {"string": r'^".*"$', "int": r"^-?\d+$", "double": r"^-?\d+(\.\d+([eE][-+]?\d+)?|[eE][-+]?\d+)$"}
+    n = F.json_array_length(column)
+    quoted = F.from_json(column, "array<string>")
+    # Parsed elements have lost their quotes, so what is a string shows in the array as it is written.
+    parts = F.regexp_extract_all(column, F.lit(r'"(?:[^"\\]|\\.)*"|[^,\[\]"\s]+'), F.lit(0))
+    wrong = [F.when(F.coalesce(n, F.lit(0)) < required, F.lit("too few elements")), F.when(n > len(fields), F.lit("too many elements")), F.when(n.isNull(), F.lit("no array"))]
+    out = rows
+    for i, (name, kind) in enumerate(fields):
+        right = F.coalesce(F.get(parts, F.lit(i)).rlike(kinds[kind]), F.lit(False))
+        wrong.append(F.when((n > i) & ~right, F.lit(f"{name} is no {kind}")))
+        out = out.withColumn(name, F.when(right, F.get(quoted, F.lit(i))).try_cast(kind) if kind != "string" else F.when(right, F.get(quoted, F.lit(i))))
+    return out.withColumn("problems", F.array_compact(F.array(*wrong)))
+
+
 def config_problems(configs: DataFrame, positive: list[str], allowed: dict[str, list[str]]) -> DataFrame:
     """What is wrong with each configuration: numbers that are not above 0 and names that are not allowed, in order."""
     wrong = [F.when(~F.coalesce(F.col(c) > 0, F.lit(False)), F.lit(f"{c} is not positive")) for c in positive]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from progdiv.operators.dataset import unmatched_cases
+
 from progdiv.operators.records import per_generation, with_record_types
 from progdiv.schemas import RECORD_TYPES
 
@@ -66,8 +68,12 @@ def coherent_share_of_all(generations: DataFrame) -> DataFrame:
     return generations.groupBy("problem_id").agg(F.when(n > 1, F.count_distinct(F.when(F.col("coherent"), F.col("semantic"))) / n).alias("coh_semantic_proportion_of_all"))
 
 
-def make_clusters(executions: DataFrame) -> dict[str, DataFrame]:
-    """What the clustering run writes: program to string, string to programs, and counts and shares a program."""
+def make_clusters(executions: DataFrame, cases: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What the clustering run writes: program to string, string to programs, and counts and shares a program.
+
+    cases (problem_id, kind, testcase_id): accuracies need an output for each input; ValueError names problems without."""
+    if cases is not None and (wrong := unmatched_cases(cases).orderBy("problem_id").limit(5).collect()):
+        raise ValueError("inputs and outputs do not match in " + "; ".join(f"{r.problem_id}: {r.n_inputs} and {r.n_outputs}, {', '.join(map(str, r.without))}" for r in wrong))
     gen = per_generation(executions)
     keys = ["problem_id", "generation_id"]
     return {

@@ -364,8 +364,8 @@ def eccentricity(spark, sf):
 
 @query(_SIM + "SELECT grp, round(sum(1 / d), 6) AS spectral_eigv FROM (SELECT k AS grp, i, sum(sim) AS d FROM w GROUP BY 1, 2) GROUP BY 1")
 def spectral_eigv(spark, sf):
-    """Jaccard similarities have no negative eigenvalue, so that SQL has the clipped sum as the trace."""
-    return estimators.spectral_eigenvalues(_similarities(spark, sf), ["grp"], "grp bigint").withColumn("spectral_eigv", r6("spectral_eigv"))
+    """Jaccard similarities have no negative eigenvalue, so the clipped sum is the trace, in SQL too."""
+    return estimators.spectral_trace(_similarities(spark, sf), ["grp"]).withColumn("spectral_eigv", r6("spectral_eigv"))
 
 
 # ---------------------------------------------------------------------------------------------------

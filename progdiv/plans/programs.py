@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from progdiv.functions import registered
 from progdiv.functions.pytokens import with_tokens
-from progdiv.functions.subwords import with_subwords
+from progdiv.functions.subwords import with_embedding_text, with_subwords
 from progdiv.functions.text import strip_comments, tokens_13a
-from progdiv.operators import lexical, syntactic
+from progdiv.operators import dataset, lexical, syntactic
 from progdiv.plans.catalogue import _BLEU, _DRAWS, _GRAMS, _TREES, _WORDS, _benchmark, _tokens, _varied_subtrees, query, r6, table
 from progdiv.sources import record_tree
 from progdiv.streaming import monitor, running
@@ -182,3 +182,44 @@ def stream_running_distinct(spark, sf):
     updates = running.running_distinct_n(once.select("conv_id", "tokens"), "conv_id", "tokens", 2)
     out = running.latest(monitor.run_to_table(updates, f"{base}/updates", f"{base}/offsets", updates.schema), "conv_id")
     return out.withColumn("distinct_n", r6("distinct_n"))
+
+
+# ---------------------------------------------------------------------------------------------------
+# Preparation and validation.
+
+
+@query()
+def embedding_budget(spark, sf):
+    """Every document cut to what an embedder of 512 subwords takes; vocabularies have no SQL."""
+    return with_embedding_text(table(spark, sf, "documents").select("doc_id", "text"), "text", "cut").select("doc_id", "cut")
+
+
+@query("""SELECT o_custkey, max(o_orderpriority || '_' || strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 SECOND * (o_orderkey % 86400), '%Y-%m-%d_%H-%M-%S')) FILTER (WHERE k = 1) AS folder
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 SECOND * (o_orderkey % 86400) DESC, o_orderpriority DESC) AS k FROM orders) GROUP BY 1""")
+def latest_folder(spark, sf):
+    """Of each customer the order whose name ends in the latest time."""
+    at = F.col("o_orderdate").cast("timestamp") + F.make_interval(secs=(F.col("o_orderkey") % 86400).cast("double"))
+    named = table(spark, sf, "orders").select("o_custkey", F.concat("o_orderpriority", F.lit("_"), F.date_format(at, "yyyy-MM-dd_HH-mm-ss")).alias("folder"))
+    return dataset.latest_folder(named, ["o_custkey"], "folder")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS problem_id, l_linenumber AS testcase_id, bool_or(l_returnflag <> 'R') AS i, bool_or(l_linestatus = 'F') AS o FROM lineitem GROUP BY 1, 2 HAVING i OR o)
+SELECT problem_id, count(*) FILTER (WHERE i) AS n_inputs, count(*) FILTER (WHERE o) AS n_outputs, string_agg(CAST(testcase_id AS VARCHAR), ',' ORDER BY testcase_id) FILTER (WHERE NOT (i AND o)) AS without FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE NOT (i AND o)) > 0""")
+def unmatched_cases(spark, sf):
+    """Lines as test cases: an input unless returned, an output if finished."""
+    lines = table(spark, sf, "lineitem")
+    kinds = F.array_compact(F.array(F.when(F.col("l_returnflag") != "R", F.lit("input")), F.when(F.col("l_linestatus") == "F", F.lit("output"))))
+    cases = lines.select(F.col("l_orderkey").alias("problem_id"), F.explode(kinds).alias("kind"), F.col("l_linenumber").alias("testcase_id"))
+    return dataset.unmatched_cases(cases).withColumn("without", F.array_join(F.transform("without", lambda x: x.cast("string")), ","))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 <> 1 THEN p_brand END AS model, CASE WHEN p_size % 4 <> 2 THEN p_retailprice END AS temperature, CAST(CASE WHEN p_size % 4 <> 3 THEN p_size END AS INT) AS n,
+    concat_ws('; ', CASE WHEN p_size % 4 = 3 THEN 'too few elements' END, CASE WHEN p_size % 4 = 1 THEN 'model is no string' END, CASE WHEN p_size % 4 = 2 THEN 'temperature is no double' END) AS problems FROM part""")
+def config_types(spark, sf):
+    """Configurations as JSON arrays of which some have elements of other types or lack one."""
+    kind = F.col("p_size") % 4
+    model = F.when(kind == 1, F.col("p_size").cast("string")).otherwise(F.concat(F.lit('"'), "p_brand", F.lit('"')))
+    price = F.when(kind == 2, F.lit("7")).otherwise(F.col("p_retailprice").cast("string"))
+    row = F.concat(F.lit("["), model, F.lit(", "), price, F.when(kind == 3, F.lit("")).otherwise(F.concat(F.lit(", "), F.col("p_size").cast("string"))), F.lit("]"))
+    out = dataset.typed_configs(table(spark, sf, "part").select("p_partkey", row.alias("row")), "row", [("model", "string"), ("temperature", "double"), ("n", "int")], 3)
+    return out.select("p_partkey", "model", "temperature", "n", F.array_join("problems", "; ").alias("problems"))

@@ -65,6 +65,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("line")).where("line <> ''")
 
 
+def read_paths(spark: SparkSession, path: str) -> list[str]:
+    """The paths that the lines of a small file name, in order; FileNotFoundError with those that don't exist."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    named = [r["line"] for r in read_lines(spark, path).collect()]  # a list of configurations, written by hand
+    missing = [n for n in named if not (p := jvm.org.apache.hadoop.fs.Path(n)).getFileSystem(conf).exists(p)]
+    if missing:
+        raise FileNotFoundError(f"not there: {', '.join(missing)}")
+    return named
+
+
 def read_output_records(spark: SparkSession, path: str, n: int) -> DataFrame:
     """Saved records of generations 0..n-1: of several for one generation the one of the largest path."""
     rows = spark.read.schema(OUTPUT_RECORD).option("recursiveFileLookup", True).json(path)
