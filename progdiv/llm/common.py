@@ -117,6 +117,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 #: Substrings of more bytes are hashed one by one.
 _LONG = 512
+#: Chunks that are made at once.
+_FEW = 1 << 15
 #: Bytes of a number that are a substring's own, by how many there are.
 _OWN = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
@@ -135,7 +137,14 @@ def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     padded[:-8] = data
     at_byte = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     here = np.flatnonzero(size <= _LONG)
-    for k in range(_LONG // 8):
+    most = -(-int(size[here].max(initial=0)) // 8)
+    if len(here) * most <= _FEW:  # few substrings, as of a short text: all chunks at once
+        at = np.arange(most)
+        left = np.clip(size[here, None] - 8 * at, 0, 8)
+        chunks = at_byte[np.minimum(starts[here, None] + 8 * at, len(data))] & _OWN[left]
+        sums[here] += np.where(left > 0, _keyed(chunks, at), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        here = here[:0]
+    for k in range(most):
         here = here[size[here] > 8 * k]
         if not len(here):
             break

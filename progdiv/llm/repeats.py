@@ -18,6 +18,7 @@ what others share with them.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from progdiv.llm.common import PRIME, Rolling, drop_table, give_back, gram_hashe
 THRESHOLD, GRAM, SPLIT = 200, 40, 16
 #: Starts handled at once, so that memory does not follow the length of a text.
 _BLOCK = (1 << 20) - 1024
+#: Pieces of runs handled at once.
+_PIECES = 1 << 16
 _BASE, _OTHER_BASE = 0x1B873593CC9E2D51 % PRIME, 0x16A09E667F3BCC90 % PRIME
 _OTHER = 0xC2B2AE3D27D4EB4F
 _ROW = [("core", pa.int64()), ("hull", pa.int64()), ("key", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("done", pa.bool_())]
@@ -76,10 +79,16 @@ def _split(data: np.ndarray, a: np.ndarray, s: np.ndarray, e: np.ndarray, t: int
         low = max(0, at - 2 * t)
         roll = Rolling(data[low : at + _BLOCK + 4 * t], _BASE)
         other = Rolling(data[low : at + _BLOCK + 4 * t], _OTHER_BASE) if width == 1 else None
-        first, last = (a[here] - e[here]) // width, (a[here] - s[here]) // width
-        for k in range(first.min(), last.max() + 1):
-            i = here[(first <= k) & (k <= last)]
-            right, left = a[i] - width * k, a[i] - width * k - width + 1
+        first = (a[here] - e[here]) // width
+        many = (a[here] - s[here]) // width - first + 1
+        ends = np.cumsum(many)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], _PIECES), side="left"))
+        for lo, hi in itertools.pairwise([*cuts.tolist(), len(here)]):
+            n = many[lo:hi]
+            i = np.repeat(here[lo:hi], n)
+            k = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - first[lo:hi], n)
+            right = a[i] - width * k
+            left = right - width + 1
             core = roll(right - low, left + t - low)
             if width == 1:
                 hull = other(right - low, right + t - low)
@@ -87,9 +96,8 @@ def _split(data: np.ndarray, a: np.ndarray, s: np.ndarray, e: np.ndarray, t: int
                 inside = (left >= 0) & (right + t <= len(data))
                 hull = np.empty(len(i), dtype=np.uint64)
                 hull[inside] = roll(left[inside] - low, right[inside] + t - low)
-                alone = i[~inside]
-                hull[~inside] = (a[alone].astype(np.uint64) * np.uint64(_OTHER) + np.uint64(k)) ^ np.uint64(salt)
-                core = core + np.uint64(int(k) * _OTHER & ((1 << 64) - 1))
+                hull[~inside] = (a[i[~inside]].astype(np.uint64) * np.uint64(_OTHER) + k[~inside].astype(np.uint64)) ^ np.uint64(salt)
+                core = core + k.astype(np.uint64) * np.uint64(_OTHER)
             yield core, hull, np.maximum(left, s[i]), np.minimum(right, e[i]), i
 
 
