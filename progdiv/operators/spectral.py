@@ -63,9 +63,10 @@ class _Space:
         parts = rows.select(*dict.fromkeys([*keys, left, right])).mapInArrow(run, f"{key_ddl}m array<double>, width int")
         each = parts.select(*keys, "width", F.posexplode("m").alias("p", "v")).groupBy(*keys, "width", "p").agg(F.sum("v").alias("v"))
         out: dict[tuple, np.ndarray] = {}
-        for r in each.groupBy(*keys, "width").agg(F.sort_array(F.collect_list(F.struct("p", "v"))).alias("m")).collect():  # a small matrix a group
-            out[tuple(r[n] for n in keys)] = np.array([v["v"] for v in r["m"]]).reshape(-1, r["width"])
-        return out
+        for r in each.collect():  # the numbers of a small matrix a group
+            key, width = tuple(r[n] for n in keys), r["width"]
+            out.setdefault(key, {})[divmod(r["p"], width)] = r["v"]
+        return {key: np.array([[m[i, j] for j in range(1 + max(q for _, q in m))] for i in range(1 + max(q for q, _ in m))]) for key, m in out.items()}
 
     def changed(self, rows: DataFrame, made: Callable[[tuple, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
         """x and w of every member anew, from its group's key and both."""
@@ -110,12 +111,14 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
 
 
 def _extended(space: _Space, rows: DataFrame) -> DataFrame:
-    """The products w made orthogonal to x, twice as rounding asks for, and to each other, and put behind x."""
+    """The products w made orthogonal to x and to each other, twice as rounding asks for, and put behind x."""
     for _ in range(2):
-        c = space.sums(rows, "x", "w")
-        rows = _written(space.changed(rows, lambda key, x, w, c=c: (x, w - x @ c[key])))
-    t = {k: _orthonormal(m) for k, m in space.sums(rows, "w", "w").items()}
-    return space.changed(rows, lambda key, x, w: (np.column_stack([x, w @ t[key]]), w[:, :0]))
+        made = {}
+        for key, m in space.sums(rows.withColumn("xw", F.concat("x", "w")), "xw", "w").items():
+            c = m[: len(m) - m.shape[1]]
+            made[key] = c, _orthonormal(m[len(c) :] - c.T @ c)
+        rows = space.changed(rows, lambda key, x, w, made=made: (x, (w - x @ made[key][0]) @ made[key][1]))
+    return space.changed(rows, lambda key, x, w: (np.column_stack([x, w]), w[:, :0]))
 
 
 def _random(seed: int) -> Column:
@@ -127,20 +130,15 @@ def top_space(edges: DataFrame, keys: list[str], threshold: float) -> tuple[Data
     """Rows (keys, i, x) of orthonormal eigenvectors of the edges' matrix with values above 1 - threshold, the largest first, or
     of the leading one alone; and those values by group.
 
-    A block shows at most so many vectors of one repeated value. So each round starts from the best vectors so far and a new block,
-    and the last round is one that finds no more than the one before. ValueError if ROUNDS are not enough, as with
-    more than about ROUNDS * BLOCK such values.
+    Each round starts from the best vectors so far and what they miss, their residuals. A block shows at most so many vectors of one
+    repeated value, so once all residuals are small a round with a new block by chance has to find no more. ValueError if
+    ROUNDS are not enough, as with more than about ROUNDS * BLOCK such values.
     """
     space = _Space(edges, keys)
-    rows = edges.select(*space.names).distinct().withColumn("x", F.array().cast("array<double>"))
-    width, before = 0, None
+    rows = edges.select(*space.names).distinct().withColumns({"x": F.array().cast("array<double>"), "w": _random(0)})
+    width, found = 0, None
     for r in range(ROUNDS):
-        rows = rows.withColumn("w", _random(r))
-        if width:
-            rows = _written(_extended(space, rows))
-        else:
-            t = {k: _orthonormal(m) for k, m in space.sums(rows.withColumn("x", F.col("w")), "x", "w").items()}
-            rows = _written(space.changed(rows.withColumn("x", F.col("w")), lambda key, x, w, t=t: (w @ t[key], w[:, :0])))
+        rows = _written(_extended(space, rows))
         width += BLOCK
         for _ in range(STEPS):
             last = rows.withColumn("_last", F.slice("x", width - BLOCK + 1, F.lit(BLOCK)))
@@ -151,14 +149,16 @@ def top_space(edges: DataFrame, keys: list[str], threshold: float) -> tuple[Data
         for key, h in space.sums(rows, "x", "w").items():
             mu, vectors = np.linalg.eigh((h + h.T) / 2)
             order = np.argsort(-mu)
-            values[key], turn[key] = mu[order[: max(1, int((mu > 1 - threshold).sum()))]], vectors[:, order]
-        kept = {key: len(v) for key, v in values.items()}
-        if kept == before:
-            off = space.sums(space.changed(rows, lambda key, x, w: (w @ turn[key][:, : kept[key]] - (x @ turn[key][:, : kept[key]]) * values[key], w[:, :0])), "x", "x")
-            if all(np.sqrt(np.diag(m)).max() <= TOLERANCE for m in off.values()):
-                return space.changed(rows, lambda key, x, w: (x @ turn[key][:, : kept[key]], w[:, :0])).drop("w"), values
-        before, width = kept, max(kept.values()) + BLOCK
-        rows = _written(space.changed(rows, lambda key, x, w, n=width: (x @ turn[key][:, :n], w[:, :0])))
+            values[key], turn[key] = mu[order], vectors[:, order]
+        kept = {key: max(1, int((mu > 1 - threshold).sum())) for key, mu in values.items()}
+        part = lambda key, x, w, n: (x @ turn[key][:, :n], w @ turn[key][:, :n] - (x @ turn[key][:, :n]) * values[key][:n])
+        off = space.sums(space.changed(rows, lambda key, x, w: (part(key, x, w, kept[key])[1], w[:, :0])), "x", "x")
+        small = all(np.sqrt(np.diag(m)).max() <= TOLERANCE for m in off.values())
+        if small and kept == found:
+            return space.changed(rows, lambda key, x, w: (part(key, x, w, kept[key])[0], w[:, :0])).drop("w"), {key: mu[: kept[key]] for key, mu in values.items()}
+        found, width = kept if small else None, max(kept.values()) + BLOCK
+        rows = space.changed(rows, lambda key, x, w, n=width: (part(key, x, w, n)[0], part(key, x, w, BLOCK)[1]))
+        rows = _written(rows.withColumn("w", _random(r + 1)) if small else rows)
     raise ValueError(f"no convergence after {ROUNDS} rounds: a group may have too many eigenvalues above {1 - threshold}")
 
 

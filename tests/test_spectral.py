@@ -59,7 +59,7 @@ def test_too_many_leading_eigenvalues_are_an_error(spark, monkeypatch):
 
 def test_a_group_beyond_a_dense_matrix(spark):
     """Each is alike with forty others by chance: one eigenvalue is above 0.9, whose vector is the root of the degrees."""
-    n = 3000
+    n = 1200
     near = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("q")).select("i", F.pmod(F.xxhash64("i", "q"), F.lit(n)).alias("j")).where("i <> j").distinct()
     sims = near.select(F.lit(0).cast("long").alias("k"), "i", "j", F.lit(1.0).alias("sim")).union(spark.range(n).select(F.lit(0).cast("long"), "id", "id", F.lit(1.0)))
     got = estimators.eccentricity(sims, ["k"], "k bigint", dense=1000).toPandas().set_index("i")
