@@ -257,7 +257,7 @@ def _in_one(table: pa.Table) -> pa.Table:
                 if not open_[a]:
                     after.append(a)
         ready, depth = after, depth + 1
-    return pa.table([pa.array([conv.as_py()] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], names=["conv_id", "id", "depth"])
+    return pa.table([pa.array([conv.as_py()] * len(found), table.schema.field("conv_id").type), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], names=["conv_id", "id", "depth"])
 
 
 def _depths(calls: DataFrame) -> DataFrame:
@@ -269,8 +269,8 @@ def _depths(calls: DataFrame) -> DataFrame:
     known = calls.select("conv_id", F.col("id").alias("need")).distinct()
     edges = materialize(calls.select("conv_id", "id", F.explode("needs").alias("need")).join(known, ["conv_id", "need"]).distinct(), "needs")
     large = materialize(edges.groupBy("conv_id").count().where(F.col("count") > _SMALL).select("conv_id"), "large")
-    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInArrow(_in_one, "conv_id string, id string, depth int")
-    one = calls.select(*key).distinct()
+    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInArrow(_in_one, f"conv_id {calls.schema['conv_id'].dataType.simpleString()}, id string, depth int")
+    one = calls.select(*key).distinct().where("conv_id IS NOT NULL")
     free = one.join(edges.select(*key).union(edges.select("conv_id", "need")), key, "left_anti").withColumn("depth", F.lit(0))
     found = materialize(free.union(small), "depths")
     if large.isEmpty():
