@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progdiv.llm.common import drop_table, give_back, join_by_count, materialize, mix, pieces_of, release, text_buffer, word_bounds, word_hashes
+from progdiv.llm.common import HOT, drop_table, give_back, join_by_count, materialize, mix, pieces_of, release, text_buffer, word_bounds, word_hashes
 from progdiv.llm.graph import components
 
 BINS, ROWS = 256, 6
@@ -147,15 +147,22 @@ def _fronts(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """doc_id and s: of every set in open buckets, ordered by rarity (then value), the first shingles that others have.
 
     Two similar sets share one of the first size - ceil(share * size) + 1, so sets without such a front are
-    alone, and others are similar only to sets whose front they meet.
+    alone, and others are similar only to sets whose front they meet. Shingles that no other set has only count, and those
+    of more than one row in HOT come last; these are fewer than HOT, so sets find them in a list and only the others are joined.
     """
-    who = buckets.groupBy(F.col("x").alias("doc_id")).agg(F.first("n").alias("n"))
-    rows = materialize(who.join(sets.hint("merge"), "doc_id").select("doc_id", "n", F.explode("shingles").alias("s")), "shingles")
-    per = materialize(rows.groupBy("s").count(), "per")
-    ordered = join_by_count(rows, per, "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("o"))
-    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    front = F.filter(F.slice("o", F.lit(1), size), lambda x: x["count"] > 1)
-    found = materialize(ordered.select("doc_id", F.explode(front).alias("f")).select("doc_id", "f.s"), "fronts")
+    who = buckets.select(F.col("x").alias("doc_id")).distinct()
+    rows = materialize(who.join(sets.hint("merge"), "doc_id").select("doc_id", "shingles"), "shingles")
+    per = materialize(rows.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1"), "per")
+    least = max(1, (rows.agg(F.sum(F.size("shingles"))).first()[0] or 0) // HOT)
+    hot = [r.s for r in per.where(F.col("count") > least).orderBy("count", "s").select("s").collect()]
+    hot = F.array(*map(F.lit, hot)).cast("array<bigint>")
+    n = F.size("shingles")
+    rows = rows.select("doc_id", (n - F.ceil(n * percent / 100) + 1).cast("int").alias("size"), F.array_except("shingles", hot).alias("rare"), F.array_intersect(hot, "shingles").alias("hot"))
+    met = rows.select("doc_id", "size", F.size("rare").alias("n"), F.explode("rare").alias("s")).join(per.where(F.col("count") <= least), "s")
+    met = met.groupBy("doc_id", "size", "n").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("o"))
+    first = lambda column, length: F.explode(F.slice(column, F.lit(1), F.greatest(length, F.lit(0))))
+    front = met.select("doc_id", first("o", F.col("size") - F.col("n") + F.size("o")).alias("f")).select("doc_id", "f.s")
+    found = materialize(front.union(rows.select("doc_id", first("hot", F.col("size") - F.size("rare")))), "fronts")
     drop_table(rows)
     release(buckets.sparkSession)
     return found

@@ -581,3 +581,20 @@ def test_queries_are_registered():
     names = e.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert json.dumps(sorted(names))
+
+
+def test_minhash_fronts_join_few_shingles(spark, monkeypatch):
+    """Fronts are those of the whole order by rarity, and no join takes shingles of one set or common ones."""
+    joined = []
+    monkeypatch.setattr(minhash, "join_by_count", lambda rows, per, key: joined.append(rows.count()) or rows.join(per, key))
+    common, pairs = list(range(10)), 300
+    sets = {d: [*common, *range(1000 + d // 2 * 10, 1005 + d // 2 * 10), *range(100_000 + d * 10, 100_000 + d * 10 + d % 3)] for d in range(2 * pairs)}
+    sets |= {9000 + d: list(common) for d in range(3)}
+    count = Counter(s for v in sets.values() for s in v)
+    size = {d: len(v) - -(-len(v) * 60 // 100) + 1 for d, v in sets.items()}
+    want = {(d, s) for d, v in sets.items() for s in sorted(v, key=lambda s: (count[s], s))[: size[d]] if count[s] > 1}
+    frame = spark.createDataFrame(list(sets.items()), "doc_id bigint, shingles array<bigint>")
+    buckets = spark.createDataFrame([(d, len(v)) for d, v in sets.items()], "x bigint, n bigint")
+    got = [tuple(r) for r in minhash._fronts(buckets, frame, 60).select("doc_id", "s").collect()]
+    assert sorted(got) == sorted(want)
+    assert max(joined, default=0) <= len(want)
