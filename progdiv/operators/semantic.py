@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from progdiv.operators.dataset import unmatched_cases
 
-from progdiv.operators.records import per_generation, with_record_types
-from progdiv.schemas import RECORD_TYPES
+from progdiv.operators.records import per_generation, with_every_type
 
 
 def clusters(generations: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,21 +30,30 @@ def semantic_metrics(generations: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def on_all_types(metrics: DataFrame, problems: DataFrame, counts: list[str]) -> DataFrame:
-    """A row for every problem and record type: counts are 0 and metrics null where no record is of the type."""
-    grid = problems.select("problem_id").distinct().withColumn("recordtype", F.explode(F.array(*map(F.lit, RECORD_TYPES))))
-    return grid.join(metrics, ["problem_id", "recordtype"], "left").fillna(0, counts)
-
-
 def record_type_report(generations: DataFrame) -> DataFrame:
-    """Coherence, accuracy and semantic metrics by problem and record type, all six types."""
-    typed = with_record_types(generations)
+    """Coherence, accuracy and semantic metrics by problem and record type, all six types: counts are 0 and metrics null where no
+    record is of the type.
+
+    Every generation has a row for each type that tells whether it holds, so strings are grouped once and nothing is joined."""
     keys = ["problem_id", "recordtype"]
-    shares = typed.groupBy(*keys).agg(
-        F.avg((F.col("coherence") == 1.0).cast("double")).alias("avg_coherence"),
-        F.avg((F.col("accuracy") == 1.0).cast("double")).alias("avg_accuracy"),
-    )
-    return on_all_types(semantic_metrics(typed, keys).join(shares, keys), generations, ["n", "semantic_count"])
+    whole = lambda c: (F.col(c) == 1.0).cast("long")
+    sizes = with_every_type(generations).groupBy(*keys, "holds", F.when(F.col("holds"), F.col("semantic")).alias("semantic")).agg(
+        F.count("*").alias("c"),
+        *(f(whole(m)).alias(f"{m}_{n}") for m in ("coherence", "accuracy") for n, f in (("sum", F.sum), ("of", F.count))),
+    )
+    held = lambda c: F.sum(F.when(F.col("holds"), c))
+    c = F.col("c")
+    agg = sizes.groupBy(*keys).agg(
+        F.coalesce(held(c), F.lit(0)).alias("n"), F.count_if("holds").alias("semantic_count"), held(c * (c - 1)).alias("equal"),
+        *(F.try_divide(held(F.col(f"{m}_sum")), held(F.col(f"{m}_of"))).alias(f"avg_{m}") for m in ("coherence", "accuracy")),
+    )
+    n = F.col("n")
+    return agg.select(
+        *keys, "n", "semantic_count",
+        F.when(n > 1, F.col("semantic_count") / n).alias("semantic_proportion"),
+        F.when(n > 1, 1 - F.try_divide("equal", n * (n - 1))).alias("pairwise_semantic"),
+        "avg_coherence", "avg_accuracy",
+    )
 
 
 #: Nested filters: name of the metrics' suffix and the condition on a generation.

@@ -61,18 +61,21 @@ typed AS (SELECT *, unnest(list_filter(['all', CASE WHEN coherent THEN 'coh' END
 
 
 def executions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line of an order is a test case; a problem has as many as its longest order, and an order lacks the others."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    lines = table(spark, sf, "lineitem").withColumn("tc", F.row_number().over(order))
+    """Every line of an order is a test case; a problem has as many as its longest order, and an order lacks the others.
+
+    An order's outputs travel as one array, and rows are made of it once they are dealt by problem, so that grouping them by
+    problem or generation shuffles nothing more."""
     output = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40), "Runtime Error").when((F.col("l_returnflag") == "A") & (F.col("l_quantity") < 6), "Syntax Error").otherwise(F.col("l_linestatus"))
-    lines = lines.select("l_orderkey", "tc", output.alias("output"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", output.alias("output"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    lines = lines.select("l_orderkey", F.transform("lines", lambda x: x["output"]).alias("outputs"))
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").alias("generation_id"), F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("expected"))
-    sizes = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    cases = orders.join(sizes, "l_orderkey", "left").groupBy("problem_id").agg(F.coalesce(F.max("n"), F.lit(1)).cast("int").alias("cases"))
-    grid = orders.join(cases, "problem_id").withColumn("tc", F.explode(F.sequence(F.lit(1), "cases"))).drop("cases")
-    rows = records.with_missing_outputs(grid, lines, ["l_orderkey", "tc"])
-    tc = F.col("tc").cast("string")
-    return rows.select("problem_id", "generation_id", tc.alias("testcase_id"), (F.col("tc") - 1).alias("pos"), tc.alias("input"), "output", "expected")
+    orders = orders.join(lines, "l_orderkey", "left").drop("l_orderkey")
+    n = F.when(F.col("outputs").isNotNull(), F.size("outputs"))
+    orders = orders.withColumn("cases", F.coalesce(F.max(n).over(Window.partitionBy("problem_id")), F.lit(1)))
+    rows = orders.select("problem_id", "generation_id", "outputs", "expected", F.explode(F.sequence(F.lit(1), "cases")).alias("tc"))
+    tc, output = F.col("tc").cast("string"), F.coalesce(F.get("outputs", F.col("tc") - 1), F.lit("Unknown Error"))
+    return rows.select("problem_id", "generation_id", tc.alias("testcase_id"), (F.col("tc") - 1).alias("pos"), tc.alias("input"), output.alias("output"), "expected")
 
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:

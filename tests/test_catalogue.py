@@ -49,3 +49,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 150
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_record_types_are_grouped_where_they_are(spark, sf):
+    """Lines are dealt by order and orders by problem; nothing that is made of them is dealt again."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    old = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        plan = QUERIES["recordtype_report"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    assert plan.count("Exchange hashpartitioning") <= 3
