@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,18 +34,18 @@ def ngrams(frame: DataFrame, keys: list[str], member: str, tokens: str, orders:
     return frame.select(*keys, member, F.explode(F.concat(*(F.coalesce(a, none) for a in arrays))).alias("x")).select(*keys, member, "x.n", "x.gram")
 
 
-def gram_hashes(frame: DataFrame, keys: list[str], tokens: str, orders: range) -> DataFrame:
+def gram_hashes(frame: DataFrame, keys: list[str], tokens: str, orders: range, always: bool = False) -> DataFrame:
     """Rows (keys, n, h): 64-bit hashes of the n-grams of every row's tokens. Words are hashed once, and each order's hashes
-    are those of the order below joined with the next word's."""
+    are those of the order below joined with the next word's. With always, a row without n-grams of an order gives one null h."""
     df = frame.select(*keys, F.transform(tokens, lambda w: F.xxhash64(w)).alias("_w"))
     df = df.select(*keys, "_w", F.col("_w").alias("_g1"))
     for n in range(2, orders.stop):
         left = F.size("_w") - (n - 1)
         made = F.when(left > 0, F.zip_with(F.slice(f"_g{n - 1}", F.lit(1), left), F.slice("_w", F.lit(n), left), lambda g, w: F.xxhash64(g, w)))
         df = df.select("*", made.alias(f"_g{n}"))
-    none = F.array().cast("array<struct<n:int,h:bigint>>")
-    tagged = lambda n: F.transform(f"_g{n}", lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
-    rows = [F.coalesce(tagged(n), none) for n in orders]
+    tagged = lambda n, of: F.transform(of, lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+    none = lambda n: tagged(n, F.array(F.lit(None).cast("bigint")) if always else F.array().cast("array<bigint>"))
+    rows = [F.when(F.size(f"_g{n}") > 0, tagged(n, f"_g{n}")).otherwise(none(n)) for n in orders]
     return df.select(*keys, F.explode(F.concat(*rows)).alias("x")).select(*keys, "x.n", "x.h")
 
 
@@ -105,6 +106,43 @@ def sampled_jaccard(frame: DataFrame, keys: list[str], member: str, tokens: str,
     return sampled_pairs(gram_sets(frame, keys, member, tokens, n), keys, member, uniforms(iterations, 2, seed))
 
 
+def with_counted_grams(frame: DataFrame, tokens: str, orders: range) -> DataFrame:
+    """Adds of each order n from 1 g<n>, the distinct n-grams of a row as 64-bit hashes, and r<n>, hashes of n-gram and k for the
+    k-th time that it is there, from the second on. What two rows have in common of both is what their counts have, the smaller
+    one of each n-gram. Time grows with the square of the number of n-grams in rows in which some repeat."""
+    kept = frame.columns
+    df = frame.withColumn("_w", F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda w: F.xxhash64(w))).withColumn("_h1", F.col("_w"))
+    for n in range(2, orders.stop):
+        left = F.size("_w") - (n - 1)
+        made = F.when(left > 0, F.zip_with(F.slice(f"_h{n - 1}", F.lit(1), left), F.slice("_w", F.lit(n), left), lambda g, w: F.xxhash64(g, w)))
+        df = df.withColumn(f"_h{n}", F.coalesce(made, F.array().cast("array<bigint>")))
+    df = df.withColumns({f"g{n}": F.array_distinct(f"_h{n}") for n in orders} | {f"_s{n}": F.array_sort(f"_h{n}") for n in orders})
+    none = F.array().cast("array<bigint>")
+
+    def again(n: int) -> Column:
+        times = F.transform(f"_s{n}", lambda x, i: F.struct(x.alias("h"), (i + 2 - F.array_position(f"_s{n}", x)).alias("k")))
+        return F.transform(F.filter(times, lambda x: x["k"] > 1), lambda x: F.xxhash64(x["h"], x["k"]))
+
+    return df.select(*kept, *(f"g{n}" for n in orders), *(F.when(F.size(f"g{n}") < F.size(f"_s{n}"), again(n)).otherwise(none).alias(f"r{n}") for n in orders))
+
+
+def bleu_distance(la: Column, lb: Column, hits: list[Column]) -> Column:
+    """100 - BLEU of a text of la tokens against one of lb, of which so many n-grams of each order are in common; effective order,
+    exponential smoothing."""
+    log_sum, eff, smooth, open_ = F.lit(0.0), F.lit(0), F.lit(1.0), F.lit(True)
+    for k, hit in enumerate(hits, 1):
+        total = F.greatest(la - (k - 1), F.lit(0))
+        hit = F.coalesce(hit, F.lit(0))
+        open_ = open_ & (total > 0)
+        smooth = F.when(open_ & (hit == 0), smooth * 2).otherwise(smooth)
+        p = F.when(hit == 0, 100.0 / (smooth * total)).otherwise(100.0 * hit / total)
+        log_sum = F.when(open_, log_sum + F.ln(p)).otherwise(log_sum)
+        eff = F.when(open_, F.lit(k)).otherwise(eff)
+    short = F.when((la < lb) & (la > 0), F.exp(1 - lb / la)).otherwise(1.0)
+    any_hit = reduce(Column.__or__, (F.coalesce(hit, F.lit(0)) > 0 for hit in hits))
+    return 100 - F.when(any_hit & (eff > 0), short * F.exp(log_sum / eff)).otherwise(0.0)
+
+
 def bleu_pairs(frame: DataFrame, keys: list[str], member: str, tokens: str, order: int = 4) -> DataFrame:
     """Rows (keys, a, b, distance) for members a < b of a group: 100 - BLEU of a against b.
 
@@ -117,21 +155,8 @@ def bleu_pairs(frame: DataFrame, keys: list[str], member: str, tokens: str, orde
     both = a.join(b, [*keys, "n", "g"]).where("a < b").groupBy(*keys, "a", "b").agg(*(F.sum(F.when(F.col("n") == k, F.least("ca", "cb"))).alias(f"m{k}") for k in range(1, order + 1)))
     left, right = sized.withColumnsRenamed({member: "a", "len": "la"}), sized.withColumnsRenamed({member: "b", "len": "lb"})
     pairs = left.join(right, keys).where("a < b").join(both, [*keys, "a", "b"], "left")
-    log_sum, eff, smooth, open_ = F.lit(0.0), F.lit(0), F.lit(1.0), F.lit(True)
-    for k in range(1, order + 1):
-        total = F.greatest(F.col("la") - (k - 1), F.lit(0))
-        hit = F.coalesce(f"m{k}", F.lit(0))
-        open_ = open_ & (total > 0)
-        smooth = F.when(open_ & (hit == 0), smooth * 2).otherwise(smooth)
-        p = F.when(hit == 0, 100.0 / (smooth * total)).otherwise(100.0 * hit / total)
-        log_sum = F.when(open_, log_sum + F.ln(p)).otherwise(log_sum)
-        eff = F.when(open_, F.lit(k)).otherwise(eff)
-    short = F.when((F.col("la") < F.col("lb")) & (F.col("la") > 0), F.exp(1 - F.col("lb") / F.col("la"))).otherwise(1.0)
-    any_hit = F.coalesce("m1", F.lit(0)) > 0
-    for k in range(2, order + 1):
-        any_hit = any_hit | (F.coalesce(f"m{k}", F.lit(0)) > 0)
-    score = F.when(any_hit & (eff > 0), short * F.exp(log_sum / eff)).otherwise(0.0)
-    return pairs.select(*keys, "a", "b", (100 - score).alias("distance"))
+    distance = bleu_distance(F.col("la"), F.col("lb"), [F.col(f"m{k}") for k in range(1, order + 1)])
+    return pairs.select(*keys, "a", "b", distance.alias("distance"))
 
 
 def corpus_self_bleu(frame: DataFrame, keys: list[str], member: str, tokens: str, normalize: bool = True) -> DataFrame:

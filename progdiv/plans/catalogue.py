@@ -881,11 +881,9 @@ grid AS (SELECT DISTINCT problem_id, t.recordtype, m.metric FROM gen, (VALUES ('
 def _full_report(spark, sf):
     orders = table(spark, sf, "orders").withColumn("program", F.when(F.col("o_orderpriority").startswith("1"), "").otherwise(F.col("o_orderpriority")))
     said = F.concat("o_orderpriority", F.lit(" price "), (F.round("o_totalprice").cast("long") % 7).cast("string"), F.lit(" of "), "o_orderstatus")
-    orders = orders.select(F.col("o_orderkey").alias("generation_id"), "program", lexical.word_tokens(said).alias("tokens"), (F.col("o_orderkey") % 500).alias("vec_id"))
-    orders = orders.join(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left").drop("vec_id")
-    path = f"{monitor.work_dir(spark)}/generations"
-    generations(spark, sf).join(orders, "generation_id").write.parquet(path)
-    return report.metric_report(spark.read.parquet(path))
+    programs = orders.select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").alias("generation_id"), "program", lexical.word_tokens(said).alias("tokens"), (F.col("o_orderkey") % 500).alias("vector_id"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector"))
+    return report.metric_report(generations(spark, sf), programs, vectors)
 
 
 @query(_REPORT + "SELECT problem_id, recordtype, metric, round(coalesce(value, CASE WHEN metric = 'semantic_count' THEN 0 END), 4) AS value FROM grid LEFT JOIN long USING (problem_id, recordtype, metric)")

@@ -298,3 +298,33 @@ def test_significance_against_integration(spark):
     for r, f in rows:
         assert got[r, f] == pytest.approx(tail(r, f), abs=2e-6), (r, f)
     assert got[1.0, 5] == got[-1.0, 9000] == 0 and got[None, 5] is None and got[0.5, 0] is None
+
+
+def test_report_deals_generations_and_not_types_or_pairs(spark, sf):
+    """A problem's n-grams and pairs stay where its generations are: nothing is dealt by record type, n-gram or pair."""
+    import re
+
+    from progdiv.plans.catalogue import QUERIES
+
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ["-1", "false"], strict=True):
+            spark.conf.set(n, v)
+        plan = QUERIES["metrics_by_recordtype"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    dealt = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)}
+    assert dealt <= {"l_orderkey", "problem_id", "problem_id, generation_id", "vector_id"}
+
+
+def test_counted_grams_meet_as_counts_do(spark):
+    from collections import Counter
+
+    a, b = ["x", "y", "x", "y", "x", "x"], ["x", "y", "x", "z", "x"]
+    rows = lexical.with_counted_grams(spark.createDataFrame([(0, a), (1, b), (2, None)], "m int, tokens array<string>"), "tokens", range(1, 4)).collect()
+    for n in range(1, 4):
+        both = Counter(zip(*(a[i:] for i in range(n)), strict=False)) & Counter(zip(*(b[i:] for i in range(n)), strict=False))
+        assert sum(len(set(rows[0][c]) & set(rows[1][c])) for c in (f"g{n}", f"r{n}")) == sum(both.values())
+        assert rows[2][f"g{n}"] == rows[2][f"r{n}"] == []
