@@ -238,12 +238,12 @@ def _tokens(spark, sf, name):
 
 @query(_GRAMS % {"key": "lang", "table": "documents"})
 def distinct_n_by_lang(spark, sf):
-    return lexical.distinct_n(_tokens(spark, sf, "documents"), ["lang"], "tokens").withColumn("distinct_n", r6("distinct_n"))
+    return lexical.distinct_n(_tokens(spark, sf, "documents"), ["lang"], "tokens", prose=True).withColumn("distinct_n", r6("distinct_n"))
 
 
 @query(_GRAMS % {"key": "source", "table": "documents"})
 def distinct_n_by_source(spark, sf):
-    return lexical.distinct_n(_tokens(spark, sf, "documents"), ["source"], "tokens").withColumn("distinct_n", r6("distinct_n"))
+    return lexical.distinct_n(_tokens(spark, sf, "documents"), ["source"], "tokens", prose=True).withColumn("distinct_n", r6("distinct_n"))
 
 
 _DRAWS = ", ".join(f"({i}, {a!r}, {b!r})" for i, a, b in [(d[0], d[2], e[2]) for d, e in zip(lexical.uniforms(300, 2)[::2], lexical.uniforms(300, 2)[1::2], strict=True)])

@@ -118,7 +118,7 @@ def distinct_n_sketched(spark, sf):
     docs = _tokens(spark, sf, "documents")
     finer = lexical.gram_sketches(docs, ["lang", "source"], "tokens")
     coarse = lexical.sketched_distinct_n(lexical.rolled_up(finer, ["lang"])).withColumnsRenamed({"n_distinct": "estimate", "lang": "k", "n": "order"})
-    exact = lexical.distinct_n(docs, ["lang"], "tokens").join(coarse.select("k", "order", "estimate"), F.col("lang").eqNullSafe(F.col("k")) & (F.col("n") == F.col("order")))
+    exact = lexical.distinct_n(docs, ["lang"], "tokens", prose=True).join(coarse.select("k", "order", "estimate"), F.col("lang").eqNullSafe(F.col("k")) & (F.col("n") == F.col("order")))
     return exact.select("lang", "n", "n_distinct", "n_total", (F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.05 * F.col("n_distinct")).alias("near"))
 
 

@@ -328,3 +328,21 @@ def test_counted_grams_meet_as_counts_do(spark):
         both = Counter(zip(*(a[i:] for i in range(n)), strict=False)) & Counter(zip(*(b[i:] for i in range(n)), strict=False))
         assert sum(len(set(rows[0][c]) & set(rows[1][c])) for c in (f"g{n}", f"r{n}")) == sum(both.values())
         assert rows[2][f"g{n}"] == rows[2][f"r{n}"] == []
+
+
+def test_prose_is_shuffled_once_a_place(spark):
+    words = [["a", "b", "a", "b", "a", "b", "c"], ["a", "b"], ["a"], [], None, ["a", "b", "a", "c"], ["c"] * 9]
+    frame = spark.createDataFrame([(i % 2, w) for i, w in enumerate(words)] + [(None, ["a", "b", "a"])], "k int, tokens array<string>")
+    for orders in (range(1, 7), range(2, 4), range(1, 2), range(3, 5), range(2, 3)):
+        rows = [sorted(map(str, lexical.distinct_n(frame, ["k"], "tokens", orders, prose=p).select("k", "n", "n_distinct", "n_total", "distinct_n").collect())) for p in (False, True)]
+        assert rows[0] == rows[1]
+    plan = lexical.distinct_n(frame, ["k"], "tokens", range(2, 7), prose=True)._jdf.queryExecution().executedPlan().toString()
+    assert "_w1#" in plan.split("hashpartitioning(k#", 2)[2] and ", h#" not in plan
+
+
+def test_sketches_of_all_orders_are_of_one_group(spark):
+    """A group for every order would pass the number of groups above which Spark sorts all n-grams."""
+    frame = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["a"])], "k int, tokens array<string>")
+    out = lexical.gram_sketches(frame, ["k"], "tokens", range(1, 3))
+    assert {(r.k, r.n): r.n_total for r in out.collect()} == {(0, 1): 3, (0, 2): 2, (1, 1): 1}
+    assert "keys=[k#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", n#" not in "".join(x.split("]")[0] for x in plan.split("keys=[")[1:])
