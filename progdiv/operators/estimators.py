@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from progdiv.operators import spectral
 
 
+#: Log-likelihoods are added up by stretches of so many, whose exponentials are in the range of doubles.
+STRETCH = 64
+
+
 def semantic_entropy(scores: DataFrame, keys: list[str], output: str, nll: str) -> DataFrame:
-    """Groups of equal outputs join their likelihoods (log-sum-exp of nll); minus their mean."""
-    top = scores.groupBy(*keys, output).agg(F.max(nll).alias("top"))
-    parts = scores.join(top, [*keys, output]).groupBy(*keys, output, "top").agg(F.sum(F.exp(F.col(nll) - F.col("top"))).alias("s"))
-    return parts.groupBy(*keys).agg((-F.avg(F.col("top") + F.ln("s"))).alias("semantic_entropy"))
+    """Groups of equal outputs join their likelihoods (log-sum-exp of nll); minus their mean.
+
+    Likelihoods are added up by stretches of nll from which the stretch's start is taken, so scores are not joined with their
+    group's greatest: that scales the few sums of the stretches."""
+    rows = scores.select(*keys, output, F.col(nll).cast("double").alias("_x")).withColumn("_e", F.floor(F.col("_x") / STRETCH).cast("double") * STRETCH)
+    sums = rows.groupBy(*keys, output, "_e").agg(F.max("_x").alias("_top"), F.sum(F.exp(F.col("_x") - F.col("_e"))).alias("_s"))
+    parts = sums.groupBy(*keys, output).agg(F.max("_top").alias("_top"), F.collect_list(F.struct("_e", "_s")).alias("_p"))
+    total = F.aggregate(F.filter("_p", lambda p: p["_s"].isNotNull()), F.lit(0.0), lambda a, p: a + p["_s"] * F.exp(p["_e"] - F.col("_top")))
+    return parts.groupBy(*keys).agg((-F.avg(F.col("_top") + F.ln(total))).alias("semantic_entropy"))
 
 
 def sequence_nll(average: Column, length: Column) -> Column:

@@ -346,3 +346,12 @@ def test_sketches_of_all_orders_are_of_one_group(spark):
     out = lexical.gram_sketches(frame, ["k"], "tokens", range(1, 3))
     assert {(r.k, r.n): r.n_total for r in out.collect()} == {(0, 1): 3, (0, 2): 2, (1, 1): 1}
     assert "keys=[k#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", n#" not in "".join(x.split("]")[0] for x in plan.split("keys=[")[1:])
+
+
+def test_semantic_entropy_without_a_join_of_scores(spark):
+    rows = [(0, "x", -700.0), (0, "x", 700.0), (0, "y", -1.0), (0, "y", -2.5), (1, "x", -1e5), (1, "x", -1e5), (1, "y", None), (2, "x", None)]
+    out = estimators.semantic_entropy(spark.createDataFrame(rows, "k int, o string, nll double"), ["k"], "o", "nll")
+    got = {r.k: r.semantic_entropy for r in out.collect()}
+    assert got[0] == pytest.approx(-(700 + math.log(math.exp(-1) + math.exp(-2.5))) / 2)
+    assert got[1] == pytest.approx(1e5 - math.log(2)) and got[2] is None
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
