@@ -76,24 +76,31 @@ def mean_pair_distance(sets: DataFrame, keys: list[str], member: str) -> DataFra
 RANKED, PARTS = 1 << 16, 1024
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt into as many parts as a shuffle has. Spark joins small parts by their compressed bytes; where rows compress well and
+    are sorted or multiplied next, a few tasks would hold them all."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def positions(members: DataFrame, keys: list[str], member: str) -> DataFrame:
     """Rows (keys, member, pos, n): ranks from 0 within each group of members, each being there once, and the group's number.
 
     Numbers of a group of more than RANKED members are parted at approximate quantiles; a rank is what all parts before hold and
     the rank within its own."""
     n = members.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = members.join(n, keys)
+    few = lambda frame: frame.hint("shuffle_hash")  # noqa: E731 - a row a group or a part: rows go past it unsorted
+    rows = members.join(few(n), keys)
     if isinstance(members.schema[member].dataType, NumericType):
         marks = [F.lit(i / PARTS) for i in range(1, PARTS)]
         cuts = rows.where(F.col("n") > RANKED).groupBy(*keys).agg(F.percentile_approx(member, F.array(*marks), 20 * PARTS).alias("cuts"))
-        rows = rows.join(cuts, keys, "left").withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(member))), F.lit(0))).drop("cuts")
+        rows = rows.join(few(cuts), keys, "left").withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(member))), F.lit(0))).drop("cuts")
         rows = rows.withColumn("part", F.greatest("part", F.lit(0)))  # without cuts the size is -1 in some settings
     else:
         rows = rows.withColumn("part", F.lit(0))
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy(*keys, "part").agg(F.count("*").alias("c")).select(*keys, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(member)) - 1)
-    return rows.join(parts, [*keys, "part"]).select(*keys, member, (F.col("before") + F.col("own")).alias("pos"), "n")
+    rows = dealt(rows, *keys, "part").withColumn("own", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(member)) - 1)
+    return rows.join(few(parts), [*keys, "part"]).select(*keys, member, (F.col("before") + F.col("own")).alias("pos"), "n")
 
 
 def drawn_pairs(sets: DataFrame, keys: list[str], member: str, draws: list[tuple[int, int, float]]) -> DataFrame:
@@ -106,8 +113,10 @@ def drawn_pairs(sets: DataFrame, keys: list[str], member: str, draws: list[tuple
     members = positions(sets.select(*keys, member).distinct(), keys, member)
     groups = members.select(*keys, "n").distinct().where("n >= 2")
     picks = groups.withColumn("d", F.explode(F.array(*(F.struct(F.lit(it).alias("it"), F.lit(1 << slot).alias("side"), F.lit(u).alias("u")) for it, slot, u in draws))))
-    picks = picks.select(*keys, "d.it", "d.side", F.floor(F.col("d.u") * F.col("n")).alias("pos")).join(members.select(*keys, "pos", member), [*keys, "pos"]).drop("pos")
-    met = picks.join(sets.select(*keys, member, "g", "c"), [*keys, member])
+    # Picks are as many as draws, so they are hashed, and members and sets go past them unsorted.
+    picks = picks.select(*keys, "d.it", "d.side", F.floor(F.col("d.u") * F.col("n")).alias("pos")).hint("shuffle_hash")
+    picks = members.select(*keys, "pos", member).join(picks, [*keys, "pos"]).drop("pos")
+    met = sets.select(*keys, member, "g", "c").join(picks.hint("shuffle_hash"), [*keys, member])
     each = met.groupBy(*keys, "it", "g").agg(F.bit_or("side").alias("sides"), F.sum("c").alias("c"))
     real = F.col("g").isNotNull()
     return each.groupBy(*keys, "it").agg(F.sum(F.when(real, F.col("c")).otherwise(0)).alias("total"), F.count("g").alias("distinct"), F.sum(F.when(real & (F.col("sides") == 3), 1).otherwise(0)).alias("common"))

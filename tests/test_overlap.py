@@ -118,3 +118,18 @@ def test_sampled_subtrees(spark):
     draws = lexical.uniforms(50, 2)
     d = [0.5 if (draws[2 * i][2] < 0.5) != (draws[2 * i + 1][2] < 0.5) else 0.0 for i in range(50)]
     assert got == {3: pytest.approx(sum(d) / 50), 4: None}
+
+
+def test_members_are_dealt_and_not_sorted_for_small_tables(spark):
+    """Ranks are sorted within as many parts as a shuffle has, and groups, cuts and picks are hashed."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ["-1", "false"], strict=True):
+            spark.conf.set(n, v)
+        sets = spark.createDataFrame([(0, m, m % 3, 1) for m in range(20)], "k int, m long, g long, c long")
+        plan = overlap.drawn_pairs(sets, ["k"], "m", lexical.uniforms(10, 2))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
