@@ -103,3 +103,13 @@ def test_renaming():
     assert "os.path.join" in new and "b=2" in new and "len(" in new and "class CLASS_0" in new and "self.v" not in new
     compile(new, "x", "exec")
     assert obfuscate("def (") is None and isinstance(Renamer().run(ast.parse("x = 1")), ast.Module)
+
+
+def test_lines_that_come_again_are_parsed_once(monkeypatch):
+    from progdiv.functions import extract
+
+    parsed, parse = [], extract.ast.parse
+    monkeypatch.setattr(extract.ast, "parse", lambda code: parsed.append(code) or parse(code))
+    texts = ["again = 1\nno code at all, again", "again = 1\n" + "x" * 300]
+    assert [extract_python(t) for t in texts * 3] == [extract_python(t) for t in texts] * 3
+    assert parsed.count("again = 1") == 1
