@@ -73,3 +73,17 @@ def test_read_paths(spark, tmp_path):
 
 def test_embedding_texts_of_no_rows(spark):
     assert with_embedding_text(spark.createDataFrame([], "id int, text string"), "text", "cut").select(F.count("*")).first()[0] == 0
+
+
+def test_embedding_texts_are_in_python_by_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from progdiv.functions import subwords
+
+    made = []
+    monkeypatch.setattr(subwords.DataFrame, "mapInArrow", lambda self, run, ddl: made.append(run) or self, raising=False)
+    monkeypatch.setattr(type(frame := spark.createDataFrame([(0, "a")], "id int, text string")), "mapInArrow", lambda self, run, ddl: made.append(run) or self)
+    with_embedding_text(frame, "text", "cut")
+    batch = pa.RecordBatch.from_pydict({"id": list(range(600)), "text": [f"text {i}" for i in range(600)]})
+    out = list(made[0](iter([batch])))
+    assert max(b.num_rows for b in out) <= 256 and [x for b in out for x in b.column(2).to_pylist()] == [f"text {i}" for i in range(600)]
