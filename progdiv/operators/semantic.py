@@ -10,6 +10,11 @@ from progdiv.operators.dataset import unmatched_cases
 from progdiv.operators.records import per_generation, with_every_type
 
 
+def string_key(generations: DataFrame) -> str:
+    """The column to tell semantic strings of a problem apart by: semantic_key where there is one."""
+    return "semantic_key" if "semantic_key" in generations.columns else "semantic"
+
+
 def clusters(generations: DataFrame, keys: list[str]) -> DataFrame:
     """Generations of one group with one semantic string: size and members."""
     return generations.groupBy(*keys, "semantic").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("generation_id")).alias("members"))
@@ -20,7 +25,7 @@ def semantic_metrics(generations: DataFrame, keys: list[str]) -> DataFrame:
 
     The share of unequal pairs is 1 - sum c(c-1) / n(n-1); it and the proportion are null for fewer than two.
     """
-    sizes = generations.groupBy(*keys, "semantic").agg(F.count("*").alias("c"))
+    sizes = generations.groupBy(*keys, string_key(generations)).agg(F.count("*").alias("c"))
     agg = sizes.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("semantic_count"), F.sum(F.col("c") * (F.col("c") - 1)).alias("equal"))
     n = F.col("n")
     return agg.select(
@@ -37,7 +42,7 @@ def record_type_report(generations: DataFrame) -> DataFrame:
     Every generation has a row for each type that tells whether it holds, so strings are grouped once and nothing is joined."""
     keys = ["problem_id", "recordtype"]
     whole = lambda c: (F.col(c) == 1.0).cast("long")
-    sizes = with_every_type(generations).groupBy(*keys, "holds", F.when(F.col("holds"), F.col("semantic")).alias("semantic")).agg(
+    sizes = with_every_type(generations).groupBy(*keys, "holds", F.when(F.col("holds"), F.col(string_key(generations))).alias("semantic")).agg(
         F.count("*").alias("c"),
         *(f(whole(m)).alias(f"{m}_{n}") for m in ("coherence", "accuracy") for n, f in (("sum", F.sum), ("of", F.count))),
     )
@@ -73,7 +78,7 @@ def filtered_semantics(generations: DataFrame) -> DataFrame:
 def coherent_share_of_all(generations: DataFrame) -> DataFrame:
     """Distinct coherent strings of all generations, by problem."""
     n = F.count("*")
-    return generations.groupBy("problem_id").agg(F.when(n > 1, F.count_distinct(F.when(F.col("coherent"), F.col("semantic"))) / n).alias("coh_semantic_proportion_of_all"))
+    return generations.groupBy("problem_id").agg(F.when(n > 1, F.count_distinct(F.when(F.col("coherent"), F.col(string_key(generations)))) / n).alias("coh_semantic_proportion_of_all"))
 
 
 def make_clusters(executions: DataFrame, cases: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -60,26 +60,32 @@ typed AS (SELECT *, unnest(list_filter(['all', CASE WHEN coherent THEN 'coh' END
 """
 
 
-def executions(spark: SparkSession, sf: str) -> DataFrame:
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of an order is a test case; a problem has as many as its longest order, and an order lacks the others.
 
-    An order's outputs travel as one array, and rows are made of it once they are dealt by problem, so that grouping them by
-    problem or generation shuffles nothing more."""
+    An order's outputs are one array and are dealt by problem, so that grouping them by problem or generation shuffles nothing more.
+    Lines are dealt before they are collected, as a task has few of one order."""
     output = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40), "Runtime Error").when((F.col("l_returnflag") == "A") & (F.col("l_quantity") < 6), "Syntax Error").otherwise(F.col("l_linestatus"))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", output.alias("output"))
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    lines = lines.select("l_orderkey", F.transform("lines", lambda x: x["output"]).alias("outputs"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", F.coalesce(output, F.lit("Unknown Error")).alias("output"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", line.alias("line")).repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    lines = lines.select("l_orderkey", F.col("lines.output").alias("outputs"))
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").alias("generation_id"), F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("expected"))
-    orders = orders.join(lines, "l_orderkey", "left").drop("l_orderkey")
-    n = F.when(F.col("outputs").isNotNull(), F.size("outputs"))
-    orders = orders.withColumn("cases", F.coalesce(F.max(n).over(Window.partitionBy("problem_id")), F.lit(1)))
-    rows = orders.select("problem_id", "generation_id", "outputs", "expected", F.explode(F.sequence(F.lit(1), "cases")).alias("tc"))
-    tc, output = F.col("tc").cast("string"), F.coalesce(F.get("outputs", F.col("tc") - 1), F.lit("Unknown Error"))
-    return rows.select("problem_id", "generation_id", tc.alias("testcase_id"), (F.col("tc") - 1).alias("pos"), tc.alias("input"), output.alias("output"), "expected")
+    orders = orders.join(lines, "l_orderkey", "left").drop("l_orderkey").withColumn("outputs", F.coalesce("outputs", F.array().cast("array<string>")))
+    # In order of generations, so that their runs are added up as they come.
+    problem = Window.partitionBy("problem_id").orderBy("generation_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    orders = orders.withColumn("cases", F.greatest(F.max(F.size("outputs")).over(problem), F.lit(1)))
+    missing = F.array_repeat(F.lit("Unknown Error"), F.col("cases") - F.size("outputs"))
+    return orders.select("problem_id", "generation_id", F.concat("outputs", missing).alias("outputs"), "expected")
+
+
+def executions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _runs(spark, sf).select("problem_id", "generation_id", F.posexplode("outputs").alias("pos", "output"), "expected")
+    tc = (F.col("pos") + 1).cast("string")
+    return rows.select("problem_id", "generation_id", tc.alias("testcase_id"), "pos", tc.alias("input"), "output", "expected")
 
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:
-    return records.per_generation(executions(spark, sf))
+    return records.per_generation_of_arrays(_runs(spark, sf))
 
 
 @query(EXEC + "SELECT problem_id, count(*) AS n, count(DISTINCT semantic) AS semantic_count, round(CASE WHEN count(*) > 1 THEN count(DISTINCT semantic) / count(*) END, 6) AS semantic_proportion, "
@@ -172,7 +178,8 @@ def summary_describe(spark, sf):
 
 
 def _problem_metrics(spark, sf):
-    m = generations(spark, sf).groupBy("problem_id").agg(F.count_distinct("semantic").alias("semantic_count"), F.avg((F.col("coherence") == 1.0).cast("double")).alias("avg_coherence"), F.avg((F.col("accuracy") == 1.0).cast("double")).alias("avg_accuracy"))
+    gen = generations(spark, sf)
+    m = gen.groupBy("problem_id").agg(F.count_distinct(semantic.string_key(gen)).alias("semantic_count"), F.avg((F.col("coherence") == 1.0).cast("double")).alias("avg_coherence"), F.avg((F.col("accuracy") == 1.0).cast("double")).alias("avg_accuracy"))
     return summary.to_long(m, ["problem_id"], ["semantic_count", "avg_coherence", "avg_accuracy"])
 
 

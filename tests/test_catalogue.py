@@ -63,3 +63,9 @@ def test_record_types_are_grouped_where_they_are(spark, sf):
         for n, v in zip(names, old, strict=True):
             spark.conf.set(n, v)
     assert plan.count("Exchange hashpartitioning") <= 3
+
+
+@pytest.mark.parametrize("name", ["summary_describe", "leaderboard_scaled", "recordtype_report", "pairwise_semantic_diversity", "coherence_by_generation", "accuracy_by_problem"])
+def test_no_row_an_output_is_made(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(" not in plan and "explode(sequence(" not in plan and "format_string(" not in plan

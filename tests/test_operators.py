@@ -34,6 +34,23 @@ def test_semantic_example(spark):
     assert (m["semantic_count"], m["semantic_proportion"], m["pairwise_semantic"]) == (2, 1.0, 1.0)
 
 
+def test_arrays_of_outputs_against_rows(spark):
+    r = random.Random(9)
+    words = ["a", "a ", "\ta", "b", "", " ", "ab", "Error", "Syntax Error", "Unknown Error", "x\ntestcase_input: 2, output: y", "y", "x", "y\ntestcase_input: 3, output: y"]
+    runs = [(f"p{p}", g, [r.choice(words[:4] if p % 2 else words) for _ in range(1 + p % 3)], r.choice(["a", " a", "", None])) for p in range(40) for g in range(6)]
+    runs += [("q", 0, ["x\ntestcase_input: 2, output: y", "z"], "z"), ("q", 1, ["x", "y\ntestcase_input: 2, output: z"], None), ("q", 2, ["x", "y"], "y")]
+    again = runs + [x[:3] + (e,) for x, e in zip(runs[::5], itertools.cycle(["b", "a", None]))]
+    rows = [(p, g, str(i + 1), i, str(i + 1), o, e) for p, g, outputs, e in again for i, o in enumerate(outputs)]
+    want = records.per_generation(executions(spark, rows))
+    have = records.per_generation_of_arrays(spark.createDataFrame(again, "problem_id string, generation_id int, outputs array<string>, expected string"))
+    assert have.drop("semantic_key").columns == want.columns
+    assert sorted(map(repr, have.drop("semantic_key").collect())) == sorted(map(repr, want.collect()))
+    strings = have.select("problem_id", "semantic", "semantic_key").distinct().collect()
+    assert len(strings) == len({(x[0], x[1]) for x in strings}) == len({(x[0], x[2]) for x in strings})
+    for f in (lambda g: semantic.semantic_metrics(g, ["problem_id"]), semantic.record_type_report, semantic.coherent_share_of_all):
+        assert sorted(map(repr, f(have).collect())) == sorted(map(repr, f(want).collect()))
+
+
 def test_null_below_two(spark):
     gen = records.per_generation(executions(spark, [("p", 0, "0", 0, "1", "Timeout", None)]))
     m = semantic.semantic_metrics(gen, ["problem_id"]).first()
