@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from progdiv.operators.lexical import bleu_distance, gram_hashes, with_counted_grams
+from progdiv.operators import problems
+from progdiv.operators.overlap import dealt
 from progdiv.operators.records import type_mask
 from progdiv.operators.semantic import record_type_report
 from progdiv.operators.summary import to_long
@@ -28,12 +30,6 @@ def _each(value) -> list[Column]:
     return [value(i, lambda mask, i=i: F.col(mask).bitwiseAND(F.lit(1 << i)) > 0) for i in range(len(RECORD_TYPES))]
 
 
-def _long(wide: DataFrame, metric: Column, value) -> DataFrame:
-    """Rows of one metric for all types, value(i) being the i-th type's."""
-    rows = F.array(*(F.struct(F.lit(name).alias("recordtype"), metric.alias("metric"), value(i).cast("double").alias("value")) for i, name in enumerate(RECORD_TYPES)))
-    return wide.select("problem_id", F.explode(rows).alias("_x")).select("problem_id", "_x.*")
-
-
 def metric_report(generations: DataFrame, programs: DataFrame, vectors: DataFrame, orders: range = range(1, 7), gram: int = 2, more_than: int = 2) -> DataFrame:
     """Rows (problem_id, recordtype, metric, value) of every metric for all six types, null where it is undefined.
 
@@ -42,11 +38,11 @@ def metric_report(generations: DataFrame, programs: DataFrame, vectors: DataFram
     than more_than have one.
 
     A generation's types are bits of one number, so that n-grams are counted and pairs are met once a problem and not once a type.
-    Each family deals generations by problem once and has a row for every problem, so nothing is joined at the end.
+    Generations are dealt by problem once for the semantic metrics and once for all others, and both have rows for every problem, so
+    nothing is joined at the end.
     """
     typed = members(generations, programs, more_than)
-    families = [to_long(record_type_report(generations), KEYS, list(SEMANTIC)), _distinct(typed, orders), _pairs(typed, gram), _cosine(typed, vectors)]
-    return reduce(DataFrame.unionByName, families)
+    return to_long(record_type_report(generations), KEYS, list(SEMANTIC)).unionByName(_measured(typed, vectors, orders, gram))
 
 
 def members(generations: DataFrame, programs: DataFrame, more_than: int) -> DataFrame:
@@ -61,51 +57,14 @@ def members(generations: DataFrame, programs: DataFrame, more_than: int) -> Data
     return rows.select(*key, "mask", *(F.when(F.col("mask") > 0, F.col(c)).alias(c) for c in ("tokens", "vector_id")))
 
 
-def _distinct(typed: DataFrame, orders: range) -> DataFrame:
-    rows = gram_hashes(typed, ["problem_id", "mask"], "tokens", orders, always=True)
-    per = rows.groupBy("problem_id", "n", "h").agg(*_each(lambda i, holds: F.count_if(holds("mask") & F.col("h").isNotNull()).alias(f"c{i}")))
-    per = per.groupBy("problem_id", "n").agg(*_each(lambda i, _: F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}")), *_each(lambda i, _: F.sum(f"c{i}").alias(f"t{i}")))
-    return _long(per, F.concat(F.lit("distinct_"), F.col("n").cast("string")), lambda i: F.when(F.col(f"t{i}") > 1, F.col(f"d{i}") / F.col(f"t{i}")))
-
-
-def _pairs(typed: DataFrame, gram: int) -> DataFrame:
-    """Jaccard and BLEU distances of all pairs of a problem's generations, each pair being met once for all its types."""
-    orders = range(1, max(BLEU, gram) + 1)
-    rows = typed.select("problem_id", F.col("generation_id").alias("id"), "mask", F.coalesce(F.size("tokens"), F.lit(0)).alias("len"), "tokens")
-    rows = with_counted_grams(rows, "tokens", orders).drop("tokens")
-    side = lambda s: rows.select("problem_id", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns[1:]))
-    met = side("a").join(side("b").withColumnRenamed("problem_id", "_p"), (F.col("problem_id") == F.col("_p")) & (F.col("id_a") < F.col("id_b")), "left")
-    both = F.coalesce(F.col("mask_a").bitwiseAND(F.col("mask_b")), F.lit(0))
-    common = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
-    again = lambda n: F.when((F.size(f"r{n}_a") > 0) & (F.size(f"r{n}_b") > 0), common(f"r{n}")).otherwise(0)
-    sizes = [F.size(f"g{gram}_{s}") for s in ("a", "b")]
-    hits = {**{f"c{n}": common(f"g{n}") for n in orders}, **{f"m{n}": again(n) for n in range(1, BLEU + 1)}}
-    met = met.select("problem_id", both.alias("mask"), "len_a", "len_b", sizes[0].alias("za"), sizes[1].alias("zb"), *(F.when(both > 0, h).alias(n) for n, h in hits.items()))
-    shared = F.col(f"c{gram}")
-    alike = F.when((F.col("za") > 0) & (F.col("zb") > 0), shared / (F.col("za") + F.col("zb") - shared))
-    met = met.withColumns({f"m{n}": F.col(f"c{n}") + F.col(f"m{n}") for n in range(1, BLEU + 1)})
-    met = met.select("problem_id", "mask", alike.alias("alike"), F.when(F.col("mask") > 0, bleu_distance(F.col("len_a"), F.col("len_b"), [F.col(f"m{n}") for n in range(1, BLEU + 1)])).alias("self_bleu"))
-    mean = lambda c, name: _each(lambda i, holds: F.avg(F.when(holds("mask"), F.col(c))).alias(f"{name}{i}"))
-    per = met.groupBy("problem_id").agg(*mean("alike", "a"), *mean("self_bleu", "b"))
-    return _long(per, F.lit("jaccard"), lambda i: 1 - F.col(f"a{i}")).unionByName(_long(per, F.lit("self_bleu"), lambda i: F.col(f"b{i}")))
-
-
-def _cosine(typed: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Mean cosine distance as in embedding.cosine_distance; of each generation the unit vector's components, and two more
-    that count its vector (-1) and whether that is zero (-2)."""
-    v = vectors.select("vector_id", "vector")
-    rows = typed.select("problem_id", "mask", "vector_id").join(v, "vector_id", "left").select("problem_id", "mask", "vector").repartition("problem_id")
-    rows = rows.withColumn("v", F.transform("vector", lambda x: x.cast("double")))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    part = lambda dim, u: F.struct(dim.cast("int").alias("dim"), u.cast("double").alias("u"))
-    unit = F.when(F.col("norm") > 0, F.transform("v", lambda x, i: part(i, x / F.col("norm"))))
-    heads = F.array(part(F.lit(-1), F.when(F.col("norm").isNotNull(), 1).otherwise(0)), part(F.lit(-2), F.when(F.col("norm") > 0, 0).when(F.col("norm").isNotNull(), 1).otherwise(0)))
-    dims = rows.select("problem_id", "mask", F.explode(F.concat(heads, F.coalesce(unit, F.array().cast("array<struct<dim:int,u:double>>")))).alias("x")).select("problem_id", "mask", "x.*")
-    sums = dims.groupBy("problem_id", "dim").agg(
-        *_each(lambda i, holds: F.sum(F.when(holds("mask"), F.col("u"))).alias(f"s{i}")), *_each(lambda i, holds: F.sum(F.when(holds("mask"), F.col("u") * F.col("u"))).alias(f"q{i}")))
-    real, of = F.col("dim") >= 0, lambda dim, i: F.coalesce(F.max(F.when(F.col("dim") == dim, F.col(f"s{i}"))), F.lit(0.0))
-    per = sums.groupBy("problem_id").agg(
-        *_each(lambda i, _: (F.sum(F.when(real, F.col(f"s{i}") * F.col(f"s{i}"))) - F.sum(F.when(real, F.col(f"q{i}")))).alias(f"twice{i}")),
-        *_each(lambda i, _: of(-1, i).alias(f"n{i}")), *_each(lambda i, _: of(-2, i).alias(f"zero{i}")))
-    pairs = lambda i: F.col(f"n{i}") * (F.col(f"n{i}") - 1) / 2
-    return _long(per, F.lit("cosine_distance"), lambda i: F.when(F.col(f"zero{i}") == 0, F.try_divide(pairs(i) - F.col(f"twice{i}") / 2, pairs(i))))
+def _measured(typed: DataFrame, vectors: DataFrame, orders: range, gram: int) -> DataFrame:
+    """Rows of the lexical metrics and of cosine distance: problems are dealt into all parts, and a task counts whole problems at once."""
+    v = vectors.select("vector_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    rows = typed.join(v, "vector_id", "left").select("problem_id", "generation_id", "mask", "tokens", "vector")
+    rows = dealt(rows, "problem_id").sortWithinPartitions("problem_id", "generation_id")
+    schema = StructType([rows.schema["problem_id"], StructField("found", ArrayType(DoubleType()))])
+    types = len(RECORD_TYPES)
+    found = rows.mapInArrow(lambda batches: problems.measured(batches, orders, gram, BLEU, types), schema)
+    names = [(metric, t) for metric in metric_names(orders)[len(SEMANTIC) :] for t in RECORD_TYPES]
+    each = F.array(*(F.struct(F.lit(t).alias("recordtype"), F.lit(metric).alias("metric"), F.get("found", F.lit(i)).alias("value")) for i, (metric, t) in enumerate(names)))
+    return found.select("problem_id", F.explode(each).alias("_x")).select("problem_id", "_x.*")
