@@ -148,14 +148,15 @@ def pair_means(problem: np.ndarray, member: np.ndarray, has: np.ndarray, size: n
         hits, shared = counted.common(a, b, gram)
         distance = bleu_distances(size[a], size[b], hits[:, :bleu])
         some, every = (sets[a] > 0) & (sets[b] > 0), sets[a] + sets[b] - shared
-        unlike = 1 - shared / np.maximum(every, 1)
+        alike = shared / np.maximum(every, 1)
         for i, h in enumerate(has):
             both = h[a] & h[b]
-            for m, (value, counts) in enumerate(((unlike, both & some), (distance, both))):
+            for m, (value, counts) in enumerate(((alike, both & some), (distance, both))):
                 sums[m, 0, i] += np.bincount(problem[a[counts]], value[counts], n_problems)
                 sums[m, 1, i] += np.bincount(problem[a[counts]], minlength=n_problems)
     with np.errstate(invalid="ignore"):
-        return [s / n for total, of in sums for s, n in zip(total, of, strict=True)]
+        alike, distance = ([s / n for s, n in zip(total, of, strict=True)] for total, of in sums)
+    return [1 - a for a in alike] + distance
 
 
 def cosine_distances(problem: np.ndarray, has: np.ndarray, vectors: pa.Array, n_problems: int) -> list[tuple[np.ndarray, np.ndarray]]:
