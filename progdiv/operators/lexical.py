@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from progdiv.functions.text import strip_comments
+from progdiv.operators import places
 from progdiv.operators.overlap import bootstrap_pairs, mean_pair_distance, sampled_pairs
 
 
 def word_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def code_tokens(code: Column, comments: bool = True) -> Column:
@@ -53,44 +54,24 @@ def distinct_n(frame: DataFrame, keys: list[str], tokens: str, orders: range = r
     """Distinct of all n-grams of a group; null if it has at most one.
 
     Counted in two steps, by gram and then by group, so that repeats are added up before the shuffle; grams
-    are told apart by 64 bits of hash. With prose, whose long n-grams hardly repeat, a place of a text is shuffled once for all orders
-    from 2 on, and n-grams are told apart by 64 bits of each word.
+    are told apart by 64 bits of hash. With prose, whose long n-grams hardly repeat, n-grams are shuffled as bytes, many in one row.
     """
-    if prose and orders.stop > 2:
-        longer = _distinct_places(frame, keys, tokens, range(max(2, orders.start), orders.stop))
-        return distinct_n(frame, keys, tokens, range(1, 2)).unionByName(longer) if orders.start < 2 else longer
-    per = gram_hashes(frame, keys, tokens, orders).groupBy(*keys, "n", "h").agg(F.count("*").alias("c"))
-    agg = per.groupBy(*keys, "n").agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n_total"))
+    if prose:
+        agg = places.distinct(frame, keys, tokens, orders)
+    else:
+        per = gram_hashes(frame, keys, tokens, orders).groupBy(*keys, "n", "h").agg(F.count("*").alias("c"))
+        agg = per.groupBy(*keys, "n").agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n_total"))
     return agg.withColumn("distinct_n", F.when(F.col("n_total") > 1, F.col("n_distinct") / F.col("n_total")))
 
 
-def _distinct_places(frame: DataFrame, keys: list[str], tokens: str, orders: range) -> DataFrame:
-    """distinct_n for orders from 2 on. Each place is a row of the hashes of its word and the next ones, dealt by the first two; in
-    order, an n-gram is new where one of its words is not that of the row before."""
-    words = [f"_w{n}" for n in range(1, orders.stop)]
-    rows = frame.select(*keys, F.transform(tokens, lambda w: F.xxhash64(w)).alias("_t")).where(F.size("_t") > 1)
-    rows = rows.select(*keys, "_t", F.explode(F.sequence(F.lit(0), F.size("_t") - 2)).alias("_i"))
-    rows = rows.select(*keys, *(F.get("_t", F.col("_i") + i).alias(w) for i, w in enumerate(words)))
-    before = Window.partitionBy(*keys, *words[:2]).orderBy(*words[2:] or words[1:])
-    rows = rows.select("*", *(F.lag(w).over(before).alias(f"{w}_b") for w in words[2:]), F.row_number().over(before).alias("_k"))
-    new, found = F.col("_k") == 1, []
-    for n, w in enumerate(words[1:], 2):
-        new = new if n == 2 else new | ~F.col(w).eqNullSafe(F.col(f"{w}_b"))
-        found += [(n, F.count_if(new & F.col(w).isNotNull()), F.count(w))] if n in orders else []
-    sums = rows.groupBy(*keys).agg(*(c for n, d, t in found for c in (d.alias(f"_d{n}"), t.alias(f"_n{n}"))))
-    each = F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"_d{n}").alias("n_distinct"), F.col(f"_n{n}").alias("n_total")) for n, _, _ in found))
-    out = sums.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x.*").where("n_total > 0")
-    return out.withColumn("distinct_n", F.when(F.col("n_total") > 1, F.col("n_distinct") / F.col("n_total")))
-
-
 def gram_sketches(frame: DataFrame, keys: list[str], tokens: str, orders: range = range(1, 7), lg_k: int = 12) -> DataFrame:
     """Rows (keys, n, sketch, n_total): a sketch of each group's distinct n-grams, of 2 ** lg_k bytes at most, and their number.
 
     A task keeps the sketches of all orders of a group and only sketches are shuffled, whatever the number of n-grams; they can be
     stored and merged.
     """
-    of = lambda n: F.when(F.col("n") == n, F.col("h"))
-    sketches = gram_hashes(frame, keys, tokens, orders).groupBy(*keys).agg(*(c for n in orders for c in (F.hll_sketch_agg(of(n), lg_k).alias(f"_s{n}"), F.count(of(n)).alias(f"_n{n}"))))
+    rows = places.side_by_side(frame, keys, tokens, orders)
+    sketches = rows.groupBy(*keys).agg(*(c for n in orders for c in (F.hll_sketch_agg(f"_h{n}", lg_k).alias(f"_s{n}"), F.sum(f"_c{n}").alias(f"_n{n}"))))
     each = F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"_s{n}").alias("sketch"), F.col(f"_n{n}").alias("n_total")) for n in orders))
     return sketches.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x.*").where("n_total > 0")
 
